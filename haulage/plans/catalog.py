@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.operators import columns as B
+from haulage.operators import keyed as D
 from haulage.operators import paging as P
 from haulage.plans.sql_sweep import SWEEP, SWEEP_TABLES
 from haulage.sources.load import load, run_script, run_sql
@@ -214,6 +215,100 @@ def c3_total(spark, sf_dir):
     return P.total_rows(table(spark, sf_dir, "documents"))
 
 
+# ------------------------------------------------------------------ D: keyed tables
+
+CUTOFF = "2024-01-15 00:00:00"  # events before it form the base, the rest the changes
+_EV_COLS = ("event_id", "ts", "event_type", "value", "props")
+
+
+def _early_late(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    cut = F.lit(CUTOFF).cast("timestamp_ntz")
+    return ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut)
+
+
+def _latest_sql(keys: str) -> str:
+    others = [c for c in ("event_id", "ts", "user_id", "event_type", "value", "props")
+              if c not in keys.replace(" ", "").split(",")]
+    picks = ", ".join(f"arg_max({c}, event_id) AS {c}" for c in others)
+    return f"SELECT {keys}, {picks}, min(event_id) AS first_seq FROM events GROUP BY {keys}"
+
+
+@register("d1_upsert", _latest_sql("user_id"))
+def d1_upsert(spark, sf_dir):
+    early, late = _early_late(spark, sf_dir)
+    base = D.upsert(None, early, ["user_id"], "event_id")
+    return D.upsert(base, late, ["user_id"], "event_id")
+
+
+@register("d2_upsert_counts", f"""
+    WITH e AS (SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '{CUTOFF}'),
+         l AS (SELECT * FROM events WHERE ts >= TIMESTAMP '{CUTOFF}')
+    SELECT CAST(COUNT(DISTINCT CASE WHEN e.user_id IS NULL THEN l.user_id END) AS BIGINT) AS added,
+           CAST(COUNT(l.user_id) - COUNT(DISTINCT CASE WHEN e.user_id IS NULL THEN l.user_id END) AS BIGINT) AS updated,
+           CAST(COUNT(*) - COUNT(l.user_id) AS BIGINT) AS skipped
+    FROM l LEFT JOIN e ON l.user_id = e.user_id""")
+def d2_upsert_counts(spark, sf_dir):
+    early, late = _early_late(spark, sf_dir)
+    base = D.upsert(None, early, ["user_id"], "event_id")
+    return D.upsert_counts(base, late, ["user_id"], "event_id")
+
+
+@register("d3_upsert_composite", _latest_sql("user_id, event_type"))
+def d3_upsert_composite(spark, sf_dir):
+    early, late = _early_late(spark, sf_dir)
+    base = D.upsert(None, early, ["user_id", "event_type"], "event_id")
+    return D.upsert(base, late, ["user_id", "event_type"], "event_id")
+
+
+@register("d4_upsert_hot_key", _latest_sql("event_type"))
+def d4_upsert_hot_key(spark, sf_dir):
+    """Five keys for all rows: each key is hot; partial aggregation absorbs it."""
+    early, late = _early_late(spark, sf_dir)
+    base = D.upsert(None, early, ["event_type"], "event_id")
+    return D.upsert(base, late, ["event_type"], "event_id")
+
+
+@register("d5_list_count", "SELECT COUNT(DISTINCT user_id) AS n_rows FROM events")
+def d5_list_count(spark, sf_dir):
+    return P.total_rows(D.upsert(None, table(spark, sf_dir, "events"), ["user_id"], "event_id"))
+
+
+def _stores(spark, sf_dir):
+    cust = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nationkey"))
+    supp = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nationkey"))
+    return D.with_kind({"customer": cust, "supplier": supp})
+
+
+@register("d6_kind_totals", """
+    SELECT kind, COUNT(*) AS n_rows FROM (
+      SELECT 'customer' AS kind FROM customer UNION ALL SELECT 'supplier' FROM supplier) t
+    GROUP BY ROLLUP (kind)""")
+def d6_kind_totals(spark, sf_dir):
+    return D.kind_totals(_stores(spark, sf_dir))
+
+
+@register("d7_clear_kind", """
+    SELECT c_custkey AS id, c_name AS name, c_nationkey AS nationkey, 'customer' AS kind FROM customer""")
+def d7_clear_kind(spark, sf_dir):
+    return D.clear(_stores(spark, sf_dir), "supplier")
+
+
+@register("d8_active", "SELECT * FROM events WHERE event_id = (SELECT MAX(event_id) FROM events)")
+def d8_active(spark, sf_dir):
+    return D.latest(table(spark, sf_dir, "events"), "event_id")
+
+
+@register("d9_mask", """
+    SELECT doc_id, lang, CASE WHEN lang <> '' THEN REPLACE(text, lang, '*****') ELSE text END AS text
+    FROM documents""")
+def d9_mask(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return D.mask_value(docs, "text", "lang")
+
+
 # ------------------------------------------------------------------ H: SQL text sweep
 
 def _sweep_query(sql: str):
