@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from haulage.operators import columns as B
 from haulage.operators import keyed as D
 from haulage.operators import paging as P
+from haulage.plans.export import run_export, scratch_folder
 from haulage.plans.sql_sweep import SWEEP, SWEEP_TABLES
+from haulage.sinks import archive as Z
+from haulage.sinks import writers as E
 from haulage.sources.load import load, run_script, run_sql
 from haulage.specs import ColumnSpec as S
-from haulage.specs import Source
+from haulage.specs import ExportSpec, Source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -309,6 +312,107 @@ def d9_mask(spark, sf_dir):
     return D.mask_value(docs, "text", "lang")
 
 
+# ------------------------------------------------------------------ E: sinks and manifest
+
+_LI_SQL = ("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag, "
+           "l_shipdate FROM lineitem")
+
+
+def _lineitem_cols(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag",
+        "l_shipdate")
+
+
+def _typed_like(text_df: DataFrame, like: DataFrame) -> DataFrame:
+    """Cast text columns read back from a sink to the types of ``like``."""
+    return text_df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in like.schema.fields])
+
+
+@register("e2_csv", _LI_SQL)
+def e2_csv(spark, sf_dir):
+    src = _lineitem_cols(spark, sf_dir)
+    path = E.write_csv(src, scratch_folder(spark, "e2"))
+    from haulage.sources.load import CSV_READ_OPTIONS
+    return spark.read.options(**CSV_READ_OPTIONS).schema(src.schema).csv(path)
+
+
+@register("e3_json", _LI_SQL)
+def e3_json(spark, sf_dir):
+    src = _lineitem_cols(spark, sf_dir)
+    path = E.write_json(src, scratch_folder(spark, "e3"))
+    return spark.read.options(timestampNTZFormat=E.TS_FORMAT).schema(src.schema).json(path)
+
+
+@register("e4_xlsx", _LI_SQL)
+def e4_xlsx(spark, sf_dir):
+    src = _lineitem_cols(spark, sf_dir)
+    path = Z.write_xlsx(src, scratch_folder(spark, "e4"))
+    return _typed_like(Z.read_xlsx(spark, path), src)
+
+
+@register("e5_zip", _LI_SQL)
+def e5_zip(spark, sf_dir):
+    src = _lineitem_cols(spark, sf_dir)
+    path = Z.write_zip(src, scratch_folder(spark, "e5"), entry_name="lineitem")
+    return _typed_like(Z.read_zip(spark, path), src)
+
+
+@register("e6_records", "SELECT * FROM nation")
+def e6_records(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    rec = E.records(nation)
+    return rec.select(F.from_json("record", nation.schema).alias("r")).select("r.*")
+
+
+@register("e8_media_type", """
+    SELECT page_id, regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1),
+                                   '\\.([^.]*)$', 1) AS suffix,
+           CASE lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1),
+                                     '\\.([^.]*)$', 1))
+                WHEN 'csv' THEN 'text/csv' WHEN 'json' THEN 'application/json'
+                WHEN 'xlsx' THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet'
+                WHEN 'zip' THEN 'application/zip' ELSE 'application/octet-stream' END AS media_type
+    FROM pages""")
+def e8_media_type(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    path = F.regexp_replace("url", "[?#].*$", "")
+    return pages.select("page_id", E.file_suffix(path).alias("suffix"), E.media_type(path).alias("media_type"))
+
+
+@register("e9_task_dirs", "SELECT *, event_type AS task_id FROM events")
+def e9_task_dirs(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    root = scratch_folder(spark, "e9")
+    E.write_parquet(ev.withColumn("task_id", F.col("event_type")), root, partition_by=["task_id"])
+    return spark.read.schema(ev.schema.add("task_id", "string")).parquet(root)
+
+
+def _flagship_export(spark, sf_dir, fmt):
+    spec = ExportSpec(task_id=f"task_{fmt.strip().lower()}", root=scratch_folder(spark, "e10"), file_type=fmt,
+                      source=Source(kind="sql", query=FLAGSHIP_SQL, tables=tables_in(FLAGSHIP_SQL, sf_dir)),
+                      specs=FLAGSHIP_SPECS)
+    return spec, run_export(spark, spec)
+
+
+@register("e10_run_export", """
+    SELECT o_orderkey AS order_id, c_mktsegment, o_orderdate, o_totalprice, c_name AS customer
+    FROM orders JOIN customer ON o_custkey = c_custkey""")
+def e10_run_export(spark, sf_dir):
+    spec, files = _flagship_export(spark, sf_dir, " ZIP ")
+    like = B.apply_specs(run_sql(spark, FLAGSHIP_SQL, tables_in(FLAGSHIP_SQL, sf_dir)), FLAGSHIP_SPECS)
+    return _typed_like(Z.read_zip(spark, E.task_path(spec.root, spec.task_id)), like)
+
+
+@register("e7_manifest", """
+    SELECT 'task_csv' AS task_id, 'csv' AS file_type, 'text/csv' AS media_type, COUNT(*) AS rows
+    FROM orders JOIN customer ON o_custkey = c_custkey""")
+def e7_manifest(spark, sf_dir):
+    """Manifest of a CSV export reduced to one row (file names and sizes vary by run)."""
+    _, files = _flagship_export(spark, sf_dir, "csv")
+    return files.groupBy("task_id", "file_type", "media_type").agg(F.max("rows").alias("rows"))
+
+
 # ------------------------------------------------------------------ H: SQL text sweep
 
 def _sweep_query(sql: str):
