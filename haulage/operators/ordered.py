@@ -63,3 +63,41 @@ def with_row_number(df: DataFrame, keys: Sequence[str | Column], name: str = "ro
     return (tagged.join(F.broadcast(offsets), "_pid")
                   .withColumn(name, (F.col("_offset") + F.col("_pos")).cast("bigint"))
                   .drop("_pid", "_pos", "_offset"))
+
+
+def _same_key(a: Sequence[str], b: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for x, y in zip(a, b):
+        cond = cond & F.col(x).eqNullSafe(F.col(y))
+    return cond
+
+
+def lag_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+               prefix: str = "prev_", num_partitions: int | None = None) -> DataFrame:
+    """``lag(col)`` within each key in ``order``, without gathering a key in one task.
+
+    Rows are range-partitioned on ``keys + order`` (a hot key spans several
+    partitions) and lagged inside each range partition; the first row of a
+    partition takes the last row of the previous non-empty partition from a tiny
+    per-partition table (proven bound: one row per partition, broadcast). A value
+    from another key is discarded. ``keys + order`` must order rows totally.
+    """
+    keys, order, cols = list(keys), list(order), list(cols)
+    tagged, _ = ranged(df, keys + order, num_partitions)
+    within = Window.partitionBy("_pid").orderBy("_pos")
+    carried = keys + cols
+    lagged = tagged.select(
+        "*", *[F.lag(c).over(within).alias(f"_l_{c}") for c in carried],
+        F.lag("_pos").over(within).isNull().alias("_first"))
+    last = (tagged.groupBy("_pid")
+                  .agg(F.max_by(F.struct(*[F.col(c).alias(f"_b_{c}") for c in carried]), F.col("_pos"))
+                        .alias("_last")))
+    before = Window.orderBy("_pid")
+    boundary = last.select("_pid", F.lag("_last").over(before).alias("_prev_last")) \
+                   .select("_pid", "_prev_last.*")
+    joined = lagged.join(F.broadcast(boundary), "_pid", "left")
+    picked = {c: F.when(F.col("_first"), F.col(f"_b_{c}")).otherwise(F.col(f"_l_{c}")) for c in carried}
+    joined = joined.select("*", *[picked[c].alias(f"_p_{c}") for c in carried])
+    same = _same_key(keys, [f"_p_{k}" for k in keys])
+    out = joined.select(*df.columns, *[F.when(same, F.col(f"_p_{c}")).alias(f"{prefix}{c}") for c in cols])
+    return out

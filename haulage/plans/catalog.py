@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from haulage.operators import columns as B
 from haulage.operators import keyed as D
 from haulage.operators import paging as P
+from haulage.operators import tasks as T
+from haulage.streaming import jobs as J
+from haulage.streaming import notify as G
 from haulage.plans.export import run_export, scratch_folder
 from haulage.plans.sql_sweep import SWEEP, SWEEP_TABLES
 from haulage.sinks import archive as Z
@@ -413,6 +416,192 @@ def e7_manifest(spark, sf_dir):
     return files.groupBy("task_id", "file_type", "media_type").agg(F.max("rows").alias("rows"))
 
 
+# ------------------------------------------------------------------ F: task states
+
+_TASK_EVENTS_SQL = """
+    SELECT user_id AS task_id, ts, event_id AS seq,
+           CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'complete'
+                           WHEN 'error' THEN 'fail' ELSE 'cancel' END AS kind
+    FROM events WHERE event_type IN ('signup', 'purchase', 'error', 'click')"""
+_STATUS_SQL = f"""
+    WITH ev AS ({_TASK_EVENTS_SQL}),
+    w AS (SELECT *, LAG(kind) OVER (PARTITION BY task_id ORDER BY ts, seq) AS prev_kind FROM ev),
+    kept AS (SELECT task_id, ts, seq,
+                    CASE kind WHEN 'start' THEN 'in_progress' WHEN 'complete' THEN 'completed'
+                              WHEN 'fail' THEN 'failed' ELSE 'cancel_requested' END AS status
+             FROM w WHERE kind <> 'cancel' OR prev_kind = 'start')
+    SELECT task_id, status FROM (
+      SELECT task_id, status, ROW_NUMBER() OVER (PARTITION BY task_id ORDER BY ts DESC, seq DESC) AS rn
+      FROM kept) t WHERE rn = 1"""
+
+
+def _statuses(spark, sf_dir):
+    return T.latest_status(T.task_events(table(spark, sf_dir, "events")))
+
+
+@register("f1_latest_status", _STATUS_SQL)
+def f1_latest_status(spark, sf_dir):
+    return _statuses(spark, sf_dir)
+
+
+@register("f2_cancel", f"""
+    WITH ev AS ({_TASK_EVENTS_SQL}),
+    w AS (SELECT *, LAG(kind) OVER (PARTITION BY task_id ORDER BY ts, seq) AS prev_kind,
+                 MAX(CASE WHEN kind <> 'cancel' THEN 1 ELSE 0 END) OVER (
+                   PARTITION BY task_id ORDER BY ts, seq
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known
+          FROM ev)
+    SELECT task_id, seq, ts,
+           CASE WHEN COALESCE(known, 0) = 0 THEN 'not_found'
+                WHEN prev_kind = 'start' THEN 'accepted' ELSE 'rejected' END AS outcome
+    FROM w WHERE kind = 'cancel'""")
+def f2_cancel(spark, sf_dir):
+    return T.cancel_outcomes(T.task_events(table(spark, sf_dir, "events")))
+
+
+@register("f3_lookup", f"""
+    SELECT c_custkey AS task_id, COALESCE(s.status, 'not_found') AS status
+    FROM customer LEFT JOIN ({_STATUS_SQL}) s ON s.task_id = c_custkey""")
+def f3_lookup(spark, sf_dir):
+    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"))
+    return T.status_lookup(requests, _statuses(spark, sf_dir))
+
+
+@register("f4_gate", f"""
+    WITH s AS ({_STATUS_SQL}),
+    r AS (SELECT task_id, 'exports/task_' || CAST(task_id AS VARCHAR) || '.zip' AS output_path FROM (
+            SELECT user_id AS task_id, arg_max(value, event_id) AS v FROM events
+            WHERE event_type = 'purchase' GROUP BY user_id) p WHERE v >= 10)
+    SELECT c_custkey AS task_id,
+      CASE WHEN s.status IS NULL THEN 404 WHEN s.status = 'failed' THEN 500
+           WHEN s.status <> 'completed' THEN 409 WHEN r.output_path IS NULL THEN 500 ELSE 200 END AS code,
+      CASE WHEN s.status IS NULL THEN 'Task not found' WHEN s.status = 'failed' THEN 'Task failed'
+           WHEN s.status <> 'completed'
+             THEN 'Task ' || CAST(c_custkey AS VARCHAR) || ' is not yet completed. Current status: ' || s.status
+           WHEN r.output_path IS NULL THEN 'Output file path not found for completed task.'
+           ELSE r.output_path END AS detail
+    FROM customer LEFT JOIN s ON s.task_id = c_custkey LEFT JOIN r ON r.task_id = c_custkey""")
+def f4_gate(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    results = (ev.filter(F.col("event_type") == "purchase").groupBy(F.col("user_id").alias("task_id"))
+                 .agg(F.max_by("value", "event_id").alias("v")).filter(F.col("v") >= 10)
+                 .select("task_id", F.format_string("exports/task_%s.zip", F.col("task_id").cast("string"))
+                          .alias("output_path")))
+    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"))
+    return T.download_gate(requests, _statuses(spark, sf_dir), results)
+
+
+def _stream_path(sf_dir: str, name: str) -> str:
+    # a glob that matches exactly the one file: file streams take folders or patterns
+    return f"{sf_dir}/{name}.parque[t]"
+
+
+@register("f5_stream_status", _STATUS_SQL)
+def f5_stream_status(spark, sf_dir):
+    work = scratch_folder(spark, "f5")
+    schema = table(spark, sf_dir, "events").schema
+    q = J.status_stream(spark, _stream_path(sf_dir, "events"), schema, f"{work}/sink", f"{work}/checkpoint")
+    q.awaitTermination()
+    return J.read_status_table(spark, f"{work}/sink")
+
+
+# ------------------------------------------------------------------ G: notifications
+
+_MESSAGES_SQL = """
+    SELECT user_id AS task_id,
+           CASE event_type WHEN 'view' THEN 'processing' WHEN 'click' THEN 'started' ELSE 'finished' END AS stage,
+           ts, event_id AS seq,
+           CASE event_type WHEN 'view' THEN 'Download processing for task '
+                           WHEN 'click' THEN 'Download started for task '
+                           ELSE 'Download finished for task ' END || CAST(user_id AS VARCHAR) AS message
+    FROM events WHERE event_type IN ('view', 'click', 'purchase')"""
+_FAN_OUT_SQL = f"SELECT m.*, r_name AS subscriber FROM ({_MESSAGES_SQL}) m CROSS JOIN region"
+_FAILED_SQL = f"""
+    WITH f AS (SELECT n_name AS subscriber, MIN(event_id) AS failed_seq
+               FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey
+               WHERE event_type = 'error' GROUP BY n_name)
+    SELECT m.*, n_name AS subscriber FROM ({_MESSAGES_SQL}) m CROSS JOIN nation
+    LEFT JOIN f ON f.subscriber = n_name
+    WHERE f.failed_seq IS NULL OR m.seq < f.failed_seq"""
+
+
+def _messages(spark, sf_dir):
+    return G.messages(table(spark, sf_dir, "events"))
+
+
+def _nation_failures(spark, sf_dir):
+    ev, cust, nation = (table(spark, sf_dir, t) for t in ("events", "customer", "nation"))
+    return (ev.filter(F.col("event_type") == "error")
+              .join(cust, F.col("user_id") == F.col("c_custkey"))
+              .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+              .select(F.col("n_name").alias("subscriber"), F.col("event_id").alias("failed_seq")))
+
+
+@register("g1_messages", _MESSAGES_SQL)
+def g1_messages(spark, sf_dir):
+    return _messages(spark, sf_dir)
+
+
+@register("g2_fan_out", _FAN_OUT_SQL)
+def g2_fan_out(spark, sf_dir):
+    subs = table(spark, sf_dir, "region").select(F.col("r_name").alias("subscriber"))
+    return G.fan_out(_messages(spark, sf_dir), subs)
+
+
+@register("g2_fan_out_salted", _FAN_OUT_SQL)
+def g2_fan_out_salted(spark, sf_dir):
+    """The path taken beyond the broadcast bound (forced here by a bound of 0)."""
+    subs = table(spark, sf_dir, "region").select(F.col("r_name").alias("subscriber"))
+    return G.fan_out(_messages(spark, sf_dir), subs, max_broadcast=0, salt_buckets=8)
+
+
+@register("g3_drop_failed", _FAILED_SQL)
+def g3_drop_failed(spark, sf_dir):
+    subs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("subscriber"))
+    return G.drop_failed(G.fan_out(_messages(spark, sf_dir), subs), _nation_failures(spark, sf_dir))
+
+
+@register("g4_subscriptions", """
+    SELECT user_id AS subscriber, MAX(event_id) AS since FROM events
+    WHERE event_type IN ('view', 'error') GROUP BY user_id
+    HAVING arg_max(event_type, event_id) = 'view'""")
+def g4_subscriptions(spark, sf_dir):
+    return G.active_subscribers(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@register("g5_message_order", f"""
+    SELECT task_id, seq, stage,
+           CASE WHEN prev IS NULL THEN stage = 'processing'
+                ELSE prev = CASE stage WHEN 'processing' THEN 'finished'
+                                       WHEN 'started' THEN 'processing' ELSE 'started' END END AS in_order
+    FROM (SELECT *, LAG(stage) OVER (PARTITION BY task_id ORDER BY ts, seq) AS prev FROM ({_MESSAGES_SQL}) m) t""")
+def g5_message_order(spark, sf_dir):
+    return G.message_order(_messages(spark, sf_dir))
+
+
+def _stream_deliveries(spark, sf_dir, label, subscribers, failures=None):
+    work = scratch_folder(spark, label)
+    schema = table(spark, sf_dir, "events").schema
+    q = J.notification_stream(spark, _stream_path(sf_dir, "events"), schema, subscribers,
+                              f"{work}/sink", f"{work}/checkpoint", failures=failures)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{work}/sink")
+    return out.select("task_id", "stage", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", "message",
+                      "subscriber")
+
+
+@register("g6_stream_fan_out", _FAN_OUT_SQL)
+def g6_stream_fan_out(spark, sf_dir):
+    subs = table(spark, sf_dir, "region").select(F.col("r_name").alias("subscriber"))
+    return _stream_deliveries(spark, sf_dir, "g6", subs)
+
+
+@register("g7_stream_drop_failed", _FAILED_SQL)
+def g7_stream_drop_failed(spark, sf_dir):
+    subs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("subscriber"))
+    return _stream_deliveries(spark, sf_dir, "g7", subs, failures=_nation_failures(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ H: SQL text sweep
 
 def _sweep_query(sql: str):
