@@ -58,9 +58,13 @@ def jdbc_options(source: Source) -> dict[str, str]:
     """A3: reader options; the secret is an option of its own."""
     db_type = (source.db_type or "").lower()
     opts = {"url": jdbc_url(source), "fetchsize": str(source.fetch_size)}
-    driver = source.driver or (DIALECTS[db_type][2] if db_type in DIALECTS else None)
-    if driver and "." in driver:  # a Java class name; ODBC driver names do not apply to JDBC
-        opts["driver"] = driver
+    given = source.driver
+    # A Java class name is used as is; an ODBC driver name ("ODBC Driver 17 ...") does not
+    # apply to JDBC, so the dialect's own driver class is used instead.
+    if given and "." in given and " " not in given:
+        opts["driver"] = given
+    elif db_type in DIALECTS:
+        opts["driver"] = DIALECTS[db_type][2]
     if source.username:
         opts["user"] = source.username
     if source.password:
