@@ -558,7 +558,8 @@ def g2_fan_out_salted(spark, sf_dir):
 @register("g3_drop_failed", _FAILED_SQL)
 def g3_drop_failed(spark, sf_dir):
     subs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("subscriber"))
-    return G.drop_failed(G.fan_out(_messages(spark, sf_dir), subs), _nation_failures(spark, sf_dir))
+    subs = G.with_failures(subs, _nation_failures(spark, sf_dir))
+    return G.drop_failed(G.fan_out(_messages(spark, sf_dir), subs))
 
 
 @register("g4_subscriptions", """

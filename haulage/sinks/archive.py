@@ -63,6 +63,7 @@ class StagedFiles(WriterCommitMessage):
 
 class _StagedWriter(DataSourceArrowWriter):
     suffix = ""
+    default_level = 6   # zlib level of the deflated entries
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.path = options["path"].rstrip("/")
@@ -72,6 +73,7 @@ class _StagedWriter(DataSourceArrowWriter):
         self.entry = options.get("entry_name") or "part"
         limit = int(options.get("rows_per_file") or 0)
         self.rows_per_file = limit if limit > 0 else self.max_rows()
+        self.level = int(options.get("compresslevel") or self.default_level)
 
     def max_rows(self) -> int:
         return 1 << 62
@@ -145,11 +147,12 @@ class _StagedWriter(DataSourceArrowWriter):
 
 
 class _ZipOut:
-    def __init__(self, stream, entry: str, header: bytes):
+    def __init__(self, stream, entry: str, header: bytes, level: int):
         self.stream = stream
-        self.zf = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+        self.zf = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED, compresslevel=level)
         info = zipfile.ZipInfo(entry, date_time=ZIP_DATE_TIME)
         info.compress_type = zipfile.ZIP_DEFLATED
+        info.compress_level = level
         self.entry = self.zf.open(info, "w", force_zip64=True)
         self.entry.write(header)
 
@@ -163,7 +166,7 @@ class ZipCsvWriter(_StagedWriter):
         header = io.BytesIO()
         pcsv.write_csv(pa.table({c: pa.array([], pa.string()) for c in self.schema.names}), header,
                        pcsv.WriteOptions(include_header=True, quoting_style="needed"))
-        return _ZipOut(stream, name[: -len(self.suffix)] + ".csv", header.getvalue())
+        return _ZipOut(stream, name[: -len(self.suffix)] + ".csv", header.getvalue(), self.level)
 
     def add(self, out: _ZipOut, batch, rows_before):
         buf = io.BytesIO()
@@ -220,6 +223,20 @@ _SHEET_HEAD = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _SHEET_TAIL = "</sheetData></worksheet>"
 
 
+def _concatenated(arr) -> memoryview:
+    """All values of a string array back to back, straight from its data buffer (no copies)."""
+    arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
+    if arr.type != pa.string():
+        arr = arr.cast(pa.string())
+    offsets = arr.buffers()[1]
+    data = arr.buffers()[2]
+    if data is None or len(arr) == 0:
+        return memoryview(b"")
+    first, last = (pa.Array.from_buffers(pa.int32(), len(arr) + 1, [None, offsets], offset=arr.offset)
+                   .to_numpy()[[0, -1]])
+    return memoryview(data)[int(first):int(last)]
+
+
 def _xml_text(arr: pa.Array) -> pa.Array:
     arr = pc.replace_substring_regex(arr, _ILLEGAL_XML, "")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -228,14 +245,15 @@ def _xml_text(arr: pa.Array) -> pa.Array:
 
 
 class _XlsxOut:
-    def __init__(self, stream, names: list[str]):
+    def __init__(self, stream, names: list[str], level: int):
         self.stream = stream
-        self.zf = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+        self.zf = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED, compresslevel=level)
         for part, text in (("[Content_Types].xml", _CONTENT_TYPES), ("_rels/.rels", _ROOT_RELS),
                            ("xl/workbook.xml", _WORKBOOK), ("xl/_rels/workbook.xml.rels", _WORKBOOK_RELS)):
             self.zf.writestr(zipfile.ZipInfo(part, date_time=ZIP_DATE_TIME), text)
         info = zipfile.ZipInfo("xl/worksheets/sheet1.xml", date_time=ZIP_DATE_TIME)
         info.compress_type = zipfile.ZIP_DEFLATED
+        info.compress_level = level
         self.sheet = self.zf.open(info, "w", force_zip64=True)
         cells = "".join(f'<c r="{ref}1" t="inlineStr"><is><t xml:space="preserve">{xml_escape(n)}</t></is></c>'
                         for ref, n in zip(_col_letters(len(names)), names))
@@ -250,6 +268,7 @@ class XlsxWriter(_StagedWriter):
     """
 
     suffix = ".xlsx"
+    default_level = 1   # sheet XML is bulky; fast deflate keeps the writer ahead of the scan
 
     def max_rows(self) -> int:
         return XLSX_MAX_DATA_ROWS
@@ -261,7 +280,7 @@ class XlsxWriter(_StagedWriter):
         self.letters = _col_letters(len(schema.fields))
 
     def open(self, stream, name):
-        return _XlsxOut(stream, self.schema.names)
+        return _XlsxOut(stream, self.schema.names, self.level)
 
     def add(self, out: _XlsxOut, batch, rows_before):
         n = batch.num_rows
@@ -281,7 +300,7 @@ class XlsxWriter(_StagedWriter):
             cells.append(pc.fill_null(cell, ""))
         rows = pc.binary_join_element_wise(pa.scalar('<row r="'), row_no, pa.scalar('">'), *cells,
                                            pa.scalar("</row>"), "")
-        out.sheet.write("".join(rows.to_pylist()).encode("utf-8"))
+        out.sheet.write(_concatenated(rows))
 
     def close(self, out: _XlsxOut):
         out.sheet.write(_SHEET_TAIL.encode("utf-8"))
@@ -468,17 +487,19 @@ def _save(df: DataFrame, fmt: str, path: str, single_file: bool, mode: str, **op
 
 
 def write_zip(df: DataFrame, path: str, entry_name: str | None = None, single_file: bool = False,
-              mode: str = "overwrite", rows_per_file: int | None = None) -> str:
+              mode: str = "overwrite", rows_per_file: int | None = None,
+              compresslevel: int | None = None) -> str:
     """E5: CSV rows deflated into archives, one (or more, by ``rows_per_file``) per partition."""
     return _save(_as_text(df), "csv_zip", path, single_file, mode, entry_name=entry_name,
-                 rows_per_file=rows_per_file)
+                 rows_per_file=rows_per_file, compresslevel=compresslevel)
 
 
 def write_xlsx(df: DataFrame, path: str, entry_name: str | None = None, single_file: bool = False,
-               mode: str = "overwrite", rows_per_file: int | None = None) -> str:
+               mode: str = "overwrite", rows_per_file: int | None = None,
+               compresslevel: int | None = None) -> str:
     """Sharded workbooks, one or more per partition."""
     return _save(_for_sheet(df), "xlsx_shards", path, single_file, mode, entry_name=entry_name,
-                 rows_per_file=rows_per_file)
+                 rows_per_file=rows_per_file, compresslevel=compresslevel)
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:

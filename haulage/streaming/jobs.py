@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from haulage.operators.tasks import latest_status, task_events
-from haulage.streaming.notify import drop_failed, fan_out, messages
+from haulage.streaming.notify import drop_failed, fan_out, messages, with_failures
 
 WATERMARK = "1 hour"
 
@@ -32,6 +32,14 @@ def event_stream(spark: SparkSession, path: str, schema: StructType, ts_col: str
     return df.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
 
 
+def write_batch_partition(batch: DataFrame, batch_id: int, sink: str) -> None:
+    """Write one micro-batch as its own ``batch_id`` partition, replacing an earlier
+    attempt of the same batch: a retried batch never leaves duplicate rows."""
+    (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+          .partitionBy("batch_id").parquet(sink))
+
+
 def _start(df: DataFrame, sink: str, checkpoint: str, trigger: str, mode: str = "append",
            batch_fn: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
@@ -46,21 +54,21 @@ def notification_stream(spark: SparkSession, events_path: str, schema: StructTyp
                         failures: DataFrame | None = None, trigger: str = "availableNow") -> StreamingQuery:
     """G1+G2(+G3): messages of new events, fanned out to the (static) subscriber table.
 
-    The subscriber count is taken once at start; with a failure table, every
-    micro-batch drops deliveries to subscribers that failed earlier (read anew per
-    batch, so failures recorded meanwhile apply).
+    Without failures this is a stream-static join (broadcast subscribers). With a
+    failure table, every micro-batch reads the failures anew (so failures recorded
+    meanwhile apply), attaches them to the subscribers and fans out the batch.
     """
     stream = event_stream(spark, events_path, schema).withWatermark("ts", WATERMARK)
+    msgs = messages(stream)
     n_subs = subscribers.count()
-    deliveries = fan_out(messages(stream), subscribers, subscriber_rows=n_subs)
     if failures is None:
-        return _start(deliveries, sink, checkpoint, trigger)
+        return _start(fan_out(msgs, subscribers, subscriber_rows=n_subs), sink, checkpoint, trigger)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (drop_failed(batch, failures).withColumn("batch_id", F.lit(batch_id))
-            .write.mode("append").parquet(sink))
+        subs = with_failures(subscribers, failures)
+        write_batch_partition(drop_failed(fan_out(batch, subs, subscriber_rows=n_subs)), batch_id, sink)
 
-    return _start(deliveries, sink, checkpoint, trigger, batch_fn=write_batch)
+    return _start(msgs, sink, checkpoint, trigger, batch_fn=write_batch)
 
 
 def status_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
@@ -74,7 +82,7 @@ def status_stream(spark: SparkSession, events_path: str, schema: StructType, sin
     states = latest_status(ev)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(sink)
+        write_batch_partition(batch, batch_id, sink)
 
     return _start(states, sink, checkpoint, trigger, mode="update", batch_fn=write_batch)
 

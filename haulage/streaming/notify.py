@@ -73,10 +73,11 @@ def fan_out(msgs: DataFrame, subscribers: DataFrame, sub_col: str = "subscriber"
             subscriber_rows: int | None = None) -> DataFrame:
     """Every message to every subscriber, no per-task filter.
 
+    Subscriber columns ride along (``sub_col`` is renamed ``subscriber``).
     ``subscriber_rows`` may pass a known count; otherwise the subscriber table is
     counted once (it is the small side) to choose the strategy.
     """
-    subs = subscribers.select(F.col(sub_col).alias("subscriber"))
+    subs = subscribers.withColumnRenamed(sub_col, "subscriber") if sub_col != "subscriber" else subscribers
     n = subscriber_rows if subscriber_rows is not None else subs.count()
     if n <= max_broadcast:
         return (msgs.withColumn("_ch", F.lit(0))
@@ -86,17 +87,23 @@ def fan_out(msgs: DataFrame, subscribers: DataFrame, sub_col: str = "subscriber"
     return salted.join(copies, "_salt").drop("_salt")
 
 
-def drop_failed(deliveries: DataFrame, failures: DataFrame, sub_col: str = "subscriber",
-                failed_seq_col: str = "failed_seq") -> DataFrame:
-    """A subscriber whose send failed at message ``failed_seq`` gets no later message.
+def with_failures(subscribers: DataFrame, failures: DataFrame, sub_col: str = "subscriber",
+                  failed_seq_col: str = "failed_seq") -> DataFrame:
+    """G3, first half: each subscriber with the message (``failed_seq``) its send first failed at.
 
-    The failing message itself is not delivered. After the ``min`` the failure table
-    has one row per failed subscriber; no broadcast is forced, adaptive execution
-    broadcasts it when its measured size is small.
+    Both sides are subscriber-sized; the result goes into :func:`fan_out` so the
+    check travels with the (broadcast) subscriber table instead of shuffling the
+    deliveries.
     """
-    first_fail = failures.groupBy(F.col(sub_col).alias("_sub")).agg(F.min(failed_seq_col).alias("_fail"))
-    j = deliveries.join(first_fail, deliveries["subscriber"] == F.col("_sub"), "left")
-    return j.filter(F.col("_fail").isNull() | (F.col("seq") < F.col("_fail"))).drop("_sub", "_fail")
+    first_fail = (failures.groupBy(F.col(sub_col).alias("_sub"))
+                          .agg(F.min(failed_seq_col).alias("failed_seq")))
+    return (subscribers.join(first_fail, subscribers[sub_col] == F.col("_sub"), "left").drop("_sub"))
+
+
+def drop_failed(deliveries: DataFrame) -> DataFrame:
+    """G3, second half: no message at or after a subscriber's failed send."""
+    return (deliveries.filter(F.col("failed_seq").isNull() | (F.col("seq") < F.col("failed_seq")))
+                      .drop("failed_seq"))
 
 
 def message_order(msgs: DataFrame, num_partitions: int | None = None) -> DataFrame:
