@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 MASK = "*****"  # fixed value: text that replaces a secret
 
+# Change batches with at most this many distinct keys are broadcast against the base,
+# so the base is scanned but never shuffled; larger batches take the union + aggregate path.
+BROADCAST_CHANGE_KEYS = 2_000_000
+
 
 def _check_keys(df: DataFrame, keys: Sequence[str], seq: str) -> None:
     missing = [c for c in (*keys, seq) if c not in df.columns]
@@ -63,17 +67,53 @@ def _grouped(base: DataFrame | None, changes: DataFrame, keys: Sequence[str], se
     )
 
 
+def _reduce_changes(changes: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    """One row per changed key: its last values and its first position in the batch."""
+    values = [c for c in changes.columns if c not in keys]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(seq)).alias("_w"),
+                                      F.min(F.col(seq)).alias("_first"))
+
+
+def _upsert_broadcast(base: DataFrame, reduced: DataFrame, keys: Sequence[str], seq: str,
+                      columns: Sequence[str]) -> DataFrame:
+    """Small reduced batch against a large base: the base streams through a broadcast join."""
+    values = [c for c in columns if c not in keys]
+    base_pos = F.col("first_seq") if "first_seq" in base.columns else F.col(seq)
+    small = F.broadcast(reduced.withColumn("_hit", F.lit(True)))
+    replaced = base.withColumn("_bpos", base_pos).join(small, list(keys), "left").select(
+        *keys,
+        *[F.when(F.col("_hit").isNotNull(), F.col(f"_w.{c}")).otherwise(F.col(c)).alias(c) for c in values],
+        F.col("_bpos").alias("first_seq"))
+    matched = base.select(*keys).join(F.broadcast(reduced.select(*keys)), list(keys), "left_semi").distinct()
+    added = (reduced.join(F.broadcast(matched), list(keys), "left_anti")
+                    .select(*keys, *[F.col(f"_w.{c}").alias(c) for c in values], F.col("_first").alias("first_seq")))
+    return replaced.unionByName(added)
+
+
 def upsert(base: DataFrame | None, changes: DataFrame, keys: Sequence[str], seq: str,
-           null_key: str = "error") -> DataFrame:
+           null_key: str = "error", strategy: str = "auto",
+           max_broadcast_keys: int = BROADCAST_CHANGE_KEYS) -> DataFrame:
     """Replace rows whose key matches, append the others.
 
     Returns the columns of ``changes`` (winner's values) plus ``first_seq``, the
     position the key keeps. ``null_key="error"`` fails the job on a null key,
     ``"skip"`` drops such changes. ``base=None`` is an empty base.
+
+    ``strategy``: ``"broadcast"`` reduces the batch per key and broadcasts it
+    against the base (no shuffle of the base); ``"aggregate"`` unions both and
+    groups by key (shuffles both); ``"auto"`` counts the batch's keys once and
+    broadcasts while they stay within ``max_broadcast_keys``.
     """
     keys = list(keys)
     _check_keys(changes, keys, seq)
+    if strategy not in ("auto", "broadcast", "aggregate"):
+        raise ValueError("strategy must be auto, broadcast or aggregate")
     changes = _guard_null_keys(changes, keys, null_key)
+    if base is not None and strategy != "aggregate":
+        reduced = _reduce_changes(changes, keys, seq)
+        if strategy == "broadcast" or reduced.count() <= max_broadcast_keys:
+            out = _upsert_broadcast(base, reduced, keys, seq, changes.columns)
+            return out.select(*keys, *[c for c in changes.columns if c not in keys], "first_seq")
     g = _grouped(base, changes, keys, seq)
     return g.select(*keys, "_w.*", "first_seq")
 

@@ -20,16 +20,28 @@ def test_empty_batch_and_null_key_errors(spark):
     base = spark.createDataFrame([("a", 1, 0)], SCHEMA)
     with pytest.raises(ValueError):
         D.upsert_counts(base, spark.createDataFrame([], SCHEMA), ["name"], "seq")
-    bad = D.upsert(base, spark.createDataFrame([(None, 1, 1)], SCHEMA), ["name"], "seq")
-    with pytest.raises((PySparkException, Exception), match="null key"):
-        bad.collect()
+    for strategy in ("auto", "aggregate"):
+        with pytest.raises(PySparkException, match="null key"):  # raised while the rows stream
+            D.upsert(base, spark.createDataFrame([(None, 1, 1)], SCHEMA), ["name"], "seq",
+                     strategy=strategy).collect()
 
 
 def test_upsert_twice_equals_once(spark, small):
     ev = spark.read.parquet(f"{small}/events.parquet")
     once = D.upsert(None, ev, ["user_id"], "event_id")
-    twice = D.upsert(once, ev, ["user_id"], "event_id")
-    assert twice.exceptAll(once).count() == 0 and once.exceptAll(twice).count() == 0
+    for strategy in ("broadcast", "aggregate"):
+        twice = D.upsert(once, ev, ["user_id"], "event_id", strategy=strategy)
+        assert twice.exceptAll(once).count() == 0 and once.exceptAll(twice).count() == 0
+
+
+def test_upsert_strategies_agree(spark, small):
+    ev = spark.read.parquet(f"{small}/events.parquet")
+    base = D.upsert(None, ev.filter("event_id < 400"), ["user_id", "event_type"], "event_id")
+    late = ev.filter("event_id >= 400")
+    a = D.upsert(base, late, ["user_id", "event_type"], "event_id", strategy="broadcast")
+    b = D.upsert(base, late, ["user_id", "event_type"], "event_id", strategy="aggregate")
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_latest_and_empty(spark):
