@@ -119,23 +119,30 @@ def upsert(base: DataFrame | None, changes: DataFrame, keys: Sequence[str], seq:
 
 
 def upsert_counts(base: DataFrame | None, changes: DataFrame, keys: Sequence[str],
-                  seq: str) -> DataFrame:
+                  seq: str, max_broadcast_keys: int = BROADCAST_CHANGE_KEYS) -> DataFrame:
     """One row (added, updated, skipped) for a bulk upsert with null keys skipped.
 
     A key new to the base counts once as added; every further change of it in the
-    same batch counts as updated. Raises at once on an empty batch.
+    same batch counts as updated. Raises at once on an empty batch. The batch's keys
+    are matched against the base by a semi join (broadcast while within
+    ``max_broadcast_keys``), so the base is not shuffled.
     """
     keys = list(keys)
     _check_keys(changes, keys, seq)
     if changes.isEmpty():
         raise ValueError("no changes given")
-    g = _grouped(base, changes.filter(~_null_key(keys)), keys, seq)
-    per_key = g.select(
-        F.when(~F.col("_in_base") & (F.col("_n_changes") > 0), 1).otherwise(0).alias("_added"),
-        F.col("_n_changes").alias("_n"), F.lit(0).alias("_skipped"))
-    nulls = changes.filter(_null_key(keys)).select(
-        F.lit(0).alias("_added"), F.lit(0).alias("_n"), F.lit(1).alias("_skipped"))
-    return per_key.unionByName(nulls).agg(
+    null = _null_key(keys)
+    batch_keys = changes.filter(~null).select(*keys).distinct()
+    if base is None:
+        new_keys = batch_keys
+    else:
+        probe = F.broadcast(batch_keys) if batch_keys.count() <= max_broadcast_keys else batch_keys
+        matched = base.select(*keys).join(probe, keys, "left_semi").distinct()
+        new_keys = batch_keys.join(matched, keys, "left_anti")
+    parts = changes.select(F.lit(0).alias("_added"), F.when(null, 0).otherwise(1).alias("_n"),
+                           F.when(null, 1).otherwise(0).alias("_skipped")).unionByName(
+        new_keys.select(F.lit(1).alias("_added"), F.lit(0).alias("_n"), F.lit(0).alias("_skipped")))
+    return parts.agg(
         F.coalesce(F.sum("_added"), F.lit(0)).cast("bigint").alias("added"),
         F.coalesce(F.sum(F.col("_n") - F.col("_added")), F.lit(0)).cast("bigint").alias("updated"),
         F.coalesce(F.sum("_skipped"), F.lit(0)).cast("bigint").alias("skipped"))
