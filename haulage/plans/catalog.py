@@ -505,6 +505,20 @@ def f5_stream_status(spark, sf_dir):
     return J.read_status_table(spark, f"{work}/sink")
 
 
+@register("f6_stream_cancel", None)
+def f6_stream_cancel(spark, sf_dir):
+    """F2 as a stateful stream (applyInPandasWithState, event-time order)."""
+    work = scratch_folder(spark, "f6")
+    schema = table(spark, sf_dir, "events").schema
+    q = J.cancel_stream(spark, _stream_path(sf_dir, "events"), schema, f"{work}/sink", f"{work}/checkpoint")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{work}/sink")
+    return out.select("task_id", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "outcome")
+
+
+ORACLE["f6_stream_cancel"] = ORACLE["f2_cancel"]
+
+
 # ------------------------------------------------------------------ G: notifications
 
 _MESSAGES_SQL = """

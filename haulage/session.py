@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +33,7 @@ def get_session(master: str | None = None, app_name: str = "haulage",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -54,3 +59,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="haulage-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
+
+
+_SHIPPED: set[str] = set()
+
+
+def _package_zip() -> tuple[bytes, str]:
+    """This package's Python files as a zip (deterministic), and a short content hash."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    arc = os.path.join("haulage", os.path.relpath(full, root))
+                    info = zipfile.ZipInfo(arc, date_time=(1980, 1, 1, 0, 0, 0))
+                    with open(full, "rb") as fh:
+                        zf.writestr(info, fh.read())
+    data = buf.getvalue()
+    return data, hashlib.sha256(data).hexdigest()[:16]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``haulage`` importable in Python workers (data sources, stateful streams).
+
+    The package is zipped into the shared checkpoint folder and added with
+    ``addPyFile``, once per SparkContext; Spark ships it to every executor.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    from pyarrow import fs as pafs
+    data, digest = _package_zip()
+    folder = ensure_checkpoint_dir(spark).rstrip("/") + "/haulage-code"
+    path = f"{folder}/haulage-{digest}.zip"
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if local.startswith("/"):
+        filesystem, inner = pafs.LocalFileSystem(), local
+    else:
+        filesystem, inner = pafs.FileSystem.from_uri(path)
+    filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    if filesystem.get_file_info(inner).type == pafs.FileType.NotFound:
+        with filesystem.open_output_stream(inner) as out:
+            out.write(data)
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

@@ -13,10 +13,12 @@ only escapes and frames bytes, with vectorised Arrow kernels.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from dataclasses import dataclass, field
 from typing import Iterator
 from xml.sax.saxutils import escape as xml_escape
+from xml.sax.saxutils import unescape as xml_unescape
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -381,29 +383,49 @@ class ZipCsvDataSource(DataSource):
         return ZipCsvWriter(self.options, schema, overwrite)
 
 
-def _sheet_rows(stream):
-    """Cells of sheet1 as lists of text (None for absent cells), header first."""
-    import xml.etree.ElementTree as ET
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    for _, el in ET.iterparse(stream, events=("end",)):
-        if el.tag != ns + "row":
-            continue
-        cells = {}
-        for c in el.findall(ns + "c"):
-            ref = c.get("r")
-            col = 0
-            for ch in ref:
-                if ch.isalpha():
-                    col = col * 26 + (ord(ch) - 64)
-            if c.get("t") == "inlineStr":
-                t = c.find(f"{ns}is/{ns}t")
-                cells[col - 1] = (t.text or "") if t is not None else ""
-            else:
-                v = c.find(ns + "v")
-                cells[col - 1] = v.text if v is not None else None
-        width = max(cells) + 1 if cells else 0
-        yield [cells.get(i) for i in range(width)]
-        el.clear()
+_ROW = re.compile(rb"<row\b[^>]*>(.*?)</row>", re.S)
+_CELL = re.compile(rb'<c r="([A-Z]+)[0-9]+"(?: t="(\w+)")?[^>]*?(?:/>|>(.*?)</c>)', re.S)
+_TEXT = re.compile(rb"<t\b[^>]*>(.*?)</t>|<t\b[^>]*/>", re.S)
+_VALUE = re.compile(rb"<v>(.*?)</v>", re.S)
+
+
+def _col_index(letters: bytes, cache: dict) -> int:
+    idx = cache.get(letters)
+    if idx is None:
+        idx = 0
+        for ch in letters:
+            idx = idx * 26 + (ch - 64)
+        idx -= 1
+        cache[letters] = idx
+    return idx
+
+
+def _sheet_rows(stream, chunk_size: int = 8 << 20):
+    """Rows of a sheet written by this sink (inline strings, numbers), header first.
+
+    Streams the sheet XML in chunks cut at row ends; absent cells are None.
+    """
+    cache: dict = {}
+    tail = b""
+    while True:
+        chunk = stream.read(chunk_size)
+        data = tail + chunk
+        cut = data.rfind(b"</row>") + len(b"</row>") if chunk else len(data)
+        body, tail = data[:cut], data[cut:]
+        for row in _ROW.finditer(body):
+            cells = {}
+            for ref, kind, inner in _CELL.findall(row.group(1)):
+                if kind == b"inlineStr":
+                    parts = _TEXT.findall(inner or b"")
+                    text = b"".join(parts).decode("utf-8")
+                    cells[_col_index(ref, cache)] = xml_unescape(text)
+                else:
+                    v = _VALUE.search(inner or b"")
+                    cells[_col_index(ref, cache)] = v.group(1).decode("utf-8") if v else None
+            width = max(cells) + 1 if cells else 0
+            yield [cells.get(i) for i in range(width)]
+        if not chunk:
+            return
 
 
 class XlsxReader(DataSourceReader):
@@ -449,6 +471,8 @@ class XlsxDataSource(DataSource):
 
 
 def register_sinks(spark: SparkSession) -> None:
+    from haulage.session import ship_package
+    ship_package(spark)
     spark.dataSource.register(ZipCsvDataSource)
     spark.dataSource.register(XlsxDataSource)
 

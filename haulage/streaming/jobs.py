@@ -91,3 +91,73 @@ def read_status_table(spark: SparkSession, sink: str) -> DataFrame:
     """Current state per task from the upsert log written by :func:`status_stream`."""
     log = spark.read.parquet(sink)
     return (log.groupBy("task_id").agg(F.max_by("status", "batch_id").alias("status")))
+
+
+CANCEL_OUTPUT = "task_id long, seq long, ts timestamp, outcome string"
+CANCEL_STATE = "last_kind string, known boolean, pending string"
+
+
+def _cancel_outcomes_in_order(key, frames, state):
+    """Per task: buffer events until the watermark passes them, then replay in (ts, seq) order.
+
+    State: kind of the last replayed event, whether any non-cancel was replayed,
+    and the buffered events (JSON). Emits one row per replayed cancel.
+    """
+    import json
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState  # noqa: F401  (type of ``state``)
+
+    if state.exists:
+        last_kind, known, pending_json = state.get
+        pending = json.loads(pending_json)
+    else:
+        last_kind, known, pending = None, False, []
+    for pdf in frames:
+        ts_us = (pdf["ts"].astype("int64") // 1_000).tolist()   # ns -> us, exact for Spark times
+        pending.extend(zip(ts_us, pdf["seq"].tolist(), pdf["kind"].tolist()))
+    # The watermark has millisecond resolution: an event counts as passed once its
+    # millisecond is not after the watermark.
+    watermark_ms = state.getCurrentWatermarkMs()
+    pending.sort(key=lambda e: (e[0], e[1]))
+    ready = [e for e in pending if e[0] // 1_000 <= watermark_ms]
+    rest = [e for e in pending if e[0] // 1_000 > watermark_ms]
+    rows = []
+    for ts_us, seq, kind in ready:
+        if kind == "cancel":
+            outcome = "not_found" if not known else ("accepted" if last_kind == "start" else "rejected")
+            rows.append((key[0], seq, ts_us, outcome))
+        else:
+            known = True
+        last_kind = kind
+    state.update((last_kind, known, json.dumps(rest)))
+    if rest:
+        state.setTimeoutTimestamp(min(e[0] for e in rest) // 1_000 + 1)
+    out = pd.DataFrame(rows, columns=["task_id", "seq", "ts_us", "outcome"])
+    out["ts"] = pd.to_datetime(out["ts_us"], unit="us", utc=True)
+    yield out[["task_id", "seq", "ts", "outcome"]]
+
+
+def cancel_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
+                  checkpoint: str, delay: str = "0 seconds", trigger: str = "availableNow") -> StreamingQuery:
+    """F2 over a stream, in event-time order (custom stateful operator).
+
+    Events wait in per-task state until the watermark (max event time - ``delay``)
+    passes them, so events up to ``delay`` late are still put in order; each cancel
+    is then judged against the task's previous event. An event later than that is
+    judged in arrival order. State per task is small: two fields plus the events not
+    yet behind the watermark; an event-time timeout replays them when the watermark
+    moves without new data for the task.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from haulage.session import ship_package
+    ship_package(spark)
+    ev = task_events(event_stream(spark, events_path, schema)).withWatermark("ts", delay)
+    outcomes = ev.groupBy("task_id").applyInPandasWithState(
+        _cancel_outcomes_in_order, CANCEL_OUTPUT, CANCEL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        write_batch_partition(batch, batch_id, sink)
+
+    return _start(outcomes, sink, checkpoint, trigger, batch_fn=write_batch)
