@@ -46,9 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder would not survive the loss of that machine.
     """
     sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     configured = sc.getConf().get("spark.checkpoint.dir", None) or \
         spark.conf.get("spark.checkpoint.dir", None)
     if configured:
