@@ -43,6 +43,9 @@ def ranged(df: DataFrame, keys: Sequence[str | Column], num_partitions: int | No
     ``spark.checkpoint.dir``) and both readers use that copy; it also cuts lineage,
     so a lost executor never re-samples.
     """
+    from haulage.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     order = _order_cols(keys)
     n = _num_partitions(df, num_partitions)
     tagged = (df.repartitionByRange(n, *order)

@@ -22,7 +22,7 @@ from haulage.plans.export import run_export, scratch_folder
 from haulage.plans.sql_sweep import SWEEP, SWEEP_TABLES
 from haulage.sinks import archive as Z
 from haulage.sinks import writers as E
-from haulage.sources.load import load, run_script, run_sql
+from haulage.sources.load import load, retype_via_text, run_script, run_sql
 from haulage.specs import ColumnSpec as S
 from haulage.specs import ExportSpec, Source
 
@@ -90,6 +90,14 @@ def a7_script(spark, sf_dir):
                       tables_in(script, sf_dir))
 
 
+@register("a8_retype_via_text", """
+    SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey,
+           c_acctbal, c_mktsegment FROM customer""")
+def a8_retype_via_text(spark, sf_dir):
+    """Through CSV and back with types inferred over all rows (keys fit in INT)."""
+    return retype_via_text(table(spark, sf_dir, "customer"), scratch_folder(spark, "a8"))
+
+
 # ------------------------------------------------------------------ B: columns
 
 @register("b1_rename", """
@@ -216,6 +224,13 @@ def c2_preview(spark, sf_dir):
     return P.preview(docs, ["doc_id"])
 
 
+@register("c4_shape", "SELECT COUNT(*) AS n_rows, 5 AS n_columns FROM documents")
+def c4_shape(spark, sf_dir):
+    """C4: rows counted in one aggregation; columns from the schema."""
+    docs = table(spark, sf_dir, "documents")
+    return P.total_rows(docs).withColumn("n_columns", F.lit(len(docs.columns)))
+
+
 @register("c3_total", "SELECT COUNT(*) AS n_rows FROM documents")
 def c3_total(spark, sf_dir):
     return P.total_rows(table(spark, sf_dir, "documents"))
