@@ -17,6 +17,8 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulage.operators.sizing import fits_broadcast
+
 MASK = "*****"  # fixed value: text that replaces a secret
 
 # Change batches with at most this many distinct keys are broadcast against the base,
@@ -102,7 +104,8 @@ def upsert(base: DataFrame | None, changes: DataFrame, keys: Sequence[str], seq:
     ``strategy``: ``"broadcast"`` reduces the batch per key and broadcasts it
     against the base (no shuffle of the base); ``"aggregate"`` unions both and
     groups by key (shuffles both); ``"auto"`` counts the batch's keys once and
-    broadcasts while they stay within ``max_broadcast_keys``.
+    broadcasts while they stay within ``max_broadcast_keys`` rows and the
+    session's broadcast size (rows x estimated width).
     """
     keys = list(keys)
     _check_keys(changes, keys, seq)
@@ -111,7 +114,7 @@ def upsert(base: DataFrame | None, changes: DataFrame, keys: Sequence[str], seq:
     changes = _guard_null_keys(changes, keys, null_key)
     if base is not None and strategy != "aggregate":
         reduced = _reduce_changes(changes, keys, seq)
-        if strategy == "broadcast" or reduced.count() <= max_broadcast_keys:
+        if strategy == "broadcast" or fits_broadcast(reduced, max_rows=max_broadcast_keys)[0]:
             out = _upsert_broadcast(base, reduced, keys, seq, changes.columns)
             return out.select(*keys, *[c for c in changes.columns if c not in keys], "first_seq")
     g = _grouped(base, changes, keys, seq)
@@ -136,7 +139,8 @@ def upsert_counts(base: DataFrame | None, changes: DataFrame, keys: Sequence[str
     if base is None:
         new_keys = batch_keys
     else:
-        probe = F.broadcast(batch_keys) if batch_keys.count() <= max_broadcast_keys else batch_keys
+        small = fits_broadcast(batch_keys, max_rows=max_broadcast_keys)[0]
+        probe = F.broadcast(batch_keys) if small else batch_keys
         matched = base.select(*keys).join(probe, keys, "left_semi").distinct()
         new_keys = batch_keys.join(matched, keys, "left_anti")
     parts = changes.select(F.lit(0).alias("_added"), F.when(null, 0).otherwise(1).alias("_n"),

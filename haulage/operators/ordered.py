@@ -21,13 +21,6 @@ from pyspark.sql import functions as F
 _POS_MASK = (1 << 33) - 1  # monotonically_increasing_id = partition << 33 | position
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(conf, 1)
-
-
 def _order_cols(keys: Sequence[str | Column]) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
@@ -42,13 +35,17 @@ def ranged(df: DataFrame, keys: Sequence[str | Column], num_partitions: int | No
     differently. The tagged rows are therefore checkpointed once (reliable storage,
     ``spark.checkpoint.dir``) and both readers use that copy; it also cuts lineage,
     so a lost executor never re-samples.
+
+    Without ``num_partitions`` adaptive execution sizes the range partitions from
+    the data (coalescing merges adjacent key ranges, so the order holds); the
+    offsets table has at most one row per partition either way.
     """
     from haulage.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
     order = _order_cols(keys)
-    n = _num_partitions(df, num_partitions)
-    tagged = (df.repartitionByRange(n, *order)
+    parts = df.repartitionByRange(int(num_partitions), *order) if num_partitions else df.repartitionByRange(*order)
+    tagged = (parts
                 .sortWithinPartitions(*order)
                 .withColumn(pid, F.spark_partition_id())
                 .withColumn(pos, F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))

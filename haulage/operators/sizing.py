@@ -1,0 +1,52 @@
+"""Size checks before a broadcast: rows counted once, width estimated from the schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, ByteType, DataType, DateType,
+                               MapType, ShortType, StringType, StructType)
+
+DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+_TEXT_BYTES = 64          # assumed mean size of a string / binary value
+_COLLECTION_ITEMS = 8     # assumed mean length of an array / map
+
+
+def estimated_row_bytes(dtype: DataType) -> int:
+    """A generous per-row size estimate of a type (fixed widths exact, text assumed)."""
+    if isinstance(dtype, StructType):
+        return 8 + sum(estimated_row_bytes(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, ArrayType):
+        return 16 + _COLLECTION_ITEMS * estimated_row_bytes(dtype.elementType)
+    if isinstance(dtype, MapType):
+        return 16 + _COLLECTION_ITEMS * (estimated_row_bytes(dtype.keyType) + estimated_row_bytes(dtype.valueType))
+    if isinstance(dtype, (StringType, BinaryType)):
+        return _TEXT_BYTES
+    if isinstance(dtype, (BooleanType, ByteType)):
+        return 1
+    if isinstance(dtype, (ShortType,)):
+        return 2
+    if isinstance(dtype, DateType):
+        return 4
+    return 8
+
+
+def max_broadcast_bytes(df: DataFrame) -> int:
+    """The session's broadcast threshold when set to a positive size, else 64 MiB."""
+    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", None)
+    try:
+        text = (raw or "").strip().lower()
+        units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+        value = int(text[:-2]) * units[text[-2]] if text.endswith("b") and text[-2:-1] in units else \
+            int(text[:-1]) * units[text[-1]] if text and text[-1] in units else int(text)
+        return value if value > 0 else DEFAULT_MAX_BROADCAST_BYTES
+    except (ValueError, KeyError, IndexError):
+        return DEFAULT_MAX_BROADCAST_BYTES
+
+
+def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None,
+                   rows: int | None = None) -> tuple[bool, int]:
+    """(whether ``df`` may be broadcast, its row count). Counts the rows unless given."""
+    n = df.count() if rows is None else rows
+    limit = max_bytes if max_bytes is not None else max_broadcast_bytes(df)
+    ok = n * estimated_row_bytes(df.schema) <= limit and (max_rows is None or n <= max_rows)
+    return ok, n

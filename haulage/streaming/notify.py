@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.operators.ordered import lag_by_key
+from haulage.operators.sizing import fits_broadcast
 
 # The three notification texts and their lifecycle order.
 MESSAGE_FORMATS = {
@@ -75,11 +76,12 @@ def fan_out(msgs: DataFrame, subscribers: DataFrame, sub_col: str = "subscriber"
 
     Subscriber columns ride along (``sub_col`` is renamed ``subscriber``).
     ``subscriber_rows`` may pass a known count; otherwise the subscriber table is
-    counted once (it is the small side) to choose the strategy.
+    counted once (it is the small side). It is broadcast while within
+    ``max_broadcast`` rows and the session's broadcast size.
     """
     subs = subscribers.withColumnRenamed(sub_col, "subscriber") if sub_col != "subscriber" else subscribers
-    n = subscriber_rows if subscriber_rows is not None else subs.count()
-    if n <= max_broadcast:
+    small, _ = fits_broadcast(subs, max_rows=max_broadcast, rows=subscriber_rows)
+    if small:
         return (msgs.withColumn("_ch", F.lit(0))
                     .join(F.broadcast(subs.withColumn("_ch", F.lit(0))), "_ch").drop("_ch"))
     salted = msgs.withColumn("_salt", F.pmod(F.xxhash64(*msgs.columns), F.lit(salt_buckets)))

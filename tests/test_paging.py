@@ -66,3 +66,16 @@ def test_preview_and_counts(spark, small):
     out.write.format("noop").mode("overwrite").save()
     assert obs.get["n_rows"] == total
     assert P.shape(docs) == (total, len(docs.columns))
+
+
+def test_numbering_survives_adaptive_coalescing(spark, small):
+    """Many tiny range partitions merged by AQE at run time must keep the global order."""
+    li = spark.read.parquet(f"{small}/lineitem.parquet")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        ours = with_row_number(li, li.columns, "rn")
+        ref = li.withColumn("rn", (F.row_number().over(Window.orderBy(*li.columns)) - 1).cast("bigint"))
+        assert ours.exceptAll(ref).count() == 0 and ref.exceptAll(ours).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

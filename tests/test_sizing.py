@@ -1,0 +1,17 @@
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from haulage.operators.sizing import estimated_row_bytes, fits_broadcast
+
+
+def test_row_width_estimate():
+    schema = StructType([StructField("k", LongType()), StructField("s", StringType()),
+                         StructField("a", ArrayType(LongType()))])
+    assert estimated_row_bytes(schema) == 8 + 8 + 64 + (16 + 8 * 8)
+
+
+def test_fits_broadcast(spark):
+    df = spark.range(1000)
+    assert fits_broadcast(df) == (True, 1000)
+    assert fits_broadcast(df, max_rows=10)[0] is False
+    assert fits_broadcast(df, max_bytes=100)[0] is False
+    assert fits_broadcast(df, rows=5) == (True, 5)
