@@ -632,6 +632,22 @@ def g7_stream_drop_failed(spark, sf_dir):
     return _stream_deliveries(spark, sf_dir, "g7", subs, failures=_nation_failures(spark, sf_dir))
 
 
+@register("g8_stream_message_order", None)
+def g8_stream_message_order(spark, sf_dir):
+    """G5 as a stateful stream (event-time order per task)."""
+    work = scratch_folder(spark, "g8")
+    schema = table(spark, sf_dir, "events").schema
+    q = J.message_order_stream(spark, _stream_path(sf_dir, "events"), schema, f"{work}/sink",
+                               f"{work}/checkpoint")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{work}/sink")
+    stages = _messages(spark, sf_dir).select("seq", "stage")
+    return out.join(stages, "seq").select("task_id", "seq", "stage", "in_order")
+
+
+ORACLE["g8_stream_message_order"] = ORACLE["g5_message_order"]
+
+
 # ------------------------------------------------------------------ H: SQL text sweep
 
 def _sweep_query(sql: str):

@@ -93,71 +93,108 @@ def read_status_table(spark: SparkSession, sink: str) -> DataFrame:
     return (log.groupBy("task_id").agg(F.max_by("status", "batch_id").alias("status")))
 
 
-CANCEL_OUTPUT = "task_id long, seq long, ts timestamp, outcome string"
-CANCEL_STATE = "last_kind string, known boolean, pending string"
+def _replay_in_event_order(step, out_fields: list[str]):
+    """Build an ``applyInPandasWithState`` function that replays each key's events in
+    ``(ts, seq)`` order once the watermark has passed them.
+
+    ``step(carry, kind) -> (carry, value or None)`` folds one event; a non-None value
+    becomes an output row (key, seq, ts, value). State: the carry and the events not
+    yet behind the watermark (JSON); an event-time timeout replays them when the
+    watermark moves on without new data for the key.
+    """
+    def replay(key, frames, state):
+        import json
 
+        import pandas as pd
 
-def _cancel_outcomes_in_order(key, frames, state):
-    """Per task: buffer events until the watermark passes them, then replay in (ts, seq) order.
+        if state.exists:
+            carry_json, pending_json = state.get
+            carry, pending = json.loads(carry_json), json.loads(pending_json)
+        else:
+            carry, pending = None, []
+        for pdf in frames:
+            ts_us = (pdf["ts"].astype("int64") // 1_000).tolist()   # ns -> us, exact for Spark times
+            pending.extend(zip(ts_us, pdf["seq"].tolist(), pdf["kind"].tolist()))
+        # The watermark has millisecond resolution: an event counts as passed once its
+        # millisecond is not after the watermark.
+        watermark_ms = state.getCurrentWatermarkMs()
+        pending.sort(key=lambda e: (e[0], e[1]))
+        ready = [e for e in pending if e[0] // 1_000 <= watermark_ms]
+        rest = [e for e in pending if e[0] // 1_000 > watermark_ms]
+        rows = []
+        for ts_us, seq, kind in ready:
+            carry, value = step(carry, kind)
+            if value is not None:
+                rows.append((key[0], seq, ts_us, value))
+        state.update((json.dumps(carry), json.dumps(rest)))
+        if rest:
+            state.setTimeoutTimestamp(min(e[0] for e in rest) // 1_000 + 1)
+        out = pd.DataFrame(rows, columns=["key", "seq", "ts_us", "value"])
+        out["ts"] = pd.to_datetime(out["ts_us"], unit="us", utc=True)
+        out = out.rename(columns={"key": out_fields[0], "value": out_fields[1]})
+        yield out[[out_fields[0], "seq", "ts", out_fields[1]]]
+
+    return replay
+
+
+def _cancel_step(carry, kind):
+    """F2 fold: carry = [kind of the previous event, whether the task is known]."""
+    last_kind, known = carry or [None, False]
+    value = None
+    if kind == "cancel":
+        value = "not_found" if not known else ("accepted" if last_kind == "start" else "rejected")
+    else:
+        known = True
+    return [kind, known], value
 
-    State: kind of the last replayed event, whether any non-cancel was replayed,
-    and the buffered events (JSON). Emits one row per replayed cancel.
-    """
-    import json
 
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState  # noqa: F401  (type of ``state``)
+def _order_step(carry, stage):
+    """G5 fold: carry = previous stage; value = whether this stage follows it."""
+    from haulage.streaming.notify import PREVIOUS_STAGE
+    ok = (carry is None and stage == "processing") or carry == PREVIOUS_STAGE[stage]
+    return stage, bool(ok)
 
-    if state.exists:
-        last_kind, known, pending_json = state.get
-        pending = json.loads(pending_json)
-    else:
-        last_kind, known, pending = None, False, []
-    for pdf in frames:
-        ts_us = (pdf["ts"].astype("int64") // 1_000).tolist()   # ns -> us, exact for Spark times
-        pending.extend(zip(ts_us, pdf["seq"].tolist(), pdf["kind"].tolist()))
-    # The watermark has millisecond resolution: an event counts as passed once its
-    # millisecond is not after the watermark.
-    watermark_ms = state.getCurrentWatermarkMs()
-    pending.sort(key=lambda e: (e[0], e[1]))
-    ready = [e for e in pending if e[0] // 1_000 <= watermark_ms]
-    rest = [e for e in pending if e[0] // 1_000 > watermark_ms]
-    rows = []
-    for ts_us, seq, kind in ready:
-        if kind == "cancel":
-            outcome = "not_found" if not known else ("accepted" if last_kind == "start" else "rejected")
-            rows.append((key[0], seq, ts_us, outcome))
-        else:
-            known = True
-        last_kind = kind
-    state.update((last_kind, known, json.dumps(rest)))
-    if rest:
-        state.setTimeoutTimestamp(min(e[0] for e in rest) // 1_000 + 1)
-    out = pd.DataFrame(rows, columns=["task_id", "seq", "ts_us", "outcome"])
-    out["ts"] = pd.to_datetime(out["ts_us"], unit="us", utc=True)
-    yield out[["task_id", "seq", "ts", "outcome"]]
 
+_STATE = "carry string, pending string"
 
-def cancel_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
-                  checkpoint: str, delay: str = "0 seconds", trigger: str = "availableNow") -> StreamingQuery:
-    """F2 over a stream, in event-time order (custom stateful operator).
 
-    Events wait in per-task state until the watermark (max event time - ``delay``)
-    passes them, so events up to ``delay`` late are still put in order; each cancel
-    is then judged against the task's previous event. An event later than that is
-    judged in arrival order. State per task is small: two fields plus the events not
-    yet behind the watermark; an event-time timeout replays them when the watermark
-    moves without new data for the task.
-    """
+def _ordered_stream(spark: SparkSession, frame: DataFrame, step, key: str, value: str,
+                    value_type: str, sink: str, checkpoint: str, delay: str, trigger: str) -> StreamingQuery:
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     from haulage.session import ship_package
     ship_package(spark)
-    ev = task_events(event_stream(spark, events_path, schema)).withWatermark("ts", delay)
-    outcomes = ev.groupBy("task_id").applyInPandasWithState(
-        _cancel_outcomes_in_order, CANCEL_OUTPUT, CANCEL_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    out_schema = f"{key} long, seq long, ts timestamp, {value} {value_type}"
+    result = frame.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(
+        _replay_in_event_order(step, [key, value]), out_schema, _STATE, "append",
+        GroupStateTimeout.EventTimeTimeout)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         write_batch_partition(batch, batch_id, sink)
 
-    return _start(outcomes, sink, checkpoint, trigger, batch_fn=write_batch)
+    return _start(result, sink, checkpoint, trigger, batch_fn=write_batch)
+
+
+def cancel_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
+                  checkpoint: str, delay: str = "0 seconds", trigger: str = "availableNow") -> StreamingQuery:
+    """F2 over a stream, in event-time order (custom stateful operator).
+
+    Events wait in per-task state until the watermark (max event time - ``delay``)
+    passes them, so events up to ``delay`` late are still put in order; each cancel
+    is then judged against the task's previous event. An event later than that is
+    judged in arrival order. State per task is small: the fold's carry plus the
+    events not yet behind the watermark.
+    """
+    ev = task_events(event_stream(spark, events_path, schema))
+    return _ordered_stream(spark, ev, _cancel_step, "task_id", "outcome", "string",
+                           sink, checkpoint, delay, trigger)
+
+
+def message_order_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
+                         checkpoint: str, delay: str = "0 seconds",
+                         trigger: str = "availableNow") -> StreamingQuery:
+    """G5 over a stream: each download message with ``in_order`` (event-time order per task)."""
+    msgs = messages(event_stream(spark, events_path, schema)).select(
+        "task_id", F.col("stage").alias("kind"), "ts", "seq")
+    return _ordered_stream(spark, msgs, _order_step, "task_id", "in_order", "boolean",
+                           sink, checkpoint, delay, trigger)
