@@ -7,8 +7,8 @@ partition, and numbered there; a tiny per-partition count table (one row per
 partition, a proven size bound) gives each partition its starting offset and is
 broadcast back.
 
-The keys must order the rows totally (add tie-breakers, or use all columns): then
-every recomputation after a lost executor produces the same numbers.
+The keys must order the rows totally (add tie-breakers, or use all columns), else
+rows that tie are numbered in an arbitrary order.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def lag_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: S
     keys, order, cols = list(keys), list(order), list(cols)
     tagged, _ = ranged(df, keys + order, num_partitions)
     within = Window.partitionBy("_pid").orderBy("_pos")
-    carried = keys + cols
+    carried = keys + [c for c in cols if c not in keys]
     lagged = tagged.select(
         "*", *[F.lag(c).over(within).alias(f"_l_{c}") for c in carried],
         F.lag("_pos").over(within).isNull().alias("_first"))
