@@ -291,14 +291,16 @@ class XlsxWriter(_StagedWriter):
         for i, letter in enumerate(self.letters):
             col = batch.column(i)
             ref = pc.binary_join_element_wise(pa.scalar(f'<c r="{letter}'), row_no, pa.scalar('"'), "")
+            text = pc.cast(col, pa.string())
+            as_text = pc.binary_join_element_wise(
+                ref, pa.scalar(' t="inlineStr"><is><t xml:space="preserve">'),
+                text if self.numeric[i] else _xml_text(text), pa.scalar("</t></is></c>"), "")
             if self.numeric[i]:
-                text = pc.cast(col, pa.string())
                 cell = pc.binary_join_element_wise(ref, pa.scalar("><v>"), text, pa.scalar("</v></c>"), "")
+                if pa.types.is_floating(col.type):   # NaN / infinity are no numbers in a sheet
+                    cell = pc.if_else(pc.fill_null(pc.is_finite(col), True), cell, as_text)
             else:
-                text = _xml_text(pc.cast(col, pa.string()))
-                cell = pc.binary_join_element_wise(
-                    ref, pa.scalar(' t="inlineStr"><is><t xml:space="preserve">'), text,
-                    pa.scalar("</t></is></c>"), "")
+                cell = as_text
             cells.append(pc.fill_null(cell, ""))
         rows = pc.binary_join_element_wise(pa.scalar('<row r="'), row_no, pa.scalar('">'), *cells,
                                            pa.scalar("</row>"), "")

@@ -106,3 +106,10 @@ def test_task_path():
     assert E.task_path("/r/", "t1") == "/r/t1"
     with pytest.raises(ValueError):
         E.task_path("/r", "../x")
+
+
+def test_xlsx_non_finite_numbers_become_text(spark, scratch):
+    df = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 2.5), (4, None)], "i long, d double")
+    path = Z.write_xlsx(df, scratch + "/nan")
+    got = {r.i: r.d for r in Z.read_xlsx(spark, path).collect()}
+    assert got == {"1": "nan", "2": "inf", "3": "2.5", "4": None}
