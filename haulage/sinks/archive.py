@@ -246,6 +246,11 @@ def _xml_text(arr: pa.Array) -> pa.Array:
     return arr
 
 
+def _inline(ref: pa.Array, text: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(ref, pa.scalar(' t="inlineStr"><is><t xml:space="preserve">'), text,
+                                       pa.scalar("</t></is></c>"), "")
+
+
 class _XlsxOut:
     def __init__(self, stream, names: list[str], level: int):
         self.stream = stream
@@ -292,15 +297,14 @@ class XlsxWriter(_StagedWriter):
             col = batch.column(i)
             ref = pc.binary_join_element_wise(pa.scalar(f'<c r="{letter}'), row_no, pa.scalar('"'), "")
             text = pc.cast(col, pa.string())
-            as_text = pc.binary_join_element_wise(
-                ref, pa.scalar(' t="inlineStr"><is><t xml:space="preserve">'),
-                text if self.numeric[i] else _xml_text(text), pa.scalar("</t></is></c>"), "")
             if self.numeric[i]:
                 cell = pc.binary_join_element_wise(ref, pa.scalar("><v>"), text, pa.scalar("</v></c>"), "")
                 if pa.types.is_floating(col.type):   # NaN / infinity are no numbers in a sheet
-                    cell = pc.if_else(pc.fill_null(pc.is_finite(col), True), cell, as_text)
+                    finite = pc.fill_null(pc.is_finite(col), True)
+                    if not pc.all(finite).as_py():
+                        cell = pc.if_else(finite, cell, _inline(ref, text))
             else:
-                cell = as_text
+                cell = _inline(ref, _xml_text(text))
             cells.append(pc.fill_null(cell, ""))
         rows = pc.binary_join_element_wise(pa.scalar('<row r="'), row_no, pa.scalar('">'), *cells,
                                            pa.scalar("</row>"), "")
