@@ -1 +1 @@
-"""functions of haulage."""
+"""Column helpers (SURVEY section I)."""

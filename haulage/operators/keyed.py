@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from haulage.operators.sizing import fits_broadcast
 
-MASK = "*****"  # fixed value: text that replaces a secret
+from haulage.functions.scalars import MASK, masked
 
 # Change batches with at most this many distinct keys are broadcast against the base,
 # so the base is scanned but never shuffled; larger batches take the union + aggregate path.
@@ -177,9 +177,7 @@ def clear(df: DataFrame, kind: str | None = None, kind_col: str = "kind") -> Dat
 
 def mask_value(df: DataFrame, text_col: str, secret_col: str, out: str | None = None) -> DataFrame:
     """Every occurrence of the secret in the text becomes ``*****``; empty secret: no change."""
-    text, secret = F.col(text_col), F.col(secret_col)
-    masked = F.when(secret != F.lit(""), F.replace(text, secret, F.lit(MASK))).otherwise(text)
-    return df.withColumn(out or text_col, masked)
+    return df.withColumn(out or text_col, masked(text_col, secret_col))
 
 
 def mask_text(text: str, secret: str | None) -> str:

@@ -12,6 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulage.functions import scalars as I
 from haulage.operators import columns as B
 from haulage.operators import keyed as D
 from haulage.operators import paging as P
@@ -648,6 +649,27 @@ def g8_stream_message_order(spark, sf_dir):
 ORACLE["g8_stream_message_order"] = ORACLE["g5_message_order"]
 
 
+# ------------------------------------------------------------------ I: scalar helpers
+
+@register("i1_scalar_helpers", """
+    SELECT page_id,
+           rtrim(rtrim(trim(url), ';')) AS cleaned,
+           ltrim(CASE WHEN instr(url, '?') > 0 THEN substr(url, instr(url, '?')) ELSE '' END, '?&') AS params,
+           left(url, 12) AS head12,
+           greatest(10, least(page_id, 40)) AS clamped,
+           CASE WHEN regexp_extract(url, '//([a-z]+)', 1) <> ''
+                THEN replace(url, regexp_extract(url, '//([a-z]+)', 1), '*****') ELSE url END AS masked_host
+    FROM pages""")
+def i1_scalar_helpers(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    host_word = F.regexp_extract("url", "//([a-z]+)", 1)
+    query = F.when(F.instr("url", "?") > 0, F.expr("substr(url, instr(url, '?'))")).otherwise(F.lit(""))
+    return pages.select(
+        "page_id", I.clean_sql("url").alias("cleaned"), I.strip_prefix_chars(query).alias("params"),
+        I.head("url", 12).alias("head12"), I.clamp("page_id", 10, 40).alias("clamped"),
+        I.masked(F.col("url"), host_word).alias("masked_host"))
+
+
 # ------------------------------------------------------------------ H: SQL text sweep
 
 def _sweep_query(sql: str):

@@ -10,20 +10,13 @@ from __future__ import annotations
 import posixpath
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
+from haulage.functions.scalars import DEFAULT_MEDIA_TYPE, MEDIA_TYPES, file_suffix, media_type  # noqa: F401
 from haulage.operators.columns import _quote, check_unique_names
 
-# Output format names and their media types.
-MEDIA_TYPES = {
-    "csv": "text/csv",
-    "json": "application/json",
-    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    "zip": "application/zip",
-}
-DEFAULT_MEDIA_TYPE = "application/octet-stream"
 FORMATS = ("csv", "json", "xlsx", "zip", "parquet")
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -126,21 +119,6 @@ def records(df: DataFrame) -> DataFrame:
                      .alias("record"))
 
 
-def file_suffix(path: Column) -> Column:
-    """Text after the last dot of the file name, lower-cased ('' when there is none)."""
-    name = F.substring_index(path, "/", -1)
-    return F.when(F.instr(name, ".") > 0, F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
-
-
-def media_type(path: Column) -> Column:
-    """Media type from the file suffix; anything else is octet-stream."""
-    suffix = file_suffix(path)
-    expr = F.lit(DEFAULT_MEDIA_TYPE)
-    for ext, mt in reversed(list(MEDIA_TYPES.items())):
-        expr = F.when(suffix == F.lit(ext), F.lit(mt)).otherwise(expr)
-    return expr
-
-
 def task_path(root: str, task_id: str) -> str:
     """Output folder of one task."""
     if not task_id or "/" in task_id or task_id in (".", ".."):
