@@ -176,25 +176,28 @@ def _ordered_stream(spark: SparkSession, frame: DataFrame, step, key: str, value
 
 
 def cancel_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
-                  checkpoint: str, delay: str = "0 seconds", trigger: str = "availableNow") -> StreamingQuery:
+                  checkpoint: str, delay: str = "0 seconds", trigger: str = "availableNow",
+                  max_files_per_trigger: int | None = None) -> StreamingQuery:
     """F2 over a stream, in event-time order (custom stateful operator).
 
     Events wait in per-task state until the watermark (max event time - ``delay``)
     passes them, so events up to ``delay`` late are still put in order; each cancel
     is then judged against the task's previous event. An event later than that is
     judged in arrival order. State per task is small: the fold's carry plus the
-    events not yet behind the watermark.
+    events not yet behind the watermark. One task's events of one micro-batch meet
+    in one group, so ``max_files_per_trigger`` bounds that work for a hot task.
     """
-    ev = task_events(event_stream(spark, events_path, schema))
+    ev = task_events(event_stream(spark, events_path, schema, max_files_per_trigger=max_files_per_trigger))
     return _ordered_stream(spark, ev, _cancel_step, "task_id", "outcome", "string",
                            sink, checkpoint, delay, trigger)
 
 
 def message_order_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
-                         checkpoint: str, delay: str = "0 seconds",
-                         trigger: str = "availableNow") -> StreamingQuery:
+                         checkpoint: str, delay: str = "0 seconds", trigger: str = "availableNow",
+                         max_files_per_trigger: int | None = None) -> StreamingQuery:
     """G5 over a stream: each download message with ``in_order`` (event-time order per task)."""
-    msgs = messages(event_stream(spark, events_path, schema)).select(
+    stream = event_stream(spark, events_path, schema, max_files_per_trigger=max_files_per_trigger)
+    msgs = messages(stream).select(
         "task_id", F.col("stage").alias("kind"), "ts", "seq")
     return _ordered_stream(spark, msgs, _order_step, "task_id", "in_order", "boolean",
                            sink, checkpoint, delay, trigger)
