@@ -670,6 +670,19 @@ def i1_scalar_helpers(spark, sf_dir):
         I.masked(F.col("url"), host_word).alias("masked_host"))
 
 
+@register("g9_stream_subscriptions", None)
+def g9_stream_subscriptions(spark, sf_dir):
+    """G4 as a stream (update-mode aggregation written as an upsert log)."""
+    work = scratch_folder(spark, "g9")
+    schema = table(spark, sf_dir, "events").schema
+    q = J.subscription_stream(spark, _stream_path(sf_dir, "events"), schema, f"{work}/sink", f"{work}/checkpoint")
+    q.awaitTermination()
+    return J.read_active_subscribers(spark, f"{work}/sink")
+
+
+ORACLE["g9_stream_subscriptions"] = ORACLE["g4_subscriptions"]
+
+
 # ------------------------------------------------------------------ H: SQL text sweep
 
 def _sweep_query(sql: str):

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from haulage.operators.tasks import latest_status, task_events
-from haulage.streaming.notify import drop_failed, fan_out, messages, with_failures
+from haulage.streaming.notify import drop_failed, fan_out, messages, subscription_states, with_failures
 
 WATERMARK = "1 hour"
 
@@ -71,6 +71,24 @@ def notification_stream(spark: SparkSession, events_path: str, schema: StructTyp
     return _start(msgs, sink, checkpoint, trigger, batch_fn=write_batch)
 
 
+def upsert_log_stream(states: DataFrame, sink: str, checkpoint: str,
+                      trigger: str = "availableNow") -> StreamingQuery:
+    """Run a streaming aggregation in update mode; each micro-batch appends the changed
+    keys as its own ``batch_id`` partition (an upsert log, idempotent per batch)."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        write_batch_partition(batch, batch_id, sink)
+
+    return _start(states, sink, checkpoint, trigger, mode="update", batch_fn=write_batch)
+
+
+def read_latest(spark: SparkSession, sink: str, key: str) -> DataFrame:
+    """Current row per key of an upsert log (the row of the latest batch)."""
+    log = spark.read.parquet(sink)
+    values = [c for c in log.columns if c not in (key, "batch_id")]
+    return (log.groupBy(key).agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("_v"))
+               .select(key, "_v.*"))
+
+
 def status_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
                   checkpoint: str, trigger: str = "availableNow") -> StreamingQuery:
     """F1 as a streaming aggregation in update mode.
@@ -79,18 +97,31 @@ def status_stream(spark: SparkSession, events_path: str, schema: StructType, sin
     id; :func:`read_status_table` keeps the last row per task (an upsert log).
     """
     ev = task_events(event_stream(spark, events_path, schema))
-    states = latest_status(ev)
+    return upsert_log_stream(latest_status(ev), sink, checkpoint, trigger)
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        write_batch_partition(batch, batch_id, sink)
 
-    return _start(states, sink, checkpoint, trigger, mode="update", batch_fn=write_batch)
+def subscription_stream(spark: SparkSession, actions_path: str, schema: StructType, sink: str,
+                        checkpoint: str, sub_col: str = "user_id", action_col: str = "event_type",
+                        seq_col: str = "event_id", trigger: str = "availableNow") -> StreamingQuery:
+    """G4 as a stream: the latest subscribe / unsubscribe per subscriber, as an upsert log.
+
+    The log keeps unsubscribed rows too, so that a later unsubscribe replaces an
+    earlier subscribe; :func:`read_active_subscribers` filters when reading.
+    """
+    actions = event_stream(spark, actions_path, schema)
+    return upsert_log_stream(subscription_states(actions, sub_col, action_col, seq_col), sink, checkpoint,
+                             trigger)
+
+
+def read_active_subscribers(spark: SparkSession, sink: str) -> DataFrame:
+    """Subscribers whose latest action in the log is a subscribe."""
+    latest = read_latest(spark, sink, "subscriber")
+    return latest.filter(F.col("last_action") == F.lit("subscribe")).select("subscriber", "since")
 
 
 def read_status_table(spark: SparkSession, sink: str) -> DataFrame:
     """Current state per task from the upsert log written by :func:`status_stream`."""
-    log = spark.read.parquet(sink)
-    return (log.groupBy("task_id").agg(F.max_by("status", "batch_id").alias("status")))
+    return read_latest(spark, sink, "task_id")
 
 
 def _replay_in_event_order(step, out_fields: list[str]):

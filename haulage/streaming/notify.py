@@ -58,15 +58,21 @@ def messages(events: DataFrame, stages: Mapping[str, str] = DOWNLOAD_STAGES, tas
                   .withColumn("message", text))
 
 
+def subscription_states(actions: DataFrame, sub_col: str, action_col: str, seq_col: str,
+                        mapping: Mapping[str, str] = SUBSCRIPTION_ACTIONS) -> DataFrame:
+    """Per subscriber: the latest action and the seq of its latest action (max_by, map-side)."""
+    act = _mapped(F.col(action_col), mapping)
+    return (actions.filter(F.col(action_col).isin(*mapping))
+                   .groupBy(F.col(sub_col).alias("subscriber"))
+                   .agg(F.max_by(act, F.col(seq_col)).alias("last_action"),
+                        F.max(F.col(seq_col)).alias("since")))
+
+
 def active_subscribers(actions: DataFrame, sub_col: str, action_col: str, seq_col: str,
                        mapping: Mapping[str, str] = SUBSCRIPTION_ACTIONS) -> DataFrame:
-    """Subscribers whose latest action is a subscribe (max_by, combined map-side)."""
-    act = _mapped(F.col(action_col), mapping)
-    latest = (actions.filter(F.col(action_col).isin(*mapping))
-                     .groupBy(F.col(sub_col).alias("subscriber"))
-                     .agg(F.max_by(act, F.col(seq_col)).alias("_last"),
-                          F.max(F.col(seq_col)).alias("since")))
-    return latest.filter(F.col("_last") == F.lit("subscribe")).select("subscriber", "since")
+    """Subscribers whose latest action is a subscribe."""
+    latest = subscription_states(actions, sub_col, action_col, seq_col, mapping)
+    return latest.filter(F.col("last_action") == F.lit("subscribe")).select("subscriber", "since")
 
 
 def fan_out(msgs: DataFrame, subscribers: DataFrame, sub_col: str = "subscriber",

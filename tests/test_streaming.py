@@ -61,3 +61,15 @@ def test_cancel_stream_orders_late_events(spark, small, scratch):
     got = got.filter(F.col("ts") < F.lit(watermark))
     assert got.filter((F.col("ts") >= d["17"]) & (F.col("ts") < d["18"])).count() > 0
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_subscription_stream_equals_batch_across_restarts(spark, small, scratch):
+    src = scratch + "/events"
+    ev = _split_events(spark, small, src, [(0, 500)])
+    sink, ck = scratch + "/sink", scratch + "/ck"
+    J.subscription_stream(spark, src, ev.schema, sink, ck).awaitTermination()
+    _split_events(spark, small, src, [(500, 10 ** 9)])
+    J.subscription_stream(spark, src, ev.schema, sink, ck).awaitTermination()
+    got = J.read_active_subscribers(spark, sink)
+    want = G.active_subscribers(ev, "user_id", "event_type", "event_id")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
