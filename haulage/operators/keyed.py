@@ -112,6 +112,8 @@ def upsert(base: DataFrame | None, changes: DataFrame, keys: Sequence[str], seq:
     if strategy not in ("auto", "broadcast", "aggregate"):
         raise ValueError("strategy must be auto, broadcast or aggregate")
     changes = _guard_null_keys(changes, keys, null_key)
+    if base is not None and sorted(c for c in base.columns if c != "first_seq") != sorted(changes.columns):
+        raise ValueError(f"base {base.columns} and changes {changes.columns} differ")
     if base is not None and strategy != "aggregate":
         reduced = _reduce_changes(changes, keys, seq)
         if strategy == "broadcast" or fits_broadcast(reduced, max_rows=max_broadcast_keys)[0]:

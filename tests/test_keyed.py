@@ -71,3 +71,11 @@ def test_masking(spark, text, secret, expected):
     df = spark.createDataFrame([(text, secret)], "t string, s string")
     assert D.mask_value(df, "t", "s").first().t == expected
     assert D.mask_text(text, secret) == expected
+
+
+def test_upsert_rejects_mismatched_columns(spark):
+    base = spark.createDataFrame([("a", 1, 0, "x")], "name string, v int, seq long, extra string")
+    changes = spark.createDataFrame([("a", 2, 1)], SCHEMA)
+    for strategy in ("broadcast", "aggregate"):
+        with pytest.raises(ValueError, match="differ"):
+            D.upsert(base, changes, ["name"], "seq", strategy=strategy)
