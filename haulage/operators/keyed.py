@@ -1,9 +1,12 @@
 """Keyed tables: upsert change batches into a base table, list, clear, mask.
 
-A list that is scanned per item becomes one aggregation: base and changes are
-unioned and grouped by key; ``max_by`` over ``(origin, seq)`` picks the winner.
-``max_by`` / ``min_by`` / ``count`` aggregate partially on the map side, so a key
-that holds a third of all rows is combined inside each task before the shuffle.
+A list that is scanned per item becomes set operations. A change batch is reduced
+per key (``max_by`` over ``seq``); while it is small (checked) it is broadcast
+against the base, which is then scanned but never shuffled. Larger batches are
+unioned with the base and grouped by key, ``max_by`` over ``(origin, seq)`` picking
+the winner. ``max_by`` / ``min_by`` / ``count`` aggregate partially on the map side,
+so a key that holds a third of all rows is combined inside each task before the
+shuffle.
 
 Ordering: a key keeps its first place (``first_seq``), values come from its last
 change. ``seq`` must grow across batches (an offset, event id or time).
@@ -17,9 +20,8 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulage.operators.sizing import fits_broadcast
-
 from haulage.functions.scalars import MASK, masked
+from haulage.operators.sizing import fits_broadcast
 
 # Change batches with at most this many distinct keys are broadcast against the base,
 # so the base is scanned but never shuffled; larger batches take the union + aggregate path.
