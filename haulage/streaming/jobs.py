@@ -128,10 +128,10 @@ def _replay_in_event_order(step, out_fields: list[str]):
     """Build an ``applyInPandasWithState`` function that replays each key's events in
     ``(ts, seq)`` order once the watermark has passed them.
 
-    ``step(carry, kind) -> (carry, value or None)`` folds one event; a non-None value
-    becomes an output row (key, seq, ts, value). State: the carry and the events not
-    yet behind the watermark (JSON); an event-time timeout replays them when the
-    watermark moves on without new data for the key.
+    ``step(carry, kinds) -> (carry, values)`` folds a sorted pandas Series of event
+    kinds at once (vectorised); non-null values become output rows (key, seq, ts,
+    value). State: the carry and the events not yet behind the watermark (JSON); an
+    event-time timeout replays them when the watermark moves on without new data.
     """
     def replay(key, frames, state):
         import json
@@ -140,50 +140,62 @@ def _replay_in_event_order(step, out_fields: list[str]):
 
         if state.exists:
             carry_json, pending_json = state.get
-            carry, pending = json.loads(carry_json), json.loads(pending_json)
+            carry, pending = json.loads(carry_json), pd.DataFrame(json.loads(pending_json))
         else:
-            carry, pending = None, []
+            carry, pending = None, pd.DataFrame({"ts_us": [], "seq": [], "kind": []})
+        parts = [pending.astype({"ts_us": "int64", "seq": "int64"})]
         for pdf in frames:
-            ts_us = (pdf["ts"].astype("int64") // 1_000).tolist()   # ns -> us, exact for Spark times
-            pending.extend(zip(ts_us, pdf["seq"].tolist(), pdf["kind"].tolist()))
+            parts.append(pd.DataFrame({"ts_us": pdf["ts"].astype("int64") // 1_000,  # ns -> us
+                                       "seq": pdf["seq"].astype("int64"), "kind": pdf["kind"]}))
+        events = pd.concat(parts, ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
         # The watermark has millisecond resolution: an event counts as passed once its
         # millisecond is not after the watermark.
-        watermark_ms = state.getCurrentWatermarkMs()
-        pending.sort(key=lambda e: (e[0], e[1]))
-        ready = [e for e in pending if e[0] // 1_000 <= watermark_ms]
-        rest = [e for e in pending if e[0] // 1_000 > watermark_ms]
-        rows = []
-        for ts_us, seq, kind in ready:
-            carry, value = step(carry, kind)
-            if value is not None:
-                rows.append((key[0], seq, ts_us, value))
-        state.update((json.dumps(carry), json.dumps(rest)))
-        if rest:
-            state.setTimeoutTimestamp(min(e[0] for e in rest) // 1_000 + 1)
-        out = pd.DataFrame(rows, columns=["key", "seq", "ts_us", "value"])
-        out["ts"] = pd.to_datetime(out["ts_us"], unit="us", utc=True)
-        out = out.rename(columns={"key": out_fields[0], "value": out_fields[1]})
-        yield out[[out_fields[0], "seq", "ts", out_fields[1]]]
+        passed = events["ts_us"] // 1_000 <= state.getCurrentWatermarkMs()
+        ready, rest = events[passed], events[~passed]
+        out = pd.DataFrame({out_fields[0]: [], "seq": [], "ts": [], out_fields[1]: []})
+        if len(ready):
+            carry, values = step(carry, ready["kind"].reset_index(drop=True))
+            keep = values.notna().to_numpy()
+            out = pd.DataFrame({
+                out_fields[0]: key[0],
+                "seq": ready["seq"].to_numpy()[keep],
+                "ts": pd.to_datetime(ready["ts_us"].to_numpy()[keep], unit="us", utc=True),
+                out_fields[1]: values[keep].to_numpy(),
+            })
+        state.update((json.dumps(carry), json.dumps({c: rest[c].tolist() for c in ("ts_us", "seq", "kind")})))
+        if len(rest):
+            state.setTimeoutTimestamp(int(rest["ts_us"].min()) // 1_000 + 1)
+        yield out
 
     return replay
 
 
-def _cancel_step(carry, kind):
-    """F2 fold: carry = [kind of the previous event, whether the task is known]."""
-    last_kind, known = carry or [None, False]
-    value = None
-    if kind == "cancel":
-        value = "not_found" if not known else ("accepted" if last_kind == "start" else "rejected")
-    else:
-        known = True
-    return [kind, known], value
-
+def _cancel_step(carry, kinds):
+    """F2 fold, vectorised. carry = [kind of the previous event, whether the task is known]."""
+    import pandas as pd
 
-def _order_step(carry, stage):
-    """G5 fold: carry = previous stage; value = whether this stage follows it."""
+    last_kind, known = carry or [None, False]
+    prev = kinds.shift(1)
+    prev.iloc[0] = last_kind
+    non_cancel = kinds != "cancel"
+    known_before = non_cancel.cummax().shift(1, fill_value=False) | known
+    values = pd.Series([None] * len(kinds), dtype=object)
+    is_cancel = ~non_cancel
+    values[is_cancel & ~known_before] = "not_found"
+    values[is_cancel & known_before & (prev == "start")] = "accepted"
+    values[is_cancel & known_before & (prev != "start")] = "rejected"
+    return [kinds.iloc[-1], bool(known or non_cancel.any())], values
+
+
+def _order_step(carry, stages):
+    """G5 fold, vectorised. carry = previous stage; value = whether a stage follows it."""
     from haulage.streaming.notify import PREVIOUS_STAGE
-    ok = (carry is None and stage == "processing") or carry == PREVIOUS_STAGE[stage]
-    return stage, bool(ok)
+
+    prev = stages.shift(1)
+    prev.iloc[0] = carry
+    first_ok = prev.isna() & (stages == "processing")
+    follows = prev == stages.map(PREVIOUS_STAGE)
+    return stages.iloc[-1], (first_ok | follows).astype(object)
 
 
 _STATE = "carry string, pending string"
