@@ -13,12 +13,10 @@ only escapes and frames bytes, with vectorised Arrow kernels.
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from dataclasses import dataclass, field
 from typing import Iterator
 from xml.sax.saxutils import escape as xml_escape
-from xml.sax.saxutils import unescape as xml_unescape
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -389,49 +387,68 @@ class ZipCsvDataSource(DataSource):
         return ZipCsvWriter(self.options, schema, overwrite)
 
 
-_ROW = re.compile(rb"<row\b[^>]*>(.*?)</row>", re.S)
-_CELL = re.compile(rb'<c r="([A-Z]+)[0-9]+"(?: t="(\w+)")?[^>]*?(?:/>|>(.*?)</c>)', re.S)
-_TEXT = re.compile(rb"<t\b[^>]*>(.*?)</t>|<t\b[^>]*/>", re.S)
-_VALUE = re.compile(rb"<v>(.*?)</v>", re.S)
-
-
-def _col_index(letters: bytes, cache: dict) -> int:
-    idx = cache.get(letters)
-    if idx is None:
-        idx = 0
-        for ch in letters:
-            idx = idx * 26 + (ch - 64)
-        idx -= 1
-        cache[letters] = idx
-    return idx
-
-
-def _sheet_rows(stream, chunk_size: int = 8 << 20):
-    """Rows of a sheet written by this sink (inline strings, numbers), header first.
-
-    Streams the sheet XML in chunks cut at row ends; absent cells are None.
-    """
-    cache: dict = {}
+def _sheet_chunks(stream, chunk_size: int = 16 << 20):
+    """The sheet XML in pieces that each end at a row end (the last piece may be the tail)."""
     tail = b""
     while True:
         chunk = stream.read(chunk_size)
         data = tail + chunk
-        cut = data.rfind(b"</row>") + len(b"</row>") if chunk else len(data)
-        body, tail = data[:cut], data[cut:]
-        for row in _ROW.finditer(body):
-            cells = {}
-            for ref, kind, inner in _CELL.findall(row.group(1)):
-                if kind == b"inlineStr":
-                    parts = _TEXT.findall(inner or b"")
-                    text = b"".join(parts).decode("utf-8")
-                    cells[_col_index(ref, cache)] = xml_unescape(text)
-                else:
-                    v = _VALUE.search(inner or b"")
-                    cells[_col_index(ref, cache)] = v.group(1).decode("utf-8") if v else None
-            width = max(cells) + 1 if cells else 0
-            yield [cells.get(i) for i in range(width)]
         if not chunk:
+            if data:
+                yield data.decode("utf-8")
             return
+        cut = data.rfind(b"</row>")
+        if cut < 0:
+            tail = data
+            continue
+        cut += len(b"</row>")
+        yield data[:cut].decode("utf-8")
+        tail = data[cut:]
+
+
+def _unescape(arr: pa.Array) -> pa.Array:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        arr = pc.replace_substring(arr, a, b)
+    return arr
+
+
+def _row_fragments(piece: str) -> pa.Array:
+    """One string per ``<row>`` element of a piece of sheet XML."""
+    parts = pa.array(piece.split("</row>"), pa.string())
+    return pc.filter(parts, pc.match_substring(parts, "<row"))
+
+
+def _column_values(rows: pa.Array, letter: str) -> pa.Array:
+    """Text of column ``letter`` in each row fragment (vectorised; null where absent)."""
+    # cell text is escaped, so it never holds "<": [^<]* matches it without backtracking
+    cell = pc.extract_regex(rows, rf'<c r="{letter}[0-9]+"(?: t="inlineStr"><is><t[^>]*>|><v>)(?P<v>[^<]*)<')
+    return _unescape(pc.struct_field(cell, "v"))
+
+
+def _sheet_header(stream) -> list[str]:
+    for piece in _sheet_chunks(stream):
+        rows = _row_fragments(piece)
+        if len(rows):
+            first, names = rows.slice(0, 1), []
+            for letter in _col_letters(16384):          # the widest sheet a workbook allows
+                value = _column_values(first, letter)[0].as_py()
+                if value is None:
+                    break
+                names.append(value)
+            return names
+    return []
+
+
+def _sheet_batches(stream, names: list[str]):
+    """Record batches of text columns from a sheet written by this sink (header skipped)."""
+    letters = _col_letters(len(names))
+    header_done = False
+    for piece in _sheet_chunks(stream):
+        rows = _row_fragments(piece)
+        if not header_done and len(rows):
+            rows, header_done = rows.slice(1), True
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([_column_values(rows, L) for L in letters], names=names)
 
 
 class XlsxReader(DataSourceReader):
@@ -444,12 +461,8 @@ class XlsxReader(DataSourceReader):
     def read(self, partition: _FilePartition):
         fs, _ = _fs(self.path)
         zf = zipfile.ZipFile(fs.open_input_file(partition.path))
-        width = len(self.schema.fields)
         with zf.open("xl/worksheets/sheet1.xml") as fh:
-            rows = _sheet_rows(fh)
-            next(rows, None)  # header
-            for r in rows:
-                yield tuple((r + [None] * width)[:width])
+            yield from _sheet_batches(fh, self.schema.names)
 
 
 class XlsxDataSource(DataSource):
@@ -466,7 +479,7 @@ class XlsxDataSource(DataSource):
         fs, _ = _fs(self.options["path"])
         zf = zipfile.ZipFile(fs.open_input_file(files[0]))
         with zf.open("xl/worksheets/sheet1.xml") as fh:
-            header = next(_sheet_rows(fh))
+            header = _sheet_header(fh)
         return StructType([StructField(n, StringType(), True) for n in header])
 
     def reader(self, schema):
