@@ -45,3 +45,16 @@ def test_jdbc_url_and_options():
     assert "*****" in repr(s) and "p?w" not in repr(s)
     with pytest.raises(ValueError):
         jdbc.jdbc_url(Source(kind="jdbc", db_type="nosuchdb", query="x"))
+
+
+def test_table_and_csv_sources(spark, small, scratch):
+    from haulage.sinks.writers import write_csv
+
+    nation = spark.read.parquet(f"{small}/nation.parquet")
+    nation.createOrReplaceTempView("nation_view")
+    assert load(spark, Source(kind="table", path="nation_view")).count() == 25
+    path = write_csv(nation, scratch + "/nation_csv")
+    back = load(spark, Source(kind="csv", path=path, options={"inferSchema": "true"}))
+    assert back.count() == 25 and back.columns == nation.columns
+    with pytest.raises(ValueError):
+        load(spark, Source(kind="parquet"))
