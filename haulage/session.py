@@ -45,7 +45,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     temporary folder; a cluster without it is an error, because a machine-local
     folder would not survive the loss of that machine.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (a remote Spark Connect session has no local context)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -87,7 +93,10 @@ def ship_package(spark: SparkSession) -> None:
     The package is zipped into the shared checkpoint folder and added with
     ``addPyFile``, once per SparkContext; Spark ships it to every executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: code is shipped with the server's artifacts)
+        return
     app = sc.applicationId
     if app in _SHIPPED:
         return
