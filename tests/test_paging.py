@@ -79,3 +79,19 @@ def test_numbering_survives_adaptive_coalescing(spark, small):
         assert ours.exceptAll(ref).count() == 0 and ref.exceptAll(ours).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_hot_leading_key_is_split_across_partitions(spark, small):
+    """One value of the first key holds a third of the rows; range partitions stay balanced."""
+    from haulage.operators.ordered import ranged
+
+    li = spark.read.parquet(f"{small}/lineitem.parquet")
+    hot = li.withColumn("k", F.when(F.col("l_linenumber") <= 3, F.lit(7)).otherwise(F.col("l_orderkey")))
+    share = hot.filter(F.col("k") == 7).count() / hot.count()
+    assert share > 0.3
+    tagged, offsets = ranged(hot, ["k"] + li.columns, num_partitions=8)
+    sizes = [r["count"] for r in tagged.groupBy("_pid").count().collect()]
+    hot_parts = tagged.filter(F.col("k") == 7).select("_pid").distinct().count()
+    assert hot_parts >= 2                              # the hot key spans several tasks
+    assert max(sizes) <= 2.5 * sum(sizes) / 8          # no partition near a third of the rows
+    assert offsets.count() == len(sizes)
