@@ -60,34 +60,38 @@ def flat_for_text(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _writer(df: DataFrame, single_file: bool, mode: str, partition_by: Sequence[str] | None):
+def _writer(df: DataFrame, single_file: bool, mode: str, partition_by: Sequence[str] | None,
+            rows_per_file: int | None = None):
     if single_file:
         df = df.coalesce(1)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if rows_per_file:
+        w = w.option("maxRecordsPerFile", str(int(rows_per_file)))
     return w
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite",
-              partition_by: Sequence[str] | None = None) -> str:
-    """CSV with header; one part file per partition."""
-    _writer(flat_for_text(df), single_file, mode, partition_by).options(**CSV_WRITE_OPTIONS).csv(path)
+              partition_by: Sequence[str] | None = None, rows_per_file: int | None = None) -> str:
+    """CSV with header; one part file per partition (more with ``rows_per_file``)."""
+    (_writer(flat_for_text(df), single_file, mode, partition_by, rows_per_file)
+        .options(**CSV_WRITE_OPTIONS).csv(path))
     return path
 
 
 def write_json(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite",
-               partition_by: Sequence[str] | None = None) -> str:
+               partition_by: Sequence[str] | None = None, rows_per_file: int | None = None) -> str:
     """One JSON object per line, null fields kept, types kept (no CSV detour)."""
     check_unique_names(df.columns)
-    _writer(df, single_file, mode, partition_by).options(**JSON_WRITE_OPTIONS).json(path)
+    _writer(df, single_file, mode, partition_by, rows_per_file).options(**JSON_WRITE_OPTIONS).json(path)
     return path
 
 
 def write_parquet(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite",
-                  partition_by: Sequence[str] | None = None) -> str:
+                  partition_by: Sequence[str] | None = None, rows_per_file: int | None = None) -> str:
     check_unique_names(df.columns)
-    _writer(df, single_file, mode, partition_by).parquet(path)
+    _writer(df, single_file, mode, partition_by, rows_per_file).parquet(path)
     return path
 
 
@@ -97,11 +101,11 @@ def write_table(df: DataFrame, path: str, fmt: str | None = "csv", single_file:
     """Write ``df`` under ``path`` in the chosen format; returns the path."""
     kind = normalize_format(fmt)
     if kind == "csv":
-        return write_csv(df, path, single_file, mode, partition_by)
+        return write_csv(df, path, single_file, mode, partition_by, rows_per_file)
     if kind == "json":
-        return write_json(df, path, single_file, mode, partition_by)
+        return write_json(df, path, single_file, mode, partition_by, rows_per_file)
     if kind == "parquet":
-        return write_parquet(df, path, single_file, mode, partition_by)
+        return write_parquet(df, path, single_file, mode, partition_by, rows_per_file)
     from haulage.sinks.archive import write_xlsx, write_zip
     if partition_by:
         raise ValueError(f"partition_by is not supported for {kind}")

@@ -113,3 +113,10 @@ def test_xlsx_non_finite_numbers_become_text(spark, scratch):
     path = Z.write_xlsx(df, scratch + "/nan")
     got = {r.i: r.d for r in Z.read_xlsx(spark, path).collect()}
     assert got == {"1": "nan", "2": "inf", "3": "2.5", "4": None}
+
+
+def test_rows_per_file_for_text_sinks(spark, scratch, small):
+    nation = spark.read.parquet(f"{small}/nation.parquet").coalesce(1)
+    for fmt in ("csv", "json", "parquet"):
+        path = E.write_table(nation, scratch + "/rpf_" + fmt, fmt, rows_per_file=10)
+        assert len(E.manifest(spark, path).collect()) == 3
