@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from haulage.functions import scalars as I
 from haulage.operators import columns as B
 from haulage.operators import keyed as D
+from haulage.operators import keyed_store as KS
 from haulage.operators import paging as P
 from haulage.operators import tasks as T
 from haulage.streaming import jobs as J
@@ -291,6 +292,15 @@ def d4_upsert_hot_key(spark, sf_dir):
     return D.upsert(base, late, ["event_type"], "event_id")
 
 
+@register("d10_upsert_store", _latest_sql("user_id"))
+def d10_upsert_store(spark, sf_dir):
+    """D1 on a stored keyed table: only the key buckets the batch touches are read and rewritten."""
+    early, late = _early_late(spark, sf_dir)
+    path = KS.create_store(early, scratch_folder(spark, "d10"), ["user_id"], "event_id")
+    KS.upsert_store(spark, path, late, ["user_id"], "event_id")
+    return KS.read_store(spark, path)
+
+
 @register("d5_list_count", "SELECT COUNT(DISTINCT user_id) AS n_rows FROM events")
 def d5_list_count(spark, sf_dir):
     return P.total_rows(D.upsert(None, table(spark, sf_dir, "events"), ["user_id"], "event_id"))

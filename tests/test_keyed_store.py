@@ -1,0 +1,45 @@
+import os
+
+from pyspark.sql import functions as F
+
+from haulage.operators import keyed as D
+from haulage.operators import keyed_store as KS
+
+
+def _files(path):
+    local = path[len("file:"):] if path.startswith("file:") else path
+    out = {}
+    for folder, _, names in os.walk(local):
+        for n in names:
+            if n.endswith(".parquet"):
+                full = os.path.join(folder, n)
+                out[full] = os.path.getmtime(full)
+    return out
+
+
+def test_store_upsert_equals_upsert_and_touches_few_buckets(spark, small, scratch):
+    ev = spark.read.parquet(f"{small}/events.parquet")
+    path = scratch + "/store"
+    KS.create_store(ev.filter("event_id < 900"), path, ["user_id"], "event_id", buckets=16)
+    before = _files(path)
+    batch = ev.filter("event_id >= 900 AND user_id IN (3, 4)")
+    KS.upsert_store(spark, path, batch, ["user_id"], "event_id", buckets=16)
+    got = KS.read_store(spark, path)
+    want = D.upsert(None, ev.filter("event_id < 900").unionByName(batch), ["user_id"], "event_id")
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    assert want.exceptAll(got.select(*want.columns)).count() == 0
+    after = _files(path)
+    folders = {os.path.basename(os.path.dirname(f)) for f in before}
+    kept = {os.path.basename(os.path.dirname(f)) for f in before if after.get(f) == before[f]}
+    assert len(folders) - len(kept) <= 2 and len(kept) >= 1   # only the touched buckets were rewritten
+
+
+def test_store_plan_prunes_buckets(spark, small, scratch):
+    ev = spark.read.parquet(f"{small}/events.parquet")
+    path = scratch + "/store"
+    KS.create_store(ev, path, ["user_id"], "event_id", buckets=8)
+    batch = ev.filter(F.col("user_id") == 3)
+    touched = batch.select(KS.bucket_of(["user_id"], 8).alias(KS.BUCKET_COL)).distinct()
+    probe = spark.read.parquet(path).join(F.broadcast(touched), KS.BUCKET_COL, "left_semi")
+    plan = probe._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower() or "PartitionFilters: [isnotnull(_bucket" in plan
