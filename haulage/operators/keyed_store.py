@@ -48,12 +48,21 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def upsert_store(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], seq: str,
                  buckets: int = BUCKETS, null_key: str = "error") -> str:
-    """Upsert ``changes`` into the table at ``path``, rewriting only the touched buckets."""
+    """Upsert ``changes`` into the table at ``path``, rewriting only the touched buckets.
+
+    A path with no table yet is created from the changes.
+    """
+    from pyspark.errors import AnalysisException
+
     ensure_checkpoint_dir(spark)
     keys = list(keys)
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
+        return create_store(changes, path, keys, seq, buckets, null_key)
     tagged = changes.withColumn(BUCKET_COL, bucket_of(keys, buckets))
     touched = tagged.select(BUCKET_COL).distinct()                      # <= buckets rows
-    base = spark.read.parquet(path).join(F.broadcast(touched), BUCKET_COL, "left_semi")
+    base = stored.join(F.broadcast(touched), BUCKET_COL, "left_semi")
     merged = upsert(base.drop(BUCKET_COL), changes, keys, seq, null_key=null_key)
     merged = merged.withColumn(BUCKET_COL, bucket_of(keys, buckets)).checkpoint(eager=True)
     _write(merged, path, "overwrite")

@@ -43,3 +43,11 @@ def test_store_plan_prunes_buckets(spark, small, scratch):
     probe = spark.read.parquet(path).join(F.broadcast(touched), KS.BUCKET_COL, "left_semi")
     plan = probe._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower() or "PartitionFilters: [isnotnull(_bucket" in plan
+
+
+def test_upsert_store_creates_missing_table(spark, small, scratch):
+    ev = spark.read.parquet(f"{small}/events.parquet")
+    path = KS.upsert_store(spark, scratch + "/new_store", ev, ["user_id"], "event_id", buckets=4)
+    got = KS.read_store(spark, path)
+    want = D.upsert(None, ev, ["user_id"], "event_id")
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
