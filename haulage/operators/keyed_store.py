@@ -50,7 +50,8 @@ def upsert_store(spark: SparkSession, path: str, changes: DataFrame, keys: Seque
                  buckets: int = BUCKETS, null_key: str = "error") -> str:
     """Upsert ``changes`` into the table at ``path``, rewriting only the touched buckets.
 
-    A path with no table yet is created from the changes.
+    A path with no table yet is created from the changes. ``buckets`` must be the
+    count the table was created with (a key's folder depends on it).
     """
     from pyspark.errors import AnalysisException
 
