@@ -142,3 +142,11 @@ def test_plan_order_matches_model(n, specs, drop):
         assert got == model
         if len(got) == n:
             assert sorted(got) == list(range(n))
+
+
+def test_awkward_names(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("a.b", "x`y", "with space")
+    out = B.apply_specs(df, [S(name="p.q", column=1, change_order=0), S(name="r`s", column=0)])
+    assert out.columns == ["p.q", "r`s", "with space"] and tuple(out.first()) == (2, 1, 3)
+    assert B.move_column(df, 2, 0).columns == ["with space", "a.b", "x`y"]
+    assert B.select_names(df, ["with space", "a.b"]).columns == ["with space", "a.b"]

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -79,3 +81,41 @@ def test_upsert_rejects_mismatched_columns(spark):
     for strategy in ("broadcast", "aggregate"):
         with pytest.raises(ValueError, match="differ"):
             D.upsert(base, changes, ["name"], "seq", strategy=strategy)
+
+
+def _list_model(base, batch):
+    """Plain model: a list of (name, v); a change replaces in place or appends; null names skipped."""
+    rows = [list(r) for r in base]
+    added = updated = skipped = 0
+    for name, v in batch:
+        if name is None:
+            skipped += 1
+            continue
+        for r in rows:
+            if r[0] == name:
+                r[1] = v
+                updated += 1
+                break
+        else:
+            rows.append([name, v])
+            added += 1
+    return [tuple(r) for r in rows], (added, updated, skipped)
+
+
+_names = st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"]))
+
+
+@settings(max_examples=12, deadline=None)
+@given(base_keys=st.lists(st.sampled_from(["a", "b", "c", "d"]), unique=True, max_size=3),
+       batch=st.lists(st.tuples(_names, st.integers(0, 9)), min_size=1, max_size=6))
+def test_upsert_matches_list_model(spark, base_keys, batch):
+    base_rows = [(k, 100 + i) for i, k in enumerate(base_keys)]
+    want_rows, want_counts = _list_model(base_rows, batch)
+    base = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(base_rows)], SCHEMA)
+    changes = spark.createDataFrame([(k, v, 10 + i) for i, (k, v) in enumerate(batch)], SCHEMA)
+    for strategy in ("broadcast", "aggregate"):
+        got = D.upsert(base, changes, ["name"], "seq", null_key="skip", strategy=strategy)
+        got_rows = [(r.name, r.v) for r in got.orderBy("first_seq").collect()]
+        assert got_rows == want_rows, strategy
+    c = D.upsert_counts(base, changes, ["name"], "seq").first()
+    assert (c.added, c.updated, c.skipped) == want_counts
