@@ -1,5 +1,7 @@
 import datetime as dt
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from haulage.operators import tasks as T
@@ -41,3 +43,43 @@ def test_lookup_and_gate(spark):
     assert gate[5][0] == 500 and gate[6][0] == 404 and gate[1][0] == 409
     fails = statuses.withColumn("status", F.lit("failed"))
     assert {r.code for r in T.download_gate(req.filter("task_id = 1"), fails, results).collect()} == {500}
+
+
+def _fold(kinds):
+    """Step-by-step model of the rules: final status and each cancel's outcome."""
+    status, outcomes = None, []
+    for k in kinds:
+        if k == "start":
+            status = "in_progress"
+        elif k == "complete":
+            status = "completed"
+        elif k == "fail":
+            status = "failed"
+        elif status is None:
+            outcomes.append("not_found")
+        elif status == "in_progress":
+            status = "cancel_requested"
+            outcomes.append("accepted")
+        else:
+            outcomes.append("rejected")
+    return status, outcomes
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["start", "complete", "fail", "cancel"]), min_size=1, max_size=6),
+                min_size=1, max_size=40))
+def test_closed_forms_match_fold(spark, sequences):
+    rows, seq = [], 0
+    for t, kinds in enumerate(sequences):
+        for i, k in enumerate(kinds):
+            rows.append((t, k, dt.datetime(2024, 1, 1, 0, 0, i), seq))
+            seq += 1
+    ev = spark.createDataFrame(rows, "task_id long, kind string, ts timestamp_ntz, seq long")
+    statuses = {r.task_id: r.status for r in T.latest_status(ev).collect()}
+    outcomes = {}
+    for r in T.cancel_outcomes(ev, num_partitions=3).orderBy("seq").collect():
+        outcomes.setdefault(r.task_id, []).append(r.outcome)
+    for t, kinds in enumerate(sequences):
+        status, outs = _fold(kinds)
+        assert statuses.get(t) == status, kinds
+        assert outcomes.get(t, []) == outs, kinds
