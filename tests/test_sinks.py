@@ -120,3 +120,18 @@ def test_rows_per_file_for_text_sinks(spark, scratch, small):
     for fmt in ("csv", "json", "parquet"):
         path = E.write_table(nation, scratch + "/rpf_" + fmt, fmt, rows_per_file=10)
         assert len(E.manifest(spark, path).collect()) == 3
+
+
+def test_failed_archive_write_leaves_nothing(spark, scratch):
+    """A job that fails mid-write publishes no archive and removes its staging folder."""
+    import os
+
+    df = spark.range(100).select(
+        F.when(F.col("id") == 77, F.raise_error(F.lit("boom"))).otherwise(F.col("id")).alias("id"))
+    target = scratch + "/failed"
+    with pytest.raises(Exception, match="boom"):
+        Z.write_zip(df.repartition(3), target)
+    local = _local(target)
+    left = [f for _, _, files in os.walk(local) for f in files] if os.path.exists(local) else []
+    assert not [f for f in left if f.endswith(".zip")]
+    assert not os.path.exists(os.path.join(local, Z.STAGING))
