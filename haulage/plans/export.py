@@ -46,7 +46,7 @@ def run_export(spark: SparkSession, spec: ExportSpec | Mapping[str, Any]) -> Dat
     out = task_path(spec.root, spec.task_id)
     df, obs = observed(shaped(spark, spec), f"export_{uuid.uuid4().hex[:8]}")
     write_table(df, out, fmt, single_file=spec.single_file, entry_name=spec.task_id,
-                rows_per_file=spec.rows_per_file)
+                rows_per_file=spec.rows_per_file, compresslevel=spec.compresslevel)
     n_rows = obs.get.get("n_rows", 0)
     if n_rows == 0:
         log.warning("task %s: the source returned no rows; wrote an empty %s", spec.task_id, fmt)

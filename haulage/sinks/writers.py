@@ -97,7 +97,8 @@ def write_parquet(df: DataFrame, path: str, single_file: bool = False, mode: str
 
 def write_table(df: DataFrame, path: str, fmt: str | None = "csv", single_file: bool = False,
                 mode: str = "overwrite", partition_by: Sequence[str] | None = None,
-                entry_name: str | None = None, rows_per_file: int | None = None) -> str:
+                entry_name: str | None = None, rows_per_file: int | None = None,
+                compresslevel: int | None = None) -> str:
     """Write ``df`` under ``path`` in the chosen format; returns the path."""
     kind = normalize_format(fmt)
     if kind == "csv":
@@ -111,8 +112,9 @@ def write_table(df: DataFrame, path: str, fmt: str | None = "csv", single_file:
         raise ValueError(f"partition_by is not supported for {kind}")
     if kind == "zip":
         return write_zip(df, path, entry_name=entry_name, single_file=single_file, mode=mode,
-                         rows_per_file=rows_per_file)
-    return write_xlsx(df, path, single_file=single_file, mode=mode, rows_per_file=rows_per_file)
+                         rows_per_file=rows_per_file, compresslevel=compresslevel)
+    return write_xlsx(df, path, single_file=single_file, mode=mode, rows_per_file=rows_per_file,
+                      compresslevel=compresslevel)
 
 
 def records(df: DataFrame) -> DataFrame:

@@ -117,6 +117,7 @@ class ExportSpec:
     on_conflict: str = "error"
     single_file: bool = False
     rows_per_file: int | None = None
+    compresslevel: int | None = None   # ZIP / XLSX deflate level (None: the sink's default)
 
     def __post_init__(self):
         if not isinstance(self.task_id, str) or not self.task_id.strip():

@@ -38,3 +38,9 @@ def test_run_export_empty_source_and_errors(spark, small, scratch):
                      specs=(S(column=0, change_order=1), S(column=1, change_order=1)))
     with pytest.raises(ReorderConflict):
         run_export(spark, bad)
+
+
+def test_run_export_compresslevel(spark, small, scratch):
+    fast = run_export(spark, _spec(small, scratch + "/l1", "zip", single_file=True, compresslevel=1)).first()
+    best = run_export(spark, _spec(small, scratch + "/l9", "zip", single_file=True, compresslevel=9)).first()
+    assert fast.rows == best.rows == 25 and fast.size >= best.size
