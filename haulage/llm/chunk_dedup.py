@@ -11,8 +11,8 @@ many documents share is one row there. A cuckoo filter of the repeated digests p
 joined afterwards, and text is shuffled only for documents that may lose a chunk.
 
 Defined cases: null or empty text has no chunks; a last chunk under ``MIN_CHUNK`` bytes is always
-kept; rows that repeat a doc_id and text are alike and lose the same chunks; a null doc_id sorts
-last and stays null; extra columns are ignored; an empty table gives an empty result.
+kept; rows that share a doc_id are cut one by one, and of equal rows each loses the same chunks; a
+null doc_id sorts last and stays null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import cut, id_text, prepare, release, shown_id, slices, text_bytes
+from haulage.llm.common import cut, id_text, prepare, release, shown_id, slices, tagged, text_bytes
 from haulage.llm.cuckoo import ShardedFilters, broadcast_filters, build_filters, n_shards
 
 MIN_CHUNK = 40
@@ -93,21 +93,21 @@ def _candidates(docs: DataFrame, shared) -> DataFrame:
     def look(batches):
         filters = None if shared is None else ShardedFilters(*shared.value)
         piece = pa.struct([("key", pa.binary()), ("ordinal", pa.int32())])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(piece)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(piece)]
         for batch in slices(batches, 2 << 20):
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            for doc_id, text, tag in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 ends = chunk_ends(text)
                 own = [(key, k) for k, key in enumerate(chunk_keys(text, ends)) if key is not None]
                 if filters is not None and own:
                     own = [p for p, hit in zip(own, filters.contains([key for key, _ in own]).tolist()) if hit]
-                out.append((doc_id, len(text), len(ends), text if own else None,
+                out.append((doc_id, tag, len(text), len(ends), text if own else None,
                             None if own else hashlib.sha256(text).hexdigest(),
                             [{"key": key, "ordinal": k} for key, k in own]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                                             names=["doc_id", "n_bytes", "n_chunks", "text", "kept_sha256", "pieces"])
+                                             names=["doc_id", "tag", "n_bytes", "n_chunks", "text", "kept_sha256", "pieces"])
 
-    return docs.mapInArrow(look, "doc_id long, n_bytes long, n_chunks long, text binary, kept_sha256 string, "
+    return tagged(docs).mapInArrow(look, "doc_id long, tag long, n_bytes long, n_chunks long, text binary, kept_sha256 string, "
                                  "pieces array<struct<key:binary,ordinal:int>>")
 
 
@@ -126,9 +126,9 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(spark)
     shards = n_shards(first.count())
     looked = _candidates(rows, broadcast_filters(build_filters(first.select("key"), shards), shards))
-    pieces = looked.select("doc_id", F.inline("pieces"))
+    pieces = looked.select("doc_id", "tag", F.inline("pieces"))
     later = (pieces.join(first, "key").where("doc_id <> first_doc OR ordinal <> first_ordinal")
-             .groupBy(F.col("doc_id").alias("d_doc"))
+             .groupBy(F.col("doc_id").alias("d_doc"), F.col("tag").alias("d_tag"))
              .agg(F.collect_set("ordinal").alias("drops"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")))
 
     def rewrite(batches):
@@ -146,6 +146,6 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                              names=[c.split()[0] for c in REPORT.split(", ")])
 
-    out = (looked.drop("pieces").join(later, F.col("doc_id") == F.col("d_doc"), "left")
+    out = (looked.drop("pieces").join(later, (F.col("doc_id") == F.col("d_doc")) & (F.col("tag") == F.col("d_tag")), "left")
            .select("doc_id", "n_bytes", "n_chunks", "text", "kept_sha256", "drops", "first_docs").mapInArrow(rewrite, REPORT))
     return out.select(shown_id(), *(c for c in out.columns[1:] if with_text or c != "kept"))

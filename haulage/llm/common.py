@@ -60,6 +60,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def tagged(rows: DataFrame) -> DataFrame:
+    """With ``tag``, 31 bits of the text's hash: rows that share an id but not their text keep apart."""
+    return rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1)))
+
+
 def shown_id(col: str = "doc_id"):
     """The id as results show it."""
     return F.when(F.col(col) != NULL_ID, F.col(col)).alias(col)

@@ -16,9 +16,8 @@ smaller id. Suffixes that can match that far are brought together by anchors:
    An anchor with very many contexts is dealt over several shards by the string that starts.
 4. Copied runs are merged per document and cut out of the bytes.
 
-Defined cases: null or empty text has no bytes; texts under SPAN bytes lose nothing; repeated
-rows of one doc_id do not copy each other (no id is smaller) and lose the same bytes if they are
-alike; a null doc_id sorts last and stays null; extra columns are ignored; an empty table gives
+Defined cases: null or empty text has no bytes; texts under SPAN bytes lose nothing; rows that
+share a doc_id do not copy each other (no id is smaller) and are cut one by one; a null doc_id sorts last and stays null; extra columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import cut, id_text, prepare, release, runs_of, shown_id, slices, text_bytes
+from haulage.llm.common import cut, id_text, prepare, release, runs_of, shown_id, slices, tagged, text_bytes
 
 SPAN = 50
 GRAM = 20
@@ -92,29 +91,31 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
     def find(batches):
         for batch in slices(batches, 1 << 20):
             grams, contexts, owner, places = [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            for doc_id, text, tag in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 gram, context, at = anchors(text)
                 if len(at):
                     grams.append(gram)
                     contexts.append(context)
                     owner.append(np.full(len(at), doc_id, np.int64))
-                    places.append(at.astype(np.int32))
+                    places.append(at + (tag << 32))
             if grams:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(contexts).view(np.int64)),
-                     pa.array(np.concatenate(owner)), pa.array(np.concatenate(places))], names=["gram", "context", "doc_id", "at"])
+                     pa.array(np.concatenate(owner)), pa.array(np.concatenate(places))], names=["gram", "context", "doc_id", "place"])
 
-    return rows.mapInArrow(find, "gram long, context long, doc_id long, at int")
+    return rows.mapInArrow(find, "gram long, context long, doc_id long, place long")
 
 
-STANDING = "doc_id long, at int, gram long, parts int"
+# place: the text's tag in the high half, the anchor's offset in the low half
+STANDING = "doc_id long, place long, gram long, parts int"
+_OFFSET = 2**32 - 1
 
 
 def _settle(found: DataFrame) -> DataFrame:
-    """Rows (doc_id, at, gram, parts): parts 0 for later copies in full, else the number of shards
+    """Rows (doc_id, place, gram, parts): parts 0 for later copies in full, else the number of shards
     the anchor's contexts go to. Anchors that no other document has are dropped."""
     def settle(batches):
-        def decided(gram, context, doc, at):
+        def decided(gram, context, doc, place):
             """Whole anchors, sorted by (gram, context, doc)."""
             n = len(gram)
             new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
@@ -128,9 +129,9 @@ def _settle(found: DataFrame) -> DataFrame:
             ends = ~later & (contexts > 1) & (low < high)
             parts = np.where(later, 0, 1 + contexts // PART_CONTEXTS).astype(np.int32)
             told = later | ends
-            return pa.RecordBatch.from_arrays([pa.array(doc[told]), pa.array(at[told]), pa.array(np.where(later, 0, gram)[told]),
+            return pa.RecordBatch.from_arrays([pa.array(doc[told]), pa.array(place[told]), pa.array(np.where(later, 0, gram)[told]),
                                                pa.array(parts[told])],
-                                              names=["doc_id", "at", "gram", "parts"])
+                                              names=["doc_id", "place", "gram", "parts"])
 
         held: list[np.ndarray] | None = None
         for batch in batches:
@@ -148,28 +149,31 @@ def _settle(found: DataFrame) -> DataFrame:
     return found.repartition("gram").sortWithinPartitions("gram", "context", "doc_id").mapInArrow(settle, STANDING)
 
 
-CONTEXT = "gram long, part int, parts int, doc_id long, low long, bytes binary"
+CONTEXT = "gram long, part int, parts int, doc_id long, tag long, low long, bytes binary"
 
 
 def _contexts(rows: DataFrame, ends: DataFrame) -> DataFrame:
     """The bytes around undecided anchors, one row per shard that needs them."""
     def read(batches):
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in slices(batches, 2 << 20):
             out = []
-            for doc_id, text, marks in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            ids, tags, lists = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            for doc_id, text, tag, marks in zip(ids, text_bytes(batch.column(1)), tags, lists):
                 for mark in marks:
-                    at, parts = mark["at"], mark["parts"]
+                    at, parts = mark["place"] & _OFFSET, mark["parts"]
                     low = max(0, at - REACH)
                     piece = text[low:at + SPAN]
                     wanted = range(1) if parts == 1 else sorted({_part(piece[k:k + SPAN], parts) for k in range(len(piece) - SPAN + 1)})
-                    out += [(mark["gram"], part, parts, doc_id, low, piece) for part in wanted]
+                    out += [(mark["gram"], part, parts, doc_id, tag, low, piece) for part in wanted]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                                  names=[c.split()[0] for c in CONTEXT.split(", ")])
 
-    marks = ends.groupBy(F.col("doc_id").alias("m_doc")).agg(F.collect_set(F.struct("at", "gram", "parts")).alias("marks"))
-    return (rows.join(marks, F.col("doc_id") == F.col("m_doc")).select("doc_id", "text", "marks").mapInArrow(read, CONTEXT))
+    marks = (ends.groupBy(F.col("doc_id").alias("m_doc"), F.shiftright("place", 32).alias("m_tag"))
+             .agg(F.collect_set(F.struct("place", "gram", "parts")).alias("marks")))
+    return (rows.join(marks, (F.col("doc_id") == F.col("m_doc")) & (F.col("tag") == F.col("m_tag")))
+            .select("doc_id", "text", "tag", "marks").mapInArrow(read, CONTEXT))
 
 
 def _part(string: bytes, parts: int) -> int:
@@ -243,9 +247,9 @@ def previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, de
 
 
 def _copied(contexts: DataFrame) -> DataFrame:
-    """Runs (doc_id, start, end) of starts of strings that a smaller document has, from whole shards."""
+    """Runs (doc_id, tag, start, end) of starts of strings that a smaller document has, from whole shards."""
     def shard(rows):
-        grams, part, parts, docs, lows, pieces = zip(*rows)
+        _, part, parts, docs, tags, lows, pieces = zip(*rows)
         sizes = np.array([len(p) for p in pieces], np.int64)
         # a separator that is no byte ends each context; matches with it never reach SPAN
         text = np.full(int(sizes.sum()) + len(sizes), 256, np.int64)
@@ -264,15 +268,15 @@ def _copied(contexts: DataFrame) -> DataFrame:
         docs_, lows_ = np.array(docs, np.int64), np.array(lows, np.int64)
         factor = previous_factors(text, begin[own] + offset, docs_[own], SPAN)
         hit = factor >= SPAN
-        doc, at = docs_[own[hit]], lows_[own[hit]] + offset[hit]
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
+        doc, tag, at = docs_[own[hit]], np.array(tags, np.int64)[own[hit]], lows_[own[hit]] + offset[hit]
+        order = np.lexsort((at, tag, doc))
+        doc, tag, at = doc[order], tag[order], at[order]
         if not len(doc):
             return None
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)))
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + 1)))
         last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(doc) - 1]))
-        return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(at[new]), pa.array(at[last] + SPAN)],
-                                          names=["doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tag[new]), pa.array(at[new]), pa.array(at[last] + SPAN)],
+                                          names=["doc_id", "tag", "start", "end"])
 
     def judge(batches):
         held, size, key = [], 0, None
@@ -284,26 +288,28 @@ def _copied(contexts: DataFrame) -> DataFrame:
                     held, size = [], 0
                 key = row[:2]
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if held and (out := shard(held)) is not None:
             yield out
 
     return (contexts.repartition("gram", "part").sortWithinPartitions("gram", "part", "doc_id")
-            .mapInArrow(judge, "doc_id long, start long, end long"))
+            .mapInArrow(judge, "doc_id long, tag long, start long, end long"))
 
 
-def copied_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans) in bytes; spans may overlap. Documents without later copies have no row."""
-    spark = prepare(docs.sparkSession)
-    rows = id_text(docs, id_col, text_col)
+def copied_spans(rows: DataFrame) -> DataFrame:
+    """(s_doc, s_tag, spans) of (doc_id, text, tag) rows, in bytes; spans may overlap. Texts without
+    later copies have no row."""
+    spark = rows.sparkSession
     standing = cut(_settle(_anchor_rows(rows)), "anchors")
     release(spark)
     # a later copy in full covers all strings that hold the anchor; the text's end is met when cutting
-    full = standing.where("parts = 0").select("doc_id", F.greatest(F.col("at") - REACH, F.lit(0)).cast("long").alias("start"),
-                                              (F.col("at") + SPAN).cast("long").alias("end"))
+    at = F.col("place").bitwiseAND(F.lit(_OFFSET))
+    full = standing.where("parts = 0").select("doc_id", F.shiftright("place", 32).alias("tag"), F.greatest(at - REACH, F.lit(0)).alias("start"),
+                                              (at + SPAN).alias("end"))
     ends = cut(_copied(_contexts(rows, standing.where("parts > 0"))), "copied-ends")
     release(spark)
-    return full.unionByName(ends).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return (full.unionByName(ends).groupBy(F.col("doc_id").alias("s_doc"), F.col("tag").alias("s_tag"))
+            .agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -312,8 +318,8 @@ REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_text``, the kept bytes."""
     prepare(docs.sparkSession)
-    rows = id_text(docs, id_col, text_col)
-    spans = copied_spans(docs, id_col, text_col).withColumnRenamed("doc_id", "s_doc")
+    rows = tagged(id_text(docs, id_col, text_col))
+    spans = copied_spans(rows)
 
     def remove(batches):
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
@@ -335,6 +341,6 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                              names=[c.split()[0] for c in REPORT.split(", ")])
 
-    joined = rows.join(spans, F.col("doc_id") == F.col("s_doc"), "left")
+    joined = rows.join(spans, (F.col("doc_id") == F.col("s_doc")) & (F.col("tag") == F.col("s_tag")), "left")
     out = joined.select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).mapInArrow(remove, REPORT)
     return out.select(shown_id(), *(c for c in out.columns[1:] if with_text or c != "kept"))
