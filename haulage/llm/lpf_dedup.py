@@ -199,7 +199,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
         if length >= depth:
             return out
         behind = np.zeros(n, np.int64)
-        behind[:n - length] = rank[length:] + 1
+        behind[:max(0, n - length)] = rank[length:] + 1
         key = rank * (n + 2) + behind
         length *= 2
 

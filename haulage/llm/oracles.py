@@ -39,7 +39,7 @@ FROM reach r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node"""
 OP5 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
-         -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE)
+         -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE)
              / 4503599627370496.0::DOUBLE)
          / CASE WHEN coalesce(length(text), 0) = 0 THEN 1.0::DOUBLE
                 ELSE greatest(0.25::DOUBLE, 1.0::DOUBLE - 5.0::DOUBLE * CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS DOUBLE)

@@ -72,22 +72,24 @@ def index_vectors(seed: int = SEED) -> np.ndarray:
     return table
 
 
-def add_contexts(table: np.ndarray, ids: np.ndarray, index: np.ndarray) -> None:
-    """Add the neighbours' index vectors of one run of tokens (BUCKETS marks a gap) to ``table``;
-    its last column counts tokens."""
-    n = len(ids)
+def add_contexts(table: np.ndarray, ids: np.ndarray, index: np.ndarray, step: int = 50_000) -> None:
+    """Add to ``table`` the neighbours' index vectors of every token (BUCKETS marks a gap between
+    texts), in pieces of bounded work space that still see their neighbours; the last column of
+    the table counts tokens. Integer sums: the result does not depend on how texts are dealt."""
     padded = np.concatenate((np.full(REACH, BUCKETS), ids, np.full(REACH, BUCKETS)))
-    context = np.zeros((n, DIMS + 1), np.int32)
-    for step in range(2 * REACH + 1):
-        if step != REACH:
-            context[:, :DIMS] += index[padded[step:step + n]]
-    context[:, DIMS] = 1
-    order = np.argsort(ids, kind="stable")
-    own = ids[order]
-    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    sums = np.add.reduceat(context[order], starts, axis=0)
-    real = own[starts] < BUCKETS
-    table[own[starts[real]]] += sums[real]
+    for at in range(0, len(ids), step):
+        part = ids[at:at + step]
+        context = np.zeros((len(part), DIMS + 1), np.int32)
+        for shift in range(2 * REACH + 1):
+            if shift != REACH:
+                context[:, :DIMS] += index[padded[at + shift:at + shift + len(part)]]
+        context[:, DIMS] = 1
+        order = np.argsort(part, kind="stable")
+        own = part[order]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        sums = np.add.reduceat(context[order], starts, axis=0)
+        real = own[starts] < BUCKETS
+        table[own[starts[real]]] += sums[real]
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -101,8 +103,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             gap = np.full(REACH, BUCKETS, np.int64)
             ids = np.concatenate([x for text in text_bytes(batch.column(0)) for x in (tokens(text, memo), gap)])
             seen = True
-            for k in range(0, len(ids), 50_000):  # bounded work space; a cut loses no token, only its neighbours
-                add_contexts(table, ids[k:k + 50_000], index)
+            add_contexts(table, ids, index)
         if seen:
             for block, part in enumerate(np.split(table.reshape(-1), TABLE_BLOCKS)):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed(part)], pa.binary())],

@@ -12,9 +12,9 @@ which every row is held where it stands: a source that holds most rows is never
 Built-in DataFrame functions throughout.
 
 Defined cases: null or empty text has size 0 and is taken 0 words; a null source is a source of
-its own, last in order; sources of size 0 have target 0; null ids share one key; repeated rows
-tie and are ordered by size, then taken in any order, which gives the same result; extra columns
-are ignored by the report and kept by ``mixed``; an empty table gives an empty result.
+its own, last in order; sources of size 0 have target 0; rows without an id draw by their text;
+ties are ordered by id, size and text, and equal rows are taken one by one, any of them first;
+extra columns are ignored by the report and kept by ``mixed``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,9 +43,10 @@ def quality_weight(text: Column) -> Column:
         F.greatest(F.lit(0.25), 1.0 - 5.0 * symbols.cast("double") / length))
 
 
-def uniform(key: Column, salt: str) -> Column:
-    """A number in (0, 1) that depends on the key and salt alone: 52 bits of an MD5."""
-    digits = F.substring(F.md5(F.concat(F.lit(salt + ":"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13)
+def uniform(key: Column, text: Column, salt: str) -> Column:
+    """A number in (0, 1) that depends on the key (without one, the text) and salt alone: 52 bits of an MD5."""
+    name = F.coalesce(key.cast("string"), F.md5(text), F.lit("null"))
+    digits = F.substring(F.md5(F.concat(F.lit(salt + ":"), name)), 1, 13)
     return (F.conv(digits, 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(2.0**52)
 
 
@@ -78,20 +79,25 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return common.select("source", "source_size", target.alias("target"))
 
 
+_PLACE = ("_mix_key", "_mix_id", "_mix_size", "_mix_tag")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None, salt: str,
            buckets: int) -> list[Column]:
-    """Columns of a row's place in the order of its source."""
+    """Columns of a row's place in the order of its source; only equal rows share a place."""
     text = F.col(f"`{text_col}`").cast("string")
     weight = quality_weight(text) if weight is None else weight
-    key = -F.log(uniform(F.col(f"`{id_col}`"), salt)) / weight
+    key = -F.log(uniform(F.col(f"`{id_col}`"), text, salt)) / weight
     return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("_mix_id"),
-            F.col(f"`{source_col}`").cast("string").alias("_mix_source"), n_words(text).alias("_mix_size"), key.alias("_mix_key"),
+            F.col(f"`{source_col}`").cast("string").alias("_mix_source"), n_words(text).alias("_mix_size"),
+            F.xxhash64(text).alias("_mix_tag"), key.alias("_mix_key"),
             # 1 - exp(-key) rises with the key and is spread evenly where weights are 1
             F.floor((1 - F.exp(-key)) * buckets).cast("int").alias("_mix_bucket")]
 
 
 def _cuts(keyed: DataFrame, max_epochs: int, buckets: int) -> DataFrame:
-    """One row per source: sizes, complete epochs, and the last place of the partial one."""
+    """One row per source: sizes, complete epochs, the last place of the partial one and how many
+    of the equal rows at that place go in."""
     filled = keyed.groupBy("_mix_source", "_mix_bucket").agg(F.sum("_mix_size").alias("filled"))
     sources = filled.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("filled").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -104,26 +110,34 @@ def _cuts(keyed: DataFrame, max_epochs: int, buckets: int) -> DataFrame:
     ends = cut(begins.join(budgets, F.col("_mix_source").eqNullSafe(F.col("source"))).where("begin + filled > budget")
                .groupBy("source").agg(F.min(F.struct("_mix_bucket", "begin", "budget")).alias("e"))
                .select(F.col("source").alias("e_source"), F.col("e._mix_bucket").alias("end_bucket"), "e.begin", "e.budget"), "mix-ends")
-    in_order = (Window.partitionBy("_mix_source").orderBy("_mix_key", "_mix_id", "_mix_size")
-                .rowsBetween(Window.unboundedPreceding, -1))
+    in_order = Window.partitionBy("_mix_source").orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, -1)
     # one bucket of each source is sorted: rows / buckets
     last = keyed.join(ends, F.col("_mix_source").eqNullSafe(F.col("e_source")) & (F.col("_mix_bucket") == F.col("end_bucket")))
     last = last.withColumn("before", F.col("begin") + F.coalesce(F.sum("_mix_size").over(in_order), F.lit(0)))
     # the document that crosses the budget goes in when that ends nearer to it
     taken = last.where((F.col("before") < F.col("budget")) & (2 * (F.col("budget") - F.col("before")) >= F.col("_mix_size")))
-    places = taken.groupBy(F.col("_mix_source").alias("p_source")).agg(
-        F.max(F.struct("_mix_key", "_mix_id", "_mix_size")).alias("last_place"))
+    places = (taken.groupBy(F.col("_mix_source").alias("p_source"), F.struct(*_PLACE).alias("place")).agg(F.count("*").alias("n"))
+              .groupBy("p_source").agg(F.max(F.struct("place", "n")).alias("p")))
     return cut(budgets.join(ends.select("e_source", "end_bucket"), F.col("source").eqNullSafe(F.col("e_source")), "left")
                .join(places, F.col("source").eqNullSafe(F.col("p_source")), "left")
-               .select(F.col("source").alias("_cut_source"), "source_size", "target", "epochs",
-                       F.coalesce("end_bucket", F.lit(buckets + 1)).alias("end_bucket"), "last_place"), "mix-cuts")
-
-
-def _copies() -> Column:
-    at = F.struct("_mix_key", "_mix_id", "_mix_size")
-    partial = (F.col("_mix_bucket") < F.col("end_bucket")) | (
-        (F.col("_mix_bucket") == F.col("end_bucket")) & F.coalesce(at <= F.col("last_place"), F.lit(False)))
-    return F.col("epochs") + partial.cast("long")
+               .select(F.col("source").alias("_cut_source"), F.col("source_size").alias("_cut_size"), F.col("target").alias("_cut_target"),
+                       F.col("epochs").alias("_cut_epochs"), F.coalesce("end_bucket", F.lit(buckets + 1)).alias("_cut_bucket"),
+                       F.col("p.place").alias("_cut_place"), F.col("p.n").alias("_cut_n")), "mix-cuts")
+
+
+def _placed(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows with ``_mix_copies``, how often the mix takes them. Each row is decided where it stands;
+    only the equal rows at the last place of a source are numbered."""
+    met = keyed.join(cuts, F.col("_mix_source").eqNullSafe(F.col("_cut_source")))
+    place = F.struct(*_PLACE)
+    at_end = F.coalesce((F.col("_mix_bucket") == F.col("_cut_bucket")) & (place == F.col("_cut_place")), F.lit(False))
+    before = (F.col("_mix_bucket") < F.col("_cut_bucket")) | (
+        (F.col("_mix_bucket") == F.col("_cut_bucket")) & F.coalesce(place < F.col("_cut_place"), F.lit(False)))
+    most = met.where(~at_end).withColumn("_mix_copies", F.col("_cut_epochs") + before.cast("long"))
+    equal = Window.partitionBy("_mix_source").orderBy(*_PLACE)
+    last = (met.where(at_end).withColumn("_mix_nth", F.row_number().over(equal))
+            .withColumn("_mix_copies", F.col("_cut_epochs") + (F.col("_mix_nth") <= F.col("_cut_n")).cast("long")).drop("_mix_nth"))
+    return most.unionByName(last)
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -133,9 +147,10 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     prepare(docs.sparkSession)
     # the texts are read once; what follows sees narrow rows
     keyed = cut(docs.select(_keyed(docs, id_col, text_col, source_col, weight, salt, buckets)), "mix-keys")
-    placed = keyed.join(_cuts(keyed, max_epochs, buckets), F.col("_mix_source").eqNullSafe(F.col("_cut_source")))
-    return placed.select(shown_id("_mix_id").alias("doc_id"), F.col("_mix_size").alias("size"), "source_size", "target",
-                         (F.col("_mix_size") * _copies()).alias("taken"), _copies().alias("copies"))
+    return _placed(keyed, _cuts(keyed, max_epochs, buckets)).select(
+        shown_id("_mix_id").alias("doc_id"), F.col("_mix_size").alias("size"), F.col("_cut_size").alias("source_size"),
+        F.col("_cut_target").alias("target"), (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"),
+        F.col("_mix_copies").alias("copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -145,6 +160,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     prepare(docs.sparkSession)
     columns = _keyed(docs, id_col, text_col, source_col, weight, salt, buckets)
     keyed = cut(docs.select(columns), "mix-keys")
-    placed = docs.select("*", *columns).join(_cuts(keyed, max_epochs, buckets), F.col("_mix_source").eqNullSafe(F.col("_cut_source")))
-    return (placed.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.greatest(_copies(), F.lit(1)))))
-            .where(_copies() > 0).select(*(F.col(f"`{c}`") for c in docs.columns)))
+    placed = _placed(docs.select("*", *columns), _cuts(keyed, max_epochs, buckets)).where("_mix_copies > 0")
+    return (placed.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
+            .select(*(F.col(f"`{c}`") for c in docs.columns)))

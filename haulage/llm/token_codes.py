@@ -56,7 +56,7 @@ class DirectCodes:
             words = np.zeros(blocks * (RANK_BLOCK // 64) * 8, np.uint8)
             words[:len(bits)] = bits
             words = words.view("<u8")
-            per_block = np.bitwise_count(words).reshape(blocks, -1).sum(axis=1, dtype=np.uint32)
+            per_block = np.bitwise_count(words).reshape(blocks, RANK_BLOCK // 64).sum(axis=1, dtype=np.uint32)
             ranks = (np.cumsum(per_block, dtype=np.uint32) - per_block).astype("<u4")
             levels.append((chunk, words, ranks))
             if not more.any():
