@@ -1,12 +1,10 @@
 """Keyed tables: upsert change batches into a base table, list, clear, mask.
 
-A list that is scanned per item becomes set operations. A change batch is reduced
-per key (``max_by`` over ``seq``); while it is small (checked) it is broadcast
-against the base, which is then scanned but never shuffled. Larger batches are
-unioned with the base and grouped by key, ``max_by`` over ``(origin, seq)`` picking
-the winner. ``max_by`` / ``min_by`` / ``count`` aggregate partially on the map side,
-so a key that holds a third of all rows is combined inside each task before the
-shuffle.
+A list that is scanned per item becomes one aggregation: base and changes are unioned and grouped
+by key, ``max_by`` over ``(origin, seq)`` picking the winner. ``max_by`` / ``min_by`` / ``count``
+aggregate partially on the map side, so a key that holds a third of all rows is combined inside
+each task before the one shuffle. There is one plan for every batch size, so the rows never depend
+on how large a batch is; a base with repeated keys is reduced to its latest row per key.
 
 Ordering: a key keeps its first place (``first_seq``), values come from its last
 change. ``seq`` must grow across batches (an offset, event id or time).
@@ -21,11 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.functions.scalars import MASK, masked
-from haulage.operators.sizing import fits_broadcast
-
-# Change batches with at most this many distinct keys are broadcast against the base,
-# so the base is scanned but never shuffled; larger batches take the union + aggregate path.
-BROADCAST_CHANGE_KEYS = 2_000_000
 
 
 def _check_keys(df: DataFrame, keys: Sequence[str], seq: str) -> None:
@@ -38,14 +31,14 @@ def _null_key(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
-def _guard_null_keys(changes: DataFrame, keys: Sequence[str], null_key: str) -> DataFrame:
+def _guard_null_keys(rows: DataFrame, keys: Sequence[str], null_key: str, what: str) -> DataFrame:
     if null_key == "skip":
-        return changes.filter(~_null_key(keys))
+        return rows.filter(~_null_key(keys))
     if null_key == "error":
         # Raised by the executors while the rows stream: no extra pass over the data.
         # A filter (not a dropped column) so that column pruning cannot remove the check.
-        guard = F.when(_null_key(keys), F.raise_error(F.lit("upsert: null key in changes")))
-        return changes.filter(F.coalesce(guard.cast("boolean"), F.lit(True)))
+        guard = F.when(_null_key(keys), F.raise_error(F.lit(f"upsert: null key in {what}")))
+        return rows.filter(F.coalesce(guard.cast("boolean"), F.lit(True)))
     raise ValueError("null_key must be 'error' or 'skip'")
 
 
@@ -71,89 +64,45 @@ def _grouped(base: DataFrame | None, changes: DataFrame, keys: Sequence[str], se
     )
 
 
-def _reduce_changes(changes: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """One row per changed key: its last values and its first position in the batch."""
-    values = [c for c in changes.columns if c not in keys]
-    return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(seq)).alias("_w"),
-                                      F.min(F.col(seq)).alias("_first"))
-
-
-def _upsert_broadcast(base: DataFrame, reduced: DataFrame, keys: Sequence[str], seq: str,
-                      columns: Sequence[str]) -> DataFrame:
-    """Small reduced batch against a large base: the base streams through a broadcast join."""
-    values = [c for c in columns if c not in keys]
-    base_pos = F.col("first_seq") if "first_seq" in base.columns else F.col(seq)
-    small = F.broadcast(reduced.withColumn("_hit", F.lit(True)))
-    replaced = base.withColumn("_bpos", base_pos).join(small, list(keys), "left").select(
-        *keys,
-        *[F.when(F.col("_hit").isNotNull(), F.col(f"_w.{c}")).otherwise(F.col(c)).alias(c) for c in values],
-        F.col("_bpos").alias("first_seq"))
-    matched = base.select(*keys).join(F.broadcast(reduced.select(*keys)), list(keys), "left_semi").distinct()
-    added = (reduced.join(F.broadcast(matched), list(keys), "left_anti")
-                    .select(*keys, *[F.col(f"_w.{c}").alias(c) for c in values], F.col("_first").alias("first_seq")))
-    return replaced.unionByName(added)
-
-
 def upsert(base: DataFrame | None, changes: DataFrame, keys: Sequence[str], seq: str,
-           null_key: str = "error", strategy: str = "auto",
-           max_broadcast_keys: int = BROADCAST_CHANGE_KEYS) -> DataFrame:
+           null_key: str = "error") -> DataFrame:
     """Replace rows whose key matches, append the others.
 
-    Returns the columns of ``changes`` (winner's values) plus ``first_seq``, the
-    position the key keeps. ``null_key="error"`` fails the job on a null key,
-    ``"skip"`` drops such changes. ``base=None`` is an empty base.
-
-    ``strategy``: ``"broadcast"`` reduces the batch per key and broadcasts it
-    against the base (no shuffle of the base); ``"aggregate"`` unions both and
-    groups by key (shuffles both); ``"auto"`` counts the batch's keys once and
-    broadcasts while they stay within ``max_broadcast_keys`` rows and the
-    session's broadcast size (rows x estimated width).
+    Returns the columns of ``changes`` (winner's values) plus ``first_seq``, the position the key
+    keeps: one row per key, whatever the sizes. A base that repeats a key counts with its latest
+    row and its first position. ``null_key="error"`` fails the job on a null key in either table,
+    ``"skip"`` drops such rows. ``base=None`` is an empty base.
     """
     keys = list(keys)
     _check_keys(changes, keys, seq)
-    if strategy not in ("auto", "broadcast", "aggregate"):
-        raise ValueError("strategy must be auto, broadcast or aggregate")
-    changes = _guard_null_keys(changes, keys, null_key)
-    if base is not None and sorted(c for c in base.columns if c != "first_seq") != sorted(changes.columns):
-        raise ValueError(f"base {base.columns} and changes {changes.columns} differ")
-    if base is not None and strategy != "aggregate":
-        reduced = _reduce_changes(changes, keys, seq)
-        if strategy == "broadcast" or fits_broadcast(reduced, max_rows=max_broadcast_keys)[0]:
-            out = _upsert_broadcast(base, reduced, keys, seq, changes.columns)
-            return out.select(*keys, *[c for c in changes.columns if c not in keys], "first_seq")
+    changes = _guard_null_keys(changes, keys, null_key, "changes")
+    if base is not None:
+        base = _guard_null_keys(base, keys, null_key, "base")
     g = _grouped(base, changes, keys, seq)
     return g.select(*keys, "_w.*", "first_seq")
 
 
-def upsert_counts(base: DataFrame | None, changes: DataFrame, keys: Sequence[str],
-                  seq: str, max_broadcast_keys: int = BROADCAST_CHANGE_KEYS) -> DataFrame:
+def upsert_counts(base: DataFrame | None, changes: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """One row (added, updated, skipped) for a bulk upsert with null keys skipped.
 
     A key new to the base counts once as added; every further change of it in the
-    same batch counts as updated. Raises at once on an empty batch. The batch's keys
-    are matched against the base by a semi join (broadcast while within
-    ``max_broadcast_keys``), so the base is not shuffled.
+    same batch counts as updated. Raises at once on an empty batch. Base keys and changes
+    meet in one aggregation per key, partially combined before its shuffle.
     """
     keys = list(keys)
     _check_keys(changes, keys, seq)
     if changes.isEmpty():
         raise ValueError("no changes given")
+    rows = changes.select(*keys, F.lit(0).alias("_base"), F.lit(1).alias("_n"))
+    if base is not None:
+        rows = rows.unionByName(base.select(*keys, F.lit(1).alias("_base"), F.lit(0).alias("_n")).filter(~_null_key(keys)))
+    per_key = rows.groupBy(*keys).agg(F.max("_base").alias("_base"), F.sum("_n").alias("_n"))
     null = _null_key(keys)
-    batch_keys = changes.filter(~null).select(*keys).distinct()
-    if base is None:
-        new_keys = batch_keys
-    else:
-        small = fits_broadcast(batch_keys, max_rows=max_broadcast_keys)[0]
-        probe = F.broadcast(batch_keys) if small else batch_keys
-        matched = base.select(*keys).join(probe, keys, "left_semi").distinct()
-        new_keys = batch_keys.join(matched, keys, "left_anti")
-    parts = changes.select(F.lit(0).alias("_added"), F.when(null, 0).otherwise(1).alias("_n"),
-                           F.when(null, 1).otherwise(0).alias("_skipped")).unionByName(
-        new_keys.select(F.lit(1).alias("_added"), F.lit(0).alias("_n"), F.lit(0).alias("_skipped")))
-    return parts.agg(
-        F.coalesce(F.sum("_added"), F.lit(0)).cast("bigint").alias("added"),
-        F.coalesce(F.sum(F.col("_n") - F.col("_added")), F.lit(0)).cast("bigint").alias("updated"),
-        F.coalesce(F.sum("_skipped"), F.lit(0)).cast("bigint").alias("skipped"))
+    added = F.sum(F.when(~null & (F.col("_base") == 0), 1).otherwise(0))
+    return per_key.agg(
+        added.cast("bigint").alias("added"),
+        (F.sum(F.when(null, 0).otherwise(F.col("_n"))) - added).cast("bigint").alias("updated"),
+        F.sum(F.when(null, F.col("_n")).otherwise(0)).cast("bigint").alias("skipped"))
 
 
 def latest(df: DataFrame, seq: str) -> DataFrame:

@@ -5,10 +5,10 @@ entry points run them under Structured Streaming with checkpoints in the shared
 checkpoint folder.
 
 Fan-out is a product by definition (each message to each subscriber), so its
-output is messages x subscribers. The subscriber side is bounded and checked: up
-to ``BROADCAST_SUBSCRIBERS`` rows it is broadcast (no shuffle of the messages);
-beyond that the messages are spread over salt buckets and each bucket meets a
-copy of the subscriber table in an ordinary shuffled equi-join.
+output is messages x subscribers. The messages are spread over salt buckets and each
+bucket meets a copy of the subscriber table in an ordinary equi-join: as many buckets
+as the session has shuffle partitions, so they rise with the cluster. There is no hint:
+Spark broadcasts the copies only when they measure below the session's threshold.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.operators.ordered import lag_by_key
-from haulage.operators.sizing import fits_broadcast
 
 # The three notification texts and their lifecycle order.
 MESSAGE_FORMATS = {
@@ -33,8 +32,6 @@ PREVIOUS_STAGE = {"processing": "finished", "started": "processing", "finished":
 DOWNLOAD_STAGES = {"view": "processing", "click": "started", "purchase": "finished"}
 SUBSCRIPTION_ACTIONS = {"view": "subscribe", "error": "unsubscribe"}
 
-BROADCAST_SUBSCRIBERS = 100_000
-SALT_BUCKETS = 64
 
 
 def _mapped(col: Column, mapping: Mapping[str, str]) -> Column:
@@ -76,22 +73,16 @@ def active_subscribers(actions: DataFrame, sub_col: str, action_col: str, seq_co
 
 
 def fan_out(msgs: DataFrame, subscribers: DataFrame, sub_col: str = "subscriber",
-            max_broadcast: int = BROADCAST_SUBSCRIBERS, salt_buckets: int = SALT_BUCKETS,
-            subscriber_rows: int | None = None) -> DataFrame:
+            salt_buckets: int | None = None) -> DataFrame:
     """Every message to every subscriber, no per-task filter.
 
-    Subscriber columns ride along (``sub_col`` is renamed ``subscriber``).
-    ``subscriber_rows`` may pass a known count; otherwise the subscriber table is
-    counted once (it is the small side). It is broadcast while within
-    ``max_broadcast`` rows and the session's broadcast size.
+    Subscriber columns ride along (``sub_col`` is renamed ``subscriber``). ``salt_buckets``
+    defaults to the session's number of shuffle partitions.
     """
     subs = subscribers.withColumnRenamed(sub_col, "subscriber") if sub_col != "subscriber" else subscribers
-    small, _ = fits_broadcast(subs, max_rows=max_broadcast, rows=subscriber_rows)
-    if small:
-        return (msgs.withColumn("_ch", F.lit(0))
-                    .join(F.broadcast(subs.withColumn("_ch", F.lit(0))), "_ch").drop("_ch"))
-    salted = msgs.withColumn("_salt", F.pmod(F.xxhash64(*msgs.columns), F.lit(salt_buckets)))
-    copies = subs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    buckets = salt_buckets or int(msgs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = msgs.withColumn("_salt", F.pmod(F.xxhash64(*msgs.columns), F.lit(buckets)).cast("int"))
+    copies = subs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return salted.join(copies, "_salt").drop("_salt")
 
 
@@ -100,8 +91,7 @@ def with_failures(subscribers: DataFrame, failures: DataFrame, sub_col: str = "s
     """G3, first half: each subscriber with the message (``failed_seq``) its send first failed at.
 
     Both sides are subscriber-sized; the result goes into :func:`fan_out` so the
-    check travels with the (broadcast) subscriber table instead of shuffling the
-    deliveries.
+    check travels with the subscriber table instead of shuffling the deliveries.
     """
     first_fail = (failures.groupBy(F.col(sub_col).alias("_sub"))
                           .agg(F.min(failed_seq_col).alias("failed_seq")))
@@ -114,11 +104,11 @@ def drop_failed(deliveries: DataFrame) -> DataFrame:
                       .drop("failed_seq"))
 
 
-def message_order(msgs: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def message_order(msgs: DataFrame, num_partitions: int | None = None, with_ts: bool = False) -> DataFrame:
     """Each message with ``in_order``: its predecessor (same task, by time) is the stage before."""
     lagged = lag_by_key(msgs.select("task_id", "stage", "ts", "seq"), ["task_id"], ["ts", "seq"], ["stage"],
                         num_partitions=num_partitions)
     expected = _mapped(F.col("stage"), PREVIOUS_STAGE)
     first_ok = F.col("prev_stage").isNull() & (F.col("stage") == F.lit("processing"))
     follows = F.coalesce(F.col("prev_stage") == expected, F.lit(False))
-    return lagged.select("task_id", "seq", "stage", (first_ok | follows).alias("in_order"))
+    return lagged.select("task_id", "seq", "stage", *(["ts"] if with_ts else []), (first_ok | follows).alias("in_order"))

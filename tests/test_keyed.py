@@ -22,28 +22,28 @@ def test_empty_batch_and_null_key_errors(spark):
     base = spark.createDataFrame([("a", 1, 0)], SCHEMA)
     with pytest.raises(ValueError):
         D.upsert_counts(base, spark.createDataFrame([], SCHEMA), ["name"], "seq")
-    for strategy in ("auto", "aggregate"):
-        with pytest.raises(PySparkException, match="null key"):  # raised while the rows stream
-            D.upsert(base, spark.createDataFrame([(None, 1, 1)], SCHEMA), ["name"], "seq",
-                     strategy=strategy).collect()
+    null = spark.createDataFrame([(None, 1, 1)], SCHEMA)
+    with pytest.raises(PySparkException, match="null key in changes"):  # raised while the rows stream
+        D.upsert(base, null, ["name"], "seq").collect()
+    with pytest.raises(PySparkException, match="null key in base"):
+        D.upsert(null, base, ["name"], "seq").collect()
 
 
 def test_upsert_twice_equals_once(spark, small):
     ev = spark.read.parquet(f"{small}/events.parquet")
     once = D.upsert(None, ev, ["user_id"], "event_id")
-    for strategy in ("broadcast", "aggregate"):
-        twice = D.upsert(once, ev, ["user_id"], "event_id", strategy=strategy)
-        assert twice.exceptAll(once).count() == 0 and once.exceptAll(twice).count() == 0
+    twice = D.upsert(once, ev, ["user_id"], "event_id")
+    assert twice.exceptAll(once).count() == 0 and once.exceptAll(twice).count() == 0
 
 
-def test_upsert_strategies_agree(spark, small):
-    ev = spark.read.parquet(f"{small}/events.parquet")
-    base = D.upsert(None, ev.filter("event_id < 400"), ["user_id", "event_type"], "event_id")
-    late = ev.filter("event_id >= 400")
-    a = D.upsert(base, late, ["user_id", "event_type"], "event_id", strategy="broadcast")
-    b = D.upsert(base, late, ["user_id", "event_type"], "event_id", strategy="aggregate")
-    assert a.columns == b.columns
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_rows_do_not_depend_on_the_batch_size(spark):
+    """A base that repeats keys, met by batches of 1 row and of many: one row per key each time."""
+    base = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 2), ("b", 4, 3)], SCHEMA)
+    for size in (1, 50, 5000):
+        changes = spark.createDataFrame([("a", 100 + k, 10 + k) for k in range(size)], SCHEMA)
+        got = sorted((r.name, r.v, r.first_seq) for r in D.upsert(base, changes, ["name"], "seq").collect())
+        assert got == [("a", 99 + size, 0), ("b", 4, 2)]
+        assert tuple(D.upsert_counts(base, changes, ["name"], "seq").first()) == (0, size, 0)
 
 
 def test_latest_and_empty(spark):
@@ -78,28 +78,8 @@ def test_masking(spark, text, secret, expected):
 def test_upsert_rejects_mismatched_columns(spark):
     base = spark.createDataFrame([("a", 1, 0, "x")], "name string, v int, seq long, extra string")
     changes = spark.createDataFrame([("a", 2, 1)], SCHEMA)
-    for strategy in ("broadcast", "aggregate"):
-        with pytest.raises(ValueError, match="differ"):
-            D.upsert(base, changes, ["name"], "seq", strategy=strategy)
-
-
-def _list_model(base, batch):
-    """Plain model: a list of (name, v); a change replaces in place or appends; null names skipped."""
-    rows = [list(r) for r in base]
-    added = updated = skipped = 0
-    for name, v in batch:
-        if name is None:
-            skipped += 1
-            continue
-        for r in rows:
-            if r[0] == name:
-                r[1] = v
-                updated += 1
-                break
-        else:
-            rows.append([name, v])
-            added += 1
-    return [tuple(r) for r in rows], (added, updated, skipped)
+    with pytest.raises(ValueError, match="differ"):
+        D.upsert(base, changes, ["name"], "seq")
 
 
 _names = st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"]))
@@ -108,14 +88,14 @@ _names = st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"]))
 @settings(max_examples=12, deadline=None)
 @given(base_keys=st.lists(st.sampled_from(["a", "b", "c", "d"]), unique=True, max_size=3),
        batch=st.lists(st.tuples(_names, st.integers(0, 9)), min_size=1, max_size=6))
-def test_upsert_matches_list_model(spark, base_keys, batch):
-    base_rows = [(k, 100 + i) for i, k in enumerate(base_keys)]
-    want_rows, want_counts = _list_model(base_rows, batch)
-    base = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(base_rows)], SCHEMA)
+def test_upsert_properties(spark, base_keys, batch):
+    """Keys are the union; a key's value is its last one, its place the first; counts add up."""
+    base = spark.createDataFrame([(k, 100 + i, i) for i, k in enumerate(base_keys)], SCHEMA)
     changes = spark.createDataFrame([(k, v, 10 + i) for i, (k, v) in enumerate(batch)], SCHEMA)
-    for strategy in ("broadcast", "aggregate"):
-        got = D.upsert(base, changes, ["name"], "seq", null_key="skip", strategy=strategy)
-        got_rows = [(r.name, r.v) for r in got.orderBy("first_seq").collect()]
-        assert got_rows == want_rows, strategy
+    got = [(r.name, r.v) for r in D.upsert(base, changes, ["name"], "seq", null_key="skip").orderBy("first_seq").collect()]
+    named = [k for k, _ in batch if k is not None]
+    assert [k for k, _ in got] == list(dict.fromkeys(base_keys + named))
+    last = {k: 100 + i for i, k in enumerate(base_keys)} | {k: v for k, v in batch if k is not None}
+    assert dict(got) == last
     c = D.upsert_counts(base, changes, ["name"], "seq").first()
-    assert (c.added, c.updated, c.skipped) == want_counts
+    assert c.added == len(set(named) - set(base_keys)) and c.added + c.updated == len(named) and c.skipped == len(batch) - len(named)
