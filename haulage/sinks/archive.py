@@ -1,10 +1,11 @@
 """ZIP-of-CSV and XLSX sinks as Spark Python data sources.
 
-Each executor task receives Arrow batches of its partition and streams them into
-its own archive (or workbook) in a staging folder next to the output, named by
-partition and task attempt. Only ``commit`` on the driver moves the files of the
-successful attempts to their final names, so a retried or speculative task never
-leaves a second copy; ``abort`` removes the staging folder.
+Each write is a job with a name of its own, and a folder ``job-<name>`` under the output. Executor
+tasks stream Arrow batches of their partitions straight into files there, named by partition,
+number and task attempt. A job is published by one small marker file that lists the files of the
+successful attempts: until it is there, readers see what was there before, and files of failed
+attempts are never listed. Appending adds a job; overwriting publishes the new job and only then
+removes the older ones, so a crash in between leaves rows twice at worst, never none.
 
 Values are turned into text by Spark first (JVM casts), so that the Python side
 only escapes and frames bytes, with vectorised Arrow kernels.
@@ -13,6 +14,8 @@ only escapes and frames bytes, with vectorised Arrow kernels.
 from __future__ import annotations
 
 import io
+import json
+import uuid
 import zipfile
 from dataclasses import dataclass, field
 from typing import Iterator
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
-from pyspark.sql.types import IntegralType, NumericType, StringType, StructField, StructType
+from pyspark.sql.types import DecimalType, IntegralType, NumericType, StringType, StructField, StructType
 
 from haulage.operators.columns import _quote
 from haulage.sinks.writers import flat_for_text
@@ -33,9 +36,13 @@ from haulage.sinks.writers import flat_for_text
 # Fixed values of the file formats.
 XLSX_MAX_DATA_ROWS = 1_048_575          # sheet rows minus the header row
 ZIP_DATE_TIME = (1980, 1, 1, 0, 0, 0)   # fixed entry time: identical input, identical archive
-STAGING = "_staging"
+XLSX_MAX_CELL_CHARS = 32_767
+EXACT_DOUBLE_INT = 2**53                # larger integers lose digits in a number cell
+EXACT_DOUBLE_DIGITS = 15                # decimals of more digits may, too
+MARKER = "_published-"
 
-_ILLEGAL_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+# characters a sheet cannot hold as they are; written as _xHHHH_
+_ESCAPED_XML = [*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x0D]
 
 
 def _fs(path: str):
@@ -48,20 +55,35 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _attempt() -> tuple[int, int]:
+def _attempt() -> tuple[int, int, int]:
+    """Partition, task attempt id (no other attempt has it), and how many attempts came before."""
     from pyspark import TaskContext
     ctx = TaskContext.get()
-    if ctx is None:
-        return 0, 0
-    return ctx.partitionId(), ctx.taskAttemptId()
+    return (0, 0, 0) if ctx is None else (ctx.partitionId(), ctx.taskAttemptId(), ctx.attemptNumber())
 
 
 @dataclass
 class StagedFiles(WriterCommitMessage):
-    files: list = field(default_factory=list)   # (staging path, final name, rows)
+    files: list = field(default_factory=list)   # (name, rows)
 
 
-class _StagedWriter(DataSourceArrowWriter):
+def published(path: str) -> list[str]:
+    """Driver side: the files of all published jobs under ``path`` (from the markers, sorted)."""
+    from pyarrow import fs as pafs
+    fs, root = _fs(path)
+    if fs.get_file_info(root).type == pafs.FileType.File:
+        return [root]
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    files = []
+    for info in found:
+        if info.path.rsplit("/", 1)[-1].startswith(MARKER):
+            with fs.open_input_stream(info.path) as marker:
+                job = json.loads(marker.read())
+            files += [f"{root}/{job['folder']}/{name}" for name, _ in job["files"]]
+    return sorted(files)
+
+
+class _JobWriter(DataSourceArrowWriter):
     suffix = ""
     default_level = 6   # zlib level of the deflated entries
 
@@ -74,6 +96,8 @@ class _StagedWriter(DataSourceArrowWriter):
         limit = int(options.get("rows_per_file") or 0)
         self.rows_per_file = limit if limit > 0 else self.max_rows()
         self.level = int(options.get("compresslevel") or self.default_level)
+        self.job = uuid.uuid4().hex[:16]    # made once, on the driver; tasks get it with the writer
+        self.folder = f"job-{self.job}"
 
     def max_rows(self) -> int:
         return 1 << 62
@@ -81,57 +105,59 @@ class _StagedWriter(DataSourceArrowWriter):
     # -- executor side
     def write(self, iterator: Iterator[pa.RecordBatch]) -> StagedFiles:
         fs, root = _fs(self.path)
-        part, attempt = _attempt()
-        fs.create_dir(f"{root}/{STAGING}", recursive=True)
-        staged, out, n_rows, seq = [], None, 0, 0
+        part, attempt, earlier = _attempt()
+        fs.create_dir(f"{root}/{self.folder}", recursive=True)
+        done, out, name, n_rows, seq = [], None, "", 0, 0
+
+        def begin():
+            entry = self.entry if self.single and not seq else f"{self.entry}-{part:05d}-{seq:03d}"
+            name = f"{entry}{self.suffix}" if entry == self.entry and not earlier else f"{entry}-{attempt}{self.suffix}"
+            return name, self.open(fs.open_output_stream(f"{root}/{self.folder}/{name}", compression=None), entry)
+
         for batch in iterator:
             start = 0
             while start < batch.num_rows:
                 if out is None:
-                    name = self.final_name(part, seq)
-                    spath = f"{root}/{STAGING}/{name}.{attempt}"
-                    out = self.open(fs.open_output_stream(spath), name)
-                    n_rows = 0
+                    (name, out), n_rows = begin(), 0
                 take = min(batch.num_rows - start, self.rows_per_file - n_rows)
                 self.add(out, batch.slice(start, take), n_rows)
                 n_rows += take
                 start += take
                 if n_rows >= self.rows_per_file:
                     self.close(out)
-                    staged.append((spath, name, n_rows))
+                    done.append((name, n_rows))
                     out, seq = None, seq + 1
-        if out is None and not staged:           # empty partition: still a valid file
-            name = self.final_name(part, 0)
-            spath = f"{root}/{STAGING}/{name}.{attempt}"
-            out, n_rows = self.open(fs.open_output_stream(spath), name), 0
+        if out is None and not done:           # empty partition: still a valid file
+            (name, out), n_rows = begin(), 0
         if out is not None:
             self.close(out)
-            staged.append((spath, name, n_rows))
-        return StagedFiles(files=staged)
-
-    def final_name(self, part: int, seq: int) -> str:
-        if self.single and seq == 0:
-            return f"{self.entry}{self.suffix}"
-        return f"{self.entry}-{part:05d}-{seq:03d}{self.suffix}"
+            done.append((name, n_rows))
+        return StagedFiles(files=done)
 
     # -- driver side
     def commit(self, messages: list[StagedFiles]) -> None:
         from pyarrow import fs as pafs
         fs, root = _fs(self.path)
-        if self.overwrite:
-            for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
-                base = info.path.rsplit("/", 1)[-1]
-                if base != STAGING and info.type == pafs.FileType.File:
-                    fs.delete_file(info.path)
-        for msg in messages:
-            for spath, name, _ in (msg.files if msg else []):
-                fs.move(spath, f"{root}/{name}")
-        fs.delete_dir(f"{root}/{STAGING}")
+        files = [list(f) for msg in messages if msg for f in msg.files]
+        before = [i.path for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+                  if i.path.rsplit("/", 1)[-1].startswith(MARKER)] if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{MARKER}{self.job}.json", compression=None) as out:
+            out.write(json.dumps({"folder": self.folder, "files": files}).encode())
+        # published from here on; what follows only clears up
+        for marker in before:
+            with fs.open_input_stream(marker) as old:
+                folder = json.loads(old.read())["folder"]
+            fs.delete_file(marker)
+            fs.delete_dir(f"{root}/{folder}")
+        listed = {name for name, _ in files}
+        for info in fs.get_file_info(pafs.FileSelector(f"{root}/{self.folder}")):
+            if info.path.rsplit("/", 1)[-1] not in listed:   # failed or speculative attempts
+                fs.delete_file(info.path)
 
     def abort(self, messages) -> None:
         fs, root = _fs(self.path)
         try:
-            fs.delete_dir(f"{root}/{STAGING}")
+            fs.delete_dir(f"{root}/{self.folder}")
         except (FileNotFoundError, OSError):
             pass
 
@@ -157,7 +183,7 @@ class _ZipOut:
         self.entry.write(header)
 
 
-class ZipCsvWriter(_StagedWriter):
+class ZipCsvWriter(_JobWriter):
     """E5: each archive holds one CSV entry (header + rows), deflated."""
 
     suffix = ".zip"
@@ -166,7 +192,7 @@ class ZipCsvWriter(_StagedWriter):
         header = io.BytesIO()
         pcsv.write_csv(pa.table({c: pa.array([], pa.string()) for c in self.schema.names}), header,
                        pcsv.WriteOptions(include_header=True, quoting_style="needed"))
-        return _ZipOut(stream, name[: -len(self.suffix)] + ".csv", header.getvalue(), self.level)
+        return _ZipOut(stream, name + ".csv", header.getvalue(), self.level)
 
     def add(self, out: _ZipOut, batch, rows_before):
         buf = io.BytesIO()
@@ -238,7 +264,12 @@ def _concatenated(arr) -> memoryview:
 
 
 def _xml_text(arr: pa.Array) -> pa.Array:
-    arr = pc.replace_substring_regex(arr, _ILLEGAL_XML, "")
+    """Escaped cell text. What looks like an escape gets its underscore escaped, so reading gives
+    back every character."""
+    arr = pc.replace_substring_regex(arr, r"_(x[0-9A-Fa-f]{4}_)", r"_x005F_\1")
+    if pc.any(pc.match_substring_regex(arr, r"[\x00-\x08\x0B-\x1F]")).as_py():
+        for code in _ESCAPED_XML:
+            arr = pc.replace_substring(arr, chr(code), f"_x{code:04X}_")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         arr = pc.replace_substring(arr, a, b)
     return arr
@@ -265,11 +296,13 @@ class _XlsxOut:
         self.sheet.write((_SHEET_HEAD + f'<row r="1">{cells}</row>').encode("utf-8"))
 
 
-class XlsxWriter(_StagedWriter):
+class XlsxWriter(_JobWriter):
     """One worksheet per workbook, at most 1,048,575 data rows each.
 
     Numeric columns become number cells, everything else inline strings (no
-    shared-string table, so memory stays flat). Empty cells stay empty.
+    shared-string table, so memory stays flat). Empty cells stay empty. Numbers a double cannot
+    hold (decimals of over 15 digits, integers beyond 2**53) become text cells with all their
+    digits; text over the format's cell limit is an error.
     """
 
     suffix = ".xlsx"
@@ -301,7 +334,15 @@ class XlsxWriter(_StagedWriter):
                     finite = pc.fill_null(pc.is_finite(col), True)
                     if not pc.all(finite).as_py():
                         cell = pc.if_else(finite, cell, _inline(ref, text))
+                elif pa.types.is_integer(col.type):
+                    exact = pc.fill_null(pc.and_(pc.greater_equal(col, -EXACT_DOUBLE_INT), pc.less_equal(col, EXACT_DOUBLE_INT)), True)
+                    if not pc.all(exact).as_py():
+                        cell = pc.if_else(exact, cell, _inline(ref, text))
             else:
+                longest = pc.max(pc.utf8_length(text)).as_py() or 0
+                if longest > XLSX_MAX_CELL_CHARS:
+                    raise ValueError(f"column {self.schema.names[i]!r}: a text of {longest} characters does not fit a cell "
+                                     f"({XLSX_MAX_CELL_CHARS})")
                 cell = _inline(ref, _xml_text(text))
             cells.append(pc.fill_null(cell, ""))
         rows = pc.binary_join_element_wise(pa.scalar('<row r="'), row_no, pa.scalar('">'), *cells,
@@ -315,18 +356,6 @@ class XlsxWriter(_StagedWriter):
         out.stream.close()
 
 
-def _list_files(path: str, suffix: str) -> list[str]:
-    """Driver side: names of the archives under ``path`` (metadata only, sorted)."""
-    from pyarrow import fs as pafs
-    fs, root = _fs(path)
-    info = fs.get_file_info(root)
-    if info.type == pafs.FileType.File:
-        return [root]
-    found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
-    return sorted(f.path for f in found if f.type == pafs.FileType.File and f.path.endswith(suffix)
-                  and f"/{STAGING}/" not in f.path)
-
-
 class _FilePartition(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -347,7 +376,7 @@ class ZipCsvReader(DataSourceReader):
         self.path, self.schema = path, schema
 
     def partitions(self):
-        return [_FilePartition(p) for p in _list_files(self.path, ".zip")]
+        return [_FilePartition(p) for p in published(self.path) if p.endswith(".zip")]
 
     def read(self, partition: _FilePartition):
         fs, _ = _fs(self.path)
@@ -357,7 +386,7 @@ class ZipCsvReader(DataSourceReader):
                                       strings_can_be_null=True, quoted_strings_can_be_null=False)
         with zf.open(entry) as fh:
             reader = pcsv.open_csv(fh, read_options=pcsv.ReadOptions(use_threads=False),
-                                   parse_options=pcsv.ParseOptions(newlines_in_values=True),
+                                   parse_options=pcsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=len(names) > 1),
                                    convert_options=convert)
             for batch in reader:
                 yield batch
@@ -371,7 +400,7 @@ class ZipCsvDataSource(DataSource):
         return "csv_zip"
 
     def schema(self):
-        files = _list_files(self.options["path"], ".zip")
+        files = [p for p in published(self.options["path"]) if p.endswith(".zip")]
         if not files:
             raise FileNotFoundError(f"no archives under {self.options['path']}")
         fs, _ = _fs(self.options["path"])
@@ -387,104 +416,13 @@ class ZipCsvDataSource(DataSource):
         return ZipCsvWriter(self.options, schema, overwrite)
 
 
-def _sheet_chunks(stream, chunk_size: int = 16 << 20):
-    """The sheet XML in pieces that each end at a row end (the last piece may be the tail)."""
-    tail = b""
-    while True:
-        chunk = stream.read(chunk_size)
-        data = tail + chunk
-        if not chunk:
-            if data:
-                yield data.decode("utf-8")
-            return
-        cut = data.rfind(b"</row>")
-        if cut < 0:
-            tail = data
-            continue
-        cut += len(b"</row>")
-        yield data[:cut].decode("utf-8")
-        tail = data[cut:]
-
-
-def _unescape(arr: pa.Array) -> pa.Array:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        arr = pc.replace_substring(arr, a, b)
-    return arr
-
-
-def _row_fragments(piece: str) -> pa.Array:
-    """One string per ``<row>`` element of a piece of sheet XML."""
-    parts = pa.array(piece.split("</row>"), pa.string())
-    return pc.filter(parts, pc.match_substring(parts, "<row"))
-
-
-def _column_values(rows: pa.Array, letter: str) -> pa.Array:
-    """Text of column ``letter`` in each row fragment (vectorised; null where absent)."""
-    # cell text is escaped, so it never holds "<": [^<]* matches it without backtracking
-    cell = pc.extract_regex(rows, rf'<c r="{letter}[0-9]+"(?: t="inlineStr"><is><t[^>]*>|><v>)(?P<v>[^<]*)<')
-    return _unescape(pc.struct_field(cell, "v"))
-
-
-def _sheet_header(stream) -> list[str]:
-    for piece in _sheet_chunks(stream):
-        rows = _row_fragments(piece)
-        if len(rows):
-            first, names = rows.slice(0, 1), []
-            for letter in _col_letters(16384):          # the widest sheet a workbook allows
-                value = _column_values(first, letter)[0].as_py()
-                if value is None:
-                    break
-                names.append(value)
-            return names
-    return []
-
-
-def _sheet_batches(stream, names: list[str]):
-    """Record batches of text columns from a sheet written by this sink (header skipped)."""
-    letters = _col_letters(len(names))
-    header_done = False
-    for piece in _sheet_chunks(stream):
-        rows = _row_fragments(piece)
-        if not header_done and len(rows):
-            rows, header_done = rows.slice(1), True
-        if len(rows):
-            yield pa.RecordBatch.from_arrays([_column_values(rows, L) for L in letters], names=names)
-
-
-class XlsxReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.schema = path, schema
-
-    def partitions(self):
-        return [_FilePartition(p) for p in _list_files(self.path, ".xlsx")]
-
-    def read(self, partition: _FilePartition):
-        fs, _ = _fs(self.path)
-        zf = zipfile.ZipFile(fs.open_input_file(partition.path))
-        with zf.open("xl/worksheets/sheet1.xml") as fh:
-            yield from _sheet_batches(fh, self.schema.names)
-
-
 class XlsxDataSource(DataSource):
-    """``xlsx_shards``: sink of E4, and a reader of its workbooks (text columns)."""
+    """``xlsx_shards``: sink of E4."""
 
     @classmethod
     def name(cls):
         return "xlsx_shards"
 
-    def schema(self):
-        files = _list_files(self.options["path"], ".xlsx")
-        if not files:
-            raise FileNotFoundError(f"no workbooks under {self.options['path']}")
-        fs, _ = _fs(self.options["path"])
-        zf = zipfile.ZipFile(fs.open_input_file(files[0]))
-        with zf.open("xl/worksheets/sheet1.xml") as fh:
-            header = _sheet_header(fh)
-        return StructType([StructField(n, StringType(), True) for n in header])
-
-    def reader(self, schema):
-        return XlsxReader(self.options["path"], schema)
-
     def writer(self, schema, overwrite):
         return XlsxWriter(self.options, schema, overwrite)
 
@@ -509,6 +447,8 @@ def _for_sheet(df: DataFrame) -> DataFrame:
         c = F.col(_quote(f.name))
         if isinstance(f.dataType, IntegralType):
             c = c.cast("bigint")
+        elif isinstance(f.dataType, DecimalType) and f.dataType.precision > EXACT_DOUBLE_DIGITS:
+            c = c.cast("string")
         elif isinstance(f.dataType, NumericType):
             c = c.cast("double")
         else:
@@ -549,9 +489,3 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the CSV entries of the archives under ``path`` (all columns text)."""
     register_sinks(spark)
     return spark.read.format("csv_zip").load(path)
-
-
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the workbooks under ``path`` (all columns text)."""
-    register_sinks(spark)
-    return spark.read.format("xlsx_shards").load(path)

@@ -31,6 +31,7 @@ CSV_WRITE_OPTIONS = {
     "timestampFormat": TS_FORMAT + "XXX",
     "timestampNTZFormat": TS_FORMAT,
 }
+LONE_NULL = "\\N"
 JSON_WRITE_OPTIONS = {
     "ignoreNullFields": "false",
     "timestampFormat": TS_FORMAT + "XXX",
@@ -64,6 +65,9 @@ def _writer(df: DataFrame, single_file: bool, mode: str, partition_by: Sequence[
             rows_per_file: int | None = None):
     if single_file:
         df = df.coalesce(1)
+    elif partition_by:
+        # rows of one folder meet in a few tasks; REBALANCE splits a folder that is large
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -74,9 +78,14 @@ def _writer(df: DataFrame, single_file: bool, mode: str, partition_by: Sequence[
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "overwrite",
               partition_by: Sequence[str] | None = None, rows_per_file: int | None = None) -> str:
-    """CSV with header; one part file per partition (more with ``rows_per_file``)."""
-    (_writer(flat_for_text(df), single_file, mode, partition_by, rows_per_file)
-        .options(**CSV_WRITE_OPTIONS).csv(path))
+    """CSV with header; one part file per partition (more with ``rows_per_file``).
+
+    A lone column's null would be an empty line, which CSV readers skip: there it is written as
+    ``LONE_NULL`` (read back with ``nullValue``).
+    """
+    flat = flat_for_text(df)
+    options = CSV_WRITE_OPTIONS | ({"nullValue": LONE_NULL} if len(flat.columns) - len(partition_by or ()) == 1 else {})
+    _writer(flat, single_file, mode, partition_by, rows_per_file).options(**options).csv(path)
     return path
 
 
@@ -113,8 +122,8 @@ def write_table(df: DataFrame, path: str, fmt: str | None = "csv", single_file:
     if kind == "zip":
         return write_zip(df, path, entry_name=entry_name, single_file=single_file, mode=mode,
                          rows_per_file=rows_per_file, compresslevel=compresslevel)
-    return write_xlsx(df, path, single_file=single_file, mode=mode, rows_per_file=rows_per_file,
-                      compresslevel=compresslevel)
+    return write_xlsx(df, path, entry_name=entry_name, single_file=single_file, mode=mode,
+                      rows_per_file=rows_per_file, compresslevel=compresslevel)
 
 
 def records(df: DataFrame) -> DataFrame:
@@ -132,6 +141,18 @@ def task_path(root: str, task_id: str) -> str:
     return posixpath.join(root.rstrip("/"), task_id)
 
 
+def rows_per_output(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """(file, file_rows) of every output file of a CSV, JSON or parquet job: a count by file name."""
+    kind = normalize_format(fmt)
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if kind == "csv":
+        from haulage.sources.load import MULTILINE_OPTIONS
+        df = reader.options(**MULTILINE_OPTIONS).csv(path)
+    else:
+        df = reader.format(kind).load(path)
+    return df.groupBy(F.substring_index(F.input_file_name(), "/", -1).alias("file")).agg(F.count(F.lit(1)).alias("file_rows"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per output file: path, file_type, size, modified. Content is never read.
 

@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from haulage.plans.readback import read_sheets
 from haulage.sinks import archive as Z
 from haulage.sinks import writers as E
 
@@ -28,8 +29,8 @@ def test_format_dispatch():
 def test_csv_round_trip_keeps_text(spark, scratch):
     df = _edge(spark)
     path = E.write_csv(df, scratch + "/csv")
-    from haulage.sources.load import CSV_READ_OPTIONS
-    back = {r.i: r for r in spark.read.options(**CSV_READ_OPTIONS).schema(df.schema).csv(path).collect()}
+    from haulage.sources.load import MULTILINE_OPTIONS
+    back = {r.i: r for r in spark.read.options(**MULTILINE_OPTIONS).schema(df.schema).csv(path).collect()}
     assert back[1].q == 'a"b,c\nd' and back[2].e == " y " and back[2].q == "007" and back[2].d == 1e-9
     assert back[1].n is None  # null stays null; '' is written as "" (read back by Spark as null or '')
 
@@ -63,11 +64,10 @@ def test_zip_sink(spark, scratch):
     # one file when asked; same input gives the same bytes
     one = Z.write_zip(_edge(spark), scratch + "/zip1", entry_name="task_1", single_file=True)
     two = Z.write_zip(_edge(spark), scratch + "/zip2", entry_name="task_1", single_file=True)
-    a = open(_local(one) + "/task_1.zip", "rb").read()
-    b = open(_local(two) + "/task_1.zip", "rb").read()
-    assert a == b
-    with zipfile.ZipFile(_local(one) + "/task_1.zip") as zf:
-        assert zf.namelist() == ["task_1.csv"]
+    names = [Z.published(p)[0] for p in (one, two)]
+    assert open(names[0], "rb").read() == open(names[1], "rb").read()
+    with zipfile.ZipFile(names[0]) as zf:
+        assert zf.namelist()[0].startswith("task_1") and zf.namelist()[0].endswith(".csv")
 
 
 def test_xlsx_sink_rolls_over(spark, scratch, small):
@@ -75,16 +75,51 @@ def test_xlsx_sink_rolls_over(spark, scratch, small):
     path = Z.write_xlsx(nation, scratch + "/xlsx", rows_per_file=10)
     m = E.manifest(spark, path).collect()
     assert len(m) == 3 and {r.media_type for r in m} == {E.MEDIA_TYPES["xlsx"]}
-    back = Z.read_xlsx(spark, path).select(F.col("n_nationkey").cast("int").alias("k"), "n_name")
+    back = read_sheets(spark, path, nation.columns).select(F.col("n_nationkey").cast("int").alias("k"), "n_name")
     assert back.count() == 25
     assert back.exceptAll(nation.select(F.col("n_nationkey").alias("k"), "n_name")).count() == 0
 
 
-def test_xlsx_escapes_text(spark, scratch):
-    df = spark.createDataFrame([("<a & b>", "x\x01y")], "s string, c string")
-    path = Z.write_xlsx(df, scratch + "/esc")
-    row = Z.read_xlsx(spark, path).first()
-    assert row.s == "<a & b>" and row.c == "xy"
+def test_xlsx_keeps_every_character_and_digit(spark, scratch):
+    from decimal import Decimal
+    rows = [("<a & b>", "x\x01y\rz", "_x0041_", Decimal("12345678901234567890.1234567891"), 2**53 + 1, 0.5), (None, "", "_", None, None, None)]
+    df = spark.createDataFrame(rows, "s string, c string, e string, d decimal(30,10), b long, f double")
+    path = Z.write_xlsx(df.coalesce(1), scratch + "/esc", entry_name="task_9")
+    got = sorted(map(tuple, read_sheets(spark, path, df.columns).collect()), key=repr)
+    assert got == sorted([("<a & b>", "x\x01y\rz", "_x0041_", "12345678901234567890.1234567891", str(2**53 + 1), "0.5"),
+                          (None, "", "_", None, None, None)], key=repr)
+    assert all("/task_9" in f for f in Z.published(path))
+
+
+def test_xlsx_refuses_text_that_no_cell_holds(spark, scratch):
+    with pytest.raises(Exception, match="does not fit a cell"):
+        Z.write_xlsx(spark.createDataFrame([("x" * 32_768,)], "s string"), scratch + "/long")
+
+
+@pytest.mark.parametrize("kind", ["zip", "xlsx"])
+def test_append_adds_and_overwrite_replaces(spark, scratch, kind):
+    path = f"{scratch}/jobs-{kind}"
+    write = Z.write_zip if kind == "zip" else Z.write_xlsx
+    read = (lambda: Z.read_zip(spark, path)) if kind == "zip" else (lambda: read_sheets(spark, path, ["id"]))
+    write(spark.range(10), path)
+    write(spark.range(10, 20), path, mode="append")
+    assert sorted(int(r.id) for r in read().collect()) == list(range(20))
+    assert {f.path for f in E.manifest(spark, path).collect()} == {f"file:{p}" for p in Z.published(path)}
+    write(spark.range(5), path)
+    assert sorted(int(r.id) for r in read().collect()) == list(range(5))
+    with pytest.raises(Exception, match="boom"):
+        write(spark.range(50).select(F.when(F.col("id") == 7, F.raise_error(F.lit("boom"))).otherwise(F.col("id")).alias("id")), path)
+    assert sorted(int(r.id) for r in read().collect()) == list(range(5))  # a failed overwrite takes nothing away
+
+
+def test_lone_column_keeps_its_null_rows(spark, scratch):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "c string").coalesce(1)
+    from haulage.sources.load import CSV_READ_OPTIONS
+    path = E.write_csv(df, scratch + "/lone")
+    assert spark.read.options(**CSV_READ_OPTIONS, nullValue=E.LONE_NULL).csv(path).exceptAll(df).count() == 0
+    assert spark.read.options(**CSV_READ_OPTIONS, nullValue=E.LONE_NULL).csv(path).count() == 3
+    back = Z.read_zip(spark, Z.write_zip(df, scratch + "/lonezip"))
+    assert sorted(r.c or "" for r in back.collect()) == ["", "a", "b"]
 
 
 def test_manifest_and_media(spark, scratch):
@@ -111,7 +146,7 @@ def test_task_path():
 def test_xlsx_non_finite_numbers_become_text(spark, scratch):
     df = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 2.5), (4, None)], "i long, d double")
     path = Z.write_xlsx(df, scratch + "/nan")
-    got = {r.i: r.d for r in Z.read_xlsx(spark, path).collect()}
+    got = {r.i: r.d for r in read_sheets(spark, path, df.columns).collect()}
     assert got == {"1": "nan", "2": "inf", "3": "2.5", "4": None}
 
 
@@ -123,7 +158,7 @@ def test_rows_per_file_for_text_sinks(spark, scratch, small):
 
 
 def test_failed_archive_write_leaves_nothing(spark, scratch):
-    """A job that fails mid-write publishes no archive and removes its staging folder."""
+    """A job that fails mid-write publishes no archive and removes its folder."""
     import os
 
     df = spark.range(100).select(
@@ -132,6 +167,5 @@ def test_failed_archive_write_leaves_nothing(spark, scratch):
     with pytest.raises(Exception, match="boom"):
         Z.write_zip(df.repartition(3), target)
     local = _local(target)
-    left = [f for _, _, files in os.walk(local) for f in files] if os.path.exists(local) else []
-    assert not [f for f in left if f.endswith(".zip")]
-    assert not os.path.exists(os.path.join(local, Z.STAGING))
+    assert not [f for _, _, files in os.walk(local) for f in files if f.endswith(".zip")]
+    assert Z.published(target) == []
