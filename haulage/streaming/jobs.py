@@ -20,10 +20,11 @@ from haulage.operators.tasks import latest_status, task_events
 from haulage.streaming.notify import drop_failed, fan_out, messages, subscription_states, with_failures
 
 WATERMARK = "1 hour"
+MAX_FILES_PER_TRIGGER = 1000    # bounds a micro-batch; None takes all files at once
 
 
 def event_stream(spark: SparkSession, path: str, schema: StructType, ts_col: str = "ts",
-                 max_files_per_trigger: int | None = None) -> DataFrame:
+                 max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER) -> DataFrame:
     """Parquet files as a stream; ``timestamp_ntz`` times become ``timestamp`` for watermarks."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -51,22 +52,23 @@ def _start(df: DataFrame, sink: str, checkpoint: str, trigger: str, mode: str =
 
 def notification_stream(spark: SparkSession, events_path: str, schema: StructType,
                         subscribers: DataFrame, sink: str, checkpoint: str,
-                        failures: DataFrame | None = None, trigger: str = "availableNow") -> StreamingQuery:
+                        failures: Callable[[SparkSession], DataFrame] | str | None = None,
+                        trigger: str = "availableNow") -> StreamingQuery:
     """G1+G2(+G3): messages of new events, fanned out to the (static) subscriber table.
 
-    Without failures this is a stream-static join (broadcast subscribers). With a
-    failure table, every micro-batch reads the failures anew (so failures recorded
-    meanwhile apply), attaches them to the subscribers and fans out the batch.
+    ``failures`` is a parquet path or a function that makes the frame: it is looked up anew for
+    every micro-batch, so failures recorded meanwhile apply. (A frame itself would keep the file
+    list it was made with, so it is refused.)
     """
-    stream = event_stream(spark, events_path, schema).withWatermark("ts", WATERMARK)
-    msgs = messages(stream)
-    n_subs = subscribers.count()
+    if isinstance(failures, DataFrame):
+        raise TypeError("failures must be a path or a function, so that every batch reads them anew")
+    msgs = messages(event_stream(spark, events_path, schema).withWatermark("ts", WATERMARK))
     if failures is None:
-        return _start(fan_out(msgs, subscribers, subscriber_rows=n_subs), sink, checkpoint, trigger)
+        return _start(fan_out(msgs, subscribers), sink, checkpoint, trigger)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        subs = with_failures(subscribers, failures)
-        write_batch_partition(drop_failed(fan_out(batch, subs, subscriber_rows=n_subs)), batch_id, sink)
+        frame = batch.sparkSession.read.parquet(failures) if isinstance(failures, str) else failures(batch.sparkSession)
+        write_batch_partition(drop_failed(fan_out(batch, with_failures(subscribers, frame))), batch_id, sink)
 
     return _start(msgs, sink, checkpoint, trigger, batch_fn=write_batch)
 
@@ -124,123 +126,109 @@ def read_status_table(spark: SparkSession, sink: str) -> DataFrame:
     return read_latest(spark, sink, "task_id")
 
 
-def _replay_in_event_order(step, out_fields: list[str]):
-    """Build an ``applyInPandasWithState`` function that replays each key's events in
-    ``(ts, seq)`` order once the watermark has passed them.
+def _folder_frame(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A folder written by an earlier batch, or an empty frame."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
-    ``step(carry, kinds) -> (carry, values)`` folds a sorted pandas Series of event
-    kinds at once (vectorised); non-null values become output rows (key, seq, ts,
-    value). State: the carry and the events not yet behind the watermark (JSON); an
-    event-time timeout replays them when the watermark moves on without new data.
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
+
+
+EVENTS = "task_id long, kind string, ts timestamp, seq long"
+
+
+def _ordered_stream(events: DataFrame, judge: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
+                    delay: str, trigger: str) -> StreamingQuery:
+    """Judge (task_id, kind, ts, seq) events in event-time order, micro-batch by micro-batch.
+
+    Events wait until the watermark (latest event time - ``delay``) passes them, then ``judge``, the
+    batch operator, runs over them and, per task, the last event and the last non-cancel event that
+    passed before. Three folders hold the results, and each event is in exactly one of them:
+
+    * ``sink``: events the watermark has passed, one ``batch_id`` partition per micro-batch;
+    * ``sink-open``: the outcomes of waiting events as things stand, replaced by every batch, so
+      the newest events are never missing from :func:`read_ordered`;
+    * ``sink-late``: events older than the watermark when they came, kept for a recount.
+
+    The state (waiting events, last events per task) is a parquet folder per batch beside the
+    checkpoint; a repeated batch starts from the state of the one before it.
     """
-    def replay(key, frames, state):
-        import json
-
-        import pandas as pd
-
-        if state.exists:
-            carry_json, pending_json = state.get
-            carry, pending = json.loads(carry_json), pd.DataFrame(json.loads(pending_json))
-        else:
-            carry, pending = None, pd.DataFrame({"ts_us": [], "seq": [], "kind": []})
-        parts = [pending.astype({"ts_us": "int64", "seq": "int64"})]
-        for pdf in frames:
-            parts.append(pd.DataFrame({"ts_us": pdf["ts"].astype("int64") // 1_000,  # ns -> us
-                                       "seq": pdf["seq"].astype("int64"), "kind": pdf["kind"]}))
-        events = pd.concat(parts, ignore_index=True).sort_values(["ts_us", "seq"], kind="stable")
-        # The watermark has millisecond resolution: an event counts as passed once its
-        # millisecond is not after the watermark.
-        passed = events["ts_us"] // 1_000 <= state.getCurrentWatermarkMs()
-        ready, rest = events[passed], events[~passed]
-        out = pd.DataFrame({out_fields[0]: [], "seq": [], "ts": [], out_fields[1]: []})
-        if len(ready):
-            carry, values = step(carry, ready["kind"].reset_index(drop=True))
-            keep = values.notna().to_numpy()
-            out = pd.DataFrame({
-                out_fields[0]: key[0],
-                "seq": ready["seq"].to_numpy()[keep],
-                "ts": pd.to_datetime(ready["ts_us"].to_numpy()[keep], unit="us", utc=True),
-                out_fields[1]: values[keep].to_numpy(),
-            })
-        state.update((json.dumps(carry), json.dumps({c: rest[c].tolist() for c in ("ts_us", "seq", "kind")})))
-        if len(rest):
-            state.setTimeoutTimestamp(int(rest["ts_us"].min()) // 1_000 + 1)
-        yield out
-
-    return replay
-
-
-def _cancel_step(carry, kinds):
-    """F2 fold, vectorised. carry = [kind of the previous event, whether the task is known]."""
-    import pandas as pd
-
-    last_kind, known = carry or [None, False]
-    prev = kinds.shift(1)
-    prev.iloc[0] = last_kind
-    non_cancel = kinds != "cancel"
-    known_before = non_cancel.cummax().shift(1, fill_value=False) | known
-    values = pd.Series([None] * len(kinds), dtype=object)
-    is_cancel = ~non_cancel
-    values[is_cancel & ~known_before] = "not_found"
-    values[is_cancel & known_before & (prev == "start")] = "accepted"
-    values[is_cancel & known_before & (prev != "start")] = "rejected"
-    return [kinds.iloc[-1], bool(known or non_cancel.any())], values
-
-
-def _order_step(carry, stages):
-    """G5 fold, vectorised. carry = previous stage; value = whether a stage follows it."""
-    from haulage.streaming.notify import PREVIOUS_STAGE
-
-    prev = stages.shift(1)
-    prev.iloc[0] = carry
-    first_ok = prev.isna() & (stages == "processing")
-    follows = prev == stages.map(PREVIOUS_STAGE)
-    return stages.iloc[-1], (first_ok | follows).astype(object)
-
-
-_STATE = "carry string, pending string"
-
-
-def _ordered_stream(spark: SparkSession, frame: DataFrame, step, key: str, value: str,
-                    value_type: str, sink: str, checkpoint: str, delay: str, trigger: str) -> StreamingQuery:
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    from haulage.session import ship_package
-    ship_package(spark)
-    out_schema = f"{key} long, seq long, ts timestamp, {value} {value_type}"
-    result = frame.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(
-        _replay_in_event_order(step, [key, value]), out_schema, _STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    state = f"{checkpoint.rstrip('/')}-state"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        write_batch_partition(batch, batch_id, sink)
-
-    return _start(result, sink, checkpoint, trigger, batch_fn=write_batch)
+        spark = batch.sparkSession
+        held = _folder_frame(spark, f"{state}/batch-{batch_id - 1}", EVENTS + ", role string, mark timestamp").persist()
+        batch = batch.persist()
+        before = held.agg(F.max("mark")).first()[0]
+        newest = batch.agg(F.expr(f"max(ts) - INTERVAL '{delay}'")).first()[0]
+        mark = max((m for m in (before, newest) if m is not None), default=None)
+        is_late = F.lit(False) if before is None else F.col("ts") <= F.lit(before)
+        write_batch_partition(batch.where(is_late), batch_id, f"{sink}-late")
+        cols = ["task_id", "kind", "ts", "seq"]
+        last = held.where("role = 'last'").select(cols)
+        alive = held.where("role = 'waiting'").select(cols).unionByName(batch.where(~is_late).select(cols))
+        passed = F.lit(False) if mark is None else F.col("ts") <= F.lit(mark)
+        known = last.unionByName(alive.where(passed))
+        newer = F.lit(True) if before is None else F.col("ts") > F.lit(before)
+        write_batch_partition(judge(known).where(newer), batch_id, sink)
+        open_ = judge(known.unionByName(alive.where(~passed)))
+        open_ = open_.where(F.lit(True) if mark is None else F.col("ts") > F.lit(mark))
+        open_.write.mode("overwrite").parquet(f"{sink}-open")
+        order = F.struct("ts", "seq")
+        event = F.struct(*cols)
+        ends = known.groupBy("task_id").agg(F.max_by(event, order).alias("e"),
+                                            F.max_by(event, F.when(F.col("kind") != "cancel", order)).alias("f"))
+        ends = ends.select(F.explode(F.array_distinct(F.filter(F.array("e", "f"), lambda x: x.isNotNull()))).alias("e")).select("e.*")
+        tagged = (ends.withColumn("role", F.lit("last")).unionByName(alive.where(~passed).withColumn("role", F.lit("waiting")))
+                  .unionByName(spark.createDataFrame([(None, None, None, None, "mark")], EVENTS + ", role string")))
+        tagged.withColumn("mark", F.lit(mark).cast("timestamp")).write.mode("overwrite").parquet(f"{state}/batch-{batch_id}")
+        _remove(spark, f"{state}/batch-{batch_id - 2}")
+        held.unpersist()
+        batch.unpersist()
+
+    return _start(events, sink, checkpoint, trigger, batch_fn=write_batch)
+
+
+def read_ordered(spark: SparkSession, sink: str) -> DataFrame:
+    """All outcomes of an ordered stream: passed events and, as things stand, waiting ones."""
+    waiting = spark.read.parquet(f"{sink}-open")
+    return _folder_frame(spark, sink, waiting.schema).select(waiting.columns).unionByName(waiting)
+
+
+def late_events(spark: SparkSession, sink: str) -> DataFrame:
+    """Events that came after the watermark had passed them; they have no outcome."""
+    return _folder_frame(spark, f"{sink}-late", EVENTS + ", batch_id long")
 
 
 def cancel_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
-                  checkpoint: str, delay: str = "0 seconds", trigger: str = "availableNow",
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """F2 over a stream, in event-time order (custom stateful operator).
-
-    Events wait in per-task state until the watermark (max event time - ``delay``)
-    passes them, so events up to ``delay`` late are still put in order; each cancel
-    is then judged against the task's previous event. An event later than that is
-    judged in arrival order. State per task is small: the fold's carry plus the
-    events not yet behind the watermark. One task's events of one micro-batch meet
-    in one group, so ``max_files_per_trigger`` bounds that work for a hot task.
+                  checkpoint: str, delay: str = WATERMARK, trigger: str = "availableNow",
+                  max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER) -> StreamingQuery:
+    """F2 over a stream, in event-time order; read with :func:`read_ordered`.
+
+    Events up to ``delay`` late are put in order; later ones go to :func:`late_events`. The judging
+    is :func:`haulage.operators.tasks.cancel_outcomes`, which never gathers a task's events.
     """
+    from haulage.operators.tasks import cancel_outcomes
     ev = task_events(event_stream(spark, events_path, schema, max_files_per_trigger=max_files_per_trigger))
-    return _ordered_stream(spark, ev, _cancel_step, "task_id", "outcome", "string",
-                           sink, checkpoint, delay, trigger)
+    return _ordered_stream(ev, cancel_outcomes, sink, checkpoint, delay, trigger)
 
 
 def message_order_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
-                         checkpoint: str, delay: str = "0 seconds", trigger: str = "availableNow",
-                         max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """G5 over a stream: each download message with ``in_order`` (event-time order per task)."""
+                         checkpoint: str, delay: str = WATERMARK, trigger: str = "availableNow",
+                         max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER) -> StreamingQuery:
+    """G5 over a stream: each download message with ``stage`` and ``in_order`` (event-time order per
+    task); read with :func:`read_ordered`."""
+    from haulage.streaming.notify import message_order
+
+    def judge(events: DataFrame) -> DataFrame:
+        return message_order(events.withColumnRenamed("kind", "stage"), with_ts=True)
+
     stream = event_stream(spark, events_path, schema, max_files_per_trigger=max_files_per_trigger)
-    msgs = messages(stream).select(
-        "task_id", F.col("stage").alias("kind"), "ts", "seq")
-    return _ordered_stream(spark, msgs, _order_step, "task_id", "in_order", "boolean",
-                           sink, checkpoint, delay, trigger)
+    msgs = messages(stream).select("task_id", F.col("stage").alias("kind"), "ts", "seq")
+    return _ordered_stream(msgs, judge, sink, checkpoint, delay, trigger)

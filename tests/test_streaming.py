@@ -38,10 +38,13 @@ def test_status_stream_equals_batch(spark, small, scratch):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_cancel_stream_orders_late_events(spark, small, scratch):
-    """Rows of Jan 17 arrive after rows up to Jan 20; within the delay they are replayed in order."""
-    import datetime as dt
+def _cancels(spark, sink):
+    return J.read_ordered(spark, sink).select("task_id", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "outcome")
 
+
+def test_cancel_stream_puts_events_in_order_across_restarts(spark, small, scratch):
+    """Rows of Jan 17 arrive after rows up to Jan 20: within the delay they are judged in order, and
+    the newest events have their outcome without waiting for newer ones."""
     ev = spark.read.parquet(f"{small}/events.parquet")
     d = {k: F.lit(v).cast("timestamp_ntz") for k, v in
          {"17": "2024-01-17", "18": "2024-01-18", "20": "2024-01-20"}.items()}
@@ -51,16 +54,56 @@ def test_cancel_stream_orders_late_events(spark, small, scratch):
     src, sink, ck = scratch + "/events", scratch + "/sink", scratch + "/ck"
     first.coalesce(1).write.parquet(src)
     J.cancel_stream(spark, src, ev.schema, sink, ck, delay="5 days").awaitTermination()
+    part = T.cancel_outcomes(T.task_events(first))
+    assert _cancels(spark, sink).exceptAll(part).count() == 0 and part.exceptAll(_cancels(spark, sink)).count() == 0
     second.coalesce(1).write.mode("append").parquet(src)
     J.cancel_stream(spark, src, ev.schema, sink, ck, delay="5 days").awaitTermination()
-    got = spark.read.parquet(sink).select("task_id", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"),
-                                          "outcome")
-    # final watermark: latest event time minus the delay; later rows are still pending
-    watermark = ev.agg(F.max("ts")).first()[0] - dt.timedelta(days=5)
-    want = T.cancel_outcomes(T.task_events(ev)).filter(F.col("ts") < F.lit(watermark))
-    got = got.filter(F.col("ts") < F.lit(watermark))
-    assert got.filter((F.col("ts") >= d["17"]) & (F.col("ts") < d["18"])).count() > 0
+    got, want = _cancels(spark, sink), T.cancel_outcomes(T.task_events(ev))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert J.late_events(spark, sink).count() == 0
+
+
+def test_events_behind_the_watermark_are_kept_apart(spark, scratch):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    src, sink, ck = scratch + "/events", scratch + "/sink", scratch + "/ck"
+
+    def arrive(*rows):
+        (spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+         .withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(src))
+        from pyspark.sql.types import _parse_datatype_string
+        J.cancel_stream(spark, src, _parse_datatype_string(schema), sink, ck, delay="1 hour").awaitTermination()
+        return {(r.seq, r.outcome) for r in _cancels(spark, sink).collect()}
+
+    assert arrive((1, "2024-01-01 00:00:00", 7, "signup"), (2, "2024-01-01 10:00:00", 7, "click")) == {(2, "accepted")}
+    # late by ten hours: no outcome, but counted and kept
+    assert arrive((3, "2024-01-01 00:30:00", 7, "click")) == {(2, "accepted")}
+    assert [r.seq for r in J.late_events(spark, sink).collect()] == [3]
+    # late by less than the delay: judged before the event that came first
+    assert arrive((4, "2024-01-01 09:30:00", 7, "purchase")) == {(2, "rejected")}
+    assert arrive((5, "2024-01-02 00:00:00", 8, "click"), (6, "2024-01-02 00:00:01", 7, "click")) == {
+        (2, "rejected"), (5, "not_found"), (6, "rejected")}
+
+
+def test_failures_recorded_between_batches_apply(spark, scratch):
+    from pyspark.sql.types import _parse_datatype_string
+    src, sink, ck, bad = (f"{scratch}/{x}" for x in ("events", "sink", "ck", "failures"))
+    subs = spark.createDataFrame([("a",), ("b",)], "subscriber string")
+    fails = lambda *rows: spark.createDataFrame(rows, "subscriber string, failed_seq long").write.mode("append").parquet(bad)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+
+    def arrive(seq):
+        (spark.createDataFrame([(seq, "2024-01-01", 1, "view")], "event_id long, ts string, user_id long, event_type string")
+         .withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(src))
+        J.notification_stream(spark, src, _parse_datatype_string(schema), subs, sink, ck, failures=bad).awaitTermination()
+
+    fails(("x", 0))
+    arrive(1)
+    fails(("b", 2))
+    arrive(3)
+    assert sorted((r.seq, r.subscriber) for r in spark.read.parquet(sink).collect()) == [(1, "a"), (1, "b"), (3, "a")]
+    import pytest
+    with pytest.raises(TypeError):
+        J.notification_stream(spark, src, _parse_datatype_string(schema), subs, sink, ck, failures=subs)
 
 
 def test_subscription_stream_equals_batch_across_restarts(spark, small, scratch):
