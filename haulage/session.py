@@ -18,7 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcasts stay small and explicit; operators check sizes before they ask for one.
+    # checkpoint files go once nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Operators ask for broadcasts of one-row-per-partition tables only; all others go by measured size.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 

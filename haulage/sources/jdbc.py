@@ -94,11 +94,3 @@ def read_jdbc(spark: SparkSession, source: Source) -> DataFrame:
     else:
         reader = reader.option("query", query)
     return reader.load()
-
-
-def write_jdbc(df: DataFrame, source: Source, table: str, mode: str = "append",
-               batch_size: int = 10_000) -> None:
-    """Write a frame into a database table (each partition in its own connection)."""
-    (df.write.format("jdbc").options(**jdbc_options(source))
-       .option("dbtable", table).option("batchsize", str(batch_size))
-       .mode(mode).save())

@@ -21,7 +21,10 @@ def clean_query(text: str | None) -> str:
 
 
 def register_tables(spark: SparkSession, tables: Mapping[str, Any] | None) -> None:
-    """Expose ``name -> DataFrame | parquet path`` as temporary views for SQL text."""
+    """Expose ``name -> DataFrame | parquet path`` as temporary views for SQL text.
+
+    A view of that name is replaced: names given here belong to the text that is run.
+    """
     for name, value in (tables or {}).items():
         frame = value if isinstance(value, DataFrame) else spark.read.parquet(str(value))
         frame.createOrReplaceTempView(name)
@@ -35,25 +38,24 @@ def run_sql(spark: SparkSession, text: str, tables: Mapping[str, Any] | None = N
 
 def run_script(spark: SparkSession, script: str | None, query: str,
                tables: Mapping[str, Any] | None = None) -> DataFrame:
-    """Run a multi-statement script (CREATE / INSERT / views ...), then the query.
+    """Run a multi-statement script (CREATE / INSERT / views ...), then the query.
 
     The script runs as one Spark SQL compound block, so statement splitting, quoting
-    and errors are Spark's. It runs every time it is given: use fresh names or
-    ``CREATE OR REPLACE``.
+    and errors are Spark's; its rows are not asked for, only the query's frame is returned.
+    It runs every time it is given: use fresh names or ``CREATE OR REPLACE``.
     """
     register_tables(spark, tables)
     if script and script.strip():
         body = script.strip()
         if not body.endswith(";"):
             body += ";"
-        spark.sql(f"BEGIN\n{body}\nEND").collect()  # result of a script block is tiny
+        spark.sql(f"BEGIN\n{body}\nEND")
     return spark.sql(clean_query(query))
 
 
 # Options that make the CSV round trip keep text as it was written (see sinks.writers).
 CSV_READ_OPTIONS = {
     "header": "true",
-    "multiLine": "true",
     "escape": '"',
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
@@ -61,15 +63,22 @@ CSV_READ_OPTIONS = {
 }
 
 
-def read_text_table(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """Read CSV written by :func:`haulage.sinks.writers.write_csv`; types inferred over all rows."""
-    reader = spark.read.options(**CSV_READ_OPTIONS)
+# Only for text that holds line ends: such files are read whole, one task per file.
+MULTILINE_OPTIONS = {**CSV_READ_OPTIONS, "multiLine": "true"}
+
+
+def read_text_table(spark: SparkSession, path: str, infer: bool = True, multiline: bool = False) -> DataFrame:
+    """Read CSV written by :func:`haulage.sinks.writers.write_csv`; types inferred over all rows.
+
+    Files are split over tasks at line ends; ``multiline=True`` is for values with line ends.
+    """
+    reader = spark.read.options(**(MULTILINE_OPTIONS if multiline else CSV_READ_OPTIONS))
     if infer:
         reader = reader.option("inferSchema", "true")
     return reader.csv(path)
 
 
-def retype_via_text(df: DataFrame, path: str) -> DataFrame:
+def retype_via_text(df: DataFrame, path: str, multiline: bool = False) -> DataFrame:
     """Write as CSV, read back with inferred types (``007`` becomes 7, '' becomes null).
 
     Kept for parity with tools that pass data through CSV; the export path does not
@@ -78,7 +87,7 @@ def retype_via_text(df: DataFrame, path: str) -> DataFrame:
     from haulage.sinks.writers import write_csv
 
     write_csv(df, path)
-    return read_text_table(df.sparkSession, path, infer=True)
+    return read_text_table(df.sparkSession, path, infer=True, multiline=multiline)
 
 
 def load(spark: SparkSession, source: Source | Mapping[str, Any]) -> DataFrame:

@@ -49,11 +49,6 @@ def as_specs(items: Iterable[ColumnSpec | Mapping[str, Any]]) -> list[ColumnSpec
     return [i if isinstance(i, ColumnSpec) else ColumnSpec.from_dict(i) for i in items]
 
 
-def specs_frame(spark: SparkSession, specs: Iterable[ColumnSpec]) -> DataFrame:
-    """Specs as a small table (name, column, change_order), e.g. to store or upsert them."""
-    return spark.createDataFrame([(s.name, s.column, s.change_order) for s in specs], SPEC_SCHEMA)
-
-
 SOURCE_KINDS = ("sql", "script", "jdbc", "parquet", "csv", "json", "orc", "table")
 
 

@@ -19,11 +19,14 @@ def test_dispatch(spark, small):
         Source(kind="http")
 
 
-def test_script_then_query(spark):
-    script = ("CREATE OR REPLACE TEMPORARY VIEW products AS SELECT * FROM VALUES "
-              "(1, 'Laptop', 1200.00), (2, 'Mouse', 25.50) AS t(id, name, price)")
-    rows = run_script(spark, script, "SELECT * FROM products ORDER BY id;").collect()
-    assert [(r.id, r.name) for r in rows] == [(1, "Laptop"), (2, "Mouse")]
+def test_script_then_query(spark, scratch):
+    script = (f"CREATE TABLE haulage_script_t (k INT, label STRING) USING parquet LOCATION '{scratch}/t'; "
+              "INSERT INTO haulage_script_t SELECT id AS k, concat('row;', id) AS label FROM range(4) WHERE id > 1")
+    try:
+        rows = run_script(spark, script, "SELECT * FROM haulage_script_t ORDER BY k;").collect()
+        assert [(r.k, r.label) for r in rows] == [(2, "row;2"), (3, "row;3")]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS haulage_script_t")
 
 
 def test_retype_via_text_changes_types(spark, scratch):
@@ -38,9 +41,9 @@ def test_jdbc_url_and_options():
     assert jdbc.jdbc_url(s) == "jdbc:postgresql://h:5432/db?sslmode=require"
     opts = jdbc.jdbc_options(s)
     assert opts["password"] == "p?w" and "p?w" not in opts["url"] and opts["user"] == "u"
-    ms = Source(kind="jdbc", db_type="mssql", host="h", port="1433", db_name="Nem", query="SELECT TOP 10 *",
-                driver="ODBC Driver 17 for SQL Server", connection_parameters="&encrypt=false")
-    assert jdbc.jdbc_url(ms) == "jdbc:sqlserver://h:1433;databaseName=Nem;encrypt=false"
+    ms = Source(kind="jdbc", db_type="mssql", host="h", port="1433", db_name="ledger", query="SELECT 2",
+                driver="ODBC Driver 18 for SQL Server", connection_parameters="&encrypt=false")
+    assert jdbc.jdbc_url(ms) == "jdbc:sqlserver://h:1433;databaseName=ledger;encrypt=false"
     assert jdbc.jdbc_options(ms)["driver"] == "com.microsoft.sqlserver.jdbc.SQLServerDriver"
     assert "*****" in repr(s) and "p?w" not in repr(s)
     with pytest.raises(ValueError):
