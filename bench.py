@@ -25,7 +25,6 @@ def main() -> None:
 
     from haulage.operators import columns as B
     from haulage.operators import keyed as D
-    from haulage.operators import keyed_store as KS
     from haulage.operators import paging as P
     from haulage.operators import tasks as T
     from haulage.plans import catalog
@@ -56,10 +55,6 @@ def main() -> None:
     def sink(writer):
         return lambda: writer(shaped(), scratch_folder(spark, "bench"))
 
-    cut = F.lit(catalog.CUTOFF).cast("timestamp_ntz")
-    store = KS.create_store(t("events").filter(F.col("ts") < cut), scratch_folder(spark, "bench-store"),
-                            ["user_id"], "event_id")
-
     jobs = {
         "apply_specs_csv": sink(E.write_csv),
         "apply_specs_json": sink(E.write_json),
@@ -72,8 +67,7 @@ def main() -> None:
                      ["user_id"], "event_id"),
             t("events").filter(F.col("ts") >= F.lit(catalog.CUTOFF).cast("timestamp_ntz")),
             ["user_id"], "event_id")),
-        "upsert_store": lambda: KS.upsert_store(spark, store, t("events").filter(F.col("ts") >= cut),
-                                                ["user_id"], "event_id"),
+        "upsert_store": noop(lambda: catalog.QUERIES["d10_upsert_store"](spark, SF_DIR)),
         "latest_status": noop(lambda: T.latest_status(T.task_events(t("events")))),
         "cancel_outcomes": noop(lambda: T.cancel_outcomes(T.task_events(t("events")))),
         "fan_out": noop(lambda: G.fan_out(G.messages(t("events")),

@@ -33,6 +33,16 @@ def strip_prefix_chars(text: Column | str, chars: str = "?&") -> Column:
     return F.ltrim(_c(text), F.lit(chars))
 
 
+def contains(text: Column | str, part: str) -> Column:
+    """Whether ``part`` occurs in the text."""
+    return F.contains(_c(text), F.lit(part))
+
+
+def quote_plus(text: Column | str) -> Column:
+    """The text as a form value: reserved characters in %XX, blanks as plus signs."""
+    return F.url_encode(_c(text))
+
+
 def head(text: Column | str, n: int) -> Column:
     """The first ``n`` characters."""
     return F.left(_c(text), F.lit(n))

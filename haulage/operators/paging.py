@@ -7,16 +7,15 @@ reads may repeat or skip rows. Nothing here runs on the driver except counts.
 from __future__ import annotations
 
 from functools import reduce
-from typing import Iterable, Sequence
+from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType, VariantType
 
 from haulage.operators.ordered import with_row_number
 
-# Deepest (page + 1) * size still served by a bounded top-k; beyond it the rows are
-# numbered in parallel and the page is a filter.
+# Most rows a bounded top-k keeps per task ((page + 1) * size); deeper pages are numbered in parallel.
 TOP_K_ROWS = 100_000
 PREVIEW_ROWS = 100   # rows a preview shows
 DEFAULT_PAGE_SIZE = 10
@@ -28,21 +27,33 @@ def _cols(keys: Sequence[str | Column]) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
 
+def _total_order(df: DataFrame, keys: Sequence[str | Column]) -> list[Column]:
+    """The keys, then every other column that can be sorted, to settle ties."""
+    named = {k for k in keys if isinstance(k, str)}
+    rest = [f.name for f in df.schema.fields if f.name not in named and not isinstance(f.dataType, (MapType, VariantType))]
+    return [*_cols(keys), *(F.col(f"`{c}`") for c in rest)]
+
+
 def page(df: DataFrame, keys: Sequence[str | Column], size: int = DEFAULT_PAGE_SIZE,
          number: int = 0, method: str = "auto") -> DataFrame:
     """A4: rows ``number*size .. number*size+size-1`` in ``keys`` order.
 
-    ``method``: ``"topk"`` keeps (number+1)*size rows per task and merges them;
-    ``"numbered"`` numbers all rows in parallel and filters one page; ``"auto"``
-    picks top-k while the rows kept stay under ``TOP_K_ROWS``.
+    ``method``: ``"topk"`` keeps (number+1)*size rows per task and merges them, at most
+    ``TOP_K_ROWS``; ``"numbered"`` numbers all rows in parallel and filters one page; ``"auto"``
+    picks top-k while the rows kept stay under that. Both order by ``keys`` and then by all other
+    sortable columns, so rows that tie on the keys stand in one order for either method and only rows that
+    agree in every column can change places.
     """
     if size <= 0 or number < 0:
         raise ValueError("size must be positive and number non-negative")
     if method not in ("auto", "topk", "numbered"):
         raise ValueError("method must be auto, topk or numbered")
+    if method == "topk" and (number + 1) * size > TOP_K_ROWS:
+        raise ValueError(f"topk keeps at most {TOP_K_ROWS} rows; number the rows for deeper pages")
+    keys = _total_order(df, keys)
     if method == "topk" or (method == "auto" and (number + 1) * size <= TOP_K_ROWS):
         # TakeOrderedAndProject: each task keeps at most (number+1)*size rows.
-        return df.orderBy(*_cols(keys)).offset(number * size).limit(size)
+        return df.orderBy(*keys).offset(number * size).limit(size)
     numbered = with_row_number(df, keys, "_row")
     return (numbered.filter((F.col("_row") >= number * size) & (F.col("_row") < (number + 1) * size))
                     .orderBy("_row").drop("_row"))
@@ -89,6 +100,13 @@ def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
+def emptiness(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """C1 for several frames as one table (name, is_empty); one row per frame is looked at."""
+    return reduce(lambda a, b: a.unionByName(b), [
+        df.select(F.lit(1).alias("_one")).limit(1).agg((F.count("_one") == 0).alias("is_empty")).select(F.lit(name).alias("name"), "is_empty")
+        for name, df in frames.items()])
+
+
 def preview(df: DataFrame, keys: Sequence[str | Column], rows: int = PREVIEW_ROWS) -> DataFrame:
     """The first ``rows`` rows in a fixed order (a bounded top-k)."""
     return df.orderBy(*_cols(keys)).limit(rows)
@@ -101,9 +119,7 @@ def total_rows(df: DataFrame) -> DataFrame:
 
 def preview_notice(total: int, rows: int = PREVIEW_ROWS) -> str | None:
     """Text shown under a preview when the table has more rows than shown."""
-    if total > rows:
-        return f"Showing first {rows} rows of {total} total rows."
-    return None
+    return f"{rows} of {total} rows in view" if total > rows else None
 
 
 def observed(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:

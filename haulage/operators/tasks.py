@@ -42,8 +42,9 @@ def _state_of(kind: Column) -> Column:
 
 
 def task_events(events: DataFrame, mapping: Mapping[str, str] = EVENT_KINDS, task_col: str = "user_id",
-                type_col: str = "event_type", ts_col: str = "ts", seq_col: str = "event_id") -> DataFrame:
-    """Standard shape (task_id, kind, ts, seq); event types outside ``mapping`` are dropped."""
+                type_col: str = "event_type", ts_col: str = "ts", seq_col: str = "event_id",
+                error_col: str | None = None) -> DataFrame:
+    """Standard shape (task_id, kind, ts, seq[, error]); event types outside ``mapping`` are dropped."""
     kind = F.lit(None).cast("string")
     for src, k in mapping.items():
         if k not in KINDS:
@@ -51,23 +52,29 @@ def task_events(events: DataFrame, mapping: Mapping[str, str] = EVENT_KINDS, tas
         kind = F.when(F.col(type_col) == F.lit(src), F.lit(k)).otherwise(kind)
     return (events.filter(F.col(type_col).isin(*mapping))
                   .select(F.col(task_col).alias("task_id"), kind.alias("kind"),
-                          F.col(ts_col).alias("ts"), F.col(seq_col).alias("seq")))
+                          F.col(ts_col).alias("ts"), F.col(seq_col).alias("seq"),
+                          *([F.col(error_col).alias("error")] if error_col else [])))
 
 
 def latest_status(ev: DataFrame) -> DataFrame:
-    """one row per known task: task_id, status (one aggregation, map-side combined)."""
+    """one row per known task: task_id, status (one aggregation, map-side combined).
+
+    With an ``error`` column in the events, a failed task also carries the error of its last failure.
+    """
     pos = F.struct("ts", "seq")
     is_cancel = F.col("kind") == F.lit("cancel")
+    has_error = "error" in ev.columns
+    last_error = F.max_by(F.struct("error"), F.when(F.col("kind") == F.lit("fail"), pos))["error"] if has_error else F.lit(None).cast("string")
     agg = ev.groupBy("task_id").agg(
+        last_error.alias("_error"),
         F.max_by(F.when(~is_cancel, F.col("kind")), F.when(~is_cancel, pos)).alias("_last_kind"),
         F.max(F.when(~is_cancel, pos)).alias("_last_pos"),
         F.max(F.when(is_cancel, pos)).alias("_last_cancel"),
     )
     cancel_after = (F.col("_last_kind") == F.lit("start")) & (F.col("_last_cancel") > F.col("_last_pos"))
-    return (agg.filter(F.col("_last_kind").isNotNull())
-               .select("task_id",
-                       F.when(cancel_after, F.lit(CANCEL_REQUESTED)).otherwise(_state_of(F.col("_last_kind")))
-                        .alias("status")))
+    status = F.when(cancel_after, F.lit(CANCEL_REQUESTED)).otherwise(_state_of(F.col("_last_kind")))
+    error = [F.when(F.col("_last_kind") == F.lit("fail"), F.col("_error")).alias("error")] if has_error else []
+    return agg.filter(F.col("_last_kind").isNotNull()).select("task_id", status.alias("status"), *error)
 
 
 def cancel_outcomes(ev: DataFrame, num_partitions: int | None = None) -> DataFrame:
@@ -91,24 +98,24 @@ def status_lookup(requests: DataFrame, statuses: DataFrame, task_col: str = "tas
 
 def download_gate(requests: DataFrame, statuses: DataFrame, results: DataFrame,
                   task_col: str = "task_id") -> DataFrame:
-    """HTTP-like answer per request: code and detail, in the order the checks run.
+    """per request a code and what stands behind it, in the order the checks run.
 
-    unknown 404; failed 500; not completed 409; completed without a path 500; else 200.
+    unknown 404; failed 500 (with its error, if recorded); not completed 409; completed without a
+    path 500; else 200 and the path.
     ``results`` holds (task_id, output_path) for tasks that recorded one.
     """
+    error = F.col("error") if "error" in statuses.columns else F.lit(None).cast("string")
     j = (requests.select(F.col(task_col).alias("task_id"))
-                 .join(statuses.select("task_id", "status"), "task_id", "left")
+                 .join(statuses.select("task_id", "status", error.alias("error")), "task_id", "left")
                  .join(results.select("task_id", "output_path"), "task_id", "left"))
     code = (F.when(F.col("status").isNull(), F.lit(404))
              .when(F.col("status") == F.lit("failed"), F.lit(500))
              .when(F.col("status") != F.lit("completed"), F.lit(409))
              .when(F.col("output_path").isNull(), F.lit(500))
              .otherwise(F.lit(200)))
-    detail = (F.when(F.col("status").isNull(), F.lit("Task not found"))
-               .when(F.col("status") == F.lit("failed"), F.lit("Task failed"))
-               .when(F.col("status") != F.lit("completed"),
-                     F.format_string("Task %s is not yet completed. Current status: %s",
-                                     F.col("task_id").cast("string"), F.col("status")))
-               .when(F.col("output_path").isNull(), F.lit("Output file path not found for completed task."))
+    reason = (F.when(F.col("status").isNull(), F.lit("unknown task"))
+               .when(F.col("status") == F.lit("failed"), F.coalesce(F.col("error"), F.lit("failed")))
+               .when(F.col("status") != F.lit("completed"), F.col("status"))
+               .when(F.col("output_path").isNull(), F.lit("no output recorded"))
                .otherwise(F.col("output_path")))
-    return j.select("task_id", code.alias("code"), detail.alias("detail"))
+    return j.select("task_id", code.alias("code"), reason.alias("detail"))

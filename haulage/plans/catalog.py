@@ -7,15 +7,16 @@ views named like the tables). Column names agree between the two.
 from __future__ import annotations
 
 import re
+import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulage.functions import scalars as I
 from haulage.operators import columns as B
 from haulage.operators import keyed as D
-from haulage.operators import keyed_store as KS
+from haulage.operators import ordered as O
 from haulage.operators import paging as P
 from haulage.operators import tasks as T
 from haulage.streaming import jobs as J
@@ -24,7 +25,8 @@ from haulage.plans.export import run_export, scratch_folder
 from haulage.plans.sql_sweep import SWEEP, SWEEP_TABLES
 from haulage.sinks import archive as Z
 from haulage.sinks import writers as E
-from haulage.sources.load import load, retype_via_text, run_script, run_sql
+from haulage.plans.readback import read_sheets
+from haulage.sources.load import CSV_READ_OPTIONS, load, retype_via_text, run_script, run_sql
 from haulage.specs import ColumnSpec as S
 from haulage.specs import ExportSpec, Source
 
@@ -92,6 +94,58 @@ def a7_script(spark, sf_dir):
                       tables_in(script, sf_dir))
 
 
+def _stored(spark, sf_dir, name, fmt):
+    path = scratch_folder(spark, f"a1-{fmt}")
+    src = table(spark, sf_dir, name)
+    E.write_csv(src, path) if fmt == "csv" else src.write.format(fmt).save(path)
+    return path, src.schema
+
+
+@register("a1_load_csv", "SELECT * FROM orders")
+def a1_load_csv(spark, sf_dir):
+    """A whole table as CSV, read by splits (no value holds a line end)."""
+    path, schema = _stored(spark, sf_dir, "orders", "csv")
+    return _typed_like(load(spark, Source(kind="csv", path=path)), spark.createDataFrame([], schema))
+
+
+@register("a1_load_json", "SELECT * FROM customer")
+def a1_load_json(spark, sf_dir):
+    path, schema = _stored(spark, sf_dir, "customer", "json")
+    return _typed_like(load(spark, Source(kind="json", path=path)), spark.createDataFrame([], schema))
+
+
+@register("a1_load_orc", "SELECT * FROM lineitem")
+def a1_load_orc(spark, sf_dir):
+    path, _ = _stored(spark, sf_dir, "lineitem", "orc")
+    return load(spark, Source(kind="orc", path=path))
+
+
+@register("a1_load_table", "SELECT * FROM supplier")
+def a1_load_table(spark, sf_dir):
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("haulage_a1_supplier")
+    return load(spark, Source(kind="table", path="haulage_a1_supplier"))
+
+
+@register("h20_script", """
+    SELECT o_orderstatus, COUNT(*) AS n_orders, MAX(o_orderkey) AS last_order FROM orders
+    WHERE o_totalprice > 1000 GROUP BY o_orderstatus""")
+def h20_script(spark, sf_dir):
+    """CREATE TABLE, INSERT from a given table, then the query: as a script source."""
+    name, place = f"haulage_h20_{uuid.uuid4().hex[:8]}", scratch_folder(spark, "h20")
+    script = f"""CREATE TABLE {name} (o_orderkey BIGINT, o_orderstatus STRING) USING parquet LOCATION '{place}';
+                 INSERT INTO {name} SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 1000"""
+    query = f"SELECT o_orderstatus, COUNT(*) AS n_orders, MAX(o_orderkey) AS last_order FROM {name} GROUP BY o_orderstatus"
+    return load(spark, Source(kind="script", script=script, query=query, tables=tables_in(script, sf_dir)))
+
+
+@register("c1_emptiness", """
+    SELECT 'orders' AS name, COUNT(*) = 0 AS is_empty FROM orders UNION ALL
+    SELECT 'none', COUNT(*) = 0 FROM orders WHERE o_orderkey < 0""")
+def c1_emptiness(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return P.emptiness({"orders": orders, "none": orders.where("o_orderkey < 0")})
+
+
 @register("a8_retype_via_text", """
     SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey,
            c_acctbal, c_mktsegment FROM customer""")
@@ -292,13 +346,21 @@ def d4_upsert_hot_key(spark, sf_dir):
     return D.upsert(base, late, ["event_type"], "event_id")
 
 
+@register("d1_upsert_raw_base", _latest_sql("user_id"))
+def d1_upsert_raw_base(spark, sf_dir):
+    """D1 on a base that repeats its keys: one row per key all the same."""
+    early, late = _early_late(spark, sf_dir)
+    return D.upsert(early, late, ["user_id"], "event_id")
+
+
 @register("d10_upsert_store", _latest_sql("user_id"))
 def d10_upsert_store(spark, sf_dir):
-    """D1 on a stored keyed table: only the key buckets the batch touches are read and rewritten."""
+    """D1 over a stored table: the base is a written table, the result the next one."""
     early, late = _early_late(spark, sf_dir)
-    path = KS.create_store(early, scratch_folder(spark, "d10"), ["user_id"], "event_id")
-    KS.upsert_store(spark, path, late, ["user_id"], "event_id")
-    return KS.read_store(spark, path)
+    root = scratch_folder(spark, "d10")
+    E.write_parquet(D.upsert(None, early, ["user_id"], "event_id"), f"{root}/v1")
+    E.write_parquet(D.upsert(spark.read.parquet(f"{root}/v1"), late, ["user_id"], "event_id"), f"{root}/v2")
+    return spark.read.parquet(f"{root}/v2")
 
 
 @register("d5_list_count", "SELECT COUNT(DISTINCT user_id) AS n_rows FROM events")
@@ -343,14 +405,11 @@ def d9_mask(spark, sf_dir):
 
 # ------------------------------------------------------------------ E: sinks and manifest
 
-_LI_SQL = ("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag, "
-           "l_shipdate FROM lineitem")
+_LI_SQL = "SELECT * FROM lineitem"
 
 
 def _lineitem_cols(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag",
-        "l_shipdate")
+    return table(spark, sf_dir, "lineitem")
 
 
 def _typed_like(text_df: DataFrame, like: DataFrame) -> DataFrame:
@@ -362,10 +421,17 @@ def _typed_like(text_df: DataFrame, like: DataFrame) -> DataFrame:
 def e2_csv(spark, sf_dir):
     src = _lineitem_cols(spark, sf_dir)
     path = E.write_csv(src, scratch_folder(spark, "e2"))
-    from haulage.sources.load import CSV_READ_OPTIONS
     return spark.read.options(**CSV_READ_OPTIONS).schema(src.schema).csv(path)
 
 
+@register("e2_csv_lone_column", "SELECT CASE WHEN l_linenumber > 1 THEN l_shipdate END AS day FROM lineitem")
+def e2_csv_lone_column(spark, sf_dir):
+    """A one-column file keeps its null rows."""
+    src = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") > 1, F.col("l_shipdate")).alias("day"))
+    path = E.write_csv(src, scratch_folder(spark, "e2l"))
+    return spark.read.options(**CSV_READ_OPTIONS, nullValue=E.LONE_NULL).schema(src.schema).csv(path)
+
+
 @register("e3_json", _LI_SQL)
 def e3_json(spark, sf_dir):
     src = _lineitem_cols(spark, sf_dir)
@@ -376,8 +442,34 @@ def e3_json(spark, sf_dir):
 @register("e4_xlsx", _LI_SQL)
 def e4_xlsx(spark, sf_dir):
     src = _lineitem_cols(spark, sf_dir)
-    path = Z.write_xlsx(src, scratch_folder(spark, "e4"))
-    return _typed_like(Z.read_xlsx(spark, path), src)
+    path = Z.write_xlsx(src, scratch_folder(spark, "e4"), entry_name="lineitem")
+    return _typed_like(read_sheets(spark, path, src.columns), src)
+
+
+def _in_two(spark, sf_dir):
+    src = _lineitem_cols(spark, sf_dir)
+    half = F.col("l_orderkey") % 2 == 0
+    return src, src.where(half), src.where(~half | half.isNull())
+
+
+@register("e4_xlsx_append", _LI_SQL)
+def e4_xlsx_append(spark, sf_dir):
+    """Two writes into one output: the second adds its files to the first one's."""
+    src, one, two = _in_two(spark, sf_dir)
+    path = Z.write_xlsx(one, scratch_folder(spark, "e4a"))
+    Z.write_xlsx(two, path, mode="append")
+    return _typed_like(read_sheets(spark, path, src.columns), src)
+
+
+@register("e4_xlsx_exact", """
+    SELECT CAST(doc_id AS VARCHAR) AS id, CAST(CAST(n_chars AS DECIMAL(30, 10)) / 1 AS DECIMAL(30, 10)) AS exact,
+           CAST(9007199254740993 + doc_id AS BIGINT) AS big, chr(8) || lang || chr(13) || '_x0041_' AS marks FROM documents""")
+def e4_xlsx_exact(spark, sf_dir):
+    """Long decimals, integers beyond 2**53, control characters and what looks like an escape."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("n_chars").cast("decimal(30,10)").alias("exact"),
+        (F.lit(9007199254740993) + F.col("doc_id")).alias("big"), F.concat(F.lit("\b"), "lang", F.lit("\r_x0041_")).alias("marks"))
+    return _typed_like(read_sheets(spark, Z.write_xlsx(docs, scratch_folder(spark, "e4x")), docs.columns), docs)
 
 
 @register("e5_zip", _LI_SQL)
@@ -387,6 +479,14 @@ def e5_zip(spark, sf_dir):
     return _typed_like(Z.read_zip(spark, path), src)
 
 
+@register("e5_zip_append", _LI_SQL)
+def e5_zip_append(spark, sf_dir):
+    src, one, two = _in_two(spark, sf_dir)
+    path = Z.write_zip(one, scratch_folder(spark, "e5a"), entry_name="lineitem")
+    Z.write_zip(two, path, entry_name="lineitem", mode="append")
+    return _typed_like(Z.read_zip(spark, path), src)
+
+
 @register("e6_records", "SELECT * FROM nation")
 def e6_records(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
@@ -434,12 +534,17 @@ def e10_run_export(spark, sf_dir):
 
 
 @register("e7_manifest", """
-    SELECT 'task_csv' AS task_id, 'csv' AS file_type, 'text/csv' AS media_type, COUNT(*) AS rows
-    FROM orders JOIN customer ON o_custkey = c_custkey""")
+    SELECT 'task_csv' AS task_id, 'csv' AS file_type, 'text/csv' AS media_type, COUNT(*) AS rows,
+           COUNT(*) AS rows_in_files, true AS all_sized, true AS all_under_task FROM orders JOIN customer ON o_custkey = c_custkey""")
 def e7_manifest(spark, sf_dir):
-    """Manifest of a CSV export reduced to one row (file names and sizes vary by run)."""
-    _, files = _flagship_export(spark, sf_dir, "csv")
-    return files.groupBy("task_id", "file_type", "media_type").agg(F.max("rows").alias("rows"))
+    """Manifest of a CSV export in one row: rows of the job and of its files, sizes and places."""
+    spec, files = _flagship_export(spark, sf_dir, "csv")
+    path = E.task_path(spec.root, spec.task_id)
+    each = (files.withColumn("file", F.substring_index("path", "/", -1))
+            .join(E.rows_per_output(spark, path, "csv"), "file", "left"))
+    return each.groupBy("task_id", "file_type", "media_type").agg(
+        F.max("rows").alias("rows"), F.sum("file_rows").alias("rows_in_files"), (F.min("size") > 0).alias("all_sized"),
+        (F.min(F.contains("path", F.lit(f"/{spec.task_id}/")).cast("int")) == 1).alias("all_under_task"))
 
 
 # ------------------------------------------------------------------ F: task states
@@ -470,6 +575,15 @@ def f1_latest_status(spark, sf_dir):
     return _statuses(spark, sf_dir)
 
 
+@register("f1_status_error", f"""
+    SELECT s.task_id, s.status, CASE WHEN s.status = 'failed' THEN e.error END AS error
+    FROM ({_STATUS_SQL}) s LEFT JOIN (SELECT user_id AS task_id, arg_max(props, (ts, event_id)) AS error
+                                      FROM events WHERE event_type = 'error' GROUP BY user_id) e USING (task_id)""")
+def f1_status_error(spark, sf_dir):
+    """F1 with the error a failed task ended with."""
+    return T.latest_status(T.task_events(table(spark, sf_dir, "events"), error_col="props"))
+
+
 @register("f2_cancel", f"""
     WITH ev AS ({_TASK_EVENTS_SQL}),
     w AS (SELECT *, LAG(kind) OVER (PARTITION BY task_id ORDER BY ts, seq) AS prev_kind,
@@ -501,10 +615,8 @@ def f3_lookup(spark, sf_dir):
     SELECT c_custkey AS task_id,
       CASE WHEN s.status IS NULL THEN 404 WHEN s.status = 'failed' THEN 500
            WHEN s.status <> 'completed' THEN 409 WHEN r.output_path IS NULL THEN 500 ELSE 200 END AS code,
-      CASE WHEN s.status IS NULL THEN 'Task not found' WHEN s.status = 'failed' THEN 'Task failed'
-           WHEN s.status <> 'completed'
-             THEN 'Task ' || CAST(c_custkey AS VARCHAR) || ' is not yet completed. Current status: ' || s.status
-           WHEN r.output_path IS NULL THEN 'Output file path not found for completed task.'
+      CASE WHEN s.status IS NULL THEN 'unknown task' WHEN s.status = 'failed' THEN 'failed'
+           WHEN s.status <> 'completed' THEN s.status WHEN r.output_path IS NULL THEN 'no output recorded'
            ELSE r.output_path END AS detail
     FROM customer LEFT JOIN s ON s.task_id = c_custkey LEFT JOIN r ON r.task_id = c_custkey""")
 def f4_gate(spark, sf_dir):
@@ -531,14 +643,23 @@ def f5_stream_status(spark, sf_dir):
     return J.read_status_table(spark, f"{work}/sink")
 
 
+def _scattered_events(spark, sf_dir, folder):
+    """The events as four files that each hold times from all over the table: every micro-batch
+    brings events older than those before it."""
+    ev = table(spark, sf_dir, "events")
+    for part in range(4):
+        ev.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(folder)
+    return ev.schema
+
+
 @register("f6_stream_cancel", None)
 def f6_stream_cancel(spark, sf_dir):
-    """F2 as a stateful stream (applyInPandasWithState, event-time order)."""
+    """F2 as a stream over files out of order, judged in event-time order."""
     work = scratch_folder(spark, "f6")
-    schema = table(spark, sf_dir, "events").schema
-    q = J.cancel_stream(spark, _stream_path(sf_dir, "events"), schema, f"{work}/sink", f"{work}/checkpoint")
-    q.awaitTermination()
-    out = spark.read.parquet(f"{work}/sink")
+    schema = _scattered_events(spark, sf_dir, f"{work}/events")
+    J.cancel_stream(spark, f"{work}/events", schema, f"{work}/sink", f"{work}/checkpoint", delay="400 days",
+                    max_files_per_trigger=1).awaitTermination()
+    out = J.read_ordered(spark, f"{work}/sink")
     return out.select("task_id", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "outcome")
 
 
@@ -590,9 +711,9 @@ def g2_fan_out(spark, sf_dir):
 
 @register("g2_fan_out_salted", _FAN_OUT_SQL)
 def g2_fan_out_salted(spark, sf_dir):
-    """The path taken beyond the broadcast bound (forced here by a bound of 0)."""
+    """A given number of salt buckets."""
     subs = table(spark, sf_dir, "region").select(F.col("r_name").alias("subscriber"))
-    return G.fan_out(_messages(spark, sf_dir), subs, max_broadcast=0, salt_buckets=8)
+    return G.fan_out(_messages(spark, sf_dir), subs, salt_buckets=8)
 
 
 @register("g3_drop_failed", _FAILED_SQL)
@@ -640,20 +761,17 @@ def g6_stream_fan_out(spark, sf_dir):
 @register("g7_stream_drop_failed", _FAILED_SQL)
 def g7_stream_drop_failed(spark, sf_dir):
     subs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("subscriber"))
-    return _stream_deliveries(spark, sf_dir, "g7", subs, failures=_nation_failures(spark, sf_dir))
+    return _stream_deliveries(spark, sf_dir, "g7", subs, failures=lambda s: _nation_failures(s, sf_dir))
 
 
 @register("g8_stream_message_order", None)
 def g8_stream_message_order(spark, sf_dir):
-    """G5 as a stateful stream (event-time order per task)."""
+    """G5 as a stream over files out of order (event-time order per task)."""
     work = scratch_folder(spark, "g8")
-    schema = table(spark, sf_dir, "events").schema
-    q = J.message_order_stream(spark, _stream_path(sf_dir, "events"), schema, f"{work}/sink",
-                               f"{work}/checkpoint")
-    q.awaitTermination()
-    out = spark.read.parquet(f"{work}/sink")
-    stages = _messages(spark, sf_dir).select("seq", "stage")
-    return out.join(stages, "seq").select("task_id", "seq", "stage", "in_order")
+    schema = _scattered_events(spark, sf_dir, f"{work}/events")
+    J.message_order_stream(spark, f"{work}/events", schema, f"{work}/sink", f"{work}/checkpoint", delay="400 days",
+                           max_files_per_trigger=1).awaitTermination()
+    return J.read_ordered(spark, f"{work}/sink").select("task_id", "seq", "stage", "in_order")
 
 
 ORACLE["g8_stream_message_order"] = ORACLE["g5_message_order"]
@@ -667,6 +785,7 @@ ORACLE["g8_stream_message_order"] = ORACLE["g5_message_order"]
            ltrim(CASE WHEN instr(url, '?') > 0 THEN substr(url, instr(url, '?')) ELSE '' END, '?&') AS params,
            left(url, 12) AS head12,
            greatest(10, least(page_id, 40)) AS clamped,
+           contains(url, 'page=') AS paged, url_encode(url) AS quoted,
            CASE WHEN regexp_extract(url, '//([a-z]+)', 1) <> ''
                 THEN replace(url, regexp_extract(url, '//([a-z]+)', 1), '*****') ELSE url END AS masked_host
     FROM pages""")
@@ -677,6 +796,7 @@ def i1_scalar_helpers(spark, sf_dir):
     return pages.select(
         "page_id", I.clean_sql("url").alias("cleaned"), I.strip_prefix_chars(query).alias("params"),
         I.head("url", 12).alias("head12"), I.clamp("page_id", 10, 40).alias("clamped"),
+        I.contains("url", "page=").alias("paged"), F.replace(I.quote_plus("url"), F.lit("+"), F.lit("%20")).alias("quoted"),
         I.masked(F.col("url"), host_word).alias("masked_host"))
 
 
@@ -701,5 +821,55 @@ def _sweep_query(sql: str):
     return run
 
 
+def _h6_asof(spark, sf_dir):
+    """H6 without a user's events in one task."""
+    ev = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'view')").select(
+        "event_id", "user_id", "ts", "event_type", F.when(F.col("event_type") == "view", F.col("event_id")).alias("view_id"))
+    found = O.last_before(ev, ["user_id"], ["ts", "event_id"], "view_id", "view_before")
+    return found.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "view_before")
+
+
+def _h10_ranking(spark, sf_dir):
+    """H10 without a nation or segment in one task."""
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    numbered = O.number_by_key(cust.withColumn("_down", -F.col("c_acctbal")), ["c_nationkey"], ["_down", "c_custkey"])
+    ties = numbered.groupBy("c_nationkey", "c_acctbal").agg(F.min("rn").alias("rnk"))
+    # the pairs are few: segments times nations
+    pairs = cust.select("c_mktsegment", "c_nationkey").distinct()
+    dense = Window.partitionBy("c_mktsegment").orderBy("c_nationkey")
+    pairs = pairs.withColumn("drnk", F.row_number().over(dense).cast("bigint"))
+    size, more = F.floor(F.col("rn_of") / 4), F.col("rn_of") % 4      # NTILE: the first groups are one larger
+    wide = more * (size + 1)
+    quartile = F.when(F.col("rn") <= wide, F.floor((F.col("rn") - 1) / (size + 1)) + 1).otherwise(
+        more + F.floor((F.col("rn") - 1 - wide) / F.greatest(size, F.lit(1))) + 1)
+    return (numbered.join(ties, ["c_nationkey", "c_acctbal"]).join(pairs, ["c_mktsegment", "c_nationkey"])
+            .select("c_custkey", "c_nationkey", "c_acctbal", "rn", "rnk", "drnk", quartile.cast("bigint").alias("quartile")))
+
+
+def _h11_lag_lead(spark, sf_dir):
+    """H11 without a user's events in one task: neighbours by joins on (user, number), the sliding
+    count as the difference of two places in the order of events and window starts."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.col("value").cast("decimal(18,2)").alias("d"), "value")
+    n = O.number_by_key(ev, ["user_id"], ["ts", "event_id"])
+    for column, offset, name in (("value", -1, "prev_value"), ("event_type", 1, "next_type"), ("d", -1, "_d1"), ("d", -2, "_d2")):
+        n = O.shift_by_number(n, ["user_id"], "rn", column, offset, name)
+    n = n.checkpoint(eager=True)
+    # probes stand before all events of their time: what precedes them lies outside the window
+    probes = ev.select("user_id", (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("at"), F.lit(0).alias("kind"), "event_id")
+    line = ev.select("user_id", F.col("ts").alias("at"), F.lit(1).alias("kind"), "event_id").unionByName(probes)
+    placed = O.number_by_key(line, ["user_id"], ["at", "kind", "event_id"], "p").where("kind = 0").select("event_id", "p")
+    nth = O.number_by_key(probes, ["user_id"], ["at", "event_id"], "q").select(F.col("event_id").alias("q_id"), "q")
+    outside = placed.join(nth, F.col("event_id") == F.col("q_id")).select(F.col("event_id").alias("o_id"), (F.col("p") - F.col("q")).alias("outside"))
+    upto = n.groupBy(F.col("user_id").alias("u_id"), F.col("ts").alias("u_ts")).agg(F.max("rn").alias("upto"))
+    total = [F.coalesce(F.col(c), F.lit(0).cast("decimal(18,2)")) for c in ("d", "_d1", "_d2")]
+    none = F.col("d").isNull() & F.col("_d1").isNull() & F.col("_d2").isNull()
+    return (n.join(outside, F.col("event_id") == F.col("o_id")).join(upto, F.col("user_id").eqNullSafe(F.col("u_id")) & F.col("ts").eqNullSafe(F.col("u_ts")))
+            .select("event_id", "user_id", "prev_value", "next_type",
+                    F.when(~none, (total[0] + total[1] + total[2]).cast("double")).alias("sum_last3"),
+                    (F.col("upto") - F.col("outside")).alias("n_last_day")))
+
+
+_SPLIT = {"h6_asof_join": _h6_asof, "h10_ranking": _h10_ranking, "h11_lag_lead": _h11_lag_lead}
+
 for _name, (_spark_sql, _duck_sql) in SWEEP.items():
-    register(_name, _duck_sql or _spark_sql)(_sweep_query(_spark_sql))
+    register(_name, _duck_sql or _spark_sql)(_SPLIT.get(_name) or _sweep_query(_spark_sql))

@@ -61,7 +61,7 @@ def test_preview_and_counts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     assert P.preview(docs, ["doc_id"]).count() == 100
     total = P.total_rows(docs).first().n_rows
-    assert P.preview_notice(total) == f"Showing first 100 rows of {total} total rows."
+    assert P.preview_notice(total) == f"100 of {total} rows in view"
     assert P.preview_notice(100) is None
     out, obs = P.observed(docs.select("doc_id"))
     out.write.format("noop").mode("overwrite").save()
