@@ -6,6 +6,8 @@ Ids: every operator takes integer ids. A null id is one more id that sorts after
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 import zlib
 from collections import defaultdict
@@ -47,11 +49,13 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of jobs that are done (their results are tables
-    by now); it acts only when the driver's JVM collects its garbage."""
-    import gc
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of jobs that are done (their results are tables by
+    now). It acts only when the driver's JVM collects its garbage, and what a first collection
+    frees (plans held by weak references) holds on to more, hence several."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,8 +65,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def tagged(rows: DataFrame) -> DataFrame:
-    """With ``tag``, 31 bits of the text's hash: rows that share an id but not their text keep apart."""
-    return rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1)))
+    """With ``tag``, which keeps rows apart that share an id but not their text: 31 bits of the
+    text's hash, or 0 throughout where no id repeats."""
+    repeats = rows.groupBy("doc_id").count().where("count > 1")
+    tag = F.lit(0) if repeats.isEmpty() else F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1))
+    return rows.withColumn("tag", tag.cast("long"))
 
 
 def shown_id(col: str = "doc_id"):

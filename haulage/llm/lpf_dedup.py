@@ -5,8 +5,8 @@ smaller id. Suffixes that can match that far are brought together by anchors:
 
 1. Winnowing: among the ``GRAM``-byte grams of any SPAN-byte string the one with the smallest hash
    is an anchor, so two equal strings have an equal anchor at the same place in them. Each anchor
-   goes out as four numbers: its hash, a hash of its context (all SPAN-byte strings that hold
-   it), document and place.
+   goes out as its hash and a hash of its context (all SPAN-byte strings that hold it), 48 bits
+   each, its document and its place.
 2. Sorted by anchor, context and document, an anchor whose context also stands in a smaller
    document is a later copy in full. What is left are the first documents of each context of an
    anchor with several contexts: the ends of copies, where texts part.
@@ -50,14 +50,16 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+_BYTE_HASH = _join(np.arange(1, 257, dtype=np.uint64), np.arange(7, 263, dtype=np.uint64))
+
+
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gram hash, context hash, place) of the anchors of one text."""
     n = len(text)
     if n < SPAN:
         none = np.empty(0, np.uint64)
         return none, none, np.empty(0, np.int64)
-    h1 = (np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * _M2
-    h1 ^= h1 >> np.uint64(31)
+    h1 = _BYTE_HASH[np.frombuffer(text, np.uint8)]
     h2 = _join(h1[:-1], h1[1:])
     h4 = _join(h2[:-2], h2[2:])
     h8 = _join(h4[:-4], h4[4:])
@@ -90,23 +92,25 @@ def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
 def _anchor_rows(rows: DataFrame) -> DataFrame:
     def find(batches):
         for batch in slices(batches, 1 << 20):
-            grams, contexts, owner, places = [], [], [], []
+            keys, lows, owner, places = [], [], [], []
             for doc_id, text, tag in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 gram, context, at = anchors(text)
                 if len(at):
-                    grams.append(gram)
-                    contexts.append(context)
+                    keys.append((gram & _GRAM_BITS) | (context >> np.uint64(48)))
+                    lows.append(context.astype(np.uint32))
                     owner.append(np.full(len(at), doc_id, np.int64))
                     places.append(at + (tag << 32))
-            if grams:
+            if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(contexts).view(np.int64)),
-                     pa.array(np.concatenate(owner)), pa.array(np.concatenate(places))], names=["gram", "context", "doc_id", "place"])
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lows).view(np.int32)),
+                     pa.array(np.concatenate(owner)), pa.array(np.concatenate(places))], names=["key", "low", "doc_id", "place"])
 
-    return rows.mapInArrow(find, "gram long, context long, doc_id long, place long")
+    return rows.mapInArrow(find, "key long, low int, doc_id long, place long")
 
 
 # place: the text's tag in the high half, the anchor's offset in the low half
+# key: 48 bits of the gram's hash, 16 of the context's; low: 32 more of the context's
+_GRAM_BITS = np.uint64(2**64 - 2**16)
 STANDING = "doc_id long, place long, gram long, parts int"
 _OFFSET = 2**32 - 1
 
@@ -115,18 +119,18 @@ def _settle(found: DataFrame) -> DataFrame:
     """Rows (doc_id, place, gram, parts): parts 0 for later copies in full, else the number of shards
     the anchor's contexts go to. Anchors that no other document has are dropped."""
     def settle(batches):
-        def decided(gram, context, doc, place):
+        def decided(key, low, doc, place):
             """Whole anchors, sorted by (gram, context, doc)."""
-            n = len(gram)
+            gram = key >> 16
             new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
-            new_context = new_gram | np.concatenate(([True], context[1:] != context[:-1]))
+            new_context = np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1])))
             g, c = np.cumsum(new_gram) - 1, np.cumsum(new_context) - 1
             first_doc = doc[new_context][c]                        # sorted: the first is the smallest
             g_starts = np.flatnonzero(new_gram)
-            low, high = np.minimum.reduceat(doc, g_starts)[g], np.maximum.reduceat(doc, g_starts)[g]
+            least, most = np.minimum.reduceat(doc, g_starts)[g], np.maximum.reduceat(doc, g_starts)[g]
             contexts = np.add.reduceat(new_context.astype(np.int64), g_starts)[g]
             later = doc > first_doc
-            ends = ~later & (contexts > 1) & (low < high)
+            ends = ~later & (contexts > 1) & (least < most)
             parts = np.where(later, 0, 1 + contexts // PART_CONTEXTS).astype(np.int32)
             told = later | ends
             return pa.RecordBatch.from_arrays([pa.array(doc[told]), pa.array(place[told]), pa.array(np.where(later, 0, gram)[told]),
@@ -139,41 +143,44 @@ def _settle(found: DataFrame) -> DataFrame:
                 continue
             own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             own = own if held is None else [np.concatenate(p) for p in zip(held, own)]
-            last = int(np.searchsorted(own[0], own[0][-1], "left"))  # the last anchor may go on
+            last = int(np.searchsorted(own[0], own[0][-1] >> 16 << 16, "left"))  # the last anchor may go on
             if last:
                 yield decided(*(c[:last] for c in own))
             held = [c[last:] for c in own]
         if held is not None:
             yield decided(*held)
 
-    return found.repartition("gram").sortWithinPartitions("gram", "context", "doc_id").mapInArrow(settle, STANDING)
+    return (found.repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "low", "doc_id")
+            .mapInArrow(settle, STANDING))
 
 
-CONTEXT = "gram long, part int, parts int, doc_id long, tag long, low long, bytes binary"
+CONTEXT = "gram long, part int, parts int, doc_id long, tag long, low long, off int, bytes binary"
 
 
 def _contexts(rows: DataFrame, ends: DataFrame) -> DataFrame:
-    """The bytes around undecided anchors, one row per shard that needs them."""
+    """The bytes around undecided anchors, one row per shard that needs them: ``low`` is where they
+    begin in the text, ``off`` where the anchor begins in them."""
     def read(batches):
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in slices(batches, 2 << 20):
             out = []
-            ids, tags, lists = (batch.column(k).to_pylist() for k in (0, 2, 3))
-            for doc_id, text, tag, marks in zip(ids, text_bytes(batch.column(1)), tags, lists):
-                for mark in marks:
-                    at, parts = mark["place"] & _OFFSET, mark["parts"]
+            ids, tags, places, grams, counts = (batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))
+            for doc_id, text, tag, *marks in zip(ids, text_bytes(batch.column(1)), tags, places, grams, counts):
+                for place, gram, parts in zip(*marks):
+                    at = place & _OFFSET
                     low = max(0, at - REACH)
                     piece = text[low:at + SPAN]
-                    wanted = range(1) if parts == 1 else sorted({_part(piece[k:k + SPAN], parts) for k in range(len(piece) - SPAN + 1)})
-                    out += [(mark["gram"], part, parts, doc_id, tag, low, piece) for part in wanted]
+                    wanted = (0,) if parts == 1 else sorted({_part(piece[k:k + SPAN], parts) for k in range(len(piece) - SPAN + 1)})
+                    out += [(gram, part, parts, doc_id, tag, low, at - low, piece) for part in wanted]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                                  names=[c.split()[0] for c in CONTEXT.split(", ")])
 
     marks = (ends.groupBy(F.col("doc_id").alias("m_doc"), F.shiftright("place", 32).alias("m_tag"))
-             .agg(F.collect_set(F.struct("place", "gram", "parts")).alias("marks")))
+             .agg(F.collect_list(F.struct("place", "gram", "parts")).alias("marks")))
     return (rows.join(marks, (F.col("doc_id") == F.col("m_doc")) & (F.col("tag") == F.col("m_tag")))
-            .select("doc_id", "text", "tag", "marks").mapInArrow(read, CONTEXT))
+            .select("doc_id", "text", "tag", F.col("marks.place"), F.col("marks.gram"), F.col("marks.parts"))
+            .mapInArrow(read, CONTEXT))
 
 
 def _part(string: bytes, parts: int) -> int:
@@ -181,21 +188,22 @@ def _part(string: bytes, parts: int) -> int:
     return xxh3_64_intdigest(string) % parts
 
 
-def suffix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all suffixes of ``text`` (small integers) by their first 1, 2, 4 ... bytes up to at
-    least ``depth``: (length, rank of every place); equal ranks, equal strings of that length."""
+def suffix_ranks(text: np.ndarray, depth: int) -> list[tuple[int, int, np.ndarray]]:
+    """Ranks of all suffixes of ``text`` (integers under 500) by their first 1, 3, 7, 14 ... places
+    up to at least ``depth``: (length, how often lengths below the next hold it, rank of every
+    place); equal ranks, equal strings of that length."""
     n = len(text)
-    padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)))
-    key, out = np.zeros(n, np.uint64), []
-    for j in range(4):
-        key = (key << np.uint64(10)) | padded[j:j + n]
-        if j < 2:
-            out.append((j + 1, key))
-    length = 4
+    padded = np.concatenate((text.astype(np.int64) + 1, np.zeros(8, np.int64)))
+    key, out = np.zeros(n, np.int64), []
+    for j in range(7):
+        key = (key << 9) | padded[j:j + n]
+        if j in (0, 2):
+            out.append((j + 1, 2, key))
+    length = 7
     while True:
         _, rank = np.unique(key, return_inverse=True)
         rank = rank.astype(np.int64)
-        out.append((length, rank))
+        out.append((length, 1, rank))
         if length >= depth:
             return out
         behind = np.zeros(n, np.int64)
@@ -220,19 +228,18 @@ def previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, de
     """Longest previous factor, up to at least ``depth``, of the suffixes at ``starts``: the longest
     prefix that also starts in a smaller ``owner`` (the document of each start)."""
     levels = suffix_ranks(text, depth)
-    order = np.lexsort((starts, levels[-1][1][starts]))          # the suffix array, restricted to starts
+    order = np.argsort(levels[-1][2][starts], kind="stable")     # the suffix array, restricted to starts
     sa, doc = starts[order], owner[order]
     n = len(text)
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix, by the ranks from long to short."""
         length = np.zeros(len(a), np.int64)
-        for step, rank in reversed(levels):
-            x, y = a + length, b + length
-            inside = (x < n) & (y < n)
-            same = np.zeros(len(a), bool)
-            same[inside] = rank[x[inside]] == rank[y[inside]]
-            length[same] += step
+        for step, times, rank in reversed(levels):
+            for _ in range(times):
+                x, y = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
+                same = (rank[x] == rank[y]) & (a + length < n) & (b + length < n)
+                length[same] += step
         return length
 
     factor = np.zeros(len(sa), np.int64)
@@ -246,53 +253,108 @@ def previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, de
     return out
 
 
+HALF = REACH // 2
+
+
+def _meeting(text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, off: np.ndarray, gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which contexts can hold a string of another document: one that holds the gram has HALF bytes
+    or more on its left or right, so some other document shares the gram with these."""
+    h1 = _BYTE_HASH[text]
+    h2 = _join(h1[:-1], h1[1:])
+    h4 = _join(h2[:-2], h2[2:])
+    h8 = _join(h4[:-4], h4[4:])
+    h16 = _join(h8[:-8], h8[8:])
+    h32 = _join(h16[:-16], h16[16:])
+
+    def side(at: np.ndarray, salt: int) -> np.ndarray:  # GRAM + HALF = 35 bytes
+        return _join(_join(_join(h32[at], h2[at + 32]), h1[at + 34]), gram.astype(np.uint64) * np.uint64(2) + np.uint64(salt))
+
+    left, right = np.flatnonzero(off >= HALF), np.flatnonzero(off + GRAM + HALF <= sizes)
+    own = np.concatenate((left, right))
+    at = begin + off
+    key = np.concatenate((side(at - HALF, 0)[left], side(np.minimum(at, len(h32) - 1), 1)[right])) if len(own) else np.empty(0, np.uint64)
+    order = np.lexsort((doc[own], key))
+    own, key = own[order], key[order]
+    meets = np.zeros(len(doc), bool)
+    if len(own):
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        ends = np.concatenate((starts[1:], [len(own)]))
+        shared = doc[own[starts]] != doc[own[ends - 1]]
+        meets[own[np.repeat(shared, ends - starts)]] = True
+    return meets
+
+
 def _copied(contexts: DataFrame) -> DataFrame:
     """Runs (doc_id, tag, start, end) of starts of strings that a smaller document has, from whole shards."""
-    def shard(rows):
-        _, part, parts, docs, tags, lows, pieces = zip(*rows)
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        # a separator that is no byte ends each context; matches with it never reach SPAN
-        text = np.full(int(sizes.sum()) + len(sizes), 256, np.int64)
+    names = [c.split()[0] for c in CONTEXT.split(", ")]
+
+    def pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes back to back, and the size of each value."""
+        offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+        return data, np.diff(offsets).astype(np.int64)
+
+    def laid_out(data, sizes, fill):
+        """Each value followed by one place of ``fill``; where each begins."""
+        text = np.full(len(data) + len(sizes), fill, np.int64)
         begin = np.cumsum(sizes + 1) - sizes - 1
         inside = np.ones(len(text), bool)
         inside[begin + sizes] = False
-        text[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        text[inside] = data
+        return text, begin
+
+    def shard(rows: pa.RecordBatch):
+        gram, part, parts, doc, tag, low, off = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+        data, sizes = pieces(rows.column(7))
+        text, begin = laid_out(np.concatenate((data, np.zeros(64, np.uint8))), np.concatenate((sizes, [64])), 0)
+        keep = _meeting(text, begin[:-1], sizes, off.astype(np.int64), gram, doc)
+        if not keep.any():
+            return None
+        data = data[np.repeat(keep, sizes)]
+        part, parts, doc, tag, low, sizes = part[keep], parts[keep], doc[keep], tag[keep], low[keep], sizes[keep]
+        # a separator that is no byte ends each context; matches with it never reach SPAN
+        text, begin = laid_out(data, sizes, 256)
         counts = sizes - SPAN + 1
         own = np.repeat(np.arange(len(sizes)), counts)
         offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         first = np.cumsum(counts) - counts
-        for k in np.flatnonzero(np.array(parts) > 1).tolist():  # strings of other shards are not judged here
-            other = [_part(pieces[k][o:o + SPAN], parts[k]) != part[k] for o in range(int(counts[k]))]
+        for k in np.flatnonzero(parts > 1).tolist():  # strings of other shards are not judged here
+            piece = text[begin[k]:begin[k] + sizes[k]].astype(np.uint8).tobytes()
+            other = [_part(piece[o:o + SPAN], int(parts[k])) != part[k] for o in range(int(counts[k]))]
             offset[first[k]:first[k] + counts[k]][np.array(other, bool)] = -1
         own, offset = own[offset >= 0], offset[offset >= 0]
-        docs_, lows_ = np.array(docs, np.int64), np.array(lows, np.int64)
-        factor = previous_factors(text, begin[own] + offset, docs_[own], SPAN)
-        hit = factor >= SPAN
-        doc, tag, at = docs_[own[hit]], np.array(tags, np.int64)[own[hit]], lows_[own[hit]] + offset[hit]
-        order = np.lexsort((at, tag, doc))
-        doc, tag, at = doc[order], tag[order], at[order]
+        hit = previous_factors(text, begin[own] + offset, doc[own], SPAN) >= SPAN
+        doc, tag, at = doc[own[hit]], tag[own[hit]], low[own[hit]] + offset[hit]
         if not len(doc):
             return None
+        order = np.lexsort((at, tag, doc))
+        doc, tag, at = doc[order], tag[order], at[order]
         new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + 1)))
         last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(doc) - 1]))
         return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tag[new]), pa.array(at[new]), pa.array(at[last] + SPAN)],
                                           names=["doc_id", "tag", "start", "end"])
 
     def judge(batches):
-        held, size, key = [], 0, None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] != key and size >= SHARD_BYTES:
-                    if (out := shard(held)) is not None:
-                        yield out
-                    held, size = [], 0
-                key = row[:2]
-                held.append(row)
-                size += len(row[6])
-        if held and (out := shard(held)) is not None:
-            yield out
-
-    return (contexts.repartition("gram", "part").sortWithinPartitions("gram", "part", "doc_id")
+        held: list[pa.RecordBatch] = []
+        for batch in slices(batches, SHARD_BYTES):
+            held.append(batch)
+            if sum(b.nbytes for b in held) < SHARD_BYTES:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            gram, part = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            same = (gram == gram[-1]) & (part == part[-1])      # sorted: the last anchor's rows end the table
+            whole = int(np.argmax(same))
+            if whole:
+                if (out := shard(rows.slice(0, whole))) is not None:
+                    yield out
+                rows = pa.Table.from_batches([rows.slice(whole)]).combine_chunks().to_batches()[0]
+            held = [rows]
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if (out := shard(rows)) is not None:
+                yield out
+
+    return (contexts.select(names).repartition("gram", "part").sortWithinPartitions("gram", "part", "doc_id")
             .mapInArrow(judge, "doc_id long, tag long, start long, end long"))
 
 

@@ -91,7 +91,7 @@ def test_previous_factors(docs):
             n += 1
         return n
 
-    got = D.previous_factors(text, starts, owner, 64)
+    got = D.previous_factors(text, starts, owner, 112)
     for s, d, f in zip(starts.tolist(), owner.tolist(), got.tolist()):
         assert f == max((common(s, t) for t, e in zip(starts.tolist(), owner.tolist()) if e < d), default=0)
 
