@@ -253,35 +253,40 @@ def previous_factors(text: np.ndarray, starts: np.ndarray, owner: np.ndarray, de
     return out
 
 
-HALF = REACH // 2
-
-
-def _meeting(text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, off: np.ndarray, gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which contexts can hold a string of another document: one that holds the gram has HALF bytes
-    or more on its left or right, so some other document shares the gram with these."""
-    h1 = _BYTE_HASH[text]
-    h2 = _join(h1[:-1], h1[1:])
-    h4 = _join(h2[:-2], h2[2:])
-    h8 = _join(h4[:-4], h4[4:])
-    h16 = _join(h8[:-8], h8[8:])
-    h32 = _join(h16[:-16], h16[16:])
+def _shared(strings: np.ndarray, gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Per row of small integers the longest prefix it shares with a row of the same gram and
+    another document, -1 where there is none: neighbours in sorted order have it."""
+    keys = []
+    for at in range(0, strings.shape[1], 7):
+        key = np.zeros(len(strings), np.int64)
+        for j in range(at, min(at + 7, strings.shape[1])):
+            key = (key << 9) | strings[:, j]
+        keys.append(key)
+    order = np.lexsort((doc, *reversed(keys), gram))
+    s, g, d = strings[order], gram[order], doc[order]
+    n = len(order)
+    new = np.concatenate(([True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])))
+    starts = np.append(np.flatnonzero(new), n)
+    run = np.cumsum(new) - 1
+    best = np.full(n, -1, np.int64)
+    for near in (starts[run] - 1, starts[run + 1]):
+        at = np.flatnonzero((near >= 0) & (near < n))
+        at = at[g[near[at]] == g[at]]
+        best[at] = np.maximum(best[at], np.logical_and.accumulate(s[at] == s[near[at]], axis=1).sum(axis=1))
+    out = np.empty(n, np.int64)
+    out[order] = best
+    return out
 
-    def side(at: np.ndarray, salt: int) -> np.ndarray:  # GRAM + HALF = 35 bytes
-        return _join(_join(_join(h32[at], h2[at + 32]), h1[at + 34]), gram.astype(np.uint64) * np.uint64(2) + np.uint64(salt))
 
-    left, right = np.flatnonzero(off >= HALF), np.flatnonzero(off + GRAM + HALF <= sizes)
-    own = np.concatenate((left, right))
-    at = begin + off
-    key = np.concatenate((side(at - HALF, 0)[left], side(np.minimum(at, len(h32) - 1), 1)[right])) if len(own) else np.empty(0, np.uint64)
-    order = np.lexsort((doc[own], key))
-    own, key = own[order], key[order]
-    meets = np.zeros(len(doc), bool)
-    if len(own):
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        ends = np.concatenate((starts[1:], [len(own)]))
-        shared = doc[own[starts]] != doc[own[ends - 1]]
-        meets[own[np.repeat(shared, ends - starts)]] = True
-    return meets
+def _candidates(text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, off: np.ndarray, gram: np.ndarray, doc: np.ndarray):
+    """First and last start of the strings of each context that another document may have: they reach
+    no further to the left and right of the gram than what some other document shares there."""
+    steps = np.arange(REACH)
+    left = np.where(steps < off[:, None], text[np.maximum(begin[:, None] + off[:, None] - 1 - steps, 0)] + 1, 0)
+    after = off[:, None] + GRAM + steps
+    right = np.where(after < sizes[:, None], text[np.minimum(begin[:, None] + after, len(text) - 1)] + 1, 0)
+    a, b = _shared(left, gram, doc), _shared(right, gram, doc)
+    return np.maximum(0, off - a), np.where((a < 0) | (b < 0), -1, np.minimum(sizes, off + GRAM + b) - SPAN)
 
 
 def _copied(contexts: DataFrame) -> DataFrame:
@@ -306,14 +311,17 @@ def _copied(contexts: DataFrame) -> DataFrame:
     def shard(rows: pa.RecordBatch):
         gram, part, parts, doc, tag, low, off = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(7))
         data, sizes = pieces(rows.column(7))
-        text, begin = laid_out(np.concatenate((data, np.zeros(64, np.uint8))), np.concatenate((sizes, [64])), 0)
-        keep = _meeting(text, begin[:-1], sizes, off.astype(np.int64), gram, doc)
+        begin = np.cumsum(sizes) - sizes
+        lo, hi = _candidates(data.astype(np.int64), begin, sizes, off.astype(np.int64), gram, doc)
+        keep = hi >= lo
         if not keep.any():
             return None
-        data = data[np.repeat(keep, sizes)]
-        part, parts, doc, tag, low, sizes = part[keep], parts[keep], doc[keep], tag[keep], low[keep], sizes[keep]
+        # of each context that is left, the bytes of its candidates
+        part, parts, doc, tag = part[keep], parts[keep], doc[keep], tag[keep]
+        low, begin, sizes = low[keep] + lo[keep], begin[keep] + lo[keep], (hi - lo)[keep] + SPAN
+        places = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
         # a separator that is no byte ends each context; matches with it never reach SPAN
-        text, begin = laid_out(data, sizes, 256)
+        text, begin = laid_out(data[places], sizes, 256)
         counts = sizes - SPAN + 1
         own = np.repeat(np.arange(len(sizes)), counts)
         offset = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
