@@ -34,7 +34,7 @@ END_ID = 0
 CHUNK_BITS = 8
 SEGMENT_IDS = 1 << 20
 RANK_BLOCK = 512
-MEMO_UNITS = 400_000
+MEMO_UNITS = 300_000
 _MAGIC = b"DAC1"
 
 
@@ -142,8 +142,10 @@ class Encoder:
 
     The pre-tokenizer never joins text across a single space that stands between two non-space
     characters, so a text is cut there. A unit not met lately is cut into the pre-tokenizer's
-    pieces (units with other than common characters stay whole); each new piece is encoded by the
-    tokenizer once. Texts with a special-token marker are encoded whole.
+    pieces (units with other than common characters stay whole); the tokenizer encodes each new
+    piece once, many in one text, parted by line ends, which are a piece and an id of their own.
+    Texts with a special-token marker are encoded whole. A memo that is full becomes the old one,
+    from which entries come back as they are met.
     """
 
     def __init__(self, path: str, most: int = MEMO_UNITS):
@@ -151,40 +153,60 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.memos: dict[str, list[dict[str, bytes]]] = {name: [{}, {}] for name in ("first", "after", "pieces")}
+        parting = self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids
+        self.part = parting[1] if len(parting) == 5 and parting[1] == parting[3] else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
-    def _learn(self, memo: dict[str, bytes], new: set[str], lead: str) -> None:
-        cut = {u: _PIECE.findall(lead + u) if _PLAIN.fullmatch(u) else [lead + u] for u in new}
-        missing: set[str] = set()
-        missing.update(*cut.values())
-        missing -= self.pieces.keys()
-        listed = list(missing)
-        self.pieces.update(zip(listed, self._encode(listed)))
-        look = self.pieces.__getitem__
-        memo.update((u, b"".join(map(look, pieces))) for u, pieces in cut.items())
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces; those that are one run of non-space characters go many to a text."""
+        plain = [p for p in pieces if p.split() == [p.removeprefix(" ")]] if self.part is not None else []
+        out = dict(zip(rest, self._encode(rest))) if (rest := list(set(pieces) - set(plain))) else {}
+        for k in range(0, len(plain), 4000):
+            some = plain[k:k + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.part), len(ids))
+            if len(ends) != len(some):  # a piece holds that id itself
+                out.update(zip(some, self._encode(some)))
+                continue
+            data, begins = ids.tobytes(), np.concatenate(([0], ends[:-1] + 1))
+            out.update((p, data[4 * a:4 * b]) for p, a, b in zip(some, begins.tolist(), ends.tolist()))
+        return out
+
+    def _memo(self, name: str, wanted: set[str]) -> tuple[dict[str, bytes], set[str]]:
+        """The memo, with what the old one knows of ``wanted`` brought over, and what is still unknown."""
+        memo, old = self.memos[name]
+        if len(memo) > self.most:
+            self.memos[name] = [{}, memo]
+            memo, old = self.memos[name]
+        unknown = wanted - memo.keys()
+        known = unknown & old.keys()
+        memo.update((u, old[u]) for u in known)
+        return memo, unknown - known
+
+    def _units(self, name: str, wanted: set[str], lead: str) -> dict[str, bytes]:
+        memo, unknown = self._memo(name, wanted)
+        cut = {u: _PIECE.findall(lead + u) if _PLAIN.fullmatch(u) else [lead + u] for u in unknown}
+        pieces, new = self._memo("pieces", set().union(*cut.values()))
+        pieces.update(self._encode_pieces([p for p in new if p]) | {"": b""})
+        look = pieces.__getitem__
+        memo.update((u, b"".join(map(look, own))) for u, own in cut.items())
+        return memo
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers in the machine's order (little-endian here)."""
-        if len(self.after) + len(self.first) > self.most:
-            self.first, self.after = {}, {}
-        if len(self.pieces) > self.most:
-            self.pieces = {}
         whole = [k for k, t in enumerate(texts) if "<|" in t]
         units = [None if "<|" in t else _units(t) for t in texts]
-        self._learn(self.first, {u[0] for u in units if u} - self.first.keys(), "")
-        new: set[str] = set()
+        first = self._units("first", {u[0] for u in units if u}, "")
+        wanted: set[str] = set()
         for u in units:
             if u:
-                new.update(u[1:])
-        self._learn(self.after, new - self.after.keys(), " ")
-        look = self.after.__getitem__
-        out = [None if u is None else self.first[u[0]] + b"".join(map(look, u[1:])) for u in units]
+                wanted.update(u[1:])
+        look = self._units("after", wanted, " ").__getitem__
+        out = [None if u is None else first[u[0]] + b"".join(map(look, u[1:])) for u in units]
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else []):
             out[k] = ids
         return out
