@@ -17,13 +17,13 @@ def quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of linked documents stays, the one with the smallest id."""
-    return ngram_join.keep_one(docs)
+    """One row of each group of linked rows stays, the one with the smallest id."""
+    return ngram_join.keep_rows(docs)
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents that hold a window of a benchmark item go."""
-    return suffix_decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold a window of a benchmark item go."""
+    return suffix_decontamination.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark, docs, sf_dir):

@@ -64,6 +64,13 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """64-bit hash of a row's id and text: rows that share an id (or have none) but not their text
+    keep apart. Made from the row alone, so it is the same in every pass."""
+    return F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)),
+                      F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
 def tagged(rows: DataFrame) -> DataFrame:
     """With ``tag``, which keeps rows apart that share an id but not their text: 31 bits of the
     text's hash, or 0 throughout where no id repeats."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import NULL_ID, id_text, prepare, shown_id, slices, text_bytes, word_ids
+from haulage.llm.common import NULL_ID, id_text, prepare, row_key, shown_id, slices, text_bytes, word_ids
 
 WINDOW = 10
 SHARD_BYTES = 6 << 20
@@ -296,8 +296,18 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without a hit, with all their columns. Rows of a contaminated id go together."""
+    """The documents without a hit, with all their columns. Rows of a contaminated id go together;
+    ``clean_rows`` decides per row."""
     hits = benchmark_hits(docs, benchmark, id_col=id_col, **options)
     bad = hits.where(F.size("spans") > 0).select(F.col("doc_id").alias("_llm_bad")).distinct()
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
     return docs.join(bad, key == F.col("_llm_bad"), "left_anti")
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows without a hit, with all their columns. A row goes only for its own text, also where
+    it has no id or shares it."""
+    rows = docs.select(row_key(id_col, text_col).alias("node"), F.col(f"`{text_col}`").alias("text"))
+    hits = benchmark_hits(rows, benchmark, id_col="node", **options)
+    bad = hits.where(F.size("spans") > 0).select(F.col("doc_id").alias("_llm_bad")).distinct()
+    return docs.join(bad, row_key(id_col, text_col) == F.col("_llm_bad"), "left_anti")
