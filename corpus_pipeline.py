@@ -11,6 +11,10 @@ from haulage.llm import ngram_join, quality_classifier, source_mix, suffix_decon
 from haulage.llm.common import cut, table
 
 
+# the near-duplicate stage is operator 4's, with the values of its contract
+SHINGLE_WORDS, SIMILAR_PERCENT = 4, 85
+
+
 def quality(spark, docs, sf_dir):
     """Documents that the classifier rejects go."""
     return quality_classifier.keep_quality(docs, table(spark, sf_dir, "labels"))
@@ -18,7 +22,7 @@ def quality(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """One row of each group of linked rows stays, the one with the smallest id."""
-    return ngram_join.keep_rows(docs)
+    return ngram_join.keep_rows(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def decontamination(spark, docs, sf_dir):
