@@ -832,17 +832,19 @@ def _h6_asof(spark, sf_dir):
 def _h10_ranking(spark, sf_dir):
     """H10 without a nation or segment in one task."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    numbered = O.number_by_key(cust.withColumn("_down", -F.col("c_acctbal")), ["c_nationkey"], ["_down", "c_custkey"])
-    ties = numbered.groupBy("c_nationkey", "c_acctbal").agg(F.min("rn").alias("rnk"))
+    numbered = O.number_by_key(cust, ["c_nationkey"], [F.col("c_acctbal").desc_nulls_last(), "c_custkey"])
+    ties = numbered.groupBy(F.col("c_nationkey").alias("t_nation"), F.col("c_acctbal").alias("t_bal")).agg(F.min("rn").alias("rnk"))
     # the pairs are few: segments times nations
-    pairs = cust.select("c_mktsegment", "c_nationkey").distinct()
-    dense = Window.partitionBy("c_mktsegment").orderBy("c_nationkey")
+    pairs = cust.select(F.col("c_mktsegment").alias("p_segment"), F.col("c_nationkey").alias("p_nation")).distinct()
+    dense = Window.partitionBy("p_segment").orderBy("p_nation")
     pairs = pairs.withColumn("drnk", F.row_number().over(dense).cast("bigint"))
     size, more = F.floor(F.col("rn_of") / 4), F.col("rn_of") % 4      # NTILE: the first groups are one larger
     wide = more * (size + 1)
     quartile = F.when(F.col("rn") <= wide, F.floor((F.col("rn") - 1) / (size + 1)) + 1).otherwise(
         more + F.floor((F.col("rn") - 1 - wide) / F.greatest(size, F.lit(1))) + 1)
-    return (numbered.join(ties, ["c_nationkey", "c_acctbal"]).join(pairs, ["c_mktsegment", "c_nationkey"])
+    tied = F.col("c_nationkey").eqNullSafe(F.col("t_nation")) & F.col("c_acctbal").eqNullSafe(F.col("t_bal"))
+    paired = F.col("c_mktsegment").eqNullSafe(F.col("p_segment")) & F.col("c_nationkey").eqNullSafe(F.col("p_nation"))
+    return (numbered.join(ties, tied).join(pairs, paired)
             .select("c_custkey", "c_nationkey", "c_acctbal", "rn", "rnk", "drnk", quartile.cast("bigint").alias("quartile")))
 
 
@@ -854,16 +856,18 @@ def _h11_lag_lead(spark, sf_dir):
     for column, offset, name in (("value", -1, "prev_value"), ("event_type", 1, "next_type"), ("d", -1, "_d1"), ("d", -2, "_d2")):
         n = O.shift_by_number(n, ["user_id"], "rn", column, offset, name)
     n = n.checkpoint(eager=True)
-    # probes stand before all events of their time: what precedes them lies outside the window
-    probes = ev.select("user_id", (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("at"), F.lit(0).alias("kind"), "event_id")
-    line = ev.select("user_id", F.col("ts").alias("at"), F.lit(1).alias("kind"), "event_id").unionByName(probes)
-    placed = O.number_by_key(line, ["user_id"], ["at", "kind", "event_id"], "p").where("kind = 0").select("event_id", "p")
-    nth = O.number_by_key(probes, ["user_id"], ["at", "event_id"], "q").select(F.col("event_id").alias("q_id"), "q")
-    outside = placed.join(nth, F.col("event_id") == F.col("q_id")).select(F.col("event_id").alias("o_id"), (F.col("p") - F.col("q")).alias("outside"))
+    # probes stand before all events of their time: what precedes them lies outside the window.
+    # A row is named by (user, number): event ids may be missing
+    probes = n.select("user_id", (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("at"), F.lit(0).alias("kind"), "rn")
+    line = n.select("user_id", F.col("ts").alias("at"), F.lit(1).alias("kind"), "rn").unionByName(probes)
+    placed = O.number_by_key(line, ["user_id"], ["at", "kind", "rn"], "p").where("kind = 0").select("user_id", "rn", "p")
+    nth = O.number_by_key(probes, ["user_id"], ["at", "rn"], "q").select(F.col("user_id").alias("q_user"), F.col("rn").alias("q_rn"), "q")
+    outside = (placed.join(nth, F.col("user_id").eqNullSafe(F.col("q_user")) & (F.col("rn") == F.col("q_rn")))
+               .select(F.col("user_id").alias("o_user"), F.col("rn").alias("o_rn"), (F.col("p") - F.col("q")).alias("outside")))
     upto = n.groupBy(F.col("user_id").alias("u_id"), F.col("ts").alias("u_ts")).agg(F.max("rn").alias("upto"))
     total = [F.coalesce(F.col(c), F.lit(0).cast("decimal(18,2)")) for c in ("d", "_d1", "_d2")]
     none = F.col("d").isNull() & F.col("_d1").isNull() & F.col("_d2").isNull()
-    return (n.join(outside, F.col("event_id") == F.col("o_id")).join(upto, F.col("user_id").eqNullSafe(F.col("u_id")) & F.col("ts").eqNullSafe(F.col("u_ts")))
+    return (n.join(outside, F.col("user_id").eqNullSafe(F.col("o_user")) & (F.col("rn") == F.col("o_rn"))).join(upto, F.col("user_id").eqNullSafe(F.col("u_id")) & F.col("ts").eqNullSafe(F.col("u_ts")))
             .select("event_id", "user_id", "prev_value", "next_type",
                     F.when(~none, (total[0] + total[1] + total[2]).cast("double")).alias("sum_last3"),
                     (F.col("upto") - F.col("outside")).alias("n_last_day")))
