@@ -94,10 +94,9 @@ class ItemBlock:
         item = np.repeat(np.arange(len(items)), lengths)
         start = np.arange(len(self.words))
         end = np.repeat(np.cumsum(lengths), lengths)
-        # every suffix that is long enough to hold a window; shorter items count whole
-        need = np.minimum(lengths, window)[item]
-        whole = end - start >= need
-        self.item, self.start, self.end, self.need = item[whole], start[whole], end[whole], need[whole]
+        # words of a window, shorter items count whole; a suffix under that never reaches it, but it
+        # can hold the item's longest match
+        self.item, self.start, self.end, self.need = item, start, end, np.minimum(lengths, window)[item]
 
 
 def search_shard(ids: np.ndarray, vocabulary: dict, block: ItemBlock):
