@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from haulage.llm import (chunk_dedup, compression_bands, line_dedup, lpf_dedup, ngram_join, quality_classifier,
-                         source_mix, suffix_decontamination, token_codes, warc)
+                         simhash_bktree, source_mix, suffix_decontamination, token_codes, warc)
 from haulage.llm.common import table
 from haulage.llm.oracles import ORACLE  # noqa: F401
 
@@ -50,6 +50,10 @@ def op10_lpf_dedup(spark, sf_dir):
     return lpf_dedup.remove_copies(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_bktree(spark, sf_dir):
+    return simhash_bktree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_compression_bands, op2_suffix_decontamination, op3_quality_classifier, op4_ngram_jaccard_join, op5_source_mix,
-    op6_line_dedup, op7_token_ids, op8_chunk_dedup, op9_warc, op10_lpf_dedup)}
+    op6_line_dedup, op7_token_ids, op8_chunk_dedup, op9_warc, op10_lpf_dedup, op11_simhash_bktree)}
