@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from haulage.llm import (chunk_dedup, compression_bands, line_dedup, lpf_dedup, ngram_join, quality_classifier,
-                         simhash_bktree, source_mix, suffix_decontamination, token_codes, warc)
+from haulage.llm import (chunk_dedup, compression_bands, conversation_repair, line_dedup, lpf_dedup, ngram_join,
+                         pivot_codes, quality_classifier, simhash_bktree, source_mix, suffix_decontamination, token_codes, warc)
 from haulage.llm.common import table
 from haulage.llm.oracles import ORACLE  # noqa: F401
 
@@ -54,6 +54,15 @@ def op11_simhash_bktree(spark, sf_dir):
     return simhash_bktree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_pivot_codes(spark, sf_dir):
+    return pivot_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_compression_bands, op2_suffix_decontamination, op3_quality_classifier, op4_ngram_jaccard_join, op5_source_mix,
-    op6_line_dedup, op7_token_ids, op8_chunk_dedup, op9_warc, op10_lpf_dedup, op11_simhash_bktree)}
+    op6_line_dedup, op7_token_ids, op8_chunk_dedup, op9_warc, op10_lpf_dedup,
+    op11_simhash_bktree, op12_conversation_repair, op13_pivot_codes)}

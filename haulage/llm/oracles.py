@@ -104,5 +104,101 @@ SELECT d.doc_id, CAST(length(d.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n_r
        sha256(unhex(CASE WHEN k.doc_id IS NULL THEN d.h ELSE k.kept || substr(d.h, 2 * k.last_e + 1) END)) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
 
+# CRC-32 by a table of 256 entries made from its polynomial
+OP12 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT)] || CAST(range(8) AS BIGINT[]),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hits AS (SELECT raw.*, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INTEGER)]))) % 20 AS hit FROM raw, tab),
+rows AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+                CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+         FROM hits, unnest(CASE hit WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS c(copy)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+                    left(role, 1) AS ini, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM rows),
+f AS MATERIALIZED (
+  SELECT *, bare = '' AS blank, bare <> '' AND seen > 1 AS duplicate,
+         bare <> '' AND seen = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen,
+               coalesce(lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au'), false) AS illegal FROM numbered)),
+stats AS (SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+                 count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+                 count(*) FILTER (illegal) AS illegal FROM f GROUP BY conv_id),
+step(st, turn, nxt) AS (VALUES (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+d AS (  -- st: 0 nothing yet, 1 system, 2 user, 3 assistant; before every row, and at the end, one turn may be inserted
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS st, CAST(0 AS BIGINT) AS cost, '' AS audit FROM stats
+  UNION ALL
+  SELECT conv_id, i, st, v.cost, v.audit FROM (
+    SELECT x.conv_id, x.i + 1 AS i, e.st AS st, min({'cost': x.cost + e.cost, 'audit': x.audit || e.op}) AS v
+    FROM (SELECT d.conv_id, d.i, d.st, d.cost, d.audit FROM d
+          UNION ALL SELECT d.conv_id, d.i, step.nxt, d.cost + 5, d.audit || 'I' FROM d JOIN step ON step.st = d.st) x
+    JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i + 1
+    JOIN step ON step.st = x.st,
+    unnest([{'ok': true, 'st': x.st, 'cost': 2, 'op': 'D'},
+            {'ok': NOT (f.blank OR f.duplicate), 'st': step.nxt, 'cost': 1 + 5 * CAST(f.truncated AS INTEGER), 'op': 'R'},
+            {'ok': NOT (f.blank OR f.duplicate) AND (f.ini = step.turn OR (f.ini = 's' AND x.st = 0)),
+             'st': CASE f.ini WHEN 's' THEN 1 ELSE step.nxt END, 'cost': 5 * CAST(f.truncated AS INTEGER), 'op': 'K'}]) AS u(e)
+    WHERE e.ok GROUP BY x.conv_id, x.i, e.st)),
+ends AS (SELECT d.conv_id, d.st, d.cost, d.audit FROM d JOIN stats s ON s.conv_id IS NOT DISTINCT FROM d.conv_id AND d.i = s.n),
+best AS (SELECT conv_id, min({'cost': cost, 'audit': audit}) AS v FROM (
+           SELECT conv_id, st, cost, audit FROM ends UNION ALL SELECT conv_id, nxt, cost + 5, audit || 'I' FROM ends JOIN step USING (st))
+         WHERE st IN (0, 3) GROUP BY conv_id),
+edits AS (SELECT conv_id, p, substr(v.audit, p, 1) AS op, len(replace(left(v.audit, p), 'I', '')) AS i
+          FROM best, unnest(range(1, len(v.audit) + 1)) AS r(p)),
+-- the turns that stay, numbered: they alternate behind a system turn
+stay AS (SELECT e.*, f.role, f.text, f.ini, row_number() OVER (PARTITION BY e.conv_id ORDER BY p) AS k,
+                first_value(CASE WHEN op = 'K' AND f.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id ORDER BY p) AS sys
+         FROM edits e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i AND e.op <> 'I' WHERE op <> 'D'),
+done AS (SELECT conv_id, sha256(string_agg(CASE WHEN op = 'K' THEN role WHEN (k - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                           || ':' || CASE op WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS sha FROM stay GROUP BY conv_id)
+SELECT c.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate,
+       coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, CAST(coalesce(b.v.cost, 0) AS BIGINT) AS cost,
+       coalesce(b.v.audit, '') AS audit, coalesce(done.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+def _op13() -> str:
+    """Rounds of assigning every part to every entry; inner products of integers are exact as doubles."""
+    rounds = []
+    for r in range(5):
+        rounds.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT id, p, min(struct_pack(d := CAST(x.xx + b.bb - 2 * list_inner_product(x.v, b.v) AS BIGINT), e := b.e)) AS m
+  FROM parts x JOIN (SELECT *, list_inner_product(v, v) AS bb FROM b{r}) b USING (p) GROUP BY id, p)""")
+        if r < 4:
+            rounds.append(f"""
+b{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b{r} b LEFT JOIN (
+    SELECT p, e, list(w ORDER BY j) AS v FROM (
+      SELECT p, a.m.e AS e, j, floor(sum(x.v[j]) / count(*)) AS w
+      FROM parts x JOIN a{r} a USING (id, p), unnest(range(1, len(x.v) + 1)) AS u(j) GROUP BY p, a.m.e, j) GROUP BY p, e) n
+  USING (p, e))""")
+    return f"""
+WITH good AS (
+  SELECT vec_id, label, embedding AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 4 = 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS id, vec_id, label,
+         list_transform(x, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x
+  FROM (SELECT *, first_value(len(x)) OVER (ORDER BY vec_id NULLS LAST, x) AS w FROM good) WHERE len(x) = w),
+parts AS MATERIALIZED (
+  SELECT *, list_inner_product(v, v) AS xx FROM (
+    SELECT id, p, list_slice(x, CAST(p * len(x) / 4 AS BIGINT) + 1, CAST((p + 1) * len(x) / 4 AS BIGINT)) AS v
+    FROM kept, unnest(range(4)) AS r(p))),
+b0 AS MATERIALIZED (SELECT p, id - 1 AS e, v FROM parts WHERE id <= 256),
+{",".join(rounds)},
+codes AS (SELECT id, string_agg(printf('%02x', CAST(m.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY id),
+digest AS (SELECT sha256(string_agg(CAST(CAST(v[j] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS sha
+           FROM b4, unnest(range(1, len(v) + 1)) AS u(j))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256
+FROM kept JOIN codes USING (id), digest"""
+
+
 ORACLE = {"op2_suffix_decontamination": OP2, "op4_ngram_jaccard_join": OP4, "op5_source_mix": OP5, "op6_line_dedup": OP6,
-          "op9_warc": OP9, "op10_lpf_dedup": OP10}
+          "op9_warc": OP9, "op10_lpf_dedup": OP10, "op12_conversation_repair": OP12, "op13_pivot_codes": _op13()}
