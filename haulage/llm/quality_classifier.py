@@ -24,7 +24,6 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -271,8 +270,11 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """The documents that are not rejected, with all their columns; each row by its own text."""
     model = fit(docs, labels, id_col, text_col, **options)
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([(t or "").encode() for t in texts], _Buckets()))
+    at = docs.columns.index(text_col)
 
-    return docs.where(scores(F.col(f"`{text_col}`").cast("string")) >= threshold)
+    def keep(batches):
+        memo = _Buckets()
+        for batch in slices(batches, 4 << 20):
+            yield batch.filter(pa.array(model.scores(text_bytes(batch.column(at)), memo) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

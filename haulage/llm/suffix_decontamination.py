@@ -8,7 +8,8 @@ a window (10 words, or the whole of a shorter item) the interval lists all place
 occurs, and those words are hit. Shards live inside tasks: nothing is shuffled.
 
 The benchmark is taken in blocks of bounded bytes, one broadcast each; a benchmark of one block
-is one pass over the documents, a larger one adds a pass per block and merges hits by document.
+is one pass over the documents, a larger one adds a pass per block: the report merges the hits of
+rows that were numbered and written once, ``clean_rows`` filters what the block before left.
 
 Defined cases: null or empty text has no words and is clean; items without words match nothing;
 items without an id are ignored; repeated documents each get their row; a null doc_id stays null;
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import NULL_ID, id_text, prepare, row_key, shown_id, slices, text_bytes, word_ids
+from haulage.llm.common import NULL_ID, cut, id_text, prepare, shown_id, slices, text_bytes, word_ids
 
 WINDOW = 10
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 8 << 20
 
 _WORD = bytearray(b" " * 256)
@@ -222,12 +223,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """One row per document: doc_id, n_words, merged hit ``spans`` (in words), ``items`` (sorted keys)."""
     spark = prepare(docs.sparkSession)
     rows = id_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    passes = [_block_hits(rows, spark.sparkContext.broadcast(ItemBlock(block, window)), shard_bytes)
-              for block in _blocks(benchmark, item_id, item_text, block_bytes)]
-    hits = passes[0]
-    if len(passes) > 1:  # same rows in the same order each pass: row_id names the row
-        for more in passes[1:]:
-            hits = hits.unionByName(more)
+    blocks = [spark.sparkContext.broadcast(ItemBlock(block, window)) for block in _blocks(benchmark, item_id, item_text, block_bytes)]
+    if len(blocks) > 1:  # each pass must see the same row_id
+        rows = cut(rows, "numbered-documents")
+    hits = _block_hits(rows, blocks[0], shard_bytes)
+    if len(blocks) > 1:
+        for more in blocks[1:]:
+            hits = hits.unionByName(_block_hits(rows, more, shard_bytes))
         hits = (hits.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
                                            F.flatten(F.collect_list("spans")).alias("spans"),
                                            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
@@ -303,10 +305,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return docs.join(bad, key == F.col("_llm_bad"), "left_anti")
 
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+               window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows without a hit, with all their columns. A row goes only for its own text, also where
-    it has no id or shares it."""
-    rows = docs.select(row_key(id_col, text_col).alias("node"), F.col(f"`{text_col}`").alias("text"))
-    hits = benchmark_hits(rows, benchmark, id_col="node", **options)
-    bad = hits.where(F.size("spans") > 0).select(F.col("doc_id").alias("_llm_bad")).distinct()
-    return docs.join(bad, row_key(id_col, text_col) == F.col("_llm_bad"), "left_anti")
+    it has no id or shares it; it is decided in the task that reads it, so no text is shuffled."""
+    spark = prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def clean(shared):
+        def run(batches):
+            for batch in slices(batches, shard_bytes):
+                texts = text_bytes(batch.column(at))
+                _, first, hit, _, _ = _shard_report(range(len(texts)), texts, shared.value)
+                upto = np.concatenate(([0], np.cumsum(hit)))
+                ends = np.append(first[1:], len(hit))
+                yield batch.filter(pa.array(upto[ends] == upto[first]))
+        return run
+
+    kept, before = docs, False
+    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+        kept = (cut(kept, "clean-rows") if before else kept).mapInArrow(clean(spark.sparkContext.broadcast(ItemBlock(block, window))), docs.schema)
+        before = True
+    return kept
