@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import cut, id_text, prepare, release, shown_id, slices, tagged, text_bytes
+from haulage.llm.common import cut, id_text, prepare, release, same_row, shown_id, slices, tagged, tags_of, text_bytes
 from haulage.llm.cuckoo import ShardedFilters, broadcast_filters, build_filters, n_shards
 
 MIN_CHUNK = 40
@@ -89,26 +89,30 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(chunks, "key binary, doc_id long, ordinal int")
 
 
-def _candidates(docs: DataFrame, shared) -> DataFrame:
+def _candidates(rows: DataFrame, shared) -> DataFrame:
+    """Per row of ``rows`` (doc_id, text, tags): sizes, the chunks that may be shared, and the text where there are any."""
+    tags = tags_of(rows)
+
     def look(batches):
         filters = None if shared is None else ShardedFilters(*shared.value)
         piece = pa.struct([("key", pa.binary()), ("ordinal", pa.int32())])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(piece)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(piece)] + [pa.int64()] * len(tags)
         for batch in slices(batches, 2 << 20):
             out = []
-            for doc_id, text, tag in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            own_tags = [batch.column(k).to_pylist() for k in range(2, batch.num_columns)]
+            for doc_id, text, *tag in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), *own_tags):
                 ends = chunk_ends(text)
                 own = [(key, k) for k, key in enumerate(chunk_keys(text, ends)) if key is not None]
                 if filters is not None and own:
                     own = [p for p, hit in zip(own, filters.contains([key for key, _ in own]).tolist()) if hit]
-                out.append((doc_id, tag, len(text), len(ends), text if own else None,
+                out.append((doc_id, len(text), len(ends), text if own else None,
                             None if own else hashlib.sha256(text).hexdigest(),
-                            [{"key": key, "ordinal": k} for key, k in own]))
+                            [{"key": key, "ordinal": k} for key, k in own], *tag))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                                             names=["doc_id", "tag", "n_bytes", "n_chunks", "text", "kept_sha256", "pieces"])
+                                             names=["doc_id", "n_bytes", "n_chunks", "text", "kept_sha256", "pieces", *tags])
 
-    return tagged(docs).mapInArrow(look, "doc_id long, tag long, n_bytes long, n_chunks long, text binary, kept_sha256 string, "
-                                 "pieces array<struct<key:binary,ordinal:int>>")
+    return rows.mapInArrow(look, ", ".join(["doc_id long, n_bytes long, n_chunks long, text binary, kept_sha256 string, "
+                                            "pieces array<struct<key:binary,ordinal:int>>", *(f"{t} long" for t in tags)]))
 
 
 REPORT = ("doc_id long, n_bytes long, n_chunks long, n_removed_chunks long, n_removed long, "
@@ -125,10 +129,11 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = cut(first, "chunk-first")
     release(spark)
     shards = n_shards(first.count())
-    looked = _candidates(rows, broadcast_filters(build_filters(first.select("key"), shards), shards))
-    pieces = looked.select("doc_id", "tag", F.inline("pieces"))
+    looked = _candidates(tagged(rows), broadcast_filters(build_filters(first.select("key"), shards), shards))
+    own = ["doc_id", *tags_of(looked)]
+    pieces = looked.select(*own, F.inline("pieces"))
     later = (pieces.join(first, "key").where("doc_id <> first_doc OR ordinal <> first_ordinal")
-             .groupBy(F.col("doc_id").alias("d_doc"), F.col("tag").alias("d_tag"))
+             .groupBy(*[F.col(c).alias(f"d_{c}") for c in own])
              .agg(F.collect_set("ordinal").alias("drops"), F.array_sort(F.collect_set("first_doc")).alias("first_docs")))
 
     def rewrite(batches):
@@ -146,6 +151,6 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                              names=[c.split()[0] for c in REPORT.split(", ")])
 
-    out = (looked.drop("pieces").join(later, (F.col("doc_id") == F.col("d_doc")) & (F.col("tag") == F.col("d_tag")), "left")
+    out = (looked.drop("pieces").join(later, same_row(looked, {c: f"d_{c}" for c in own}), "left")
            .select("doc_id", "n_bytes", "n_chunks", "text", "kept_sha256", "drops", "first_docs").mapInArrow(rewrite, REPORT))
     return out.select(shown_id(), *(c for c in out.columns[1:] if with_text or c != "kept"))

@@ -6,6 +6,7 @@ Ids: every operator takes integer ids. A null id is one more id that sorts after
 
 from __future__ import annotations
 
+import functools
 import gc
 import time
 import uuid
@@ -71,12 +72,26 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
                       F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
+TAGS = ("tag_a", "tag_b")
+
+
 def tagged(rows: DataFrame) -> DataFrame:
-    """With ``tag``, which keeps rows apart that share an id but not their text: 31 bits of the
-    text's hash, or 0 throughout where no id repeats."""
-    repeats = rows.groupBy("doc_id").count().where("count > 1")
-    tag = F.lit(0) if repeats.isEmpty() else F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1))
-    return rows.withColumn("tag", tag.cast("long"))
+    """(doc_id, text) rows with two more longs, the halves of the text's MD5, where some id repeats:
+    they keep rows apart that share an id (or have none) but not their text. Where no id repeats
+    the rows stay as they are; :func:`tags_of` names what was added."""
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    half = lambda k: F.conv(F.substring(F.md5("text"), k, 16), 16, -10).cast("long")
+    return rows.withColumns({TAGS[0]: half(1), TAGS[1]: half(17)})
+
+
+def tags_of(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c in TAGS]
+
+
+def same_row(rows: DataFrame, names: dict[str, str]):
+    """Join condition: ``doc_id`` and the tags equal the columns that ``names`` gives for them."""
+    return functools.reduce(lambda x, y: x & y, [F.col(c) == F.col(names[c]) for c in ("doc_id", *tags_of(rows))])
 
 
 def shown_id(col: str = "doc_id"):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import cut, id_text, prepare, release, runs_of, shown_id, slices, tagged, text_bytes
+from haulage.llm.common import cut, id_text, prepare, release, runs_of, same_row, shown_id, slices, tagged, tags_of, text_bytes
 
 SPAN = 50
 GRAM = 20
@@ -90,36 +90,44 @@ def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
 
 
 def _anchor_rows(rows: DataFrame) -> DataFrame:
+    names = ["key", "low", "place", "doc_id", *tags_of(rows)]
+
     def find(batches):
         for batch in slices(batches, 1 << 20):
-            keys, lows, owner, places = [], [], [], []
-            for doc_id, text, tag in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            keys, lows, places, owner = [], [], [], []
+            for k, text in enumerate(text_bytes(batch.column(1))):
                 gram, context, at = anchors(text)
                 if len(at):
                     keys.append((gram & _GRAM_BITS) | (context >> np.uint64(48)))
                     lows.append(context.astype(np.uint32))
-                    owner.append(np.full(len(at), doc_id, np.int64))
-                    places.append(at + (tag << 32))
+                    places.append(at)
+                    owner.append(np.full(len(at), k))
             if keys:
+                owner = np.concatenate(owner)
+                rows_of = [batch.column(c).to_numpy()[owner] for c in (0, *range(2, batch.num_columns))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(lows).view(np.int32)),
-                     pa.array(np.concatenate(owner)), pa.array(np.concatenate(places))], names=["key", "low", "doc_id", "place"])
+                     pa.array(np.concatenate(places)), *map(pa.array, rows_of)], names=names)
+
+    return rows.mapInArrow(find, _schema("key long, low int, place long, doc_id long", rows))
+
 
-    return rows.mapInArrow(find, "key long, low int, doc_id long, place long")
+def _schema(fields: str, rows: DataFrame) -> str:
+    """With the columns that keep rows of one id apart, last."""
+    return ", ".join([fields, *(f"{t} long" for t in tags_of(rows))])
 
 
-# place: the text's tag in the high half, the anchor's offset in the low half
 # key: 48 bits of the gram's hash, 16 of the context's; low: 32 more of the context's
 _GRAM_BITS = np.uint64(2**64 - 2**16)
-STANDING = "doc_id long, place long, gram long, parts int"
-_OFFSET = 2**32 - 1
 
 
 def _settle(found: DataFrame) -> DataFrame:
-    """Rows (doc_id, place, gram, parts): parts 0 for later copies in full, else the number of shards
-    the anchor's contexts go to. Anchors that no other document has are dropped."""
+    """Rows (doc_id, place, gram, parts, tags): parts 0 for later copies in full, else the number of
+    shards the anchor's contexts go to. Anchors that no other document has are dropped."""
+    names = ["place", "gram", "parts", "doc_id", *tags_of(found)]
+
     def settle(batches):
-        def decided(key, low, doc, place):
+        def decided(key, low, place, doc, *tags):
             """Whole anchors, sorted by (gram, context, doc)."""
             gram = key >> 16
             new_gram = np.concatenate(([True], gram[1:] != gram[:-1]))
@@ -133,9 +141,7 @@ def _settle(found: DataFrame) -> DataFrame:
             ends = ~later & (contexts > 1) & (least < most)
             parts = np.where(later, 0, 1 + contexts // PART_CONTEXTS).astype(np.int32)
             told = later | ends
-            return pa.RecordBatch.from_arrays([pa.array(doc[told]), pa.array(place[told]), pa.array(np.where(later, 0, gram)[told]),
-                                               pa.array(parts[told])],
-                                              names=["doc_id", "place", "gram", "parts"])
+            return pa.RecordBatch.from_arrays([pa.array(c[told]) for c in (place, np.where(later, 0, gram), parts, doc, *tags)], names=names)
 
         held: list[np.ndarray] | None = None
         for batch in batches:
@@ -151,36 +157,37 @@ def _settle(found: DataFrame) -> DataFrame:
             yield decided(*held)
 
     return (found.repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "low", "doc_id")
-            .mapInArrow(settle, STANDING))
+            .mapInArrow(settle, _schema("place long, gram long, parts int, doc_id long", found)))
 
 
-CONTEXT = "gram long, part int, parts int, doc_id long, tag long, low long, off int, bytes binary"
+CONTEXT = "gram long, part int, parts int, low long, off int, bytes binary, doc_id long"
 
 
 def _contexts(rows: DataFrame, ends: DataFrame) -> DataFrame:
     """The bytes around undecided anchors, one row per shard that needs them: ``low`` is where they
     begin in the text, ``off`` where the anchor begins in them."""
+    tags = tags_of(rows)
+    names = [c.split()[0] for c in CONTEXT.split(", ")] + tags
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()] + [pa.int64()] * (1 + len(tags))
+
     def read(batches):
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in slices(batches, 2 << 20):
             out = []
-            ids, tags, places, grams, counts = (batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))
-            for doc_id, text, tag, *marks in zip(ids, text_bytes(batch.column(1)), tags, places, grams, counts):
-                for place, gram, parts in zip(*marks):
-                    at = place & _OFFSET
+            places, grams, counts, *owners = (batch.column(k).to_pylist() for k in range(1, batch.num_columns))
+            for text, ats, own_grams, own_counts, *owner in zip(text_bytes(batch.column(0)), places, grams, counts, *owners):
+                for at, gram, parts in zip(ats, own_grams, own_counts):
                     low = max(0, at - REACH)
                     piece = text[low:at + SPAN]
                     wanted = (0,) if parts == 1 else sorted({_part(piece[k:k + SPAN], parts) for k in range(len(piece) - SPAN + 1)})
-                    out += [(gram, part, parts, doc_id, tag, low, at - low, piece) for part in wanted]
+                    out += [(gram, part, parts, low, at - low, piece, *owner) for part in wanted]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
-                                                 names=[c.split()[0] for c in CONTEXT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    marks = (ends.groupBy(F.col("doc_id").alias("m_doc"), F.shiftright("place", 32).alias("m_tag"))
-             .agg(F.collect_list(F.struct("place", "gram", "parts")).alias("marks")))
-    return (rows.join(marks, (F.col("doc_id") == F.col("m_doc")) & (F.col("tag") == F.col("m_tag")))
-            .select("doc_id", "text", "tag", F.col("marks.place"), F.col("marks.gram"), F.col("marks.parts"))
-            .mapInArrow(read, CONTEXT))
+    own = ["doc_id", *tags]
+    marks = ends.groupBy(*[F.col(c).alias(f"m_{c}") for c in own]).agg(F.collect_list(F.struct("place", "gram", "parts")).alias("marks"))
+    return (rows.join(marks, same_row(rows, {c: f"m_{c}" for c in own}))
+            .select("text", F.col("marks.place"), F.col("marks.gram"), F.col("marks.parts"), *own)
+            .mapInArrow(read, _schema(CONTEXT, rows)))
 
 
 def _part(string: bytes, parts: int) -> int:
@@ -290,8 +297,8 @@ def _candidates(text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, off: np.
 
 
 def _copied(contexts: DataFrame) -> DataFrame:
-    """Runs (doc_id, tag, start, end) of starts of strings that a smaller document has, from whole shards."""
-    names = [c.split()[0] for c in CONTEXT.split(", ")]
+    """Runs (start, end, doc_id, tags) of starts of strings that a smaller document has, from whole shards."""
+    names = [c.split()[0] for c in CONTEXT.split(", ")] + tags_of(contexts)
 
     def pieces(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Bytes back to back, and the size of each value."""
@@ -309,15 +316,16 @@ def _copied(contexts: DataFrame) -> DataFrame:
         return text, begin
 
     def shard(rows: pa.RecordBatch):
-        gram, part, parts, doc, tag, low, off = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-        data, sizes = pieces(rows.column(7))
+        gram, part, parts, low, off = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        doc, *tags = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(6, rows.num_columns))
+        data, sizes = pieces(rows.column(5))
         begin = np.cumsum(sizes) - sizes
         lo, hi = _candidates(data.astype(np.int64), begin, sizes, off.astype(np.int64), gram, doc)
         keep = hi >= lo
         if not keep.any():
             return None
         # of each context that is left, the bytes of its candidates
-        part, parts, doc, tag = part[keep], parts[keep], doc[keep], tag[keep]
+        part, parts, doc, tags = part[keep], parts[keep], doc[keep], [t[keep] for t in tags]
         low, begin, sizes = low[keep] + lo[keep], begin[keep] + lo[keep], (hi - lo)[keep] + SPAN
         places = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
         # a separator that is no byte ends each context; matches with it never reach SPAN
@@ -332,15 +340,17 @@ def _copied(contexts: DataFrame) -> DataFrame:
             offset[first[k]:first[k] + counts[k]][np.array(other, bool)] = -1
         own, offset = own[offset >= 0], offset[offset >= 0]
         hit = previous_factors(text, begin[own] + offset, doc[own], SPAN) >= SPAN
-        doc, tag, at = doc[own[hit]], tag[own[hit]], low[own[hit]] + offset[hit]
-        if not len(doc):
+        owner, at = [c[own[hit]] for c in (doc, *tags)], low[own[hit]] + offset[hit]
+        if not len(at):
             return None
-        order = np.lexsort((at, tag, doc))
-        doc, tag, at = doc[order], tag[order], at[order]
-        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + 1)))
-        last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(doc) - 1]))
-        return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tag[new]), pa.array(at[new]), pa.array(at[last] + SPAN)],
-                                          names=["doc_id", "tag", "start", "end"])
+        order = np.lexsort((at, *reversed(owner)))
+        owner, at = [c[order] for c in owner], at[order]
+        new = np.concatenate(([True], at[1:] > at[:-1] + 1))
+        for c in owner:
+            new[1:] |= c[1:] != c[:-1]
+        last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1]))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (at[new], at[last] + SPAN, *(c[new] for c in owner))],
+                                          names=["start", "end", *names[6:]])
 
     def judge(batches):
         held: list[pa.RecordBatch] = []
@@ -363,22 +373,21 @@ def _copied(contexts: DataFrame) -> DataFrame:
                 yield out
 
     return (contexts.select(names).repartition("gram", "part").sortWithinPartitions("gram", "part", "doc_id")
-            .mapInArrow(judge, "doc_id long, tag long, start long, end long"))
+            .mapInArrow(judge, _schema("start long, end long, doc_id long", contexts)))
 
 
 def copied_spans(rows: DataFrame) -> DataFrame:
-    """(s_doc, s_tag, spans) of (doc_id, text, tag) rows, in bytes; spans may overlap. Texts without
-    later copies have no row."""
+    """Spans of (doc_id, text, tags) rows, in bytes; they may overlap. The columns that name the row
+    begin with ``s_``. Texts without later copies have no row."""
     spark = rows.sparkSession
     standing = cut(_settle(_anchor_rows(rows)), "anchors")
     release(spark)
+    own = ["doc_id", *tags_of(rows)]
     # a later copy in full covers all strings that hold the anchor; the text's end is met when cutting
-    at = F.col("place").bitwiseAND(F.lit(_OFFSET))
-    full = standing.where("parts = 0").select("doc_id", F.shiftright("place", 32).alias("tag"), F.greatest(at - REACH, F.lit(0)).alias("start"),
-                                              (at + SPAN).alias("end"))
+    full = standing.where("parts = 0").select(F.greatest(F.col("place") - REACH, F.lit(0)).alias("start"), (F.col("place") + SPAN).alias("end"), *own)
     ends = cut(_copied(_contexts(rows, standing.where("parts > 0"))), "copied-ends")
     release(spark)
-    return (full.unionByName(ends).groupBy(F.col("doc_id").alias("s_doc"), F.col("tag").alias("s_tag"))
+    return (full.unionByName(ends).groupBy(*[F.col(c).alias(f"s_{c}") for c in own])
             .agg(F.collect_list(F.struct("start", "end")).alias("spans")))
 
 
@@ -411,6 +420,6 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                              names=[c.split()[0] for c in REPORT.split(", ")])
 
-    joined = rows.join(spans, (F.col("doc_id") == F.col("s_doc")) & (F.col("tag") == F.col("s_tag")), "left")
+    joined = rows.join(spans, same_row(rows, {c: f"s_{c}" for c in rows.columns}), "left")
     out = joined.select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")).mapInArrow(remove, REPORT)
     return out.select(shown_id(), *(c for c in out.columns[1:] if with_text or c != "kept"))

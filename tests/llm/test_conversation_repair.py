@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import types as T
 
 from haulage.llm import conversation_repair as C
-from tests.llm.awkward import ident, prose, result
+from awkward import ident, prose, result
 
 SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()),
                        T.StructField("text", T.StringType()), T.StructField("hit", T.LongType()), T.StructField("copies", T.StringType()),

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import types as T
 
 from haulage.llm import pivot_codes as V
-from tests.llm.awkward import ident, result
+from awkward import ident, result
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
                        T.StructField("label", T.IntegerType()), T.StructField("code", T.StringType()), T.StructField("x", T.LongType()),

@@ -1,11 +1,16 @@
 from collections import Counter
 
 import corpus_pipeline
-from awkward import doc_rows, documents, empty_documents, ident, prose
-from haulage.llm import ngram_join, suffix_decontamination
+from awkward import doc_rows, documents, empty_documents, ident, prose, result
+from haulage.llm import chunk_dedup, lpf_dedup, ngram_join, suffix_decontamination
+from test_chunk_dedup import COLUMNS as chunk_columns
+from test_chunk_dedup import brute as chunk_brute
+from test_lpf_dedup import COLUMNS as lpf_columns
+from test_lpf_dedup import brute as lpf_brute
 from test_ngram_join import shingles
 from test_suffix_decontamination import ITEMS, bench
 from test_suffix_decontamination import brute as brute_contamination
+from xxhash import xxh64_intdigest
 
 NONE = (None,) * 8
 
@@ -64,3 +69,29 @@ def test_contaminated_rows_go_row_by_row(spark):
             left = suffix_decontamination.clean_rows(docs, bench(spark, items), **options)
             assert left.columns == docs.columns and shown(left) == want
     assert (ident(None), prose(9, 25)) in want
+
+
+def low_bits_collision():
+    """Two texts of over 50 bytes whose XXH64 agree in the low 31 bits."""
+    seen = {}
+    for n in range(1_000_000):
+        text = f"report {n} of the harbor office, filed under {n * 7919 % 100003} and kept in the north tower"
+        low = xxh64_intdigest(text.encode(), 42) & (2**31 - 1)
+        if low in seen:
+            return seen[low], text
+        seen[low] = text
+    raise AssertionError("no collision found")
+
+
+def test_rows_of_one_id_are_told_apart_by_whole_digests(spark):
+    a, b = low_bits_collision()
+    rows = [t + NONE for t in [(1, a + "\n" + prose(31, 30)), (None, a), (None, b), (None, prose(32, 90) + a), (4, "short"), (None, "short")]]
+    assert result(lpf_dedup.remove_copies(documents(spark, rows)), *lpf_columns) == lpf_brute(rows)
+    assert result(chunk_dedup.dedup_chunks(documents(spark, rows)), *chunk_columns) == chunk_brute(rows)
+
+
+def test_a_third_of_the_rows_has_no_id(spark):
+    passages = [prose(60 + k, 40) for k in range(4)]
+    rows = [((None if k % 3 == 0 else k // 2), prose(200 + k, 20) + " " + passages[k % 4] + " " + prose(300 + k % 7, 15)) + NONE for k in range(60)]
+    assert result(lpf_dedup.remove_copies(documents(spark, rows)), *lpf_columns) == lpf_brute(rows)
+    assert result(chunk_dedup.dedup_chunks(documents(spark, rows)), *chunk_columns) == chunk_brute(rows)
