@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from haulage.functions import scalars as I
 from haulage.operators import columns as B
+from haulage.operators import halo as W
 from haulage.operators import keyed as D
-from haulage.operators import ordered as O
 from haulage.operators import paging as P
 from haulage.operators import tasks as T
 from haulage.streaming import jobs as J
@@ -821,56 +821,34 @@ def _sweep_query(sql: str):
     return run
 
 
-def _h6_asof(spark, sf_dir):
-    """H6 without a user's events in one task."""
+def _h6_asof(spark, sf_dir, slice_rows=W.SLICE_ROWS):
+    """H6 without a large user's events in one task."""
     ev = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'view')").select(
         "event_id", "user_id", "ts", "event_type", F.when(F.col("event_type") == "view", F.col("event_id")).alias("view_id"))
-    found = O.last_before(ev, ["user_id"], ["ts", "event_id"], "view_id", "view_before")
+    found = W.windows(ev, ["user_id"], "ts", ["event_id"], {"view_before": W.LastBefore("view_id")}, slice_rows=slice_rows)
     return found.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "view_before")
 
 
-def _h10_ranking(spark, sf_dir):
-    """H10 without a nation or segment in one task."""
+def _h10_ranking(spark, sf_dir, slice_rows=W.SLICE_ROWS):
+    """H10 without a large nation or segment in one task."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    numbered = O.number_by_key(cust, ["c_nationkey"], [F.col("c_acctbal").desc_nulls_last(), "c_custkey"])
-    ties = numbered.groupBy(F.col("c_nationkey").alias("t_nation"), F.col("c_acctbal").alias("t_bal")).agg(F.min("rn").alias("rnk"))
-    # the pairs are few: segments times nations
+    ranked = W.windows(cust, ["c_nationkey"], -F.col("c_acctbal"), ["c_custkey"],
+                       {"rn": W.RowNumber(), "rnk": W.Rank(), "quartile": W.Ntile(4)}, nulls_last=True, slice_rows=slice_rows)
+    # the dense rank depends on the distinct pairs alone, segments times nations
     pairs = cust.select(F.col("c_mktsegment").alias("p_segment"), F.col("c_nationkey").alias("p_nation")).distinct()
     dense = Window.partitionBy("p_segment").orderBy("p_nation")
     pairs = pairs.withColumn("drnk", F.row_number().over(dense).cast("bigint"))
-    size, more = F.floor(F.col("rn_of") / 4), F.col("rn_of") % 4      # NTILE: the first groups are one larger
-    wide = more * (size + 1)
-    quartile = F.when(F.col("rn") <= wide, F.floor((F.col("rn") - 1) / (size + 1)) + 1).otherwise(
-        more + F.floor((F.col("rn") - 1 - wide) / F.greatest(size, F.lit(1))) + 1)
-    tied = F.col("c_nationkey").eqNullSafe(F.col("t_nation")) & F.col("c_acctbal").eqNullSafe(F.col("t_bal"))
     paired = F.col("c_mktsegment").eqNullSafe(F.col("p_segment")) & F.col("c_nationkey").eqNullSafe(F.col("p_nation"))
-    return (numbered.join(ties, tied).join(pairs, paired)
-            .select("c_custkey", "c_nationkey", "c_acctbal", "rn", "rnk", "drnk", quartile.cast("bigint").alias("quartile")))
+    return ranked.join(pairs, paired).select("c_custkey", "c_nationkey", "c_acctbal", "rn", "rnk", "drnk", "quartile")
 
 
-def _h11_lag_lead(spark, sf_dir):
-    """H11 without a user's events in one task: neighbours by joins on (user, number), the sliding
-    count as the difference of two places in the order of events and window starts."""
+def _h11_lag_lead(spark, sf_dir, slice_rows=W.SLICE_ROWS):
+    """H11 without a large user's events in one task: one exchange of the rows."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.col("value").cast("decimal(18,2)").alias("d"), "value")
-    n = O.number_by_key(ev, ["user_id"], ["ts", "event_id"])
-    for column, offset, name in (("value", -1, "prev_value"), ("event_type", 1, "next_type"), ("d", -1, "_d1"), ("d", -2, "_d2")):
-        n = O.shift_by_number(n, ["user_id"], "rn", column, offset, name)
-    n = n.checkpoint(eager=True)
-    # probes stand before all events of their time: what precedes them lies outside the window.
-    # A row is named by (user, number): event ids may be missing
-    probes = n.select("user_id", (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("at"), F.lit(0).alias("kind"), "rn")
-    line = n.select("user_id", F.col("ts").alias("at"), F.lit(1).alias("kind"), "rn").unionByName(probes)
-    placed = O.number_by_key(line, ["user_id"], ["at", "kind", "rn"], "p").where("kind = 0").select("user_id", "rn", "p")
-    nth = O.number_by_key(probes, ["user_id"], ["at", "rn"], "q").select(F.col("user_id").alias("q_user"), F.col("rn").alias("q_rn"), "q")
-    outside = (placed.join(nth, F.col("user_id").eqNullSafe(F.col("q_user")) & (F.col("rn") == F.col("q_rn")))
-               .select(F.col("user_id").alias("o_user"), F.col("rn").alias("o_rn"), (F.col("p") - F.col("q")).alias("outside")))
-    upto = n.groupBy(F.col("user_id").alias("u_id"), F.col("ts").alias("u_ts")).agg(F.max("rn").alias("upto"))
-    total = [F.coalesce(F.col(c), F.lit(0).cast("decimal(18,2)")) for c in ("d", "_d1", "_d2")]
-    none = F.col("d").isNull() & F.col("_d1").isNull() & F.col("_d2").isNull()
-    return (n.join(outside, F.col("user_id").eqNullSafe(F.col("o_user")) & (F.col("rn") == F.col("o_rn"))).join(upto, F.col("user_id").eqNullSafe(F.col("u_id")) & F.col("ts").eqNullSafe(F.col("u_ts")))
-            .select("event_id", "user_id", "prev_value", "next_type",
-                    F.when(~none, (total[0] + total[1] + total[2]).cast("double")).alias("sum_last3"),
-                    (F.col("upto") - F.col("outside")).alias("n_last_day")))
+    found = W.windows(ev, ["user_id"], "ts", ["event_id"], {
+        "prev_value": W.Lag("value"), "next_type": W.Lead("event_type"), "sum_last3": W.SumRows("d", 3), "n_last_day": W.CountSpan("1 DAY")},
+        slice_rows=slice_rows)
+    return found.select("event_id", "user_id", "prev_value", "next_type", F.col("sum_last3").cast("double").alias("sum_last3"), "n_last_day")
 
 
 _SPLIT = {"h6_asof_join": _h6_asof, "h10_ranking": _h10_ranking, "h11_lag_lead": _h11_lag_lead}
