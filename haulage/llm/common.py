@@ -6,6 +6,7 @@ Ids: every operator takes integer ids. A null id is one more id that sorts after
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import time
@@ -59,6 +60,37 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task."""
+    return _CACHES.setdefault(owner, {})
+
+
+def lean(run, owner: str = ""):
+    """``run`` for mapInArrow in workers that Spark uses again for other stages: caches of other
+    operators go when it starts, and memory that it freed returns to the machine when it ends."""
+    def task(batches):
+        for name, cache in _CACHES.items():
+            if name != owner:
+                cache.clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) of any frame, whatever other columns it has."""
     return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"),

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import id_text, packed, prepare, shown_id, slices, sum_blocks, text_bytes
+from haulage.llm.common import id_text, lean, packed, prepare, shown_id, slices, sum_blocks, text_bytes
 
 BUCKETS = 1 << 14
 DIMS = 32
@@ -108,7 +108,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed(part)], pa.binary())],
                                                  names=["block", "counts"])
 
-    total = sum_blocks(rows.mapInArrow(learn, "block int, counts binary"), TABLE_BLOCKS)
+    total = sum_blocks(rows.mapInArrow(lean(learn), "block int, counts binary"), TABLE_BLOCKS)
     if not len(total):
         return np.zeros((BUCKETS, DIMS), np.float32)
     total = total.reshape(BUCKETS, DIMS + 1).astype(np.float64)
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "label", "x"])
 
     # repeated ids of one label could exceed the bound: one row per id
-    made = (rows.mapInArrow(make, "doc_id long, label int, x binary")
+    made = (rows.mapInArrow(lean(make), "doc_id long, label int, x binary")
             .groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id"))
     x = np.frombuffer(b"".join(bytes(b) for b in made["x"]), np.float32).reshape(-1, N_FEATURES)
     return fit_network(x, made["label"].to_numpy(np.int64))
@@ -260,7 +260,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(text_bytes(batch.column(1)), memo), pa.float64())],
                                              names=["doc_id", "score"])
 
-    scored = id_text(docs, id_col, text_col).mapInArrow(judge, "doc_id long, score double")
+    scored = id_text(docs, id_col, text_col).mapInArrow(lean(judge), "doc_id long, score double")
     return (scored.withColumn("doc_id", shown_id())
             .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
 
@@ -277,4 +277,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         for batch in slices(batches, 4 << 20):
             yield batch.filter(pa.array(model.scores(text_bytes(batch.column(at)), memo) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

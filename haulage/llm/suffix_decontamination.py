@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.common import NULL_ID, cut, id_text, prepare, shown_id, slices, text_bytes, word_ids
+from haulage.llm.common import NULL_ID, cut, id_text, lean, prepare, shown_id, slices, text_bytes, word_ids
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
@@ -324,6 +324,6 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
     kept, before = docs, False
     for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        kept = (cut(kept, "clean-rows") if before else kept).mapInArrow(clean(spark.sparkContext.broadcast(ItemBlock(block, window))), docs.schema)
+        kept = (cut(kept, "clean-rows") if before else kept).mapInArrow(lean(clean(spark.sparkContext.broadcast(ItemBlock(block, window)))), docs.schema)
         before = True
     return kept

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haulage.llm.common import cut, id_text, prepare, shown_id, slices
+from haulage.llm.common import cut, id_text, lean, prepare, shown_id, slices, worker_cache
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -212,7 +212,7 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = worker_cache("token_codes")
 
 
 def encoder_for(path: str) -> Encoder:
@@ -261,8 +261,9 @@ def write_codes(docs: DataFrame, tokenizer_path: str | None = None, id_col: str
         if doc_ids:
             yield image()
 
-    ordered = (id_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
-    return cut(ordered.mapInArrow(encode, SEGMENT), "token-codes")
+    ordered = (id_text(docs, id_col, text_col).repartitionByRange("doc_id", F.substring("text", 1, 32))
+               .sortWithinPartitions("doc_id", "text"))
+    return cut(ordered.mapInArrow(lean(encode, "token_codes"), SEGMENT), "token-codes")
 
 
 TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
@@ -292,5 +293,5 @@ def read_codes(segments: DataFrame, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)],
                                                  names=[c.split()[0] for c in TOKENS.split(", ")])
 
-    out = placed.mapInArrow(decode, TOKENS)
+    out = placed.mapInArrow(lean(decode), TOKENS)
     return out.select(shown_id(), *out.columns[1:])
