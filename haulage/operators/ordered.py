@@ -148,43 +148,3 @@ def lag_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: S
     same = _same_key(keys, [f"_p_{k}" for k in keys])
     out = joined.select(*df.columns, *[F.when(same, F.col(f"_p_{c}")).alias(f"{prefix}{c}") for c in cols])
     return out
-
-
-def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str,
-                num_partitions: int | None = None) -> DataFrame:
-    """As-of lookup: per row the last non-null ``value`` of the same key strictly before it in ``order``.
-
-    Range partitions on ``keys + order`` (a hot key spans several); inside each, a running last
-    non-null of (key, value); what a partition starts with is the last one of the partitions before
-    it, from a one-row-per-partition table. A value found under another key is none.
-    """
-    keys = list(keys)
-    tagged, _ = ranged(df, keys + list(order), num_partitions)
-    held = F.when(F.col(value).isNotNull(), F.struct(*keys, F.col(value).alias("_v")))
-    before = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    inside = tagged.withColumn("_own", F.last(held, ignorenulls=True).over(before))
-    ends = tagged.groupBy("_pid").agg(F.max_by(held, F.when(F.col(value).isNotNull(), F.col("_pos"))).alias("_end"))
-    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select("_pid", F.last("_end", ignorenulls=True).over(earlier).alias("_start"))
-    joined = inside.join(F.broadcast(starts), "_pid").withColumn("_at", F.coalesce("_own", "_start"))
-    same = _same_key(keys, [f"_at.{k}" for k in keys])
-    return joined.select(*df.columns, F.when(same, F.col("_at._v")).alias(name))
-
-
-def number_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "rn",
-                  num_partitions: int | None = None) -> DataFrame:
-    """1-based row number within each key and the key's row count ``<name>_of``, without gathering
-    a key in one task: the global number less the smallest one of the key (combined map-side)."""
-    keys = list(keys)
-    numbered = with_row_number(df, keys + list(order), "_no", num_partitions)
-    firsts = numbered.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_no").alias("_first"), F.count(F.lit(1)).alias(f"{name}_of"))
-    same = _same_key(keys, [f"_k_{k}" for k in keys])
-    return numbered.join(firsts, same).select(*df.columns, (F.col("_no") - F.col("_first") + 1).alias(name), f"{name}_of")
-
-
-def shift_by_number(numbered: DataFrame, keys: Sequence[str], number: str, column: str, offset: int, name: str) -> DataFrame:
-    """``column`` of the row ``offset`` places away within its key (``number`` counts a key's rows): an
-    equi-join on (key, number), which is unique, so a hot key spreads."""
-    other = numbered.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col(number) - offset).alias("_n"), F.col(column).alias(name))
-    return (numbered.join(other, _same_key(keys, [f"_k_{k}" for k in keys]) & (F.col(number) == F.col("_n")), "left")
-            .select(*numbered.columns, name))

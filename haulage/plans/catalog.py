@@ -643,23 +643,34 @@ def f5_stream_status(spark, sf_dir):
     return J.read_status_table(spark, f"{work}/sink")
 
 
-def _scattered_events(spark, sf_dir, folder):
-    """The events as four files that each hold times from all over the table: every micro-batch
-    brings events older than those before it."""
+ARRIVALS, STREAM_DELAY = 5, "8 HOURS"
+
+
+def _arriving_events(spark, sf_dir, folder):
+    """The events in files of the order they arrive in: up to six hours after their time, and one in
+    fifty three days after it. A stream with ``STREAM_DELAY`` puts the first in order and has the others late."""
     ev = table(spark, sf_dir, "events")
-    for part in range(4):
-        ev.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(folder)
-    return ev.schema
+    draw = F.pmod(F.xxhash64("event_id"), F.lit(1000))
+    after = F.when(draw < 20, F.expr("INTERVAL 3 DAYS")).otherwise(F.make_dt_interval(mins=(draw * 360 / 1000).cast("int")))
+    ev = ev.withColumn("arrives", F.col("ts") + after)
+    low, high = ev.agg(F.min("arrives"), F.max("arrives")).first()
+    step = (high - low) / ARRIVALS if low is not None else None
+    for k in range(ARRIVALS if step is not None else 1):
+        part = ev if step is None else ev.where((F.col("arrives") >= F.lit(low + k * step).cast("timestamp_ntz") if k else F.lit(True))
+                                                & (F.col("arrives") < F.lit(low + (k + 1) * step).cast("timestamp_ntz") if k < ARRIVALS - 1 else F.lit(True)))
+        part.drop("arrives").write.mode("append").parquet(folder)
+    return table(spark, sf_dir, "events").schema
 
 
 @register("f6_stream_cancel", None)
 def f6_stream_cancel(spark, sf_dir):
-    """F2 as a stream over files out of order, judged in event-time order."""
+    """F2 as a stream over events out of order: judged in event-time order over several micro-batches,
+    late ones kept apart and then counted in."""
     work = scratch_folder(spark, "f6")
-    schema = _scattered_events(spark, sf_dir, f"{work}/events")
-    J.cancel_stream(spark, f"{work}/events", schema, f"{work}/sink", f"{work}/checkpoint", delay="400 days",
+    schema = _arriving_events(spark, sf_dir, f"{work}/events")
+    J.cancel_stream(spark, f"{work}/events", schema, f"{work}/sink", f"{work}/checkpoint", delay=STREAM_DELAY,
                     max_files_per_trigger=1).awaitTermination()
-    out = J.read_ordered(spark, f"{work}/sink")
+    out = J.read_recounted(spark, f"{work}/sink")
     return out.select("task_id", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "outcome")
 
 
@@ -768,10 +779,10 @@ def g7_stream_drop_failed(spark, sf_dir):
 def g8_stream_message_order(spark, sf_dir):
     """G5 as a stream over files out of order (event-time order per task)."""
     work = scratch_folder(spark, "g8")
-    schema = _scattered_events(spark, sf_dir, f"{work}/events")
-    J.message_order_stream(spark, f"{work}/events", schema, f"{work}/sink", f"{work}/checkpoint", delay="400 days",
+    schema = _arriving_events(spark, sf_dir, f"{work}/events")
+    J.message_order_stream(spark, f"{work}/events", schema, f"{work}/sink", f"{work}/checkpoint", delay=STREAM_DELAY,
                            max_files_per_trigger=1).awaitTermination()
-    return J.read_ordered(spark, f"{work}/sink").select("task_id", "seq", "stage", "in_order")
+    return J.read_recounted(spark, f"{work}/sink").select("task_id", "seq", "stage", "in_order")
 
 
 ORACLE["g8_stream_message_order"] = ORACLE["g5_message_order"]

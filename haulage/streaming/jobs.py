@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from haulage.operators.tasks import latest_status, task_events
+from haulage.streaming import ordered
 from haulage.streaming.notify import drop_failed, fan_out, messages, subscription_states, with_failures
 
 WATERMARK = "1 hour"
@@ -126,109 +127,45 @@ def read_status_table(spark: SparkSession, sink: str) -> DataFrame:
     return read_latest(spark, sink, "task_id")
 
 
-def _folder_frame(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A folder written by an earlier batch, or an empty frame."""
-    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    name = jvm.org.apache.hadoop.fs.Path(path)
-    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
-
-
-EVENTS = "task_id long, kind string, ts timestamp, seq long"
-
-
-def _ordered_stream(events: DataFrame, judge: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str,
-                    delay: str, trigger: str) -> StreamingQuery:
-    """Judge (task_id, kind, ts, seq) events in event-time order, micro-batch by micro-batch.
-
-    Events wait until the watermark (latest event time - ``delay``) passes them, then ``judge``, the
-    batch operator, runs over them and, per task, the last event and the last non-cancel event that
-    passed before. Three folders hold the results, and each event is in exactly one of them:
-
-    * ``sink``: events the watermark has passed, one ``batch_id`` partition per micro-batch;
-    * ``sink-open``: the outcomes of waiting events as things stand, replaced by every batch, so
-      the newest events are never missing from :func:`read_ordered`;
-    * ``sink-late``: events older than the watermark when they came, kept for a recount.
-
-    The state (waiting events, last events per task) is a parquet folder per batch beside the
-    checkpoint; a repeated batch starts from the state of the one before it.
-    """
-    state = f"{checkpoint.rstrip('/')}-state"
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        held = _folder_frame(spark, f"{state}/batch-{batch_id - 1}", EVENTS + ", role string, mark timestamp").persist()
-        batch = batch.persist()
-        before = held.agg(F.max("mark")).first()[0]
-        newest = batch.agg(F.expr(f"max(ts) - INTERVAL '{delay}'")).first()[0]
-        mark = max((m for m in (before, newest) if m is not None), default=None)
-        is_late = F.lit(False) if before is None else F.col("ts") <= F.lit(before)
-        write_batch_partition(batch.where(is_late), batch_id, f"{sink}-late")
-        cols = ["task_id", "kind", "ts", "seq"]
-        last = held.where("role = 'last'").select(cols)
-        alive = held.where("role = 'waiting'").select(cols).unionByName(batch.where(~is_late).select(cols))
-        passed = F.lit(False) if mark is None else F.col("ts") <= F.lit(mark)
-        known = last.unionByName(alive.where(passed))
-        newer = F.lit(True) if before is None else F.col("ts") > F.lit(before)
-        write_batch_partition(judge(known).where(newer), batch_id, sink)
-        open_ = judge(known.unionByName(alive.where(~passed)))
-        open_ = open_.where(F.lit(True) if mark is None else F.col("ts") > F.lit(mark))
-        open_.write.mode("overwrite").parquet(f"{sink}-open")
-        order = F.struct("ts", "seq")
-        event = F.struct(*cols)
-        ends = known.groupBy("task_id").agg(F.max_by(event, order).alias("e"),
-                                            F.max_by(event, F.when(F.col("kind") != "cancel", order)).alias("f"))
-        ends = ends.select(F.explode(F.array_distinct(F.filter(F.array("e", "f"), lambda x: x.isNotNull()))).alias("e")).select("e.*")
-        tagged = (ends.withColumn("role", F.lit("last")).unionByName(alive.where(~passed).withColumn("role", F.lit("waiting")))
-                  .unionByName(spark.createDataFrame([(None, None, None, None, "mark")], EVENTS + ", role string")))
-        tagged.withColumn("mark", F.lit(mark).cast("timestamp")).write.mode("overwrite").parquet(f"{state}/batch-{batch_id}")
-        _remove(spark, f"{state}/batch-{batch_id - 2}")
-        held.unpersist()
-        batch.unpersist()
-
-    return _start(events, sink, checkpoint, trigger, batch_fn=write_batch)
+def _outcomes(found: DataFrame, rule: str) -> DataFrame:
+    ts = F.timestamp_micros("at").alias("ts")
+    if rule == "cancel":
+        return found.select("task_id", "seq", ts, "outcome")
+    return found.select("task_id", "seq", F.col("kind").alias("stage"), ts, (F.col("outcome") == "in order").alias("in_order"))
 
 
 def read_ordered(spark: SparkSession, sink: str) -> DataFrame:
     """All outcomes of an ordered stream: passed events and, as things stand, waiting ones."""
-    waiting = spark.read.parquet(f"{sink}-open")
-    return _folder_frame(spark, sink, waiting.schema).select(waiting.columns).unionByName(waiting)
+    return _outcomes(ordered.judged(spark, sink), ordered._about(spark, sink)["rule"])
+
+
+def read_recounted(spark: SparkSession, sink: str) -> DataFrame:
+    """All outcomes with late events put in their place: what a batch over all events gives."""
+    return _outcomes(ordered.recounted(spark, sink), ordered._about(spark, sink)["rule"])
 
 
 def late_events(spark: SparkSession, sink: str) -> DataFrame:
     """Events that came after the watermark had passed them; they have no outcome."""
-    return _folder_frame(spark, f"{sink}-late", EVENTS + ", batch_id long")
+    return ordered.late(spark, sink).select("task_id", "kind", F.timestamp_micros("at").alias("ts"), "seq")
 
 
 def cancel_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
                   checkpoint: str, delay: str = WATERMARK, trigger: str = "availableNow",
-                  max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER) -> StreamingQuery:
+                  max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER, forget: str | None = None) -> StreamingQuery:
     """F2 over a stream, in event-time order; read with :func:`read_ordered`.
 
-    Events up to ``delay`` late are put in order; later ones go to :func:`late_events`. The judging
-    is :func:`haulage.operators.tasks.cancel_outcomes`, which never gathers a task's events.
+    Events up to ``delay`` late are put in order; later ones go to :func:`late_events`. Tasks without
+    an event for ``forget`` (an interval; None: for ever) leave the state and are unknown again.
     """
-    from haulage.operators.tasks import cancel_outcomes
     ev = task_events(event_stream(spark, events_path, schema, max_files_per_trigger=max_files_per_trigger))
-    return _ordered_stream(ev, cancel_outcomes, sink, checkpoint, delay, trigger)
+    return ordered.ordered_stream(ev, "cancel", sink, checkpoint, delay, trigger, forget)
 
 
 def message_order_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
                          checkpoint: str, delay: str = WATERMARK, trigger: str = "availableNow",
-                         max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER) -> StreamingQuery:
+                         max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER, forget: str | None = None) -> StreamingQuery:
     """G5 over a stream: each download message with ``stage`` and ``in_order`` (event-time order per
     task); read with :func:`read_ordered`."""
-    from haulage.streaming.notify import message_order
-
-    def judge(events: DataFrame) -> DataFrame:
-        return message_order(events.withColumnRenamed("kind", "stage"), with_ts=True)
-
     stream = event_stream(spark, events_path, schema, max_files_per_trigger=max_files_per_trigger)
     msgs = messages(stream).select("task_id", F.col("stage").alias("kind"), "ts", "seq")
-    return _ordered_stream(msgs, judge, sink, checkpoint, delay, trigger)
+    return ordered.ordered_stream(msgs, "order", sink, checkpoint, delay, trigger, forget)

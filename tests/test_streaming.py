@@ -116,3 +116,47 @@ def test_subscription_stream_equals_batch_across_restarts(spark, small, scratch)
     got = J.read_active_subscribers(spark, sink)
     want = G.active_subscribers(ev, "user_id", "event_type", "event_id")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_disorder_of_hours_passes_over_several_batches(spark, small, scratch):
+    """Judged, waiting and late events are all there, each event once, and together they give what a
+    batch over all events gives."""
+    from haulage.plans import catalog
+    from haulage.streaming import ordered
+    schema = catalog._arriving_events(spark, small, f"{scratch}/events")
+    sink = f"{scratch}/sink"
+    J.cancel_stream(spark, f"{scratch}/events", schema, sink, f"{scratch}/ck", delay=catalog.STREAM_DELAY, max_files_per_trigger=1).awaitTermination()
+    ev = T.task_events(spark.read.parquet(f"{small}/events.parquet"))
+    passed, late, open_ = (x.select("task_id", "seq") for x in (ordered._written(spark, sink, False), J.late_events(spark, sink), ordered.waiting(spark, sink)))
+    assert min(passed.count(), late.count(), open_.count()) > 0
+    every = passed.unionByName(late).unionByName(open_)
+    assert every.exceptAll(ev.select("task_id", "seq")).count() == 0 and every.count() == ev.count()
+    got, want = J.read_recounted(spark, sink).withColumn("ts", F.col("ts").cast("timestamp_ntz")), T.cancel_outcomes(ev)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    # without the late ones, too: what the stream itself said is the batch over the other events
+    on_time = ev.join(late, ["task_id", "seq"], "left_anti").select(ev.columns)
+    got, want = _cancels(spark, sink), T.cancel_outcomes(on_time)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_stopped_stream_goes_on_with_its_state(spark, scratch):
+    from pyspark.sql.types import _parse_datatype_string
+    schema = _parse_datatype_string("event_id long, ts timestamp_ntz, user_id long, event_type string")
+    src, sink, ck = scratch + "/events", scratch + "/sink", scratch + "/ck"
+
+    def arrive(*rows):
+        (spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+         .withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(src))
+        J.cancel_stream(spark, src, schema, sink, ck, delay="1 hour", forget="10 days").awaitTermination()
+        return {(r.seq, r.outcome) for r in J.read_recounted(spark, sink).collect()}
+
+    assert arrive((1, "2024-01-01 00:00:00", 7, "signup"), (2, "2024-01-01 05:00:00", 7, "click")) == {(2, "accepted")}
+    assert arrive((3, "2024-01-01 04:59:00", 7, "error"), (4, "2024-01-01 00:10:00", 7, "click")) == {(2, "rejected"), (4, "accepted")}
+    assert arrive((5, "2024-01-05 00:00:00", 7, "click")) == {(2, "rejected"), (4, "accepted"), (5, "rejected")}
+    # nothing for ten days: the task is forgotten
+    arrive((6, "2024-01-20 00:00:00", 8, "signup"))
+    arrive((7, "2024-01-21 00:00:00", 8, "click"))
+    from haulage.streaming import ordered
+    assert [r.task_id for r in ordered._state(spark, ck, "last", "value").collect()] == [8]
+    arrive((8, "2024-01-22 00:00:00", 7, "click"))
+    assert {(8, "not_found"), (7, "accepted")} <= {(r.seq, r.outcome) for r in J.read_ordered(spark, sink).collect()}
