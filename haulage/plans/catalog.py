@@ -18,6 +18,7 @@ from haulage.operators import columns as B
 from haulage.operators import halo as W
 from haulage.operators import keyed as D
 from haulage.operators import paging as P
+from haulage.operators import ranges as R
 from haulage.operators import tasks as T
 from haulage.streaming import jobs as J
 from haulage.streaming import notify as G
@@ -824,6 +825,41 @@ def g9_stream_subscriptions(spark, sf_dir):
 ORACLE["g9_stream_subscriptions"] = ORACLE["g4_subscriptions"]
 
 
+# ------------------------------------------------------------------ H5: range joins of two tables
+
+_WINDOW_DAYS = "CAST(substr(o_orderpriority, 1, 1) AS INTEGER)"
+
+
+@register("h5_range_join", f"""
+    SELECT o_orderkey, o_orderdate, COUNT(*) AS n_lines, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
+    FROM orders JOIN lineitem ON l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + to_days(1 + {_WINDOW_DAYS} % 3)
+    GROUP BY o_orderkey, o_orderdate""")
+def h5_range_join(spark, sf_dir):
+    """Lines shipped within one to three days of an order's date, by its priority."""
+    days = 1 + F.expr(_WINDOW_DAYS) % 3
+    windows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_orderdate") + F.make_dt_interval(days=days)).alias("until"))
+    lines = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_quantity")
+    met = R.range_join(lines, windows, "l_shipdate", "o_orderdate", "until")
+    return met.groupBy("o_orderkey", "o_orderdate").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
+
+
+@register("h5_overlap_join", f"""
+    WITH w AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderdate, o_orderdate + to_days(20 * {_WINDOW_DAYS}) AS until FROM orders)
+    SELECT a.o_orderkey AS urgent_order, b.o_orderkey AS other_order, a.o_custkey AS custkey
+    FROM w a JOIN w b ON a.o_custkey = b.o_custkey AND a.o_orderdate < b.until AND b.o_orderdate < a.until
+    WHERE a.o_orderpriority = '1-URGENT' AND b.o_orderpriority <> '1-URGENT'""")
+def h5_overlap_join(spark, sf_dir):
+    """A customer's urgent orders with the other orders whose periods overlap theirs."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate",
+                                                   (F.col("o_orderdate") + F.make_dt_interval(days=20 * F.expr(_WINDOW_DAYS))).alias("until"))
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("urgent_order"),
+                                                                F.col("o_orderdate").alias("u_low"), F.col("until").alias("u_high"))
+    other = orders.where("o_orderpriority <> '1-URGENT'").select("o_custkey", F.col("o_orderkey").alias("other_order"), "o_orderdate", "until")
+    met = R.overlap_join(urgent, other, "u_low", "u_high", "o_orderdate", "until", [("custkey", "o_custkey")])
+    return met.select("urgent_order", "other_order", "custkey")
+
+
 # ------------------------------------------------------------------ H: SQL text sweep
 
 def _sweep_query(sql: str):
