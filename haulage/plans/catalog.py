@@ -22,6 +22,7 @@ from haulage.operators import ranges as R
 from haulage.operators import tasks as T
 from haulage.streaming import jobs as J
 from haulage.streaming import notify as G
+from haulage.streaming import subscriptions as U
 from haulage.plans.export import run_export, scratch_folder
 from haulage.plans.sql_sweep import SWEEP, SWEEP_TABLES
 from haulage.sinks import archive as Z
@@ -647,12 +648,12 @@ def f5_stream_status(spark, sf_dir):
 ARRIVALS, STREAM_DELAY = 5, "8 HOURS"
 
 
-def _arriving_events(spark, sf_dir, folder):
-    """The events in files of the order they arrive in: up to six hours after their time, and one in
-    fifty three days after it. A stream with ``STREAM_DELAY`` puts the first in order and has the others late."""
+def _arriving_events(spark, sf_dir, folder, late=20):
+    """The events in files of the order they arrive in: up to six hours after their time, and ``late``
+    in a thousand three days after it. A stream with ``STREAM_DELAY`` puts the first in order and has the others late."""
     ev = table(spark, sf_dir, "events")
     draw = F.pmod(F.xxhash64("event_id"), F.lit(1000))
-    after = F.when(draw < 20, F.expr("INTERVAL 3 DAYS")).otherwise(F.make_dt_interval(mins=(draw * 360 / 1000).cast("int")))
+    after = F.when(draw < late, F.expr("INTERVAL 3 DAYS")).otherwise(F.make_dt_interval(mins=(draw * 360 / 1000).cast("int")))
     ev = ev.withColumn("arrives", F.col("ts") + after)
     low, high = ev.agg(F.min("arrives"), F.max("arrives")).first()
     step = (high - low) / ARRIVALS if low is not None else None
@@ -789,6 +790,41 @@ def g8_stream_message_order(spark, sf_dir):
 ORACLE["g8_stream_message_order"] = ORACLE["g5_message_order"]
 
 
+_SUBSCRIBED_SQL = f"""
+    WITH acts AS (SELECT user_id, event_type, ts, LEAD(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt
+                  FROM events WHERE event_type IN ('view', 'error')),
+    subs AS (SELECT user_id AS subscriber, ts AS since, coalesce(nxt, TIMESTAMP '9999-12-31') AS until FROM acts WHERE event_type = 'view')
+    SELECT m.task_id, m.seq, m.stage, COUNT(*) AS n_subscribers, MIN(subscriber) AS first_subscriber, MAX(subscriber) AS last_subscriber,
+           CAST(SUM(subscriber) AS BIGINT) AS subscriber_sum
+    FROM ({_MESSAGES_SQL}) m JOIN subs ON m.ts >= subs.since AND m.ts < subs.until GROUP BY m.task_id, m.seq, m.stage"""
+
+
+def _deliveries_by_message(found):
+    return found.groupBy("task_id", "seq", "stage").agg(
+        F.count(F.lit(1)).alias("n_subscribers"), F.min("subscriber").alias("first_subscriber"), F.max("subscriber").alias("last_subscriber"),
+        F.sum("subscriber").alias("subscriber_sum"))
+
+
+@register("g10_fan_out_subscribed", _SUBSCRIBED_SQL)
+def g10_fan_out_subscribed(spark, sf_dir):
+    """G2 with G4: each message to those subscribed at its time."""
+    intervals = U.subscription_intervals(table(spark, sf_dir, "events"))
+    return _deliveries_by_message(U.fan_out_subscribed(_messages(spark, sf_dir), intervals))
+
+
+@register("g11_stream_fan_out_subscribed", _SUBSCRIBED_SQL)
+def g11_stream_fan_out_subscribed(spark, sf_dir):
+    """The same from two streams over files out of order, joined with watermarks on both sides."""
+    work = scratch_folder(spark, "g11")
+    schema = _arriving_events(spark, sf_dir, f"{work}/events", late=0)
+    latest = table(spark, sf_dir, "events").agg(F.max("ts") + F.expr("INTERVAL 3 DAYS")).first()[0]
+    spark.createDataFrame([(None, latest, None, U.HEARTBEAT, None, None)], schema).write.mode("append").parquet(f"{work}/events")
+    events = lambda: J.event_stream(spark, f"{work}/events", schema, max_files_per_trigger=1)
+    U.piece_stream(events(), f"{work}/pieces", f"{work}/checkpoint-pieces", STREAM_DELAY).awaitTermination()
+    U.delivery_stream(G.messages(events()), f"{work}/pieces", f"{work}/sink", f"{work}/checkpoint-sink", STREAM_DELAY).awaitTermination()
+    return _deliveries_by_message(spark.read.parquet(f"{work}/sink"))
+
+
 # ------------------------------------------------------------------ I: scalar helpers
 
 @register("i1_scalar_helpers", """
