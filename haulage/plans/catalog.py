@@ -19,6 +19,7 @@ from haulage.operators import halo as W
 from haulage.operators import keyed as D
 from haulage.operators import paging as P
 from haulage.operators import ranges as R
+from haulage.operators import sketches as K
 from haulage.operators import tasks as T
 from haulage.streaming import jobs as J
 from haulage.streaming import notify as G
@@ -861,6 +862,36 @@ def g9_stream_subscriptions(spark, sf_dir):
 ORACLE["g9_stream_subscriptions"] = ORACLE["g4_subscriptions"]
 
 
+# ------------------------------------------------------------------ H8: approximate aggregates
+
+@register("h8_approx_distinct", """
+    SELECT o_orderstatus, COUNT(*) AS n_orders, COUNT(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderstatus""")
+def h8_approx_distinct(spark, sf_dir):
+    """Customers by order status from HyperLogLog sketches stored per year, merged without the orders.
+    Groups this small are counted exactly; larger ones come within the sketch's error."""
+    folder, orders = scratch_folder(spark, "h8"), table(spark, sf_dir, "orders")
+    for (year,) in orders.select(F.year("o_orderdate")).distinct().collect():
+        part = orders.where(F.year("o_orderdate").eqNullSafe(F.lit(year)))
+        K.write_batch(K.sketches(part, ["o_orderstatus", "o_orderpriority"], distinct={"customers": "o_custkey"}), folder, year)
+    found = K.merged(K.read_batches(spark, folder), ["o_orderstatus"])
+    return found.select("o_orderstatus", F.col("n_rows").alias("n_orders"), K.distinct_estimate("customers").alias("customers"))
+
+
+@register("h8_stream_sketches", """
+    SELECT event_type, COUNT(*) AS n_events, COUNT(DISTINCT user_id) AS users, quantile_disc(value, 0.5) AS median_value,
+           quantile_disc(value, 0.9) AS high_value FROM events GROUP BY event_type""")
+def h8_stream_sketches(spark, sf_dir):
+    """Users and quantiles by event type from the sketches that a stream stored for each micro-batch."""
+    work = scratch_folder(spark, "h8s")
+    schema = _arriving_events(spark, sf_dir, f"{work}/events")
+    rows = J.event_stream(spark, f"{work}/events", schema, max_files_per_trigger=1)
+    K.sketch_stream(rows, ["event_type"], f"{work}/sketches", f"{work}/checkpoint",
+                    distinct={"users": "user_id"}, quantiles={"value": "value"}).awaitTermination()
+    found = K.merged(K.read_batches(spark, f"{work}/sketches"), ["event_type"])
+    return found.select("event_type", F.col("n_rows").alias("n_events"), K.distinct_estimate("users").alias("users"),
+                        K.quantile_estimate("value", 0.5).alias("median_value"), K.quantile_estimate("value", 0.9).alias("high_value"))
+
+
 # ------------------------------------------------------------------ H5: range joins of two tables
 
 _WINDOW_DAYS = "CAST(substr(o_orderpriority, 1, 1) AS INTEGER)"

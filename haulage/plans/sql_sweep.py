@@ -87,12 +87,6 @@ SWEEP: dict[str, tuple[str, str | None]] = {
     "h8_count_distinct": ("""
         SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS n_customers
         FROM orders GROUP BY o_orderstatus""", None),
-    # the estimate, in steps of a factor e, against the steps of the exact count
-    "h8_approx_distinct": ("""
-        SELECT o_orderstatus, CAST(ROUND(LN(approx_count_distinct(o_custkey, 0.01))) AS INT) AS ln_customers
-        FROM orders GROUP BY o_orderstatus""", """
-        SELECT o_orderstatus, CAST(ROUND(LN(COUNT(DISTINCT o_custkey))) AS INT) AS ln_customers
-        FROM orders GROUP BY o_orderstatus"""),
     "h9_rollup": (f"""
         SELECT l_returnflag, l_linestatus, COUNT(*) AS n_rows, {dsum('l_quantity')} AS qty
         FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""", None),
