@@ -17,6 +17,7 @@ from haulage.functions import scalars as I
 from haulage.operators import columns as B
 from haulage.operators import halo as W
 from haulage.operators import keyed as D
+from haulage.operators import paged_store as N
 from haulage.operators import paging as P
 from haulage.operators import ranges as R
 from haulage.operators import sketches as K
@@ -30,6 +31,7 @@ from haulage.sinks import archive as Z
 from haulage.sinks import writers as E
 from haulage.plans.readback import read_sheets
 from haulage.sources.load import CSV_READ_OPTIONS, load, retype_via_text, run_script, run_sql
+from haulage.sources.rejects import load_checked
 from haulage.specs import ColumnSpec as S
 from haulage.specs import ExportSpec, Source
 
@@ -226,6 +228,21 @@ def b9_text_rows(spark, sf_dir):
 
 # ------------------------------------------------------------------ A4-A6, C: paging
 
+@register("a8_rejects", """
+    SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS o_orderstatus,
+           CASE WHEN o_orderstatus <> 'P' THEN CAST(o_totalprice * 100 AS BIGINT) END AS cents,
+           CASE WHEN o_orderstatus = 'P' THEN o_orderkey || ',' || o_orderstatus || ',' || 'open' END AS rejected
+    FROM orders""")
+def a8_rejects(spark, sf_dir):
+    """A text table in which the price of open orders is a word: those lines are kept as rejects."""
+    work, orders = scratch_folder(spark, "a8r"), table(spark, sf_dir, "orders")
+    cents = F.when(F.col("o_orderstatus") == "P", "open").otherwise((F.col("o_totalprice") * 100).cast("decimal(30,0)").cast("string"))
+    orders.select(F.concat_ws(",", "o_orderkey", "o_orderstatus", cents)).write.text(f"{work}/lines")
+    found = load_checked(spark, f"{work}/lines", "o_orderkey long, o_orderstatus string, cents long", f"{work}/checked", options={"header": "false"})
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("o_orderkey", "long"), ("o_orderstatus", "string"), ("cents", "long"))]
+    return found.rows.withColumn("rejected", F.lit(None).cast("string")).unionByName(found.rejects.select(*none, F.col("text").alias("rejected")))
+
+
 @register("a4_page", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 30")
 def a4_page(spark, sf_dir):
     return P.page(table(spark, sf_dir, "orders"), ["o_orderkey"], size=10, number=3)
@@ -242,6 +259,25 @@ def a4_page_numbered(spark, sf_dir):
     return P.page(li, li.columns, size=1000, number=7, method="numbered")
 
 
+@register("a4_page_stored", f"""
+    SELECT * FROM lineitem ORDER BY {_LI_KEYS} LIMIT 500 OFFSET (SELECT CAST(COUNT(*) // 1000 AS BIGINT) * 500 FROM lineitem)""")
+def a4_page_stored(spark, sf_dir):
+    """A page from the middle of a stored table: its directory names the files to read."""
+    folder = scratch_folder(spark, "a4")
+    directory = N.write_paged(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"], folder, rows_per_file=10_000)
+    total = directory.agg(F.sum("n_rows")).first()[0] or 0
+    return N.stored_page(spark, folder, 500, total // 1000)
+
+
+@register("a5_pages_stored", """
+    SELECT CAST(p AS BIGINT) AS page_no, CAST(least(700, t - p * 700) AS BIGINT) AS n_rows
+    FROM (SELECT COUNT(*) AS t FROM orders), unnest(range(CAST(ceil(t / 700) AS BIGINT))) AS r(p)""")
+def a5_pages_stored(spark, sf_dir):
+    folder = scratch_folder(spark, "a5")
+    N.write_paged(table(spark, sf_dir, "orders"), ["o_orderdate"], folder, rows_per_file=5_000)
+    return N.stored_pages(spark, folder, 700)
+
+
 @register("a5_with_page", """
     SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS row_no,
            CAST((ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1) // 10 AS BIGINT) AS page_no
