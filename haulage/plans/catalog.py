@@ -716,6 +716,26 @@ def f6_stream_cancel(spark, sf_dir):
 ORACLE["f6_stream_cancel"] = ORACLE["f2_cancel"]
 
 
+@register("e5_zip_stream", "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props FROM events")
+def e5_zip_stream(spark, sf_dir):
+    """E5 as a streaming sink: one publication per micro-batch, read back."""
+    work = scratch_folder(spark, "e5s")
+    schema = _arriving_events(spark, sf_dir, f"{work}/events")
+    rows = J.event_stream(spark, f"{work}/events", schema, max_files_per_trigger=1).select("event_id", "user_id", "event_type", "props")
+    Z.zip_stream(rows, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return Z.read_zip(spark, f"{work}/out")
+
+
+@register("e4_xlsx_stream", "SELECT event_id, event_type, value FROM events")
+def e4_xlsx_stream(spark, sf_dir):
+    work = scratch_folder(spark, "e4s")
+    schema = _arriving_events(spark, sf_dir, f"{work}/events")
+    rows = J.event_stream(spark, f"{work}/events", schema, max_files_per_trigger=1).select("event_id", "event_type", "value")
+    Z.xlsx_stream(rows, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    found = read_sheets(spark, f"{work}/out", ["event_id", "event_type", "value"])
+    return found.select(F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("value").cast("double").alias("value"))
+
+
 # ------------------------------------------------------------------ G: notifications
 
 _MESSAGES_SQL = """

@@ -13,7 +13,9 @@ only escapes and frames bytes, with vectorised Arrow kernels.
 
 from __future__ import annotations
 
+import hashlib
 import io
+import itertools
 import json
 import uuid
 import zipfile
@@ -26,8 +28,9 @@ import pyarrow.compute as pc
 import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
-                                    WriterCommitMessage)
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter,
+                                    InputPartition, WriterCommitMessage)
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DecimalType, IntegralType, NumericType, StringType, StructField, StructType
 
 from haulage.operators.columns import _quote
@@ -172,6 +175,53 @@ class _JobWriter(DataSourceArrowWriter):
         raise NotImplementedError
 
 
+class _EpochWriter(DataSourceStreamArrowWriter):
+    """A job writer's files, published by one marker per micro-batch.
+
+    A marker bears the query's name and the batch id, so a batch that runs again (after a crash
+    between its commit and Spark's note of it, or on restart) replaces its own marker: its rows are
+    published once. Files go to one folder for the query; those that no marker lists are leftovers
+    (:func:`remove_unpublished`).
+    """
+
+    def __init__(self, inner: _JobWriter, query: str):
+        self.inner, self.query = inner, query
+        inner.folder = f"job-{query}"      # Spark makes the writer anew for commits: no random name
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> StagedFiles:
+        # a run writes many batches into its folder: names must not meet again
+        self.inner.entry = f"{self.inner.entry}-{uuid.uuid4().hex[:12]}"
+        first = next((b for b in iterator if b.num_rows), None)
+        return StagedFiles() if first is None else self.inner.write(itertools.chain([first], iterator))
+
+    def commit(self, messages: list[StagedFiles], batchId: int) -> None:
+        fs, root = _fs(self.inner.path)
+        files = [list(f) for msg in messages if msg for f in msg.files]
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{MARKER}{self.query}-{batchId:012d}.json", compression=None) as out:
+            out.write(json.dumps({"folder": self.inner.folder, "files": files}).encode())
+
+    def abort(self, messages: list[StagedFiles], batchId: int) -> None:
+        fs, root = _fs(self.inner.path)
+        for name in [name for msg in messages if msg for name, _ in msg.files]:
+            try:
+                fs.delete_file(f"{root}/{self.inner.folder}/{name}")
+            except (FileNotFoundError, OSError):
+                pass
+
+
+def remove_unpublished(path: str) -> int:
+    """Delete files that no marker lists (of killed or failed attempts); no query may be writing."""
+    from pyarrow import fs as pafs
+    fs, root = _fs(path)
+    listed = set(published(path))
+    gone = [i.path for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
+            if i.type == pafs.FileType.File and i.path not in listed and "/job-" in i.path[len(root):]]
+    for name in gone:
+        fs.delete_file(name)
+    return len(gone)
+
+
 class _ZipOut:
     def __init__(self, stream, entry: str, header: bytes, level: int):
         self.stream = stream
@@ -415,6 +465,9 @@ class ZipCsvDataSource(DataSource):
     def writer(self, schema, overwrite):
         return ZipCsvWriter(self.options, schema, overwrite)
 
+    def streamWriter(self, schema, overwrite):
+        return _EpochWriter(ZipCsvWriter(self.options, schema, False), self.options["query"])
+
 
 class XlsxDataSource(DataSource):
     """``xlsx_shards``: sink of E4."""
@@ -426,6 +479,9 @@ class XlsxDataSource(DataSource):
     def writer(self, schema, overwrite):
         return XlsxWriter(self.options, schema, overwrite)
 
+    def streamWriter(self, schema, overwrite):
+        return _EpochWriter(XlsxWriter(self.options, schema, False), self.options["query"])
+
 
 def register_sinks(spark: SparkSession) -> None:
     from haulage.session import ship_package
@@ -489,3 +545,27 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the CSV entries of the archives under ``path`` (all columns text)."""
     register_sinks(spark)
     return spark.read.format("csv_zip").load(path)
+
+
+def _stream(df: DataFrame, fmt: str, path: str, checkpoint: str, trigger: str, **opts) -> StreamingQuery:
+    register_sinks(df.sparkSession)
+    # a query keeps its checkpoint over restarts, so that names it
+    query = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    w = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint).option("path", path).option("query", query)
+    for k, v in opts.items():
+        if v is not None:
+            w = w.option(k, str(v))
+    w = w.trigger(availableNow=True) if trigger == "availableNow" else w.trigger(processingTime=trigger)
+    return w.start()
+
+
+def zip_stream(df: DataFrame, path: str, checkpoint: str, trigger: str = "availableNow", rows_per_file: int | None = None,
+               compresslevel: int | None = None) -> StreamingQuery:
+    """E5 of a stream: every micro-batch adds archives, published together; read with :func:`read_zip`."""
+    return _stream(_as_text(df), "csv_zip", path, checkpoint, trigger, rows_per_file=rows_per_file, compresslevel=compresslevel)
+
+
+def xlsx_stream(df: DataFrame, path: str, checkpoint: str, trigger: str = "availableNow", rows_per_file: int | None = None,
+                compresslevel: int | None = None) -> StreamingQuery:
+    """E4 of a stream: every micro-batch adds workbooks, published together."""
+    return _stream(_for_sheet(df), "xlsx_shards", path, checkpoint, trigger, rows_per_file=rows_per_file, compresslevel=compresslevel)

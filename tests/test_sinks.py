@@ -169,3 +169,45 @@ def test_failed_archive_write_leaves_nothing(spark, scratch):
     local = _local(target)
     assert not [f for _, _, files in os.walk(local) for f in files if f.endswith(".zip")]
     assert Z.published(target) == []
+
+
+def _stream_in(spark, scratch, *ids):
+    spark.createDataFrame([(i, f"text {i}, \"x\"") for i in ids], "id long, note string").coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+    return spark.readStream.schema("id long, note string").parquet(f"{scratch}/in")
+
+
+def test_a_restarted_stream_publishes_each_row_once(spark, scratch):
+    """The query is started again; a batch whose commit was noted by the sink but not by Spark (a
+    kill in between) runs again and takes the place of its first attempt."""
+    import os
+    out, ck = f"{scratch}/out", f"{scratch}/ck"
+    ids = lambda: sorted(int(r.id) for r in Z.read_zip(spark, out).collect())
+    Z.zip_stream(_stream_in(spark, scratch, 1, 2, 3), out, ck).awaitTermination()
+    Z.zip_stream(_stream_in(spark, scratch, 4, 5), out, ck).awaitTermination()
+    assert ids() == [1, 2, 3, 4, 5]
+    for name in ("1", ".1.crc"):                       # as if killed before Spark noted batch 1
+        os.remove(f"{ck}/commits/{name}".removeprefix("file:"))
+    Z.zip_stream(spark.readStream.schema("id long, note string").parquet(f"{scratch}/in"), out, ck).awaitTermination()
+    assert ids() == [1, 2, 3, 4, 5]
+    Z.zip_stream(_stream_in(spark, scratch, 6), out, ck).awaitTermination()
+    assert ids() == [1, 2, 3, 4, 5, 6]
+    before = Z.remove_unpublished(out)
+    assert before >= 1 and ids() == [1, 2, 3, 4, 5, 6] and Z.remove_unpublished(out) == 0
+
+
+def test_a_batch_that_fails_publishes_nothing(spark, scratch):
+    out, ck = f"{scratch}/out", f"{scratch}/ck"
+    rows = _stream_in(spark, scratch, 1, 2)
+    Z.xlsx_stream(rows, out, ck).awaitTermination()
+    assert len(Z.published(out)) == 1
+    long = spark.createDataFrame([(9, "x" * 40_000)], "id long, note string")
+    long.coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+    with pytest.raises(Exception):
+        Z.xlsx_stream(spark.readStream.schema("id long, note string").parquet(f"{scratch}/in"), out, ck).awaitTermination()
+    assert len(Z.published(out)) == 1
+
+
+def test_two_streams_write_one_folder(spark, scratch):
+    for k in (1, 2):
+        Z.zip_stream(_stream_in(spark, f"{scratch}/{k}", k, k + 10), f"{scratch}/out", f"{scratch}/ck{k}").awaitTermination()
+    assert sorted(int(r.id) for r in Z.read_zip(spark, f"{scratch}/out").collect()) == [1, 2, 11, 12]
