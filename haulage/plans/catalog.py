@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from haulage.functions import scalars as I
 from haulage.operators import columns as B
 from haulage.operators import halo as W
+from haulage.operators import hierarchy as Y
 from haulage.operators import keyed as D
 from haulage.operators import paged_store as N
 from haulage.operators import paging as P
 from haulage.operators import ranges as R
 from haulage.operators import sketches as K
 from haulage.operators import tasks as T
+from haulage.operators import variants as VV
 from haulage.streaming import jobs as J
 from haulage.streaming import notify as G
 from haulage.streaming import subscriptions as U
@@ -99,6 +101,43 @@ def a7_script(spark, sf_dir):
                       tables_in(script, sf_dir))
 
 
+@register("a7_script_loop", """
+    SELECT o_orderpriority, COUNT(*) AS n_orders, MAX(o_orderkey) AS last_order, CAST(1 AS BIGINT) AS failed
+    FROM orders WHERE o_orderpriority <> '3-MEDIUM' AND o_totalprice > 1000 GROUP BY o_orderpriority""")
+def a7_script_loop(spark, sf_dir):
+    """A loop that fills a table partition by partition; one fails and is counted by a handler."""
+    name, place = f"haulage_a7_{uuid.uuid4().hex[:8]}", scratch_folder(spark, "a7")
+    script = f"""
+        DECLARE failed BIGINT DEFAULT 0;
+        CREATE TABLE {name} (o_orderkey BIGINT, o_orderpriority STRING) USING parquet PARTITIONED BY (o_orderpriority) LOCATION '{place}/rows';
+        CREATE TABLE {name}_log (failed BIGINT) USING parquet LOCATION '{place}/log';
+        FOR p AS SELECT DISTINCT o_orderpriority AS priority FROM orders DO
+          BEGIN
+            DECLARE EXIT HANDLER FOR SQLEXCEPTION BEGIN SET failed = failed + 1; END;
+            IF p.priority = :broken THEN
+              SELECT * FROM table_that_is_not_there;
+            END IF;
+            EXECUTE IMMEDIATE 'INSERT INTO {name} SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = ? AND o_totalprice > ?'
+              USING p.priority, 1000;
+          END;
+        END FOR;
+        INSERT INTO {name}_log SELECT failed;"""
+    query = f"""SELECT o_orderpriority, COUNT(*) AS n_orders, MAX(o_orderkey) AS last_order, (SELECT MAX(failed) FROM {name}_log) AS failed
+                FROM {name} GROUP BY o_orderpriority"""
+    return load(spark, Source(kind="script", script=script, query=query, tables=tables_in(script, sf_dir), args={"broken": "3-MEDIUM"}))
+
+
+@register("h0_parameters", """
+    SELECT o_orderkey, o_custkey, o_totalprice, 'it''s; DROP TABLE orders --' AS note
+    FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 50000 AND 150000.5""")
+def h0_parameters(spark, sf_dir):
+    """Values bound to markers: text that looks like SQL stays text."""
+    sql = """SELECT o_orderkey, o_custkey, o_totalprice, :note AS note FROM orders
+             WHERE o_orderstatus = :status AND o_totalprice BETWEEN :low AND :high"""
+    return load(spark, Source(kind="sql", query=sql, tables=tables_in(sql, sf_dir),
+                              args={"note": "it's; DROP TABLE orders --", "status": "F", "low": 50000, "high": 150000.5}))
+
+
 def _stored(spark, sf_dir, name, fmt):
     path = scratch_folder(spark, f"a1-{fmt}")
     src = table(spark, sf_dir, name)
@@ -983,6 +1022,54 @@ def h5_overlap_join(spark, sf_dir):
     return met.select("urgent_order", "other_order", "custkey")
 
 
+@register("h14_hierarchy", """
+    WITH RECURSIVE tree AS (
+      SELECT c_custkey, c_custkey AS root, 0 AS depth FROM customer c
+      WHERE NOT EXISTS (SELECT 1 FROM customer p WHERE p.c_custkey = c.c_custkey // 3 AND p.c_custkey <> c.c_custkey)
+      UNION ALL
+      SELECT c.c_custkey, tree.root, tree.depth + 1 FROM customer c JOIN tree ON c.c_custkey // 3 = tree.c_custkey AND c.c_custkey <> tree.c_custkey)
+    SELECT c_custkey AS node, root, CAST(depth AS BIGINT) AS depth FROM tree""")
+def h14_hierarchy(spark, sf_dir):
+    """Root and depth of every customer, three to a parent, in rounds that double the distance."""
+    return Y.descend(table(spark, sf_dir, "customer").withColumn("parent", F.expr("c_custkey DIV 3")), "c_custkey", "parent")
+
+
+# ------------------------------------------------------------------ H18: JSON of mixed shape
+
+# one shape for each event type; errors hold text that is no JSON
+_SHAPED = """CASE event_type WHEN 'view' THEN props
+    WHEN 'click' THEN '[' || user_id || ', {"k": "' || user_id || '"}]'
+    WHEN 'purchase' THEN '{"k": {"deep": ' || event_id || '}, "tags": ["a", "b' || user_id || '"]}'
+    WHEN 'signup' THEN '"' || event_type || '"' ELSE '{"k": ' END"""
+
+
+@register("h18_variant", f"""
+    WITH s AS (SELECT event_id, event_type, {_SHAPED} AS j FROM events),
+    v AS (SELECT event_id, event_type, json_valid(j) AS ok, CASE WHEN json_valid(j) THEN CAST(j AS JSON) END AS j FROM s)
+    SELECT event_id, CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' END AS kind,
+           NOT ok AS malformed,
+           CASE WHEN event_type = 'view' THEN CAST(json_extract_string(j, '$.k') AS BIGINT) END AS k,
+           CAST(json_extract_string(j, '$.k.deep') AS BIGINT) AS deep, json_extract_string(j, '$.tags[1]') AS tag,
+           CASE WHEN event_type = 'click' THEN CAST(json_extract_string(j, '$[0]') AS BIGINT) END AS first_item,
+           json_extract_string(j, '$[1].k') AS inner_k
+    FROM v""")
+def h18_variant(spark, sf_dir):
+    """Fields of JSON whose shape differs from row to row, parsed once."""
+    shaped = table(spark, sf_dir, "events").select("event_id", F.expr(_SHAPED).alias("j"))
+    return VV.with_fields(shaped, "j", {"k": ("$.k", "bigint"), "deep": ("$.k.deep", "bigint"), "tag": ("$.tags[1]", "string"),
+                                        "first_item": ("$[0]", "bigint"), "inner_k": ("$[1].k", "string")}, malformed="malformed", kind="kind").drop("j")
+
+
+@register("h18_shapes", """
+    SELECT * FROM (VALUES ('view', 'OBJECT<k: BIGINT>'), ('purchase', 'OBJECT<k: OBJECT<deep: BIGINT>, tags: ARRAY<STRING>>'),
+                          ('signup', 'STRING'), ('click', 'ARRAY<VARIANT>'), ('error', 'VOID')) t(event_type, shape)
+    WHERE event_type IN (SELECT event_type FROM events)""")
+def h18_shapes(spark, sf_dir):
+    """The shape that each event type's JSON has, over all rows."""
+    shaped = table(spark, sf_dir, "events").select("event_type", F.expr(_SHAPED).alias("j"))
+    return VV.shape_of(shaped, "j", ["event_type"])
+
+
 # ------------------------------------------------------------------ H: SQL text sweep
 
 def _sweep_query(sql: str):

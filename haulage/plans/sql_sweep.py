@@ -153,6 +153,27 @@ SWEEP: dict[str, tuple[str, str | None]] = {
         SELECT o_orderkey, o_custkey, o_totalprice FROM orders o
         WHERE o_totalprice > (SELECT 1.5 * AVG(o2.o_totalprice) FROM orders o2
                               WHERE o2.o_custkey = o.o_custkey)""", None),
+    # customers as a tree: eight to a parent
+    "h14_recursive": ("""
+        WITH RECURSIVE tree AS (
+          SELECT c_custkey, c_custkey AS root, 0 AS depth FROM customer WHERE c_custkey BETWEEN 1 AND 7
+          UNION ALL
+          SELECT c.c_custkey, tree.root, tree.depth + 1 FROM customer c JOIN tree ON c.c_custkey DIV 8 = tree.c_custkey)
+        SELECT root, depth, COUNT(*) AS n_customers, MAX(c_custkey) AS last_customer FROM tree GROUP BY root, depth""", """
+        WITH RECURSIVE tree AS (
+          SELECT c_custkey, c_custkey AS root, 0 AS depth FROM customer WHERE c_custkey BETWEEN 1 AND 7
+          UNION ALL
+          SELECT c.c_custkey, tree.root, tree.depth + 1 FROM customer c JOIN tree ON c.c_custkey // 8 = tree.c_custkey)
+        SELECT root, depth, COUNT(*) AS n_customers, MAX(c_custkey) AS last_customer FROM tree GROUP BY root, depth"""),
+    "h14_lateral_topk": ("""
+        SELECT c.c_custkey, c.c_name, t.o_orderkey, t.o_totalprice
+        FROM customer c LEFT JOIN LATERAL (
+          SELECT o_orderkey, o_totalprice FROM orders o WHERE o.o_custkey = c.c_custkey
+          ORDER BY o_totalprice DESC, o_orderkey LIMIT 3) t ON true""", None),
+    "h14_lateral_aggregate": (f"""
+        SELECT n.n_nationkey, s.n_suppliers, s.balance
+        FROM nation n, LATERAL (SELECT COUNT(*) AS n_suppliers, {dsum('s_acctbal')} AS balance
+                                FROM supplier WHERE s_nationkey = n.n_nationkey) s""", None),
     "h15_strings": ("""
         SELECT p_partkey, UPPER(p_name) AS up, TRIM(p_brand) AS br, SUBSTR(p_name, 1, 5) AS pre,
                REPLACE(p_name, ' ', '_') AS repl, CAST(INSTR(p_name, 'o') AS BIGINT) AS pos_o,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from typing import Any, Mapping
+from typing import Any, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,27 +30,36 @@ def register_tables(spark: SparkSession, tables: Mapping[str, Any] | None) -> No
         frame.createOrReplaceTempView(name)
 
 
-def run_sql(spark: SparkSession, text: str, tables: Mapping[str, Any] | None = None) -> DataFrame:
-    """H0: run caller SQL (Spark SQL dialect) over registered tables; the plan stays lazy."""
+def run_sql(spark: SparkSession, text: str, tables: Mapping[str, Any] | None = None,
+            args: Mapping[str, Any] | Sequence[Any] | None = None) -> DataFrame:
+    """H0: run caller SQL (Spark SQL dialect) over registered tables; the plan stays lazy.
+
+    ``args`` are values for the text's markers, ``:name`` (a mapping) or ``?`` (a sequence). They go
+    to Spark as literals of their type and are never put into the text.
+    """
     register_tables(spark, tables)
-    return spark.sql(clean_query(text))
+    return spark.sql(clean_query(text), args=args or None)
 
 
 def run_script(spark: SparkSession, script: str | None, query: str,
-               tables: Mapping[str, Any] | None = None) -> DataFrame:
+               tables: Mapping[str, Any] | None = None, args: Mapping[str, Any] | None = None) -> DataFrame:
     """Run a multi-statement script (CREATE / INSERT / views ...), then the query.
 
     The script runs as one Spark SQL compound block, so statement splitting, quoting
     and errors are Spark's; its rows are not asked for, only the query's frame is returned.
-    It runs every time it is given: use fresh names or ``CREATE OR REPLACE``.
+    It runs every time it is given: use fresh names or ``CREATE OR REPLACE``. Local variables, loops,
+    conditions, handlers and ``EXECUTE IMMEDIATE ... USING`` are Spark's SQL scripting; declarations
+    come first. ``args`` are values for ``:name`` markers in the script and in the query.
     """
+    if args is not None and not isinstance(args, Mapping):
+        raise ValueError("a script takes named values")
     register_tables(spark, tables)
     if script and script.strip():
         body = script.strip()
         if not body.endswith(";"):
             body += ";"
-        spark.sql(f"BEGIN\n{body}\nEND")
-    return spark.sql(clean_query(query))
+        spark.sql(f"BEGIN\n{body}\nEND", args=args or None)
+    return spark.sql(clean_query(query), args=args or None)
 
 
 # Options that make the CSV round trip keep text as it was written (see sinks.writers).
@@ -96,9 +105,9 @@ def load(spark: SparkSession, source: Source | Mapping[str, Any]) -> DataFrame:
         source = Source.from_dict(source)
     kind = source.kind
     if kind == "sql":
-        return run_sql(spark, source.query, source.tables)
+        return run_sql(spark, source.query, source.tables, source.args)
     if kind == "script":
-        return run_script(spark, source.script, source.query, source.tables)
+        return run_script(spark, source.script, source.query, source.tables, source.args or None)
     if kind == "jdbc":
         from haulage.sources.jdbc import read_jdbc
         return read_jdbc(spark, source)

@@ -7,7 +7,7 @@ happen in ``__post_init__`` so that a bad spec fails before any Spark work.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Any, Iterable, Mapping
+from typing import Any, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -58,6 +58,7 @@ class Source:
 
     * ``sql``: ``query`` over the tables in ``tables`` (name -> path or DataFrame)
     * ``script``: ``script`` (many statements) then ``query``
+      (both with ``args``, values for markers in the text)
     * ``jdbc``: ``query`` run by an external database (``db_type``, ``host`` ...)
     * ``parquet`` / ``csv`` / ``json`` / ``orc``: files at ``path`` with reader ``options``
     * ``table``: a catalog table or view called ``path``
@@ -68,6 +69,7 @@ class Source:
     script: str | None = None
     path: str | None = None
     tables: Mapping[str, Any] = field(default_factory=dict)
+    args: Mapping[str, Any] | Sequence[Any] = ()
     options: Mapping[str, str] = field(default_factory=dict)
     db_type: str | None = None
     username: str | None = None

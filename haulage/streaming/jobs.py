@@ -11,17 +11,20 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from haulage.operators.tasks import latest_status, task_events
+from haulage.sinks.archive import _fs
 from haulage.streaming import ordered
 from haulage.streaming.notify import drop_failed, fan_out, messages, subscription_states, with_failures
 
 WATERMARK = "1 hour"
 MAX_FILES_PER_TRIGGER = 1000    # bounds a micro-batch; None takes all files at once
+COMPACT_EVERY = 50              # micro-batches after which an upsert log is folded
 
 
 def event_stream(spark: SparkSession, path: str, schema: StructType, ts_col: str = "ts",
@@ -74,46 +77,95 @@ def notification_stream(spark: SparkSession, events_path: str, schema: StructTyp
     return _start(msgs, sink, checkpoint, trigger, batch_fn=write_batch)
 
 
-def upsert_log_stream(states: DataFrame, sink: str, checkpoint: str,
-                      trigger: str = "availableNow") -> StreamingQuery:
+def upsert_log_stream(states: DataFrame, sink: str, checkpoint: str, key: str,
+                      trigger: str = "availableNow", compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
     """Run a streaming aggregation in update mode; each micro-batch appends the changed
-    keys as its own ``batch_id`` partition (an upsert log, idempotent per batch)."""
+    keys as its own ``batch_id`` partition (an upsert log, idempotent per batch). Every
+    ``compact_every`` batches the log up to the batch before is folded (:func:`compact_log`)."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         write_batch_partition(batch, batch_id, sink)
+        if compact_every and batch_id and batch_id % compact_every == 0:
+            compact_log(batch.sparkSession, sink, key, batch_id - 1)
 
     return _start(states, sink, checkpoint, trigger, mode="update", batch_fn=write_batch)
 
 
+def _base(sink: str) -> int | None:
+    """The batch up to which the log is folded: the latest fold that was written in full."""
+    fs, root = _fs(f"{sink}-base")
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
+    return max((int(i.path.rsplit("/", 2)[1].removeprefix("upto-")) for i in found if i.path.endswith("/_SUCCESS")), default=None)
+
+
+def _log(spark: SparkSession, sink: str, upto: int | None = None) -> DataFrame | None:
+    """The rows that count: the fold, and the batches behind it."""
+    base = _base(sink)
+    fs, root = _fs(sink)
+    ids = [int(i.path.rsplit("=", 1)[1]) for i in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if "/batch_id=" in i.path]
+    ids = [i for i in ids if (base is None or i > base) and (upto is None or i <= upto)]
+    log = spark.read.option("basePath", sink).parquet(*[f"{sink}/batch_id={i}" for i in sorted(ids)]) if ids else None
+    if log is not None:
+        log = log.withColumn("batch_id", F.col("batch_id").cast("bigint"))
+    if base is None:
+        return log
+    folded = spark.read.parquet(f"{sink}-base/upto-{base}")
+    return folded if log is None else folded.unionByName(log.select(folded.columns))
+
+
+def compact_log(spark: SparkSession, sink: str, key: str, upto: int) -> None:
+    """Fold an upsert log's batches up to ``upto`` into one row per key, and drop them.
+
+    The fold is written beside the log and counts once it is complete; batches it covers are left
+    out by readers from then on, whether they are deleted yet or not, so a stop at any point loses
+    nothing and shows nothing twice. ``upto`` must be a batch that has ended.
+    """
+    base, log = _base(sink), _log(spark, sink, upto)
+    if log is None or (base is not None and base >= upto):
+        return
+    values = [c for c in log.columns if c != key]
+    latest = log.groupBy(key).agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("_v")).select(key, "_v.*")
+    latest.write.mode("overwrite").parquet(f"{sink}-base/upto-{upto}")
+    fs, root = _fs(sink)
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        if "/batch_id=" in info.path and int(info.path.rsplit("=", 1)[1]) <= upto:
+            fs.delete_dir(info.path)
+    fs, root = _fs(f"{sink}-base")
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        if int(info.path.rsplit("upto-", 1)[1]) < upto:
+            fs.delete_dir(info.path)
+
+
 def read_latest(spark: SparkSession, sink: str, key: str) -> DataFrame:
     """Current row per key of an upsert log (the row of the latest batch)."""
-    log = spark.read.parquet(sink)
+    log = _log(spark, sink)
     values = [c for c in log.columns if c not in (key, "batch_id")]
     return (log.groupBy(key).agg(F.max_by(F.struct(*values), F.col("batch_id")).alias("_v"))
                .select(key, "_v.*"))
 
 
-def status_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
-                  checkpoint: str, trigger: str = "availableNow") -> StreamingQuery:
+def status_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str, checkpoint: str, trigger: str = "availableNow",
+                  max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER, compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
     """F1 as a streaming aggregation in update mode.
 
     Each micro-batch appends the tasks whose state changed, tagged with the batch
     id; :func:`read_status_table` keeps the last row per task (an upsert log).
     """
-    ev = task_events(event_stream(spark, events_path, schema))
-    return upsert_log_stream(latest_status(ev), sink, checkpoint, trigger)
+    ev = task_events(event_stream(spark, events_path, schema, max_files_per_trigger=max_files_per_trigger))
+    return upsert_log_stream(latest_status(ev), sink, checkpoint, "task_id", trigger, compact_every)
 
 
 def subscription_stream(spark: SparkSession, actions_path: str, schema: StructType, sink: str,
                         checkpoint: str, sub_col: str = "user_id", action_col: str = "event_type",
-                        seq_col: str = "event_id", trigger: str = "availableNow") -> StreamingQuery:
+                        seq_col: str = "event_id", trigger: str = "availableNow",
+                        max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER, compact_every: int | None = COMPACT_EVERY) -> StreamingQuery:
     """G4 as a stream: the latest subscribe / unsubscribe per subscriber, as an upsert log.
 
     The log keeps unsubscribed rows too, so that a later unsubscribe replaces an
     earlier subscribe; :func:`read_active_subscribers` filters when reading.
     """
-    actions = event_stream(spark, actions_path, schema)
+    actions = event_stream(spark, actions_path, schema, max_files_per_trigger=max_files_per_trigger)
     return upsert_log_stream(subscription_states(actions, sub_col, action_col, seq_col), sink, checkpoint,
-                             trigger)
+                             "subscriber", trigger, compact_every)
 
 
 def read_active_subscribers(spark: SparkSession, sink: str) -> DataFrame:

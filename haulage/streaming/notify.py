@@ -5,10 +5,11 @@ entry points run them under Structured Streaming with checkpoints in the shared
 checkpoint folder.
 
 Fan-out is a product by definition (each message to each subscriber), so its
-output is messages x subscribers. The messages are spread over salt buckets and each
-bucket meets a copy of the subscriber table in an ordinary equi-join: as many buckets
-as the session has shuffle partitions, so they rise with the cluster. There is no hint:
-Spark broadcasts the copies only when they measure below the session's threshold.
+output is messages x subscribers. Where there are at most ``FEW`` subscribers, which is
+counted, they are broadcast (unless the session forbids it) and the messages stay where
+they are read. More are met in salt buckets: the messages are spread over them and each bucket meets a copy of the
+subscriber table in an ordinary equi-join: as many buckets as the session has shuffle
+partitions, so they rise with the cluster, and no hint, so Spark goes by measured sizes.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ PREVIOUS_STAGE = {"processing": "finished", "started": "processing", "finished":
 DOWNLOAD_STAGES = {"view": "processing", "click": "started", "purchase": "finished"}
 SUBSCRIPTION_ACTIONS = {"view": "subscribe", "error": "unsubscribe"}
 
+FEW = 10_000    # subscribers that are broadcast
 
 
 def _mapped(col: Column, mapping: Mapping[str, str]) -> Column:
@@ -76,10 +78,15 @@ def fan_out(msgs: DataFrame, subscribers: DataFrame, sub_col: str = "subscriber"
             salt_buckets: int | None = None) -> DataFrame:
     """Every message to every subscriber, no per-task filter.
 
-    Subscriber columns ride along (``sub_col`` is renamed ``subscriber``). ``salt_buckets``
-    defaults to the session's number of shuffle partitions.
+    Subscriber columns ride along (``sub_col`` is renamed ``subscriber``). ``salt_buckets`` asks for
+    buckets however few subscribers there are; their number defaults to the session's shuffle partitions.
     """
     subs = subscribers.withColumnRenamed(sub_col, "subscriber") if sub_col != "subscriber" else subscribers
+    allowed = not msgs.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
+    if salt_buckets is None and allowed and subs.limit(FEW + 1).count() <= FEW:
+        # a key that all rows share, made from columns so that this stays a hash join
+        shared = lambda df: df.withColumn("_all", F.pmod(F.xxhash64(*df.columns), F.lit(1)))
+        return shared(msgs).join(F.broadcast(shared(subs)), "_all").drop("_all")
     buckets = salt_buckets or int(msgs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = msgs.withColumn("_salt", F.pmod(F.xxhash64(*msgs.columns), F.lit(buckets)).cast("int"))
     copies = subs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))

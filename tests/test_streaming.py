@@ -160,3 +160,35 @@ def test_a_stopped_stream_goes_on_with_its_state(spark, scratch):
     assert [r.task_id for r in ordered._state(spark, ck, "last", "value").collect()] == [8]
     arrive((8, "2024-01-22 00:00:00", 7, "click"))
     assert {(8, "not_found"), (7, "accepted")} <= {(r.seq, r.outcome) for r in J.read_ordered(spark, sink).collect()}
+
+
+def test_log_is_folded_as_it_grows(spark, small, scratch):
+    """Batches are folded into one row per key; readers see the same before, between and after."""
+    import os
+    src = scratch + "/events"
+    ev = _split_events(spark, small, src, [(k * 150, (k + 1) * 150) for k in range(6)] + [(900, 10 ** 9)])
+    want = T.latest_status(T.task_events(ev))
+    for sink, every in ((f"{scratch}/folded", 2), (f"{scratch}/plain", None)):
+        J.status_stream(spark, src, ev.schema, sink, f"{sink}-ck", max_files_per_trigger=1, compact_every=every).awaitTermination()
+        got = J.read_status_table(spark, sink)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    parts = lambda p: sorted(d for d in os.listdir(p.removeprefix("file:")) if d.startswith("batch_id="))
+    assert len(parts(f"{scratch}/plain")) == 7 and len(parts(f"{scratch}/folded")) < 4 and J._base(f"{scratch}/folded") == 5
+    # a fold that was cut off does not count; batches that a fold covers are not read again
+    os.makedirs(f"{scratch}/plain-base/upto-6".removeprefix("file:"))
+    assert J._base(f"{scratch}/plain") is None
+    J.compact_log(spark, f"{scratch}/plain", "task_id", 3)
+    spark.createDataFrame([(1, "stale")], "task_id long, status string").write.parquet(f"{scratch}/plain/batch_id=2")
+    got = J.read_status_table(spark, f"{scratch}/plain")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_few_subscribers_need_no_shuffle(spark, small, monkeypatch):
+    msgs = G.messages(spark.read.parquet(f"{small}/events.parquet"))
+    subs = spark.read.parquet(f"{small}/nation.parquet").select(F.col("n_name").alias("subscriber"), "n_regionkey")
+    few = G.fan_out(msgs, subs)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    monkeypatch.setattr(G, "FEW", 3)
+    many = G.fan_out(msgs, subs)
+    assert few.columns == many.columns and few.exceptAll(many).count() == 0 and few.count() == many.count() == msgs.count() * 25
