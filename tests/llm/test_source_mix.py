@@ -34,12 +34,14 @@ def weight_of(text):
     return max(0.25, 1.0 - 5.0 * float(sum(c in "#*$%&|<>" for c in text)) / len(text))
 
 
-def brute(rows):
+def brute(rows, weight=None):
     docs = []
     for doc_id, text, _, source, *_ in rows:
         name = doc_id if doc_id is not None else "null" if text is None else hashlib.md5(text.encode()).hexdigest()
         u = (int(hashlib.md5(f"mix:{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        docs.append((source, -math.log(u) / weight_of(text), ident(doc_id), len(WORD.findall(text or "")), doc_id))
+        w = weight_of(text) if weight is None else weight(doc_id)
+        key = 1e300 * (1 + -math.log(u)) if w is None else -math.log(u) / w
+        docs.append((source, key, ident(doc_id), len(WORD.findall(text or "")), doc_id))
     sizes = {}
     for d in docs:
         sizes[d[0]] = sizes.get(d[0], 0) + d[3]
@@ -72,6 +74,24 @@ def test_plan_equals_brute_force(spark):
         assert rounded(M.mix_plan(documents(spark, lopsided()), buckets=buckets)) == brute(lopsided())
 
 
+def test_end_buckets_are_cut_until_small(spark):
+    for buckets, end_rows in ((2, 1), (3, 5), (1024, 1)):
+        assert rounded(M.mix_plan(documents(spark, lopsided()), buckets=buckets, end_rows=end_rows)) == brute(lopsided())
+    assert rounded(M.mix_plan(documents(spark), end_rows=1)) == brute(doc_rows())
+
+
+def test_any_weight_is_defined(spark, monkeypatch):
+    """Tiny weights spread over buckets, and rows without a weight come last."""
+    rows = lopsided()
+    weight = F.when(F.col("doc_id") % 4 == 0, 0.0).when(F.col("doc_id") % 4 == 1, F.lit(None)).when(F.col("doc_id") % 8 == 2, 0.001).otherwise(1e-9)
+    of = lambda d: {0: None, 1: None}.get(d % 4, 0.001 if d % 8 == 2 else 1e-9)
+    want = brute(rows, of)
+    for end_rows in (2, 10**6):
+        assert rounded(M.mix_plan(documents(spark, rows), weight=weight, end_rows=end_rows)) == want
+    for odd in (-1.0, float("nan")):
+        assert rounded(M.mix_plan(documents(spark, rows), weight=F.lit(odd), end_rows=20)) == brute(rows, lambda d: None)
+
+
 def test_no_document_above_three_epochs_and_sources_near_their_targets(spark):
     plan = M.mix_plan(documents(spark, lopsided())).toPandas()
     assert (plan.taken <= 3 * plan["size"]).all()
