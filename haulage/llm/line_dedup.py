@@ -10,7 +10,8 @@ document.
 
 A key is the 128-bit hash of the line, stripped of ASCII white space and A-Z lower-cased; lines
 of under ``MIN_POINTS`` code points have none. A hot line is one row per document in the postings
-(spread by document where it is joined) and one row in the counts (combined before the shuffle).
+and one row in the counts (combined before the shuffle). The postings are joined with written
+tables of unique keys only, so adaptive execution splits a hot line's rows over tasks.
 
 Defined cases: null or empty text is one empty line; rows that share a doc_id are one document
 for counting and are each rewritten; a null doc_id sorts after all others and stays null; extra
@@ -104,8 +105,8 @@ class LineIndex:
         return cls(counts, postings, filters, shards)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """The index with more documents, whose ids it must not hold yet."""
-        new = cut(_doc_keys(id_text(docs, id_col, text_col)).distinct(), "line-new")
+        """The index with more documents. Lines that it holds for an id already change nothing."""
+        new = cut(_doc_keys(id_text(docs, id_col, text_col)).distinct().join(self._held(), ["key", "doc_id"], "left_anti"), "line-new")
         counts = cut(self.counts.unionByName(new.groupBy("key").agg(F.count("*").alias("refs"), F.min("doc_id").alias("keeper")))
                      .groupBy("key").agg(F.sum("refs").alias("refs"), F.min("keeper").alias("keeper")), "line-counts")
         shared = counts.where("refs > 1").select("key")
@@ -116,8 +117,8 @@ class LineIndex:
         return LineIndex(counts, postings, self._filters(gained, None, shared), self.shards)
 
     def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """The index without these documents, which must be held as they are given."""
-        gone = cut(_doc_keys(id_text(docs, id_col, text_col)).distinct(), "line-gone")
+        """The index without these documents' lines. Lines that it does not hold for an id change nothing."""
+        gone = cut(_doc_keys(id_text(docs, id_col, text_col)).distinct().join(self._held(), ["key", "doc_id"], "left_semi"), "line-gone")
         left = self.postings.join(gone, ["key", "doc_id"], "left_anti")
         keepers = left.groupBy("key").agg(F.min("doc_id").alias("left_keeper"))
         fewer = gone.groupBy("key").agg(F.count("*").alias("fewer"))
@@ -129,6 +130,10 @@ class LineIndex:
         return LineIndex(counts, cut(left.join(shared, "key", "left_semi"), "line-postings"),
                          self._filters(None, lost, shared), self.shards)
 
+    def _held(self) -> DataFrame:
+        """(key, doc_id) of all keys."""
+        return self.postings.unionByName(self.counts.where("refs = 1").select("key", F.col("keeper").alias("doc_id")))
+
     def _filters(self, gained: DataFrame | None, lost: DataFrame | None, shared: DataFrame) -> DataFrame:
         """Filters after inserting or deleting keys shard by shard; a shard that overflows is
         built anew from the exact table."""
@@ -172,7 +177,7 @@ def drop_lines(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_c
     """
     prepare(docs.sparkSession)
     rows = _candidates(id_text(docs, id_col, text_col), broadcast_filters(index.filters, index.shards))
-    keepers = index.counts.where("refs > 1").select("key", "keeper")
+    keepers = cut(index.counts.where("refs > 1").select("key", "keeper"), "line-keepers")
     drops = (index.postings.join(keepers, "key").where("doc_id <> keeper")
              .groupBy(F.col("doc_id").alias("d_doc")).agg(F.collect_list("key").alias("drops")))
 

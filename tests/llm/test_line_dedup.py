@@ -62,6 +62,15 @@ def test_insert_and_delete_are_reversible(spark):
     assert state(gone) == ([], [])
 
 
+def test_held_and_unknown_documents_change_nothing(spark):
+    rows = doc_rows()[:14]
+    index = L.LineIndex.build(documents(spark, rows))
+    before = state(index)
+    assert state(index.insert(documents(spark, rows[::3]))) == before
+    unknown = [(900 + k, r[1]) + r[2:] for k, r in enumerate(rows[:5])]
+    assert state(index.delete(documents(spark, unknown))) == before
+
+
 def test_empty_table(spark):
     empty = empty_documents(spark)
     assert L.drop_lines(empty, L.LineIndex.build(empty)).count() == 0
