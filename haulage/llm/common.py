@@ -25,10 +25,17 @@ from haulage.session import ensure_checkpoint_dir, ship_package
 NULL_ID = 2**63 - 1
 
 
+# what goes to a Python worker at once; Spark's own default keeps 64 MB on both sides of the pipe
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Checkpoint folder known, package importable in the Python workers."""
+    """Checkpoint folder known, package importable in the Python workers, batches of texts bounded
+    (where the cluster does not say otherwise)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES[0]):
+        spark.conf.set(*BATCH_BYTES)
     return spark
 
 
