@@ -69,3 +69,59 @@ def test_network_learns_and_temperature_calibrates():
     for low in np.arange(0, 1, 0.25):
         own = (s >= low) & (s < low + 0.25)
         assert abs(s[own].mean() - y[2000:][own].mean()) < 0.15
+
+
+def plain_scores(rows, labels):
+    """Word vectors, pooled features and the forward pass, token by token; the weights come from the
+    same training on the plain features."""
+    import math
+    import re
+
+    from xxhash import xxh3_64_intdigest
+    cut = lambda t: re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^\x00-\x20A-Za-z0-9\x80-\xff]+", (t or "").encode())
+    ids = [[xxh3_64_intdigest(w) % Q.BUCKETS for w in cut(t)] for _, t in rows]
+    index = Q.index_vectors()
+    context, count = {}, {}
+    for own in ids:
+        for k, b in enumerate(own):
+            count[b] = count.get(b, 0) + 1
+            total = context.setdefault(b, [0] * Q.DIMS)
+            for j in range(max(0, k - Q.REACH), min(len(own), k + Q.REACH + 1)):
+                if j != k:
+                    for d, v in enumerate(index[own[j]].tolist()):
+                        total[d] += v
+    mean = np.zeros((Q.BUCKETS, Q.DIMS))
+    for b, total in context.items():
+        mean[b] = [v / count[b] for v in total]
+    n = sum(count.values())
+    centre = sum(mean[b] * count[b] for b in count) / n
+    for b in count:
+        mean[b] = mean[b] - centre
+    vectors = mean / mean.std()
+
+    def pooled(own, text):
+        if not own:
+            return np.zeros(Q.N_FEATURES)
+        v, text = vectors[own], (text or "").encode()
+        kinds = sorted(set(own))
+        lines = text.split(b"\n")
+        return np.concatenate([v.mean(axis=0), vectors[kinds].mean(axis=0), v.std(axis=0), [
+            math.log(1 + len(own)), math.log(1 + len(kinds)) / math.log(1 + len(own)), max(own.count(k) for k in kinds) / len(own),
+            sum(a == b for a, b in zip(own, own[1:])) / len(own), math.log(1 + len(text) / len(own)), len(set(lines)) / len(lines)]])
+
+    x = {d: pooled(own, t) for (d, t), own in zip(rows, ids)}
+    known = sorted((d, y) for d, y in labels if y in (0, 1) and zlib.crc32(str(d).encode()) % 4 != 2 and d in x)
+    net = Q.fit_network(np.array([x[d] for d, _ in known], np.float32), np.array([y for _, y in known]))
+    out = {}
+    for d, f in x.items():
+        hidden = [math.tanh(sum((f[i] - net.mean[i]) / net.scale[i] * net.w1[i, j] for i in range(Q.N_FEATURES)) + net.b1[j]) for j in range(Q.HIDDEN)]
+        out[d] = 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature))
+    return out
+
+
+def test_scores_equal_a_plain_recomputation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 3000")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    want = plain_scores([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.quality) for r in labels.collect()])
+    got = {r.doc_id: r.score for r in Q.score(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-3 for d in want)
