@@ -10,8 +10,11 @@ Digests are combined before they are shuffled (minimum and count per digest), so
 many documents share is one row there. A cuckoo filter of the repeated digests prunes what is
 joined afterwards, and text is shuffled only for documents that may lose a chunk.
 
-Defined cases: null or empty text has no chunks; a last chunk under ``MIN_CHUNK`` bytes is always
-kept; rows that share a doc_id are cut one by one, and of equal rows each loses the same chunks; a
+A last chunk under ``MIN_CHUNK`` bytes says little by itself (many texts end in the same few words),
+so its digest is that of the chunk before it and itself: it goes where an earlier document ends in
+both. A text under ``MIN_CHUNK`` bytes is one chunk and goes as a whole.
+
+Defined cases: null or empty text has no chunks; rows that share a doc_id are cut one by one, and of equal rows each loses the same chunks; a
 null doc_id sorts last and stays null; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -29,6 +32,7 @@ from haulage.llm.cuckoo import ShardedFilters, broadcast_filters, build_filters,
 
 MIN_CHUNK = 40
 MAX_CHUNK = 1024
+SHORT_SEED = 1  # keeps the digests of short last chunks apart from those of whole chunks
 MASK = 0xF800  # five bits that depend on all of the last 16 bytes
 
 
@@ -67,10 +71,14 @@ def chunk_ends(text: bytes) -> list[int]:
     return ends
 
 
-def chunk_keys(text: bytes, ends: list[int]) -> list[bytes | None]:
-    """16-byte digest of each chunk, None for a last chunk that is too short to be removed."""
+def chunk_keys(text: bytes, ends: list[int]) -> list[bytes]:
+    """16-byte digest of each chunk; a short last one is told together with the one before it."""
     from xxhash import xxh3_128_digest
-    return [xxh3_128_digest(text[a:b]) if b - a >= MIN_CHUNK else None for a, b in zip([0, *ends], ends)]
+    starts = [0, *ends[:-1]]
+    keys = [xxh3_128_digest(text[a:b]) for a, b in zip(starts, ends)]
+    if ends and ends[-1] - starts[-1] < MIN_CHUNK:
+        keys[-1] = xxh3_128_digest(b"%d:" % (ends[-1] - starts[-1]) + text[starts[-2] if len(ends) > 1 else 0:], SHORT_SEED)
+    return keys
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -78,11 +86,10 @@ def _chunks(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, 2 << 20):
             keys, owner, ordinal = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-                for k, key in enumerate(chunk_keys(text, chunk_ends(text))):
-                    if key is not None:
-                        keys.append(key)
-                        owner.append(doc_id)
-                        ordinal.append(k)
+                own = chunk_keys(text, chunk_ends(text))
+                keys += own
+                owner += [doc_id] * len(own)
+                ordinal += range(len(own))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owner, pa.int64()),
                                               pa.array(ordinal, pa.int32())], names=["key", "doc_id", "ordinal"])
 
@@ -102,7 +109,7 @@ def _candidates(rows: DataFrame, shared) -> DataFrame:
             own_tags = [batch.column(k).to_pylist() for k in range(2, batch.num_columns)]
             for doc_id, text, *tag in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), *own_tags):
                 ends = chunk_ends(text)
-                own = [(key, k) for k, key in enumerate(chunk_keys(text, ends)) if key is not None]
+                own = [(key, k) for k, key in enumerate(chunk_keys(text, ends))]
                 if filters is not None and own:
                     own = [p for p, hit in zip(own, filters.contains([key for key, _ in own]).tolist()) if hit]
                 out.append((doc_id, len(text), len(ends), text if own else None,

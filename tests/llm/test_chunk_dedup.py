@@ -29,15 +29,18 @@ def brute(rows):
     for doc_id, text, *_ in rows:
         raw = (text or "").encode()
         ends = rolled(raw) if len(raw) < 5000 else chunk_ends(raw)
-        cut.append([raw[a:b] for a, b in zip([0, *ends], ends)])
-        for k, c in enumerate(cut[-1]):
-            if len(c) >= MIN_CHUNK:
-                first[c] = min(first.get(c, (2**63, 0)), (ident(doc_id), k))
+        pieces = [raw[a:b] for a, b in zip([0, *ends], ends)]
+        if pieces and len(pieces[-1]) < MIN_CHUNK:      # told together with the chunk before it
+            pieces[-1] = (b"".join(pieces[-2:-1]), pieces[-1])
+        cut.append(pieces)
+        for k, c in enumerate(pieces):
+            first[c] = min(first.get(c, (2**63, 0)), (ident(doc_id), k))
     out = []
     for (doc_id, text, *_), chunks in zip(rows, cut):
-        gone = [k for k, c in enumerate(chunks) if c in first and first[c] != (ident(doc_id), k)]
-        kept = b"".join(c for k, c in enumerate(chunks) if k not in set(gone))
-        n = sum(map(len, chunks))
+        gone = [k for k, c in enumerate(chunks) if first[c] != (ident(doc_id), k)]
+        own = [c[1] if isinstance(c, tuple) else c for c in chunks]
+        kept = b"".join(c for k, c in enumerate(own) if k not in set(gone))
+        n = sum(map(len, own))
         out.append((doc_id, n, len(chunks), len(gone), n - len(kept), sorted({first[chunks[k]][0] for k in gone}),
                     hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=repr)
@@ -60,6 +63,15 @@ def test_passages_are_caught_wherever_they_stand_and_clean_text_stays(spark):
     assert all(got[100 + k]["n_removed"] == 0 for k in range(30))
 
 
+def test_exact_copies_go_whole_and_common_endings_stay(spark):
+    ends = " The end."
+    rows = [(k, prose(500 + k, 60) + ends) for k in range(8)] + [(20 + k, prose(500 + k, 60) + ends) for k in range(4)]
+    rows += [(40, "short"), (41, "short"), (42, "Short"), (43, "x" * 39), (44, "x" * 39)]
+    got = {r["doc_id"]: r for r in dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k]["n_removed"] == 0 for k in (*range(8), 40, 42, 43))
+    assert all(got[k]["n_removed"] == got[k]["n_bytes"] > 0 for k in (*range(20, 24), 41, 44))
+
+
 def test_kept_text_and_empty_table(spark):
     for r in dedup_chunks(documents(spark), with_text=True).collect():
         assert (r["kept"] is not None) == (r["n_removed"] > 0)
