@@ -223,16 +223,21 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """One row per document: doc_id, n_words, merged hit ``spans`` (in words), ``items`` (sorted keys)."""
     spark = prepare(docs.sparkSession)
     rows = id_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    blocks = [spark.sparkContext.broadcast(ItemBlock(block, window)) for block in _blocks(benchmark, item_id, item_text, block_bytes)]
-    if len(blocks) > 1:  # each pass must see the same row_id
-        rows = cut(rows, "numbered-documents")
-    hits = _block_hits(rows, blocks[0], shard_bytes)
-    if len(blocks) > 1:
-        for more in blocks[1:]:
-            hits = hits.unionByName(_block_hits(rows, more, shard_bytes))
-        hits = (hits.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-                                           F.flatten(F.collect_list("spans")).alias("spans"),
-                                           F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
+    hits, before = None, None
+    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+        if before is not None:  # more than one: each pass must see the same row_id, and one block is held at a time
+            if hits is None:
+                rows = cut(rows, "numbered-documents")
+            own = cut(_block_hits(rows, before, shard_bytes), "block-hits")
+            hits = own if hits is None else hits.unionByName(own)
+            before.unpersist()
+        before = spark.sparkContext.broadcast(ItemBlock(block, window))
+    last = _block_hits(rows, before, shard_bytes)
+    if hits is None:
+        return last.drop("row_id")
+    hits = (hits.unionByName(last).groupBy("row_id").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
     return hits.drop("row_id")
 
 
