@@ -126,12 +126,13 @@ def _slice_of(value: Column, nulls_last: bool) -> Column:
 
 
 def windows(df: DataFrame, keys: Sequence[str], by: str | Column, ties: Sequence[str], out: dict[str, object],
-            nulls_last: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
+            nulls_last: bool = False, slice_rows: int = SLICE_ROWS, num_partitions: int | None = None) -> DataFrame:
     """``df`` with the columns of ``out`` (name -> one of the functions above), over rows of equal
     ``keys`` ordered by ``by`` and then ``ties``.
 
     ``by`` is a number, date or timestamp in ascending order (negate a number for descending). Keys
-    may be null. Names that begin with an underscore are used inside.
+    may be null. ``num_partitions`` is that of the exchange (by default the session's, which
+    adaptive execution coalesces). Names that begin with an underscore are used inside.
     """
     keys, ties = list(keys), list(ties)
     rows = df.withColumn("_by", F.col(by) if isinstance(by, str) else by)
@@ -139,8 +140,9 @@ def windows(df: DataFrame, keys: Sequence[str], by: str | Column, ties: Sequence
     cuts = _cut_keys(rows, keys, slice_rows)
     if cuts is None:
         own = Window.partitionBy(*keys)
+        rows = rows.repartition(num_partitions, *keys) if num_partitions else rows
         return rows.select(*df.columns, *[_inside(f, own, keys, order).alias(name) for name, f in out.items()])
-    return _sliced(df, rows, cuts, keys, order, out, nulls_last)
+    return _sliced(df, rows, cuts, keys, order, out, nulls_last, num_partitions)
 
 
 def _inside(f, own, keys: list[str], order: list[Column]) -> Column:
@@ -170,7 +172,8 @@ def _inside(f, own, keys: list[str], order: list[Column]) -> Column:
     raise TypeError(f"not a window function: {f!r}")
 
 
-def _sliced(df: DataFrame, rows: DataFrame, cuts: DataFrame, keys: list[str], order: list[Column], out: dict[str, object], nulls_last: bool) -> DataFrame:
+def _sliced(df: DataFrame, rows: DataFrame, cuts: DataFrame, keys: list[str], order: list[Column], out: dict[str, object], nulls_last: bool,
+            num_partitions: int | None) -> DataFrame:
     spans = {f.interval for f in out.values() if isinstance(f, CountSpan)}
     if len(spans) > 1:
         raise ValueError("one time span per call")
@@ -198,7 +201,8 @@ def _sliced(df: DataFrame, rows: DataFrame, cuts: DataFrame, keys: list[str], or
     own = Window.partitionBy(*keys, "_slice", "_halo")
     ordered = own.orderBy(*order)
     inside = {f"_f{k}": f for k, f in enumerate(out.values()) if not isinstance(f, Ntile)}
-    found = placed.repartition(*keys, "_slice").select(
+    placed = placed.repartition(num_partitions, *keys, "_slice") if num_partitions else placed.repartition(*keys, "_slice")
+    found = placed.select(
         "*", F.row_number().over(ordered).cast("bigint").alias("_rn"), F.count(F.lit(1)).over(own).alias("_n"),
         F.dense_rank().over(own.orderBy(order[0])).cast("bigint").alias("_dense"),
         *[(_inside(f, own, [*keys, "_slice"], order)).alias(c) for c, f in inside.items()])

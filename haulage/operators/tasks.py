@@ -11,8 +11,8 @@ Closed forms replace the step-by-step fold:
   cancel follows it (the first cancel after a start is accepted) — an
   aggregation, combined map-side, so a task holding a third of all events is
   never gathered into one task;
-* a cancel is accepted iff the task's previous event is a start, which
-  :func:`haulage.operators.ordered.lag_by_key` gives without a per-task sort.
+* a cancel is accepted iff the task's previous event is a start, a lag that
+  :mod:`haulage.operators.halo` gives without a large task in one sort.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulage.operators.ordered import lag_by_key
+from haulage.operators import halo
 
 # Event kinds, states and the gate's replies.
 KINDS = ("start", "complete", "fail", "cancel")
@@ -77,17 +77,19 @@ def latest_status(ev: DataFrame) -> DataFrame:
     return agg.filter(F.col("_last_kind").isNotNull()).select("task_id", status.alias("status"), *error)
 
 
-def cancel_outcomes(ev: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """every cancel with its outcome: accepted, rejected or not_found."""
-    lagged = lag_by_key(ev, ["task_id"], ["ts", "seq"], ["kind"], num_partitions=num_partitions)
-    first_known = (ev.filter(F.col("kind") != "cancel").groupBy("task_id")
-                     .agg(F.min(F.struct("ts", "seq")).alias("_known_from")))
-    cancels = lagged.filter(F.col("kind") == "cancel").join(first_known, "task_id", "left")
-    known = F.col("_known_from").isNotNull() & (F.struct("ts", "seq") > F.col("_known_from"))
-    outcome = (F.when(~known, F.lit(NOT_FOUND))
+def cancel_outcomes(ev: DataFrame, num_partitions: int | None = None, slice_rows: int = halo.SLICE_ROWS) -> DataFrame:
+    """every cancel with its outcome: accepted, rejected or not_found.
+
+    One exchange of the events: the event before, and whether a non-cancel event came before, are
+    windows over the task (:mod:`haulage.operators.halo` cuts a large task into slices).
+    """
+    marked = ev.withColumn("_sets", F.when(F.col("kind") != "cancel", F.lit(True)))
+    seen = halo.windows(marked, ["task_id"], "ts", ["seq"], {"prev_kind": halo.Lag("kind"), "_known": halo.LastBefore("_sets")},
+                        slice_rows=slice_rows, num_partitions=num_partitions)
+    outcome = (F.when(F.col("_known").isNull(), F.lit(NOT_FOUND))
                 .when(F.col("prev_kind") == F.lit("start"), F.lit("accepted"))
                 .otherwise(F.lit("rejected")))
-    return cancels.select("task_id", "seq", "ts", outcome.alias("outcome"))
+    return seen.where(F.col("kind") == "cancel").select("task_id", "seq", "ts", outcome.alias("outcome"))
 
 
 def status_lookup(requests: DataFrame, statuses: DataFrame, task_col: str = "task_id") -> DataFrame:

@@ -19,7 +19,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulage.operators.ordered import lag_by_key
+from haulage.operators import halo
 
 # The three notification texts and their lifecycle order.
 MESSAGE_FORMATS = {
@@ -111,10 +111,10 @@ def drop_failed(deliveries: DataFrame) -> DataFrame:
                       .drop("failed_seq"))
 
 
-def message_order(msgs: DataFrame, num_partitions: int | None = None, with_ts: bool = False) -> DataFrame:
+def message_order(msgs: DataFrame, num_partitions: int | None = None, with_ts: bool = False, slice_rows: int = halo.SLICE_ROWS) -> DataFrame:
     """Each message with ``in_order``: its predecessor (same task, by time) is the stage before."""
-    lagged = lag_by_key(msgs.select("task_id", "stage", "ts", "seq"), ["task_id"], ["ts", "seq"], ["stage"],
-                        num_partitions=num_partitions)
+    lagged = halo.windows(msgs.select("task_id", "stage", "ts", "seq"), ["task_id"], "ts", ["seq"], {"prev_stage": halo.Lag("stage")},
+                          slice_rows=slice_rows, num_partitions=num_partitions)
     expected = _mapped(F.col("stage"), PREVIOUS_STAGE)
     first_ok = F.col("prev_stage").isNull() & (F.col("stage") == F.lit("processing"))
     follows = F.coalesce(F.col("prev_stage") == expected, F.lit(False))

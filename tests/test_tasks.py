@@ -83,3 +83,17 @@ def test_closed_forms_match_fold(spark, sequences):
         status, outs = _fold(kinds)
         assert statuses.get(t) == status, kinds
         assert outcomes.get(t, []) == outs, kinds
+
+
+def test_one_task_with_all_events_is_cut(spark, small):
+    """The same outcomes and orders from slices, in one exchange and without a join of the events."""
+    from haulage.streaming import notify as G
+    ev = spark.read.parquet(f"{small}/events.parquet").withColumn("user_id", F.lit(5) + F.col("user_id") * 0)
+    tasks = T.task_events(ev)
+    whole = T.cancel_outcomes(tasks)
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    cut = T.cancel_outcomes(tasks, slice_rows=37)
+    assert cut.exceptAll(whole).count() == 0 and whole.count() == cut.count() > 100
+    msgs = G.messages(ev)
+    cut, whole = G.message_order(msgs, slice_rows=41), G.message_order(msgs)
+    assert cut.exceptAll(whole).count() == 0 and whole.count() == cut.count() > 100
