@@ -41,6 +41,13 @@ def write_batch(found: DataFrame, folder: str, batch: str | int) -> None:
      .partitionBy("batch").parquet(folder))
 
 
+def write_batches(found: DataFrame, folder: str, batch: str) -> None:
+    """Store the sketches of several batches at once; the column ``batch`` names the batch of a row."""
+    name = F.coalesce(F.col(batch).cast("string"), F.lit("none"))
+    (found.withColumn("batch", name).drop(*([batch] if batch != "batch" else []))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder))
+
+
 def merged(stored: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Sketches of several batches (rows of :func:`sketches`) as one row per group; ``groups`` may be
     fewer than those of the batches."""

@@ -964,10 +964,8 @@ ORACLE["g9_stream_subscriptions"] = ORACLE["g4_subscriptions"]
 def h8_approx_distinct(spark, sf_dir):
     """Customers by order status from HyperLogLog sketches stored per year, merged without the orders.
     Groups this small are counted exactly; larger ones come within the sketch's error."""
-    folder, orders = scratch_folder(spark, "h8"), table(spark, sf_dir, "orders")
-    for (year,) in orders.select(F.year("o_orderdate")).distinct().collect():
-        part = orders.where(F.year("o_orderdate").eqNullSafe(F.lit(year)))
-        K.write_batch(K.sketches(part, ["o_orderstatus", "o_orderpriority"], distinct={"customers": "o_custkey"}), folder, year)
+    folder, orders = scratch_folder(spark, "h8"), table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    K.write_batches(K.sketches(orders, ["year", "o_orderstatus"], distinct={"customers": "o_custkey"}), folder, "year")
     found = K.merged(K.read_batches(spark, folder), ["o_orderstatus"])
     return found.select("o_orderstatus", F.col("n_rows").alias("n_orders"), K.distinct_estimate("customers").alias("customers"))
 

@@ -38,3 +38,12 @@ def test_merging_needs_the_sketches_alone(spark, scratch):
 def test_other_column_kinds(spark):
     rows = spark.sql("SELECT explode(array(DATE '2024-01-01', DATE '2024-01-02', DATE '2024-01-02')) AS d")
     assert K.sketches(rows, [], distinct={"d": "d"}).select(K.distinct_estimate("d")).first()[0] == 2
+
+
+def test_several_batches_in_one_pass(spark, scratch):
+    rows = spark.createDataFrame([(1, "a", 7), (1, "a", 8), (2, "a", 8), (None, "b", 9)], "day int, g string, u int")
+    K.write_batches(K.sketches(rows, ["day", "g"], distinct={"u": "u"}), scratch + "/s", "day")
+    K.write_batch(K.sketches(rows.where("day = 2"), ["g"], distinct={"u": "u"}), scratch + "/s", 2)      # one of them again
+    stored = K.read_batches(spark, scratch + "/s")
+    assert {str(r.batch) for r in stored.select("batch").collect()} == {"1", "2", "none"}
+    assert {(r.g, r.n_rows, r.d) for r in K.merged(stored, ["g"]).select("g", "n_rows", K.distinct_estimate("u").alias("d")).collect()} == {("a", 3, 2), ("b", 1, 1)}
