@@ -34,7 +34,7 @@ END_ID = 0
 CHUNK_BITS = 8
 SEGMENT_IDS = 1 << 20
 RANK_BLOCK = 512
-MEMO_UNITS = 300_000
+MEMO_UNITS = 100_000
 _MAGIC = b"DAC1"
 
 
