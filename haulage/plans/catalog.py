@@ -740,6 +740,13 @@ def _arriving_events(spark, sf_dir, folder, late=20):
     return table(spark, sf_dir, "events").schema
 
 
+def _state_partitions(spark, sf_dir):
+    """One for 50,000 events, up to the session's shuffle partitions: state of a small stream in many
+    partitions costs a task each in every micro-batch."""
+    rows = table(spark, sf_dir, "events").count()
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(4, rows // 50_000))
+
+
 @register("f6_stream_cancel", None)
 def f6_stream_cancel(spark, sf_dir):
     """F2 as a stream over events out of order: judged in event-time order over several micro-batches,
@@ -747,7 +754,7 @@ def f6_stream_cancel(spark, sf_dir):
     work = scratch_folder(spark, "f6")
     schema = _arriving_events(spark, sf_dir, f"{work}/events")
     J.cancel_stream(spark, f"{work}/events", schema, f"{work}/sink", f"{work}/checkpoint", delay=STREAM_DELAY,
-                    max_files_per_trigger=1).awaitTermination()
+                    max_files_per_trigger=1, partitions=_state_partitions(spark, sf_dir)).awaitTermination()
     out = J.read_recounted(spark, f"{work}/sink")
     return out.select("task_id", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "outcome")
 
@@ -879,7 +886,7 @@ def g8_stream_message_order(spark, sf_dir):
     work = scratch_folder(spark, "g8")
     schema = _arriving_events(spark, sf_dir, f"{work}/events")
     J.message_order_stream(spark, f"{work}/events", schema, f"{work}/sink", f"{work}/checkpoint", delay=STREAM_DELAY,
-                           max_files_per_trigger=1).awaitTermination()
+                           max_files_per_trigger=1, partitions=_state_partitions(spark, sf_dir)).awaitTermination()
     return J.read_recounted(spark, f"{work}/sink").select("task_id", "seq", "stage", "in_order")
 
 
@@ -916,8 +923,9 @@ def g11_stream_fan_out_subscribed(spark, sf_dir):
     latest = table(spark, sf_dir, "events").agg(F.max("ts") + F.expr("INTERVAL 3 DAYS")).first()[0]
     spark.createDataFrame([(None, latest, None, U.HEARTBEAT, None, None)], schema).write.mode("append").parquet(f"{work}/events")
     events = lambda: J.event_stream(spark, f"{work}/events", schema, max_files_per_trigger=1)
-    U.piece_stream(events(), f"{work}/pieces", f"{work}/checkpoint-pieces", STREAM_DELAY).awaitTermination()
-    U.delivery_stream(G.messages(events()), f"{work}/pieces", f"{work}/sink", f"{work}/checkpoint-sink", STREAM_DELAY).awaitTermination()
+    n = _state_partitions(spark, sf_dir)
+    U.piece_stream(events(), f"{work}/pieces", f"{work}/checkpoint-pieces", STREAM_DELAY, partitions=n).awaitTermination()
+    U.delivery_stream(G.messages(events()), f"{work}/pieces", f"{work}/sink", f"{work}/checkpoint-sink", STREAM_DELAY, partitions=n).awaitTermination()
     return _deliveries_by_message(spark.read.parquet(f"{work}/sink"))
 
 

@@ -203,21 +203,23 @@ def late_events(spark: SparkSession, sink: str) -> DataFrame:
 
 def cancel_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
                   checkpoint: str, delay: str = WATERMARK, trigger: str = "availableNow",
-                  max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER, forget: str | None = None) -> StreamingQuery:
+                  max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER, forget: str | None = None,
+                  partitions: int | None = None) -> StreamingQuery:
     """F2 over a stream, in event-time order; read with :func:`read_ordered`.
 
     Events up to ``delay`` late are put in order; later ones go to :func:`late_events`. Tasks without
     an event for ``forget`` (an interval; None: for ever) leave the state and are unknown again.
     """
     ev = task_events(event_stream(spark, events_path, schema, max_files_per_trigger=max_files_per_trigger))
-    return ordered.ordered_stream(ev, "cancel", sink, checkpoint, delay, trigger, forget)
+    return ordered.ordered_stream(ev, "cancel", sink, checkpoint, delay, trigger, forget, partitions)
 
 
 def message_order_stream(spark: SparkSession, events_path: str, schema: StructType, sink: str,
                          checkpoint: str, delay: str = WATERMARK, trigger: str = "availableNow",
-                         max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER, forget: str | None = None) -> StreamingQuery:
+                         max_files_per_trigger: int | None = MAX_FILES_PER_TRIGGER, forget: str | None = None,
+                  partitions: int | None = None) -> StreamingQuery:
     """G5 over a stream: each download message with ``stage`` and ``in_order`` (event-time order per
     task); read with :func:`read_ordered`."""
     stream = event_stream(spark, events_path, schema, max_files_per_trigger=max_files_per_trigger)
     msgs = messages(stream).select("task_id", F.col("stage").alias("kind"), "ts", "seq")
-    return ordered.ordered_stream(msgs, "order", sink, checkpoint, delay, trigger, forget)
+    return ordered.ordered_stream(msgs, "order", sink, checkpoint, delay, trigger, forget, partitions)

@@ -17,6 +17,7 @@ events are handled together, so one task's events within one delay should fit a
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 from typing import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -105,10 +106,28 @@ class OrderedJudge(StatefulProcessor):
         pass
 
 
+@contextmanager
+def stateful(spark: SparkSession, partitions: int | None = None):
+    """Settings for starting a stateful query, which keeps those it is started with: the state store
+    that ``transformWithState`` needs and, if given, the number of state partitions."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def ordered_stream(events: DataFrame, rule: str, sink: str, checkpoint: str, delay: str, trigger: str,
-                   forget: str | None = None) -> StreamingQuery:
+                   forget: str | None = None, partitions: int | None = None) -> StreamingQuery:
     """Judge a stream of (task_id, kind, ts, seq) by ``rule``; read with :func:`judged`, :func:`late`
-    and :func:`recounted`. ``delay`` and ``forget`` are intervals."""
+    and :func:`recounted`. ``delay`` and ``forget`` are intervals; ``partitions`` of the state are
+    fixed when a checkpoint is first used (default: the session's shuffle partitions)."""
     spark = events.sparkSession
     forget_ms = None
     if forget:
@@ -120,15 +139,10 @@ def ordered_stream(events: DataFrame, rule: str, sink: str, checkpoint: str, del
     rows = events.withWatermark("ts", delay).select("task_id", "kind", F.unix_micros("ts").alias("at"), "seq")
     found = rows.groupBy("task_id").transformWithState(OrderedJudge(rule, None if forget_ms is None else int(forget_ms)),
                                                        f"{JUDGED}, late boolean", "append", "EventTime")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)     # what the operator needs; the query keeps the settings it starts with
-    try:
+    with stateful(spark, partitions):
         writer = found.writeStream.option("checkpointLocation", checkpoint).partitionBy("late").format("parquet")
         writer = writer.trigger(availableNow=True) if trigger == "availableNow" else writer.trigger(processingTime=trigger)
         return writer.start(sink)
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def _written(spark: SparkSession, sink: str, late_: bool) -> DataFrame:

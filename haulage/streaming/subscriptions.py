@@ -27,7 +27,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from haulage.operators import halo
 from haulage.operators.ranges import range_join
 from haulage.streaming.notify import SUBSCRIPTION_ACTIONS, _mapped
-from haulage.streaming.ordered import ROCKS
+from haulage.streaming.ordered import stateful
 
 PIECE = 86_400_000_000          # microseconds
 HEARTBEAT = "heartbeat"
@@ -113,7 +113,7 @@ class SubscriptionPieces(StatefulProcessor):
 
 def piece_stream(actions: DataFrame, sink: str, checkpoint: str, delay: str, trigger: str = "availableNow", sub_col: str = "user_id",
                  action_col: str = "event_type", ts_col: str = "ts", seq_col: str = "event_id",
-                 mapping: Mapping[str, str] = SUBSCRIPTION_ACTIONS) -> StreamingQuery:
+                 mapping: Mapping[str, str] = SUBSCRIPTION_ACTIONS, partitions: int | None = None) -> StreamingQuery:
     """Subscriptions of a stream of actions as a file table of pieces; actions of kind ``HEARTBEAT``
     only move the watermark."""
     spark = actions.sparkSession
@@ -122,15 +122,10 @@ def piece_stream(actions: DataFrame, sink: str, checkpoint: str, delay: str, tri
         F.coalesce(F.col(sub_col).cast("long"), F.lit(-1)).alias("subscriber"), _mapped(F.col(action_col), kinds).alias("action"),
         F.unix_micros(ts_col).alias("at"), F.col(seq_col).cast("long").alias("seq"))
     found = rows.groupBy("subscriber").transformWithState(SubscriptionPieces(), f"{PIECES}, late boolean", "append", "EventTime")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
-    try:
+    with stateful(spark, partitions):
         writer = found.writeStream.option("checkpointLocation", checkpoint).partitionBy("late").format("parquet")
         writer = writer.trigger(availableNow=True) if trigger == "availableNow" else writer.trigger(processingTime=trigger)
         return writer.start(sink)
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def late_actions(spark: SparkSession, sink: str) -> DataFrame:
@@ -139,7 +134,8 @@ def late_actions(spark: SparkSession, sink: str) -> DataFrame:
     return rows.select("subscriber", F.timestamp_micros("since").alias("at"), F.col("piece").alias("seq"))
 
 
-def delivery_stream(msgs: DataFrame, pieces: str, sink: str, checkpoint: str, delay: str, trigger: str = "availableNow") -> StreamingQuery:
+def delivery_stream(msgs: DataFrame, pieces: str, sink: str, checkpoint: str, delay: str, trigger: str = "availableNow",
+                    partitions: int | None = None) -> StreamingQuery:
     """Deliveries of a stream of messages to the subscribers of :func:`piece_stream`'s table ``pieces``,
     joined stream with stream. Pieces of one batch of that job are read together, so their order
     among each other does not matter."""
@@ -152,6 +148,7 @@ def delivery_stream(msgs: DataFrame, pieces: str, sink: str, checkpoint: str, de
     cond = ((F.col("_piece") == F.col("_number")) & (F.col("_at") >= F.col("since")) & (F.col("_at") < F.col("until"))
             & (F.col("ts") < F.col("_ends")) & (F.col("ts") >= F.col("_ends") - F.expr(f"INTERVAL {PIECE // 1_000_000} SECONDS")))
     found = left.join(right, cond).select(*msgs.columns, "subscriber")
-    writer = found.writeStream.option("checkpointLocation", checkpoint).outputMode("append").format("parquet")
-    writer = writer.trigger(availableNow=True) if trigger == "availableNow" else writer.trigger(processingTime=trigger)
-    return writer.start(sink)
+    with stateful(spark, partitions):
+        writer = found.writeStream.option("checkpointLocation", checkpoint).outputMode("append").format("parquet")
+        writer = writer.trigger(availableNow=True) if trigger == "availableNow" else writer.trigger(processingTime=trigger)
+        return writer.start(sink)
