@@ -60,8 +60,7 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high:
     spans = spans.where(F.col("_low").isNotNull() & F.col("_high").isNotNull())
     if base is None:
         base = spans.agg(F.percentile_approx(F.col("_high") - F.col("_low"), 0.5)).first()[0]
-    whole = isinstance(base, int) or base is None
-    base = max(base or 0, 1 if whole else 1e-9)
+    base = base if base and base > 0 else 1     # points as intervals fit cells of any width
     length = F.col("_high") - F.col("_low")
     level = F.when(length <= base, 0).otherwise(F.ceil(F.log2(length / F.lit(base)))).cast("int")
     # rounding of the logarithm must not leave an interval longer than its cell

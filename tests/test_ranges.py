@@ -89,6 +89,13 @@ def test_doubles_and_empty_sides(spark):
     assert R.range_join(p, v.limit(0), "at", "lo", "hi").count() == 0 and R.range_join(p.limit(0), v, "at", "lo", "hi").count() == 0
 
 
+def test_intervals_of_no_length(spark):
+    p = spark.range(50).select(F.col("id").alias("p"), (F.col("id") * 1e12 / 3).alias("at"))
+    v = p.select(F.col("p").alias("v"), F.col("at").alias("lo"), F.col("at").alias("hi"))
+    assert R.range_join(p, v, "at", "lo", "hi").count() == 0
+    assert rows(R.range_join(p, v, "at", "lo", "hi", closed=True)) == rows(p.join(v, F.col("p") == F.col("v")))
+
+
 def test_no_nested_loop(spark, small):
     for name in ("h5_range_join", "h5_overlap_join"):
         plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
