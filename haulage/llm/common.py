@@ -17,6 +17,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,15 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all tables that :func:`cut` wrote under the checkpoint folder. Results read them, so
+    only once every result has been written elsewhere."""
+    from haulage.llm.shared_files import open_fs
+    filesystem, inner = open_fs(f"{ensure_checkpoint_dir(spark).rstrip('/')}/haulage-llm")
+    if filesystem.get_file_info(inner).type == pafs.FileType.Directory:
+        filesystem.delete_dir(inner)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of jobs that are done (their results are tables by
     now). It acts only when the driver's JVM collects its garbage, and what a first collection
