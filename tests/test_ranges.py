@@ -100,3 +100,57 @@ def test_no_nested_loop(spark, small):
     for name in ("h5_range_join", "h5_overlap_join"):
         plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+COUNTED = {"n": R.Count(), "least": R.Min("v"), "most": R.Max("v"), "total": R.Sum("v")}
+
+
+@pytest.mark.parametrize("how, cell_rows, longest", [({}, 3, 3000), ({}, 10**6, 400), ({"closed": True}, 40, 3), ({"after": True}, 3, 400),
+                                                      ({"closed": True, "after": True}, 3, 400)])
+def test_totals_equal_those_of_all_pairs(spark, cell_rows, longest, how):
+    for seed in (3,):
+        data = drawn(seed, 150, 1000, longest)
+        # rows that come twice, values that are null and lie anywhere
+        data = data[0] + data[0][:20], [(None if k % 7 == 0 else (k * 37) % 101 - 50, *r) for k, (_, *r) in enumerate(data[1] + data[1][:20])]
+        points, spans = frames(spark, data)
+        pairs = [(p, v) for p in data[0] for v in data[1] if plain(([p], [v]), False, **how)]
+        got = R.range_join(points, spans, "at", "lo", "hi", per=["pk", "p"], totals=COUNTED, cell_rows=cell_rows, **how)
+        want = {}
+        for p, v in pairs:
+            want.setdefault((p[1], p[0]), []).append(v[0])
+        known = {k: [x for x in vs if x is not None] for k, vs in want.items()}
+        assert got.columns == ["pk", "p", "n", "least", "most", "total"]
+        assert rows(got) == sorted(((*k, len(vs), min(known[k], default=None), max(known[k], default=None), sum(known[k]) if known[k] else None)
+                                    for k, vs in want.items()), key=repr)
+        scored = points.withColumn("w", F.expr("CASE WHEN p % 5 > 0 THEN CAST(p / 4 AS DECIMAL(18,2)) END"))
+        got = R.range_join(scored, spans, "at", "lo", "hi", per=["v", "vk"], totals={"n": R.Count(), "w": R.Sum("w")}, cell_rows=cell_rows, **how)
+        want = {}
+        for p, v in pairs:
+            want.setdefault((v[0], v[1]), []).append(None if p[0] % 5 == 0 else p[0] / 4)
+        assert sorted(((r.v, r.vk, r.n, None if r.w is None else float(r.w)) for r in got.collect()), key=repr) == sorted(
+            ((*k, len(ws), sum(w for w in ws if w is not None) if any(w is not None for w in ws) else None) for k, ws in want.items()), key=repr)
+
+
+def test_totals_make_no_pairs(spark):
+    """300,000 intervals around as many points at one instant: 9e10 pairs."""
+    many = spark.range(300_000)
+    p, v = many.select((F.col("id") % 3).alias("p"), F.lit(5).alias("at")), many.select(F.col("id").alias("v"), F.lit(0).alias("lo"), F.lit(9).alias("hi"))
+    got = R.range_join(p, v, "at", "lo", "hi", per=["p"], totals=COUNTED)
+    assert rows(got) == [(k, 10**5 * 300_000, 0, 299_999, 10**5 * (299_999 * 150_000)) for k in range(3)]
+    got = R.range_join(p.withColumnRenamed("p", "w"), v.withColumn("v", F.col("v") % 2), "at", "lo", "hi", per=["v"], totals={"n": R.Count(), "w": R.Sum("w")})
+    assert rows(got) == [(k, 45 * 10**9, 150_000 * 300_000) for k in (0, 1)]
+
+
+def test_totals_are_exact_or_refused(spark):
+    p = spark.createDataFrame([(1, 5, 1.5)], "p int, at int, f double")
+    v = spark.createDataFrame([(2**62, 0, 9), (2**62, 6, 9), (-(2**62), 0, 6)], "v long, lo int, hi int")
+    assert rows(R.range_join(p, v, "at", "lo", "hi", per=["p"], totals=COUNTED)) == [(1, 2, -(2**62), 2**62, 0)]
+    assert R.range_join(p, v.limit(0), "at", "lo", "hi", per=["p"], totals=COUNTED).count() == 0
+    assert R.range_join(p.limit(0), v, "at", "lo", "hi", per=["p"], totals=COUNTED).count() == 0
+    for bad, per in (({"s": R.Sum("f")}, "v"), ({"s": R.Min("f")}, "v")):
+        with pytest.raises(TypeError):
+            R.range_join(p, v, "at", "lo", "hi", per=[per], totals=bad)
+    with pytest.raises(ValueError):
+        R.range_join(p, v, "at", "lo", "hi", per=["p", "v"], totals=COUNTED)
+    with pytest.raises(ValueError):
+        R.range_join(p, v, "at", "lo", "hi", [("p", "v")], per=["p"], totals=COUNTED)
