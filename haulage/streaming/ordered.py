@@ -1,8 +1,10 @@
 """Event-time order on a stream: per key, events are judged once the watermark has passed them.
 
 A ``transformWithState`` operator keeps, for each task, its waiting events and what came last before
-them. An event-time timer at the earliest waiting event wakes the task when the watermark has passed
-it: the events that are due are judged in order of (time, seq) and leave the state. An event that
+them. Tasks are dealt out to buckets by a hash, and a bucket is the operator's key: every access to the
+state is a call from Python to the JVM, which serves all of a bucket's tasks at once. An event-time
+timer at a bucket's earliest waiting event wakes it when the watermark has passed that: the events
+that are due are judged, task by task in order of (time, seq), and leave the state. An event that
 the watermark had passed when it came is late: it is given out at once, marked, and not judged.
 
 The operator's output is one file table, partitioned by ``late``, in which every event stands once.
@@ -10,8 +12,9 @@ What still waits is read from the operator's state (Spark's ``statestore`` sourc
 had as things stand without a second copy.
 
 State is bounded by the events within the delay and one short row per task; ``forget`` drops the
-rows of tasks that had no event for that long (they count as unknown again). A task's waiting
-events are handled together, so one task's events within one delay should fit a worker's memory.
+rows of tasks that had no event for that long (they count as unknown again). A bucket's waiting
+events are handled together, so they should fit a worker's memory: there are ``BUCKETS`` for each
+partition of the state.
 """
 
 from __future__ import annotations
@@ -25,10 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from haulage.sinks.archive import _fs
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 JUDGED = "task_id long, kind string, at long, seq long, outcome string"
-WAITING = "kind string, at long, seq long"
+WAITING = "task_id long, kind string, at long, seq long"
 LAST = "kind string, at long, known boolean"
+BUCKETS = 64            # of a partition of the state
 _APPEND = 10_000        # rows of one call to the state
 _BEFORE = -(2**63)      # seq of the events that stand for what is past
 
@@ -59,17 +65,17 @@ class OrderedJudge(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", WAITING)
-        self.last = handle.getValueState("last", LAST)
+        self.last = handle.getMapState("last", "task_id long", LAST)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed, fresh, first = timerValues.getCurrentWatermarkInMs(), [], None
         for r in rows:
             ms = r.at // 1000
             if ms <= passed:
-                yield self._row(key, r.kind, r.at, r.seq, None, True)
+                yield self._row(r.task_id, r.kind, r.at, r.seq, None, True)
                 continue
             first = ms if first is None else min(first, ms)
-            fresh.append((r.kind, r.at, r.seq))
+            fresh.append((r.task_id, r.kind, r.at, r.seq))
             if len(fresh) == _APPEND:
                 self.waiting.appendList(fresh)
                 fresh = []
@@ -81,26 +87,35 @@ class OrderedJudge(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed, judge = timerValues.getCurrentWatermarkInMs(), RULES[self.rule]
         held = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted((e for e in held if e[1] // 1000 <= passed), key=lambda e: (e[1], e[2]))
-        last, at, known = self.last.get() if self.last.exists() else (None, None, False)
-        for kind, at, seq in due:
-            yield self._row(key, kind, at, seq, judge(kind, last, known), False)
-            last, known = kind, known or kind != "cancel"
+        due = sorted((e for e in held if e[2] // 1000 <= passed), key=lambda e: (e[2], e[3]))
+        rest = [e for e in held if e[2] // 1000 > passed]
+        if not due and self.forget_ms is None:
+            return
+        last = {task[0]: tuple(value) for task, value in self.last.iterator()} if self.last.exists() else {}
+        touched = set()
+        for task, kind, at, seq in due:
+            before, _, known = last.get(task, (None, None, False))
+            yield self._row(task, kind, at, seq, judge(kind, before, known), False)
+            last[task] = (kind, at, known or kind != "cancel")
+            touched.add(task)
+        for task in touched:
+            self.last.updateValue((task,), last[task])
         if due:
-            self.last.update((last, at, known))
-            rest = [e for e in held if e[1] // 1000 > passed]
             if rest:
                 self.waiting.put(rest)
-                self.handle.registerTimer(min(e[1] for e in rest) // 1000)
+                self.handle.registerTimer(min(e[2] for e in rest) // 1000)
             else:
                 self.waiting.clear()
-            if self.forget_ms is not None:
-                self.handle.registerTimer(at // 1000 + self.forget_ms)
-        elif self.forget_ms is not None and at is not None and passed >= at // 1000 + self.forget_ms and not held:
-            self.last.clear()
+        if self.forget_ms is not None:
+            open_ = touched | {e[0] for e in rest}
+            for task in [t for t, (_, at, _) in last.items() if t not in open_ and passed >= at // 1000 + self.forget_ms]:
+                self.last.removeKey((task,))
+                del last[task]
+            for at in {at // 1000 + self.forget_ms for t, (_, at, _) in last.items() if t in touched}:
+                self.handle.registerTimer(at)
 
-    def _row(self, key, kind, at, seq, outcome, late) -> Row:
-        return Row(task_id=key[0], kind=kind, at=at, seq=seq, outcome=outcome, late=late)
+    def _row(self, task, kind, at, seq, outcome, late) -> Row:
+        return Row(task_id=task, kind=kind, at=at, seq=seq, outcome=outcome, late=late)
 
     def close(self) -> None:
         pass
@@ -133,11 +148,14 @@ def ordered_stream(events: DataFrame, rule: str, sink: str, checkpoint: str, del
     if forget:
         forget_ms = spark.range(1).select((F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp") + F.expr(f"INTERVAL {forget}"))
                                            - F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp"))) / 1000).first()[0]
-    spark.createDataFrame([(json.dumps({"checkpoint": checkpoint, "rule": rule}),)], "about string").write.mode("overwrite").text(f"{sink}-about")
     # the time goes on as a number: Spark would drop rows behind the watermark before the operator
     # sees them, here they are wanted
     rows = events.withWatermark("ts", delay).select("task_id", "kind", F.unix_micros("ts").alias("at"), "seq")
-    found = rows.groupBy("task_id").transformWithState(OrderedJudge(rule, None if forget_ms is None else int(forget_ms)),
+    buckets = BUCKETS * (partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # their number is fixed with the checkpoint, as that of the partitions is
+    about = _bucketed(spark, sink, checkpoint, rule, buckets)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(about["buckets"])))
+    found = rows.groupBy("bucket").transformWithState(OrderedJudge(rule, None if forget_ms is None else int(forget_ms)),
                                                        f"{JUDGED}, late boolean", "append", "EventTime")
     with stateful(spark, partitions):
         writer = found.writeStream.option("checkpointLocation", checkpoint).partitionBy("late").format("parquet")
@@ -153,9 +171,23 @@ def _about(spark: SparkSession, sink: str) -> dict:
     return json.loads(spark.read.text(f"{sink}-about").first()[0])
 
 
+def _bucketed(spark: SparkSession, sink: str, checkpoint: str, rule: str, buckets: int) -> dict:
+    """What is noted about an ordered stream; a stream that goes on keeps its number of buckets."""
+    fs, root = _fs(f"{sink}-about")
+    if fs.get_file_info(f"{root}/_SUCCESS").type.name == "File":
+        before = _about(spark, sink)
+        if before["checkpoint"] == checkpoint:
+            buckets = before.get("buckets", buckets)
+    about = {"checkpoint": checkpoint, "rule": rule, "buckets": buckets}
+    spark.createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").text(f"{sink}-about")
+    return about
+
+
 def _state(spark: SparkSession, checkpoint: str, name: str, value: str) -> DataFrame:
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
-    return state.select(F.col("key.task_id").alias("task_id"), F.col(f"{value}.*"))
+    if "user_map_key" in state.columns:
+        return state.select(F.col("user_map_key.task_id").alias("task_id"), F.col(f"user_map_{value}.*"))
+    return state.select(F.col(f"{value}.*"))
 
 
 def _by_batch(rule: str, events: DataFrame) -> DataFrame:
