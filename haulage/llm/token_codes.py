@@ -23,6 +23,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,9 +33,9 @@ from haulage.llm.common import cut, id_text, lean, prepare, shown_id, slices, wo
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 CHUNK_BITS = 8
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 RANK_BLOCK = 512
-MEMO_UNITS = 100_000
+MEMO_PIECES = 100_000
 _MAGIC = b"DAC1"
 
 
@@ -125,92 +126,136 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _PLAIN = re.compile(f"[\\x20-\\x7e\\n{_LATIN}]*")
-# the published pattern of this tokenizer, its letter and number classes written out for _PLAIN texts
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
+_MARK = "\x01"      # between units that are cut together; no unit of common characters holds it
+_PLAIN_UNITS = re.compile(f"[\\x20-\\x7e\\n{_MARK}{_LATIN}]*")
+# the published pattern of this tokenizer, its letter and number classes written out for _PLAIN texts; a mark ends a text
+_PIECE = re.compile(rf" ?[{_LATIN}]+|{_MARK}|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{_MARK}{_LATIN}0-9]+|\s+(?![^\s{_MARK}])|\s+")
 
 
-def _units(text: str) -> list[str]:
-    """The text cut before each lone space; the space itself is left out."""
-    if ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
-            or _RARE_SPACE.search(text)):
-        return _CUT.split(text)
-    return text.split(" ")
+def _irregular(text: str) -> bool:
+    """Whether a text has spaces that are not lone spaces between two non-space characters."""
+    return ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+            or _RARE_SPACE.search(text) is not None)
 
 
 class Encoder:
-    """The tokenizer with bounded memos of space-delimited units and of their pieces.
+    """The tokenizer with a bounded memo of the pre-tokenizer's pieces.
 
     The pre-tokenizer never joins text across a single space that stands between two non-space
-    characters, so a text is cut there. A unit not met lately is cut into the pre-tokenizer's
-    pieces (units with other than common characters stay whole); the tokenizer encodes each new
-    piece once, many in one text, parted by line ends, which are a piece and an id of their own.
-    Texts with a special-token marker are encoded whole. A memo that is full becomes the old one,
+    characters, so a text is cut there. A batch's units are told apart in Arrow; the distinct ones
+    are cut into the pre-tokenizer's pieces, all in one go, and these are told apart in turn. A
+    piece not met lately goes straight to the tokenizer's model, in the letters that its
+    pre-tokenizer gives for bytes. Units with other than common characters stay whole and go to the
+    tokenizer, as do texts with a special-token marker. A memo that is full becomes the old one,
     from which entries come back as they are met.
     """
 
-    def __init__(self, path: str, most: int = MEMO_UNITS):
+    def __init__(self, path: str, most: int = MEMO_PIECES):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.memos: dict[str, list[dict[str, bytes]]] = {name: [{}, {}] for name in ("first", "after", "pieces")}
-        parting = self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids
-        self.part = parting[1] if len(parting) == 5 and parting[1] == parting[3] else None
+        self.memos: dict[str, list[dict[str, bytes]]] = {name: [{}, {}] for name in ("pieces", "whole")}
+        self.model = self.letters = None
+        if self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
+            self.model, self.letters = self.tokenizer.model, _letters(pre_tokenizers)
+            if hasattr(self.model, "_resize_cache"):
+                self.model._resize_cache(0)     # the memos know what comes again
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces; those that are one run of non-space characters go many to a text."""
-        plain = [p for p in pieces if p.split() == [p.removeprefix(" ")]] if self.part is not None else []
-        out = dict(zip(rest, self._encode(rest))) if (rest := list(set(pieces) - set(plain))) else {}
-        for k in range(0, len(plain), 4000):
-            some = plain[k:k + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.part), len(ids))
-            if len(ends) != len(some):  # a piece holds that id itself
-                out.update(zip(some, self._encode(some)))
-                continue
-            data, begins = ids.tobytes(), np.concatenate(([0], ends[:-1] + 1))
-            out.update((p, data[4 * a:4 * b]) for p, a, b in zip(some, begins.tolist(), ends.tolist()))
-        return out
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of texts that are one piece each."""
+        if self.model is None:
+            return [b"" if p == _MARK else ids for p, ids in zip(pieces, self._encode(pieces))]
+        run, letters = self.model.tokenize, self.letters
+        return [b"" if p == _MARK else array("I", [t.id for t in run(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pieces]
 
-    def _memo(self, name: str, wanted: set[str]) -> tuple[dict[str, bytes], set[str]]:
-        """The memo, with what the old one knows of ``wanted`` brought over, and what is still unknown."""
+    def _known(self, name: str, wanted: list[str], make) -> list[bytes]:
+        """What the memo or the old one has for each distinct string wanted, and what ``make`` gives for the rest."""
         memo, old = self.memos[name]
         if len(memo) > self.most:
             self.memos[name] = [{}, memo]
             memo, old = self.memos[name]
-        unknown = wanted - memo.keys()
-        known = unknown & old.keys()
-        memo.update((u, old[u]) for u in known)
-        return memo, unknown - known
-
-    def _units(self, name: str, wanted: set[str], lead: str) -> dict[str, bytes]:
-        memo, unknown = self._memo(name, wanted)
-        cut = {u: _PIECE.findall(lead + u) if _PLAIN.fullmatch(u) else [lead + u] for u in unknown}
-        pieces, new = self._memo("pieces", set().union(*cut.values()))
-        pieces.update(self._encode_pieces([p for p in new if p]) | {"": b""})
-        look = pieces.__getitem__
-        memo.update((u, b"".join(map(look, own))) for u, own in cut.items())
-        return memo
+        found = list(map(memo.get, wanted))
+        unmet = [k for k, ids in enumerate(found) if ids is None]
+        fresh = [wanted[k] for k in unmet]
+        ids = list(map(old.get, fresh))
+        new = [u for u, v in zip(fresh, ids) if v is None]
+        made = iter(make(new) if new else ())
+        ids = [next(made) if v is None else v for v in ids]
+        memo.update(zip(fresh, ids))
+        for k, v in zip(unmet, ids):
+            found[k] = v
+        return found
+
+    def _encode_units(self, units: list[str]) -> pa.Array:
+        """Ids of distinct units that begin as a text does or with their space."""
+        text, odd = _MARK.join(units), []
+        if text.count(_MARK) != len(units) - 1 or not _PLAIN_UNITS.fullmatch(text):
+            odd = [k for k, u in enumerate(units) if not _PLAIN.fullmatch(u)]
+        plain = np.delete(np.arange(len(units)), odd)
+        if odd:
+            text = _MARK.join([units[k] for k in plain.tolist()])
+        pieces = pa.array(_PIECE.findall(text), pa.large_string()).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        ends, data = _parts(pa.array(self._known("pieces", distinct, self._encode_pieces), pa.large_binary()).take(pieces.indices))
+        if len(plain):
+            marks = np.flatnonzero(pieces.indices.to_numpy() == distinct.index(_MARK)) if len(plain) > 1 else []
+            ends = np.concatenate(([0], ends[marks], ends[-1:])).astype("<i8") if len(marks) else ends[[0, -1]]
+        found = pa.Array.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+        if not odd:
+            return found
+        whole = pa.array(self._known("whole", [units[k] for k in odd], self._encode), pa.large_binary())
+        return pa.concat_arrays([found, whole]).take(pa.array(np.argsort(np.concatenate((plain, odd)))))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers in the machine's order (little-endian here)."""
+        out: list[bytes | None] = [None] * len(texts)
         whole = [k for k, t in enumerate(texts) if "<|" in t]
-        units = [None if "<|" in t else _units(t) for t in texts]
-        first = self._units("first", {u[0] for u in units if u}, "")
-        wanted: set[str] = set()
-        for u in units:
-            if u:
-                wanted.update(u[1:])
-        look = self._units("after", wanted, " ").__getitem__
-        out = [None if u is None else first[u[0]] + b"".join(map(look, u[1:])) for u in units]
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else []):
             out[k] = ids
+        plain, odd = [], []
+        for k, t in enumerate(texts):
+            if "<|" not in t:
+                (odd if _irregular(t) else plain).append(k)
+        for some, units in ((plain, pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")),
+                            (odd, pa.array([_CUT.split(texts[k]) for k in odd], pa.large_list(pa.large_string())))):
+            for k, ids in zip(some, self._of_units(units) if some else []):
+                out[k] = ids
         return out
 
+    def _of_units(self, units: pa.Array) -> list[bytes]:
+        """Ids of texts given as lists of units, of which none is empty."""
+        sizes, values = pc.list_value_length(units).to_numpy(), units.flatten()
+        upto = np.cumsum(sizes)
+        firsts = values.take(pa.array(upto - sizes)).dictionary_encode()
+        later = np.ones(len(values), bool)
+        later[upto - sizes] = False
+        others = values.filter(pa.array(later)).dictionary_encode()
+        starts = firsts.dictionary.to_pylist()
+        ids = self._encode_units(starts + [" " + u for u in others.dictionary.to_pylist()])
+        at = np.empty(len(values), np.int64)
+        at[~later], at[later] = firsts.indices.to_numpy(), others.indices.to_numpy() + len(starts)
+        ends, data = _parts(ids.take(pa.array(at)))
+        bounds = [0, *ends[upto].tolist()]
+        return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def _parts(strings: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Where the strings of a large binary array begin and end, and all of them as one."""
+    _, offsets, data = strings.buffers()
+    return (np.frombuffer(offsets, "<i8", len(strings) + 1) if len(strings) else np.zeros(1, "<i8")), data.to_pybytes() if data is not None else b""
+
+
+def _letters(pre_tokenizers) -> dict[int, str]:
+    """The letter that a byte-level pre-tokenizer gives for each byte that UTF-8 uses."""
+    text = "".join(map(chr, [*range(0x800), *range(0x800, 0xD800, 0x800), *range(0xE000, 0x10000, 0x1000), *range(0x10000, 0x110000, 0x10000)]))
+    spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text)
+    return dict(zip(text.encode(), "".join(w for w, _ in spelt)))
+
 
 _ENCODERS: dict[str, Encoder] = worker_cache("token_codes")
 
@@ -248,7 +293,7 @@ def write_codes(docs: DataFrame, tokenizer_path: str | None = None, id_col: str
             row = (part, segment, start, held, doc_ids, counts, codes)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
-        for batch in slices(batches, 2 << 20):
+        for batch in slices(batches, 4 << 20):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, own in zip(batch.column(0).to_pylist(), encoder(texts)):
                 ids.append(own + end)

@@ -57,3 +57,10 @@ def test_codes_round_trip_and_random_access(values):
     codes = DirectCodes.from_bytes(DirectCodes.build(ids).to_bytes())
     assert codes.take(np.arange(len(ids))).tolist() == values
     assert [codes.get(k) for k in range(0, len(values), 7)] == values[::7]
+
+
+def test_pieces_of_plain_texts_need_no_run_of_the_whole_tokenizer():
+    """New units cost a call to the model for each piece, not a pass of the tokenizer over their text."""
+    encoder, text = Encoder(PATH), "Straße 1 don't\nstop, 22nd... of  May"
+    encoder.tokenizer = None
+    assert np.frombuffer(encoder([text])[0], "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
