@@ -9,10 +9,15 @@ are two jobs with watermarks on both sides:
   has passed its end. A subscriber's state is one time and the actions that still wait.
 * ``delivery_stream`` joins pieces and messages, stream with stream, on the piece's number and the
   exact times. A piece is no longer than ``PIECE``, which bounds how long Spark keeps either side.
+  Asked for totals (``per`` and ``totals``), it makes no pairs, whose number is as messages times
+  subscribers: both sides wait, spread over buckets of a slot of length ``PIECE``, until the watermark
+  of both has passed the slot, and a slot's messages and pieces then meet in ``range_join``, which
+  gives totals in work that grows with the rows.
 
 Actions behind their watermark are kept apart (:func:`late_actions`). Messages up to ``delay`` late
-are delivered; Spark counts later ones as dropped by the watermark. A heartbeat action moves the
-watermark where nothing else happens.
+are delivered; Spark counts later ones as dropped by the watermark. A heartbeat moves the watermark
+where nothing else happens: as an action, which also leaves a piece without length at the end of the
+last slot that is known, and as a message of that stage, which is not delivered.
 """
 
 from __future__ import annotations
@@ -25,9 +30,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from haulage.operators import halo
-from haulage.operators.ranges import range_join
+from haulage.operators.ranges import Max, Min, range_join
 from haulage.streaming.notify import SUBSCRIPTION_ACTIONS, _mapped
-from haulage.streaming.ordered import stateful
+from haulage.streaming.ordered import BUCKETS, stateful
 
 PIECE = 86_400_000_000          # microseconds
 HEARTBEAT = "heartbeat"
@@ -67,11 +72,13 @@ class SubscriptionPieces(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "action string, at long, seq long")
         self.open = handle.getValueState("open", "since long")
+        self.beat = handle.getValueState("beat", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        passed, fresh = timerValues.getCurrentWatermarkInMs(), []
+        passed, fresh, beat = timerValues.getCurrentWatermarkInMs(), [], False
         for r in rows:
             if r.action == HEARTBEAT:
+                beat = True
                 continue
             if r.at // 1000 <= passed:
                 yield Row(subscriber=key[0], piece=r.seq, since=r.at, until=r.at, late=True)
@@ -80,9 +87,18 @@ class SubscriptionPieces(StatefulProcessor):
         if fresh:
             self.waiting.appendList(fresh)
             self.handle.registerTimer(min(e[1] for e in fresh) // 1000)
+        if beat:
+            # as soon as the watermark moves
+            self.beat.update((passed,))
+            self.handle.registerTimer(passed + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
+        # no action up to here can come any more, so whole pieces up to here are known
+        upto = (passed + 1) * 1000 // self.piece * self.piece
+        if self.beat.exists():
+            yield Row(subscriber=key[0], piece=upto // self.piece - 1, since=upto, until=upto, late=False)
+            self.beat.clear()
         held = list(self.waiting.get()) if self.waiting.exists() else []
         since = self.open.get()[0] if self.open.exists() else None
         for action, at, _ in sorted((e for e in held if e[1] // 1000 <= passed), key=lambda e: (e[1], e[2])):
@@ -97,8 +113,6 @@ class SubscriptionPieces(StatefulProcessor):
         if since is None:
             self.open.clear()
             return
-        # no action up to here can come any more, so whole pieces up to here are known
-        upto = (passed + 1) * 1000 // self.piece * self.piece
         if upto > since:
             yield from self._pieces(key, since, upto)
             since = upto
@@ -140,20 +154,59 @@ def late_actions(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def delivery_stream(msgs: DataFrame, pieces: str, sink: str, checkpoint: str, delay: str, trigger: str = "availableNow",
-                    partitions: int | None = None) -> StreamingQuery:
+                    partitions: int | None = None, per: Sequence[str] | None = None, totals: Mapping[str, object] | None = None) -> StreamingQuery:
     """Deliveries of a stream of messages to the subscribers of :func:`piece_stream`'s table ``pieces``,
     joined stream with stream. Pieces of one batch of that job are read together, so their order
-    among each other does not matter."""
+    among each other does not matter. ``per`` and ``totals``: the deliveries of slots that have
+    passed, grouped as in :func:`fan_out_subscribed`; read with :func:`read_totals`."""
     spark = msgs.sparkSession
     left = msgs.withWatermark("ts", delay).withColumn("_at", F.unix_micros("ts")).withColumn("_piece", F.floor(F.col("_at") / F.lit(PIECE)))
     right = (spark.readStream.schema(f"{PIECES}, late boolean").parquet(pieces).where("NOT late")
-             .select("subscriber", F.col("piece").alias("_number"), "since", "until", F.timestamp_micros("until").alias("_ends"))
-             .withWatermark("_ends", delay))
-    # the last two say the same as the first three, in event times: they tell Spark when rows can go
-    cond = ((F.col("_piece") == F.col("_number")) & (F.col("_at") >= F.col("since")) & (F.col("_at") < F.col("until"))
-            & (F.col("ts") < F.col("_ends")) & (F.col("ts") >= F.col("_ends") - F.expr(f"INTERVAL {PIECE // 1_000_000} SECONDS")))
-    found = left.join(right, cond).select(*msgs.columns, "subscriber")
+             .select("subscriber", F.col("piece").alias("_number"), "since", "until", F.timestamp_micros("until").alias("_ends")))
+    if totals is None:
+        right = right.withWatermark("_ends", delay)
+        # the last two say the same as the first three, in event times: they tell Spark when rows can go
+        cond = ((F.col("_piece") == F.col("_number")) & (F.col("_at") >= F.col("since")) & (F.col("_at") < F.col("until"))
+                & (F.col("ts") < F.col("_ends")) & (F.col("ts") >= F.col("_ends") - F.expr(f"INTERVAL {PIECE // 1_000_000} SECONDS")))
+        found = left.join(right, cond).where(~F.col("stage").eqNullSafe(F.lit(HEARTBEAT))).select(*msgs.columns, "subscriber")
+    else:
+        found = _held(left, right, list(per or ()), delay, BUCKETS * (partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))))
     with stateful(spark, partitions):
-        writer = found.writeStream.option("checkpointLocation", checkpoint).outputMode("append").format("parquet")
+        writer = found.writeStream.option("checkpointLocation", checkpoint).outputMode("append")
         writer = writer.trigger(availableNow=True) if trigger == "availableNow" else writer.trigger(processingTime=trigger)
-        return writer.start(sink)
+        if totals is not None:
+            return writer.foreachBatch(lambda batch, batch_id: _write_totals(batch, batch_id, sink, list(per or ()), dict(totals))).start()
+        return writer.format("parquet").start(sink)
+
+
+def _held(left: DataFrame, right: DataFrame, per: list[str], delay: str, buckets: int) -> DataFrame:
+    """Messages and pieces of each slot, in lists that come once the watermark of both has passed the
+    slot. The lists of a slot come together, however many buckets they are spread over."""
+    kinds = {c: left.schema[c].dataType for c in per}
+    none = F.lit(None).cast("long")
+    # a heartbeat has neither a time nor an end here
+    at = F.when(~F.col("stage").eqNullSafe(F.lit(HEARTBEAT)), F.col("_at"))
+    asks = left.select(F.col("ts").alias("_t"), F.struct(*per, at.alias("_at"), none.alias("subscriber"), none.alias("since"), none.alias("until")).alias("_row"))
+    # a piece's last microsecond lies in its slot
+    gives = right.withColumn("_t", F.timestamp_micros(F.col("until") - 1)).withWatermark("_t", delay).select(
+        "_t", F.struct(*[F.lit(None).cast(kinds[c]).alias(c) for c in per], none.alias("_at"), "subscriber", "since", "until").alias("_row"))
+    rows = asks.unionByName(gives).withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
+    return rows.groupBy(F.window("_t", f"{PIECE // 1_000_000} seconds"), "_bucket").agg(F.collect_list("_row").alias("_rows"))
+
+
+def _write_totals(batch: DataFrame, batch_id: int, sink: str, per: list[str], totals: dict[str, object]) -> None:
+    from haulage.streaming.jobs import write_batch_partition
+    # once only: the batch comes out of the state
+    rows = batch.select(F.explode("_rows").alias("_row")).select("_row.*").checkpoint(eager=True)
+    msgs, intervals = rows.where("_at IS NOT NULL").select(*per, "_at"), rows.where("until IS NOT NULL").select("subscriber", "since", "until")
+    if msgs.isEmpty():
+        found = msgs.select(*per, *[F.lit(None).cast("long").alias(name) for name in totals])
+    else:
+        found = range_join(msgs, intervals, "_at", "since", "until", per=per, totals=totals)
+    write_batch_partition(found, batch_id, sink)
+
+
+def read_totals(spark: SparkSession, sink: str, per: Sequence[str], totals: Mapping[str, object]) -> DataFrame:
+    """What :func:`delivery_stream` with ``per`` and ``totals`` has written; a group may have rows in several slots."""
+    add = {name: F.min if isinstance(t, Min) else F.max if isinstance(t, Max) else F.sum for name, t in totals.items()}
+    return spark.read.parquet(sink).groupBy(*per).agg(*[f(name).alias(name) for name, f in add.items()])

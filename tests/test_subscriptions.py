@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from haulage.operators import ranges as R
 from haulage.streaming import jobs as J
 from haulage.streaming import notify as G
 from haulage.streaming import subscriptions as U
@@ -82,3 +83,44 @@ def test_streams_equal_batch_across_batches_and_restarts(spark, scratch):
     put([(901, at(20), 3, "view")], acts)
     pieces()
     assert [(r.subscriber, r.seq) for r in U.late_actions(spark, f"{scratch}/pieces").collect()] == [(3, 901)]
+
+
+PER = ["task_id", "seq", "stage"]
+TOTALS = {"n": R.Count(), "least": R.Min("subscriber"), "most": R.Max("subscriber"), "total": R.Sum("subscriber")}
+
+
+def by_message(events):
+    subs = {}
+    for seq, sub in expected(events):
+        subs.setdefault(seq, []).append(sub)
+    return {seq: (len(s), min(s), max(s), sum(s)) for seq, s in subs.items()}
+
+
+def test_stream_of_totals_equals_loop_and_makes_no_pairs(spark, scratch):
+    """Also where nobody is subscribed at the end, so that no piece ends the last slot."""
+    events = sorted(drawn(3, 160, 110), key=lambda e: e[1])
+    events += [(600 + k, at(111), k, "error") for k in range(6)] + [(700, at(112), 1, "click"), (701, at(111), 2, "click")]
+    acts, schema = f"{scratch}/events", spark.createDataFrame([], SCHEMA).schema
+    put = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(acts)
+
+    def run():
+        U.piece_stream(J.event_stream(spark, acts, schema), f"{scratch}/pieces", f"{scratch}/ck-pieces", "2 hours").awaitTermination()
+        msgs = G.messages(J.event_stream(spark, acts, schema), {**G.DOWNLOAD_STAGES, U.HEARTBEAT: U.HEARTBEAT})
+        query = U.delivery_stream(msgs, f"{scratch}/pieces", f"{scratch}/sink", f"{scratch}/ck-sink", "2 hours", partitions=2, per=PER, totals=TOTALS)
+        query.awaitTermination()
+        return {r.seq: tuple(r)[3:] for r in U.read_totals(spark, f"{scratch}/sink", PER, TOTALS).collect()}
+
+    put([e for e in events if e[1] < at(50)])
+    first = run()
+    put([e for e in events if e[1] >= at(50)] + [(900, at(200), None, U.HEARTBEAT)])
+    wanted = by_message(events)
+    assert first and first.items() < wanted.items()
+    assert run() == wanted
+
+
+def test_arrivals_of_several_files_have_no_late_events(spark, small, monkeypatch):
+    from haulage.plans import catalog
+    monkeypatch.setattr(catalog, "ARRIVAL_FILE_ROWS", 150)
+    columns = ["task_id", "seq", "stage", "n_subscribers", "first_subscriber", "last_subscriber", "subscriber_sum"]
+    rows = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, small).select(*columns).collect()))
+    assert rows("g11_stream_fan_out_subscribed") == rows("g10_fan_out_subscribed")
