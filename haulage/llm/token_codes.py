@@ -47,10 +47,10 @@ class DirectCodes:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> DirectCodes:
-        levels, rest = [], ids.astype(np.uint64)
+        levels, rest = [], ids.astype(np.uint32 if ids.dtype.itemsize <= 4 else np.uint64)
         while True:
-            chunk = (rest & np.uint64(2**CHUNK_BITS - 1)).astype(np.uint8)
-            rest = rest >> np.uint64(CHUNK_BITS)
+            chunk = (rest & rest.dtype.type(2**CHUNK_BITS - 1)).astype(np.uint8)
+            rest = rest >> rest.dtype.type(CHUNK_BITS)
             more = rest > 0
             bits = np.packbits(more, bitorder="little")
             blocks = -(-len(more) // RANK_BLOCK)
@@ -106,6 +106,14 @@ class DirectCodes:
             at, shift = rank, shift + CHUNK_BITS
         return out
 
+    def all(self) -> np.ndarray:
+        """All ids in order, a level at a time."""
+        out, at = np.zeros(self.n, np.uint64), np.arange(self.n)
+        for k, (chunk, words, _) in enumerate(self.levels):
+            out[at] |= chunk.astype(np.uint64) << np.uint64(CHUNK_BITS * k)
+            at = at[np.unpackbits(words.view(np.uint8), count=len(chunk), bitorder="little").view(bool)]
+        return out
+
     def get(self, place: int) -> int:
         """One id, touching one directory entry and at most 8 words per level."""
         value, at = 0, place
@@ -170,8 +178,10 @@ class Encoder:
         """Ids of texts that are one piece each."""
         if self.model is None:
             return [b"" if p == _MARK else ids for p, ids in zip(pieces, self._encode(pieces))]
-        run, letters = self.model.tokenize, self.letters
-        return [b"" if p == _MARK else array("I", [t.id for t in run(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pieces]
+        # a mark's own letter stands for nothing else, so all are spelt in one go; a mark is no piece
+        text = _MARK.join(["" if p == _MARK else p for p in pieces] if _MARK in pieces else pieces)
+        run, words = self.model.tokenize, text.encode().decode("latin-1").translate(self.letters).split(self.letters[ord(_MARK)])
+        return [array("I", [t.id for t in run(w)]).tobytes() for w in words] if pieces else []
 
     def _known(self, name: str, wanted: list[str], make) -> list[bytes]:
         """What the memo or the old one has for each distinct string wanted, and what ``make`` gives for the rest."""
@@ -191,25 +201,26 @@ class Encoder:
             found[k] = v
         return found
 
-    def _encode_units(self, units: list[str]) -> pa.Array:
-        """Ids of distinct units that begin as a text does or with their space."""
-        text, odd = _MARK.join(units), []
-        if text.count(_MARK) != len(units) - 1 or not _PLAIN_UNITS.fullmatch(text):
-            odd = [k for k, u in enumerate(units) if not _PLAIN.fullmatch(u)]
-        plain = np.delete(np.arange(len(units)), odd)
-        if odd:
-            text = _MARK.join([units[k] for k in plain.tolist()])
-        pieces = pa.array(_PIECE.findall(text), pa.large_string()).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        ends, data = _parts(pa.array(self._known("pieces", distinct, self._encode_pieces), pa.large_binary()).take(pieces.indices))
-        if len(plain):
-            marks = np.flatnonzero(pieces.indices.to_numpy() == distinct.index(_MARK)) if len(plain) > 1 else []
-            ends = np.concatenate(([0], ends[marks], ends[-1:])).astype("<i8") if len(marks) else ends[[0, -1]]
-        found = pa.Array.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-        if not odd:
-            return found
-        whole = pa.array(self._known("whole", [units[k] for k in odd], self._encode), pa.large_binary())
-        return pa.concat_arrays([found, whole]).take(pa.array(np.argsort(np.concatenate((plain, odd)))))
+    def _encode_units(self, units: list[str], single: np.ndarray) -> pa.Array:
+        """Ids of distinct units that begin as a text does or with their space; those marked ``single``
+        are known to be one piece."""
+        alone, rest = np.flatnonzero(single), np.flatnonzero(~single)
+        groups = [(alone, pa.array(self._known("pieces", [units[k] for k in alone.tolist()], self._encode_pieces), pa.large_binary()))]
+        names = [units[k] for k in rest.tolist()]
+        text = _MARK.join(names)
+        if text.count(_MARK) != max(0, len(names) - 1) or not _PLAIN_UNITS.fullmatch(text):
+            plain = np.fromiter((_PLAIN.fullmatch(u) is not None for u in names), bool, len(names))
+            odd, rest = rest[~plain], rest[plain]
+            groups.append((odd, pa.array(self._known("whole", [units[k] for k in odd.tolist()], self._encode), pa.large_binary())))
+            text = _MARK.join([units[k] for k in rest.tolist()])
+        if len(rest):
+            pieces = pa.array(_PIECE.findall(text), pa.large_string()).dictionary_encode()
+            distinct = pieces.dictionary.to_pylist()
+            ends, data = _parts(pa.array(self._known("pieces", distinct, self._encode_pieces), pa.large_binary()).take(pieces.indices))
+            marks = np.flatnonzero(pieces.indices.to_numpy() == distinct.index(_MARK)) if len(rest) > 1 else np.empty(0, np.int64)
+            ends = np.concatenate(([0], ends[marks], ends[-1:])).astype("<i8")
+            groups.append((rest, pa.Array.from_buffers(pa.large_binary(), len(rest), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])))
+        return pa.concat_arrays([ids for _, ids in groups]).take(pa.array(np.argsort(np.concatenate([at for at, _ in groups]))))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers in the machine's order (little-endian here)."""
@@ -236,7 +247,9 @@ class Encoder:
         later[upto - sizes] = False
         others = values.filter(pa.array(later)).dictionary_encode()
         starts = firsts.dictionary.to_pylist()
-        ids = self._encode_units(starts + [" " + u for u in others.dictionary.to_pylist()])
+        # a space and letters are one piece
+        single = np.concatenate((np.zeros(len(starts), bool), pc.ascii_is_alpha(others.dictionary).to_numpy(zero_copy_only=False)))
+        ids = self._encode_units(starts + [" " + u for u in others.dictionary.to_pylist()], single)
         at = np.empty(len(values), np.int64)
         at[~later], at[later] = firsts.indices.to_numpy(), others.indices.to_numpy() + len(starts)
         ends, data = _parts(ids.take(pa.array(at)))
@@ -331,7 +344,7 @@ def read_codes(segments: DataFrame, with_ids: bool = True) -> DataFrame:
                 codes = DirectCodes.from_bytes(row["codes"])
                 counts = np.array(row["n_tokens"], np.int64)
                 ends = np.cumsum(counts)
-                ids = codes.take(np.arange(codes.n)).astype("<u4")
+                ids = codes.all().astype("<u4")
                 own = [ids[e - n:e].tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
                 out = (row["doc_ids"], (row["start"] + ends - counts).tolist(), row["n_tokens"],
                        [zlib.crc32(b) for b in own], own if with_ids else [None] * len(own))

@@ -64,3 +64,10 @@ def test_pieces_of_plain_texts_need_no_run_of_the_whole_tokenizer():
     encoder, text = Encoder(PATH), "Straße 1 don't\nstop, 22nd... of  May"
     encoder.tokenizer = None
     assert np.frombuffer(encoder([text])[0], "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**40) | st.integers(0, 300), max_size=1500))
+def test_all_ids_in_order_equal_random_access(values):
+    for ids in (np.array(values, np.uint64), np.array(values, np.uint64).astype("<u4")):
+        assert DirectCodes.from_bytes(DirectCodes.build(ids).to_bytes()).all().tolist() == ids.tolist()
