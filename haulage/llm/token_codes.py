@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haulage.llm.common import cut, id_text, lean, prepare, shown_id, slices, worker_cache
+from haulage.llm.common import cut, gathered, give_back, id_text, lean, prepare, shown_id, worker_cache
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -36,6 +36,7 @@ CHUNK_BITS = 8
 SEGMENT_IDS = 1 << 18
 RANK_BLOCK = 512
 MEMO_PIECES = 100_000
+TEXT_BYTES = 4 << 20
 _MAGIC = b"DAC1"
 
 
@@ -232,25 +233,27 @@ class Encoder:
         for k, t in enumerate(texts):
             if "<|" not in t:
                 (odd if _irregular(t) else plain).append(k)
-        for some, units in ((plain, pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")),
-                            (odd, pa.array([_CUT.split(texts[k]) for k in odd], pa.large_list(pa.large_string())))):
-            for k, ids in zip(some, self._of_units(units) if some else []):
+        for some, split in ((plain, lambda own: pc.split_pattern(pa.array(own, pa.large_string()), " ")),
+                            (odd, lambda own: pa.array([_CUT.split(t) for t in own], pa.large_list(pa.large_string())))):
+            for k, ids in zip(some, self._of_units(split([texts[k] for k in some])) if some else []):
                 out[k] = ids
         return out
 
     def _of_units(self, units: pa.Array) -> list[bytes]:
         """Ids of texts given as lists of units, of which none is empty."""
         sizes, values = pc.list_value_length(units).to_numpy(), units.flatten()
-        upto = np.cumsum(sizes)
+        upto, n = np.cumsum(sizes), len(values)
         firsts = values.take(pa.array(upto - sizes)).dictionary_encode()
-        later = np.ones(len(values), bool)
+        later = np.ones(n, bool)
         later[upto - sizes] = False
         others = values.filter(pa.array(later)).dictionary_encode()
+        del units, values       # from here on the distinct ones and their places will do
         starts = firsts.dictionary.to_pylist()
         # a space and letters are one piece
         single = np.concatenate((np.zeros(len(starts), bool), pc.ascii_is_alpha(others.dictionary).to_numpy(zero_copy_only=False)))
-        ids = self._encode_units(starts + [" " + u for u in others.dictionary.to_pylist()], single)
-        at = np.empty(len(values), np.int64)
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), others.dictionary, pa.scalar(" ", pa.large_string()))
+        ids = self._encode_units(starts + spaced.to_pylist(), single)
+        at = np.empty(n, np.int32)
         at[~later], at[later] = firsts.indices.to_numpy(), others.indices.to_numpy() + len(starts)
         ends, data = _parts(ids.take(pa.array(at)))
         bounds = [0, *ends[upto].tolist()]
@@ -277,6 +280,7 @@ def encoder_for(path: str) -> Encoder:
     """One encoder per tokenizer file and worker process; its memos serve all tasks of the worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        give_back()     # reading the file takes several times what the tokenizer keeps
     return _ENCODERS[path]
 
 
@@ -306,9 +310,9 @@ def write_codes(docs: DataFrame, tokenizer_path: str | None = None, id_col: str
             row = (part, segment, start, held, doc_ids, counts, codes)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
-        for batch in slices(batches, 4 << 20):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, own in zip(batch.column(0).to_pylist(), encoder(texts)):
+        # the encoder meets a unit once in all texts at hand: more of them than the JVM sends at once
+        for some, texts in gathered(batches, TEXT_BYTES):
+            for doc_id, own in zip(some, encoder([t or "" for t in texts])):
                 ids.append(own + end)
                 doc_ids.append(doc_id)
                 counts.append(len(own) // 4 + 1)
