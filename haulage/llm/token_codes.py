@@ -20,6 +20,8 @@ import re
 import struct
 import zlib
 from array import array
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,12 @@ END_ID = 0
 CHUNK_BITS = 8
 SEGMENT_IDS = 1 << 18
 RANK_BLOCK = 512
-MEMO_PIECES = 100_000
+MEMO_PIECES = 250_000
+MEMO_BYTES = 64
+SPELT_WORDS = 4096
 TEXT_BYTES = 4 << 20
 _MAGIC = b"DAC1"
+_ID = attrgetter("id")
 
 
 class DirectCodes:
@@ -147,24 +152,48 @@ def _irregular(text: str) -> bool:
             or _RARE_SPACE.search(text) is not None)
 
 
+class Memo:
+    """Ids of strings met lately: Arrow arrays of the latest ``most`` short ones, and ``make`` for the rest."""
+
+    def __init__(self, most: int, make):
+        self.most, self.make = most, make
+        self.names, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def __call__(self, wanted: pa.Array) -> pa.Array:
+        """Ids of strings; one that comes twice is made twice where it is not held."""
+        at = pc.index_in(wanted, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+        met, new = at[at >= 0], np.flatnonzero(at < 0)
+        ids = self.ids
+        if len(new):
+            at[new] = len(ids) + np.arange(len(new))
+            ids = pa.concat_arrays([ids, self.make(wanted.take(pa.array(new)))])
+        found = ids.take(pa.array(at))
+        short = np.flatnonzero(pc.binary_length(wanted).to_numpy() <= MEMO_BYTES)[:self.most]
+        stay = np.ones(len(self.names), bool)
+        stay[met] = False
+        short, stay = pa.array(short), pa.array(np.flatnonzero(stay)[:self.most - len(short)])
+        self.names = pa.concat_arrays([wanted.take(short), self.names.take(stay)])
+        self.ids = pa.concat_arrays([found.take(short), self.ids.take(stay)])
+        return found
+
+
 class Encoder:
-    """The tokenizer with a bounded memo of the pre-tokenizer's pieces.
+    """The tokenizer with bounded memos of units and of the pre-tokenizer's pieces.
 
     The pre-tokenizer never joins text across a single space that stands between two non-space
-    characters, so a text is cut there. A batch's units are told apart in Arrow; the distinct ones
-    are cut into the pre-tokenizer's pieces, all in one go, and these are told apart in turn. A
-    piece not met lately goes straight to the tokenizer's model, in the letters that its
+    characters, so a text is cut there. A batch's units are told apart in Arrow; those not met
+    lately are cut into the pre-tokenizer's pieces, all in one go, and these are told apart in
+    turn. A piece not met lately goes straight to the tokenizer's model, in the letters that its
     pre-tokenizer gives for bytes. Units with other than common characters stay whole and go to the
-    tokenizer, as do texts with a special-token marker. A memo that is full becomes the old one,
-    from which entries come back as they are met.
+    tokenizer, as do texts with a special-token marker.
     """
 
     def __init__(self, path: str, most: int = MEMO_PIECES):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.memos: dict[str, list[dict[str, bytes]]] = {name: [{}, {}] for name in ("pieces", "whole")}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.units, self.pieces = Memo(most, self._encode_units), Memo(most, self._encode_pieces)
         self.model = self.letters = None
         if self.tokenizer.normalizer is None and isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
             self.model, self.letters = self.tokenizer.model, _letters(pre_tokenizers)
@@ -175,53 +204,38 @@ class Encoder:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _encode_pieces(self, pieces: pa.Array) -> pa.Array:
         """Ids of texts that are one piece each."""
+        pieces = pc.if_else(pc.equal(pieces, _MARK), pa.scalar("", pa.large_string()), pieces)    # a mark is no piece
         if self.model is None:
-            return [b"" if p == _MARK else ids for p, ids in zip(pieces, self._encode(pieces))]
-        # a mark's own letter stands for nothing else, so all are spelt in one go; a mark is no piece
-        text = _MARK.join(["" if p == _MARK else p for p in pieces] if _MARK in pieces else pieces)
-        run, words = self.model.tokenize, text.encode().decode("latin-1").translate(self.letters).split(self.letters[ord(_MARK)])
-        return [array("I", [t.id for t in run(w)]).tobytes() for w in words] if pieces else []
-
-    def _known(self, name: str, wanted: list[str], make) -> list[bytes]:
-        """What the memo or the old one has for each distinct string wanted, and what ``make`` gives for the rest."""
-        memo, old = self.memos[name]
-        if len(memo) > self.most:
-            self.memos[name] = [{}, memo]
-            memo, old = self.memos[name]
-        found = list(map(memo.get, wanted))
-        unmet = [k for k, ids in enumerate(found) if ids is None]
-        fresh = [wanted[k] for k in unmet]
-        ids = list(map(old.get, fresh))
-        new = [u for u, v in zip(fresh, ids) if v is None]
-        made = iter(make(new) if new else ())
-        ids = [next(made) if v is None else v for v in ids]
-        memo.update(zip(fresh, ids))
-        for k, v in zip(unmet, ids):
-            found[k] = v
-        return found
-
-    def _encode_units(self, units: list[str], single: np.ndarray) -> pa.Array:
-        """Ids of distinct units that begin as a text does or with their space; those marked ``single``
-        are known to be one piece."""
-        alone, rest = np.flatnonzero(single), np.flatnonzero(~single)
-        groups = [(alone, pa.array(self._known("pieces", [units[k] for k in alone.tolist()], self._encode_pieces), pa.large_binary()))]
-        names = [units[k] for k in rest.tolist()]
-        text = _MARK.join(names)
-        if text.count(_MARK) != max(0, len(names) - 1) or not _PLAIN_UNITS.fullmatch(text):
+            return pa.array(self._encode(pieces.to_pylist()), pa.large_binary())
+        # a mark's own letter stands for nothing else, so all are spelt in one go
+        words = _joined(pieces).encode().decode("latin-1").translate(self.letters).split(self.letters[ord(_MARK)])
+        sizes, ids = [], []
+        for k in range(0, len(words), SPELT_WORDS):
+            done = list(map(self.model.tokenize, words[k:k + SPELT_WORDS]))
+            sizes += map(len, done)
+            ids.append(array("I", map(_ID, chain.from_iterable(done))).tobytes())
+        return _binaries(4 * np.cumsum(sizes), b"".join(ids))
+
+    def _encode_units(self, units: pa.Array) -> pa.Array:
+        """Ids of units that begin as a text does or with their space."""
+        at, text = [np.arange(len(units))], _joined(units)
+        groups = []
+        if text.count(_MARK) != len(units) - 1 or not _PLAIN_UNITS.fullmatch(text):
+            names = units.to_pylist()
             plain = np.fromiter((_PLAIN.fullmatch(u) is not None for u in names), bool, len(names))
-            odd, rest = rest[~plain], rest[plain]
-            groups.append((odd, pa.array(self._known("whole", [units[k] for k in odd.tolist()], self._encode), pa.large_binary())))
-            text = _MARK.join([units[k] for k in rest.tolist()])
-        if len(rest):
+            at = [np.flatnonzero(~plain), np.flatnonzero(plain)]
+            groups.append(pa.array(self._encode([names[k] for k in at[0].tolist()]), pa.large_binary()))
+            text = _MARK.join([names[k] for k in at[1].tolist()])
+        if len(at[-1]):
             pieces = pa.array(_PIECE.findall(text), pa.large_string()).dictionary_encode()
-            distinct = pieces.dictionary.to_pylist()
-            ends, data = _parts(pa.array(self._known("pieces", distinct, self._encode_pieces), pa.large_binary()).take(pieces.indices))
-            marks = np.flatnonzero(pieces.indices.to_numpy() == distinct.index(_MARK)) if len(rest) > 1 else np.empty(0, np.int64)
-            ends = np.concatenate(([0], ends[marks], ends[-1:])).astype("<i8")
-            groups.append((rest, pa.Array.from_buffers(pa.large_binary(), len(rest), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])))
-        return pa.concat_arrays([ids for _, ids in groups]).take(pa.array(np.argsort(np.concatenate([at for at, _ in groups]))))
+            distinct = pieces.dictionary
+            ends, data = _parts(self.pieces(distinct).take(pieces.indices))
+            marks = np.flatnonzero(pieces.indices.to_numpy() == pc.index(distinct, _MARK).as_py())
+            groups.append(_binaries(np.concatenate((ends[marks], ends[-1:])), data))
+        done = pa.concat_arrays(groups)
+        return done if len(at) == 1 else done.take(pa.array(np.argsort(np.concatenate(at))))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers in the machine's order (little-endian here)."""
@@ -248,18 +262,25 @@ class Encoder:
         later[upto - sizes] = False
         others = values.filter(pa.array(later)).dictionary_encode()
         del units, values       # from here on the distinct ones and their places will do
-        starts = firsts.dictionary.to_pylist()
-        # a space and letters are one piece
-        single = np.concatenate((np.zeros(len(starts), bool), pc.ascii_is_alpha(others.dictionary).to_numpy(zero_copy_only=False)))
-        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), others.dictionary, pa.scalar(" ", pa.large_string()))
-        ids = self._encode_units(starts + spaced.to_pylist(), single)
         at = np.empty(n, np.int32)
-        at[~later], at[later] = firsts.indices.to_numpy(), others.indices.to_numpy() + len(starts)
-        ends, data = _parts(ids.take(pa.array(at)))
+        at[~later], at[later] = firsts.indices.to_numpy(), others.indices.to_numpy() + len(firsts.dictionary)
+        spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), others.dictionary, pa.scalar(" ", pa.large_string()))
+        ends, data = _parts(self.units(pa.concat_arrays([firsts.dictionary, spaced])).take(pa.array(at)))
         bounds = [0, *ends[upto].tolist()]
         return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
+def _joined(strings: pa.Array) -> str:
+    """All strings as one, a mark between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings), pa.scalar(_MARK, pa.large_string()))[0].as_py()
+
+
+def _binaries(ends: np.ndarray, data: bytes) -> pa.Array:
+    """The large binary array whose strings end there."""
+    offsets = np.concatenate(([0], ends)).astype("<i8")
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def _parts(strings: pa.Array) -> tuple[np.ndarray, bytes]:
     """Where the strings of a large binary array begin and end, and all of them as one."""
     _, offsets, data = strings.buffers()

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 from awkward import doc_rows, documents, empty_documents, ident
+from haulage.llm import token_codes
 from haulage.llm.token_codes import DirectCodes, Encoder, read_codes, write_codes
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,3 +72,28 @@ def test_pieces_of_plain_texts_need_no_run_of_the_whole_tokenizer():
 def test_all_ids_in_order_equal_random_access(values):
     for ids in (np.array(values, np.uint64), np.array(values, np.uint64).astype("<u4")):
         assert DirectCodes.from_bytes(DirectCodes.build(ids).to_bytes()).all().tolist() == ids.tolist()
+
+
+def test_units_met_lately_are_not_cut_again(monkeypatch):
+    """A unit that the encoder holds costs neither a cut into pieces nor a call to the tokenizer or its model."""
+    encoder, texts = Encoder(PATH), ["Straße 1 don't\nstop, 22nd... of  May", "stop, 漢 don't 1", ""]
+    want = plain(texts + texts[::-1])
+    first = encoder(texts)
+    encoder.model = encoder.tokenizer = None
+    monkeypatch.setattr(token_codes, "_PIECE", None)
+    assert [np.frombuffer(b, "<u4").tolist() for b in first + encoder(texts[::-1])] == want
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "don't", " 's", "  b", "c\n", "漢", "...", "x" * 70, "y" * 65 + "!", "\x01", "1²"]),
+                         max_size=12).map(" ".join), max_size=8))
+def test_full_memos_give_the_tokenizers_ids_and_stay_bounded(texts):
+    for k in (1, 3):
+        got = [np.frombuffer(b, "<u4").tolist() for part in range(0, len(texts), k) for b in SMALL(texts[part:part + k])]
+        assert got == plain(texts)
+        for memo in (SMALL.units, SMALL.pieces):
+            assert len(memo.names) == len(memo.ids) <= 5
+            assert all(len(n.encode()) <= token_codes.MEMO_BYTES for n in memo.names.to_pylist())
+
+
+SMALL = Encoder(PATH, most=5)
