@@ -153,7 +153,11 @@ def _irregular(text: str) -> bool:
 
 
 class Memo:
-    """Ids of strings met lately: Arrow arrays of the latest ``most`` short ones, and ``make`` for the rest."""
+    """Ids of strings met lately: Arrow arrays of at most ``most`` short ones, and ``make`` for the rest.
+
+    Strings met again come before those met once, so that the many that never come again push out
+    only their like.
+    """
 
     def __init__(self, most: int, make):
         self.most, self.make = most, make
@@ -161,19 +165,19 @@ class Memo:
 
     def __call__(self, wanted: pa.Array) -> pa.Array:
         """Ids of strings; one that comes twice is made twice where it is not held."""
-        at = pc.index_in(wanted, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
+        at, n = pc.index_in(wanted, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64), len(self.names)
         met, new = at[at >= 0], np.flatnonzero(at < 0)
-        ids = self.ids
-        if len(new):
-            at[new] = len(ids) + np.arange(len(new))
-            ids = pa.concat_arrays([ids, self.make(wanted.take(pa.array(new)))])
+        if not len(new):
+            return self.ids.take(pa.array(at))
+        at[new] = n + np.arange(len(new))
+        fresh = wanted.take(pa.array(new))
+        names, ids = pa.concat_arrays([self.names, fresh]), pa.concat_arrays([self.ids, self.make(fresh)])
         found = ids.take(pa.array(at))
-        short = np.flatnonzero(pc.binary_length(wanted).to_numpy() <= MEMO_BYTES)[:self.most]
-        stay = np.ones(len(self.names), bool)
-        stay[met] = False
-        short, stay = pa.array(short), pa.array(np.flatnonzero(stay)[:self.most - len(short)])
-        self.names = pa.concat_arrays([wanted.take(short), self.names.take(stay)])
-        self.ids = pa.concat_arrays([found.take(short), self.ids.take(stay)])
+        others = np.ones(n, bool)
+        others[met] = False
+        others, short = np.flatnonzero(others), n + np.flatnonzero(pc.binary_length(fresh).to_numpy() <= MEMO_BYTES)
+        stay = np.concatenate((met, others[:max(0, self.most - len(met) - len(short))], short))[:self.most]
+        self.names, self.ids = names.take(pa.array(stay)), ids.take(pa.array(stay))
         return found
 
 
