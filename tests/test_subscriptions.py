@@ -124,3 +124,22 @@ def test_arrivals_of_several_files_have_no_late_events(spark, small, monkeypatch
     columns = ["task_id", "seq", "stage", "n_subscribers", "first_subscriber", "last_subscriber", "subscriber_sum"]
     rows = lambda name: sorted(map(tuple, catalog.QUERIES[name](spark, small).select(*columns).collect()))
     assert rows("g11_stream_fan_out_subscribed") == rows("g10_fan_out_subscribed")
+
+
+def test_query_makes_every_delivery(spark, scratch, monkeypatch):
+    """The query counts deliveries that the fan-out has made, a row each; sums that would overflow on the way are exact."""
+    from haulage.plans import catalog
+    far = [(601, at(3), 2**62, "view"), (602, at(3), -(2**62), "view"), (603, at(4), 2**62 + 1, "view")]
+    events = drawn(4, 150, 100) + far + [(604, at(101), 1, "click")]
+    spark.createDataFrame(events, SCHEMA).write.parquet(f"{scratch}/events.parquet")
+    made = []
+
+    def kept(*args, fan_out=U.fan_out_subscribed, **how):
+        made.append(fan_out(*args, **how))
+        return made[-1]
+
+    monkeypatch.setattr(U, "fan_out_subscribed", kept)
+    found = catalog.QUERIES["g10_fan_out_subscribed"](spark, scratch)
+    assert found.columns == ["task_id", "seq", "stage", "n_subscribers", "first_subscriber", "last_subscriber", "subscriber_sum"]
+    assert delivered(made[0]) == expected(events)
+    assert {r.seq: tuple(r)[3:] for r in found.collect()} == by_message(events)
